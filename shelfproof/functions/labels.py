@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfproof.functions.text import IU, clean, group, lookup, matches, number, squeeze
-from shelfproof.functions.values import cases, col, let
+from shelfproof.functions.values import cases, col, let, lit
 from shelfproof.rules import locale as L
 
 LANGUAGES = ("de", "en")
@@ -45,19 +45,19 @@ def nutrient_key(label: Column, language="de") -> Column:
         pairs = dict(L.aliases(L.NUTRIENT_ALIASES, lang))
         longest = sorted(pairs, key=len, reverse=True)
         return let(text, lambda t: F.coalesce(
-            lookup(pairs, t), *[F.when(t.contains(a), F.lit(pairs[a])) for a in longest]))
+            lookup(pairs, t), *[F.when(t.contains(a), lit(pairs[a])) for a in longest]))
 
     return per_language(language, build)
 
 
 def is_ingredient_heading(heading: Column, language="de") -> Column:
     return per_language(language, lambda lang: F.coalesce(
-        normal_label(heading).rlike("|".join(L.INGREDIENT_HEADINGS[lang])), F.lit(False)))
+        normal_label(heading).rlike("|".join(L.INGREDIENT_HEADINGS[lang])), lit(False)))
 
 
 def byline(c: Column, language="de") -> Column:
     def build(lang: str) -> Column:
-        out = F.trim(F.coalesce(c, F.lit("")))
+        out = F.trim(F.coalesce(c, lit("")))
         for pattern in L.BYLINE_PATTERNS[lang]:
             out = F.trim(F.regexp_replace(out, IU + pattern, ""))
         return F.regexp_replace(out, r"^[ :]+|[ :]+$", "")
@@ -79,7 +79,7 @@ def dateline(c: Column, language="de", home_country=None) -> Column:
 
         country = F.trim(group(c, pattern, 1))
         month = lookup({m: i + 1 for i, m in enumerate(L.MONTHS[lang])},
-                       F.rtrim(F.lower(part("month")), F.lit(".")))
+                       F.rtrim(F.lower(part("month")), lit(".")))
         date = F.try_to_date(F.format_string(
             "%04d-%02d-%02d", part("year").cast("int"), month, part("day").cast("int")))
         return F.struct(
@@ -93,14 +93,14 @@ def dateline(c: Column, language="de", home_country=None) -> Column:
 
 def is_verified(c: Column, language="de") -> Column:
     return per_language(language, lambda lang: F.coalesce(
-        F.lower(c).rlike("|".join(L.VERIFIED_PURCHASE[lang])), F.lit(False)))
+        F.lower(c).rlike("|".join(L.VERIFIED_PURCHASE[lang])), lit(False)))
 
 
 def helpful_votes(c: Column, language="de") -> Column:
     """Votes shown, 1 for the spelled-out singular, NULL when none are shown."""
     def build(lang: str) -> Column:
         digits = F.regexp_replace(group(c, IU + L.HELPFUL_MANY[lang], 1), r"\D", "")
-        return F.when(matches(F.trim(c), IU + L.HELPFUL_ONE[lang]), F.lit(1).cast("bigint")) \
+        return F.when(matches(F.trim(c), IU + L.HELPFUL_ONE[lang]), lit(1).cast("bigint")) \
                 .otherwise(digits.try_cast("bigint"))
 
     return per_language(language, build)
@@ -120,12 +120,12 @@ def histogram_share(c: Column, language="de") -> Column:
 def without_noise(c: Column, language="de") -> Column:
     """Review body without the buttons rendered inside it."""
     return per_language(language, lambda lang: F.trim(squeeze(F.regexp_replace(
-        F.coalesce(c, F.lit("")), IU + "|".join(L.REVIEW_NOISE[lang]), " "))))
+        F.coalesce(c, lit("")), IU + "|".join(L.REVIEW_NOISE[lang]), " "))))
 
 
 def host_key(c: Column) -> Column:
     """``https://www.example.com/x`` and ``www.example.com/`` both give ``example.com``."""
-    host = F.rtrim(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit("/"))
+    host = F.rtrim(F.lower(F.trim(F.coalesce(c, lit("")))), lit("/"))
     host = F.when(host.contains("://"), F.regexp_extract(host, r"://([^/?#]*)", 1)).otherwise(host)
     return F.regexp_replace(host, r"^www\.", "")
 
@@ -133,7 +133,7 @@ def host_key(c: Column) -> Column:
 def profile(host: Column) -> Column:
     """``STRUCT<language, currency, decimal, home>`` of a marketplace, or the fallback's."""
     def row(entry) -> Column:
-        return F.struct(*[F.lit(x).alias(n) for n, x in
+        return F.struct(*[lit(x).alias(n) for n, x in
                           zip(("language", "currency", "decimal", "home"), entry)])
 
     key = host_key(host)
@@ -142,7 +142,7 @@ def profile(host: Column) -> Column:
 
 
 def currency(c: Column, fallback="EUR") -> Column:
-    return cases(*[(c.contains(sign), F.lit(code)) for sign, code in L.CURRENCY_SIGNS],
+    return cases(*[(c.contains(sign), lit(code)) for sign, code in L.CURRENCY_SIGNS],
                  otherwise=col(fallback))
 
 
@@ -158,36 +158,36 @@ def price_head(c: Column) -> Column:
 
 def nutrient_unit(c: Column) -> Column:
     return F.lower(F.coalesce(group(c, r"(?i)(kcal|kj)", 1),
-                              group(c, r"(?i)\d\s*(mg|g|ml)\b", 1), F.lit("")))
+                              group(c, r"(?i)\d\s*(mg|g|ml)\b", 1), lit("")))
 
 
 def product_ids(c: Column) -> Column:
     """Distinct product ids of a ``;``-separated list of ids or links, in order."""
-    items = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), F.trim),
+    items = F.filter(F.transform(F.split(F.coalesce(c, lit("")), "[;,]"), F.trim),
                      lambda i: F.length(i) > 0)
 
     def one(item: Column) -> Column:
         return F.coalesce(
             group(item, L.ASIN_LINK, 1), group(item, "^(" + L.ASIN_BARE + ")$", 1),
-            F.raise_error(F.concat(item, F.lit(": neither a product id nor a product link"))))
+            F.raise_error(F.concat(item, lit(": neither a product id nor a product link"))))
 
     return F.array_distinct(F.transform(items, one))
 
 
 def locale_status(accept_language: Column, expected: Column) -> Column:
     """``STRUCT<language, status>``: does the asked locale fit the marketplace?"""
-    header = F.trim(F.coalesce(accept_language, F.lit("")))
-    primary = F.nullif(F.regexp_extract(F.lower(header), r"^\s*([^;,\-]*)", 1), F.lit(""))
+    header = F.trim(F.coalesce(accept_language, lit("")))
+    primary = F.nullif(F.regexp_extract(F.lower(header), r"^\s*([^;,\-]*)", 1), lit(""))
     return F.struct(
         F.when(header != "", F.trim(primary)).alias("language"),
-        cases((header == "", F.lit("unset")),
-              (F.coalesce(F.trim(primary) == expected, F.lit(False)), F.lit("matches")),
-              otherwise=F.lit("conflict")).alias("status"))
+        cases((header == "", lit("unset")),
+              (F.coalesce(F.trim(primary) == expected, lit(False)), lit("matches")),
+              otherwise=lit("conflict")).alias("status"))
 
 
 def sponsored_markers(css_class: Column, has_label: Column, has_redirect: Column) -> Column:
     """Which of the three placement markers a result tile carries."""
     return F.array_compact(F.array(
-        F.when(F.coalesce(css_class.contains("AdHolder"), F.lit(False)), F.lit("ad_holder")),
-        F.when(F.coalesce(has_label, F.lit(False)), F.lit("sponsored_label")),
-        F.when(F.coalesce(has_redirect, F.lit(False)), F.lit("sspa_link"))))
+        F.when(F.coalesce(css_class.contains("AdHolder"), lit(False)), lit("ad_holder")),
+        F.when(F.coalesce(has_label, lit(False)), lit("sponsored_label")),
+        F.when(F.coalesce(has_redirect, lit(False)), lit("sspa_link"))))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import cases, let
+from shelfproof.functions.values import cases, let, lit
 
 # How far a quote may reach, and the German/English words that
 # negate the phrase directly behind or before them.
@@ -22,8 +22,8 @@ NEGATED_AFTER = r"(?iU)^[\s\-‐-―]*(?:frei|free)\b"
 
 def _steps(text: Column, pattern: str) -> Column:
     """Per match, the length of the gap before it and its own length."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits,
+    hits = F.regexp_extract_all(text, lit(pattern), lit(0))
+    return F.zip_with(F.slice(F.split(text, pattern, -1), lit(1), F.size(hits)), hits,
                       lambda gap, hit: F.struct(F.length(gap).alias("gap"),
                                                 F.length(hit).alias("size")))
 
@@ -33,7 +33,7 @@ def spans(text: Column, pattern: str) -> Column:
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     return F.aggregate(
         _steps(text, pattern),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
+        F.struct(lit(0).alias("at"), empty.alias("found")),
         lambda acc, s: F.struct(
             (acc["at"] + s["gap"] + s["size"]).alias("at"),
             F.concat(acc["found"], F.array(F.struct(
@@ -52,7 +52,7 @@ def first_span(text: Column, pattern: str, affirmative: bool = False,
     """
     none = F.expr("cast(null as struct<start:int,end:int>)")
     if not affirmative and exclude is None:
-        hit = F.regexp_instr(text, F.lit(pattern)) - 1
+        hit = F.regexp_instr(text, lit(pattern)) - 1
         return F.when(matches(text, pattern), F.struct(
             hit.alias("start"),
             (hit + F.length(F.regexp_extract(text, pattern, 0))).alias("end"))).otherwise(none)
@@ -61,20 +61,20 @@ def first_span(text: Column, pattern: str, affirmative: bool = False,
         def step(acc: Column, s: Column) -> Column:
             start = acc["at"] + s["gap"]
             end = start + s["size"]
-            ok = F.lit(True)
+            ok = lit(True)
             if affirmative:
-                ok = ok & ~matches(F.substr(text, F.lit(1), start), NEGATED_BEFORE) \
+                ok = ok & ~matches(F.substr(text, lit(1), start), NEGATED_BEFORE) \
                         & ~matches(F.substr(text, end + 1), NEGATED_AFTER)
             if banned is not None:
                 ok = ok & ~F.exists(banned, lambda b: (start < b["end"]) & (end > b["start"]))
             return F.when(acc["start"] >= 0, acc).otherwise(F.struct(
                 end.alias("at"),
-                F.when(ok, start).otherwise(F.lit(-1)).alias("start"),
-                F.when(ok, end).otherwise(F.lit(-1)).alias("end")))
+                F.when(ok, start).otherwise(lit(-1)).alias("start"),
+                F.when(ok, end).otherwise(lit(-1)).alias("end")))
 
         return F.aggregate(
             _steps(text, pattern),
-            F.struct(F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(-1).alias("end")),
+            F.struct(lit(0).alias("at"), lit(-1).alias("start"), lit(-1).alias("end")),
             step,
             lambda acc: F.when(acc["start"] >= 0, F.struct(acc["start"].alias("start"),
                                                            acc["end"].alias("end"))))
@@ -87,12 +87,12 @@ def quote(text: Column, span: Column) -> Column:
     """The sentence around a span, or a window of it when the sentence is long."""
     start, end = span["start"], span["end"]
     size = F.length(text)
-    before = F.substr(text, F.lit(1), start)
+    before = F.substr(text, lit(1), start)
     mark = r"(?s)^(.*)(?:\. |! |\? |; | \| | - )"
     left = F.when(matches(before, mark), F.length(F.regexp_extract(before, mark, 1)) + 1).otherwise(0)
     # One character of context, so that the mark itself may be the match's last one.
-    tail = F.regexp_instr(F.substr(text, F.greatest(end, F.lit(1))), F.lit(r"(?U)(?<=[.!?;])\s+"))
-    right = F.when(tail > 0, F.greatest(end, F.lit(1)) + tail - 2).otherwise(size)
+    tail = F.regexp_instr(F.substr(text, F.greatest(end, lit(1))), lit(r"(?U)(?<=[.!?;])\s+"))
+    right = F.when(tail > 0, F.greatest(end, lit(1)) + tail - 2).otherwise(size)
 
     def cut(edge: Column) -> Column:
         long = edge["right"] - edge["left"] > QUOTE_MAX
@@ -102,10 +102,10 @@ def quote(text: Column, span: Column) -> Column:
         def render(e: Column) -> Column:
             body = F.regexp_replace(F.substr(text, e["lo"] + 1, e["hi"] - e["lo"]),
                                     r"(?U)^\s+|\s+$", "")
-            head = (e["lo"] > 0) & ~matches(F.substr(text, F.lit(1), e["lo"]), r"(?U)^\s+$")
+            head = (e["lo"] > 0) & ~matches(F.substr(text, lit(1), e["lo"]), r"(?U)^\s+$")
             return F.when(F.length(body) < size, F.concat(
-                F.when(head, F.lit("…")).otherwise(F.lit("")), body,
-                F.when(e["hi"] < size, F.lit("…")).otherwise(F.lit("")))).otherwise(body)
+                F.when(head, lit("…")).otherwise(lit("")), body,
+                F.when(e["hi"] < size, lit("…")).otherwise(lit("")))).otherwise(body)
 
         return let(F.struct(lo.alias("lo"), hi.alias("hi")), render)
 

@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfproof.functions.values import cases, col, let
+from shelfproof.functions.values import cases, col, constant_map, let, lit
 from shelfproof.rules import locale as L
 
 #: Java regexes fold umlauts and treat NBSP as space only with these flags.
@@ -17,11 +17,11 @@ U = "(?U)"
 
 def group(c: Column, pattern, index: int = 1) -> Column:
     """``regexp_extract`` with NULL in place of the empty string."""
-    return F.nullif(F.regexp_extract(c, pattern, index), F.lit(""))
+    return F.nullif(F.regexp_extract(c, pattern, index), lit(""))
 
 
 def matches(c: Column, pattern: str) -> Column:
-    return F.coalesce(c.rlike(pattern), F.lit(False))
+    return F.coalesce(c.rlike(pattern), lit(False))
 
 
 def squeeze(c: Column) -> Column:
@@ -30,7 +30,7 @@ def squeeze(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Visible text: no bidi marks, single spaces, punctuation rejoined."""
-    out = F.translate(F.coalesce(c, F.lit("")), L.INVISIBLE, "")
+    out = F.translate(F.coalesce(c, lit("")), L.INVISIBLE, "")
     out = squeeze(out)
     out = F.regexp_replace(out, r" ([,.;:!?%)\]])", "$1")
     out = F.regexp_replace(out, U + r"(?<=\w) (-[^\W\d_])", "$1")
@@ -41,8 +41,8 @@ def replace_matches(c: Column, pattern: str, change) -> Column:
     """Replace every match by ``change(match)`` in one pass over the text."""
     return F.array_join(
         F.zip_with(F.split(c, pattern, -1),
-                   F.regexp_extract_all(c, F.lit(pattern), F.lit(0)),
-                   lambda gap, hit: F.concat(gap, F.coalesce(change(hit), F.lit("")))), "")
+                   F.regexp_extract_all(c, lit(pattern), lit(0)),
+                   lambda gap, hit: F.concat(gap, F.coalesce(change(hit), lit("")))), "")
 
 
 ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]{1,8}|#\d{1,5}|#[xX][0-9a-fA-F]{1,4});"
@@ -54,13 +54,12 @@ def _code_point(hex_digits: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Undo one extra round of HTML escaping; text without an entity is kept as it is."""
-    names = F.create_map(*[F.lit(x) for name, point in {**name2codepoint, "apos": 39}.items()
-                           for x in (name, chr(point))])
+    names = constant_map({name: chr(point) for name, point in {**name2codepoint, "apos": 39}.items()})
 
     def one(hit: Column) -> Column:
         body = F.regexp_extract(hit, r"&#?(.*);", 1)
         return F.coalesce(cases(
-            (hit.rlike(r"^&#[xX]"), _code_point(F.substr(body, F.lit(2)))),
+            (hit.rlike(r"^&#[xX]"), _code_point(F.substr(body, lit(2)))),
             (hit.rlike(r"^&#"), _code_point(F.hex(body.cast("bigint")))),
             otherwise=F.try_element_at(names, body)), hit)
 
@@ -77,7 +76,7 @@ def number(c: Column, decimal=",") -> Column:
     kind of separator which repeats, or which stands before exactly three
     digits and is not the locale's own mark, only groups.
     """
-    raw = F.replace(F.regexp_extract(clean(c.cast("string")), NUMBER, 0), F.lit(" "), F.lit(""))
+    raw = F.replace(F.regexp_extract(clean(c.cast("string")), NUMBER, 0), lit(" "), lit(""))
 
     def read(r: Column) -> Column:
         mark = F.regexp_extract(r, r"([.,])[^.,]*$", 1)
@@ -87,7 +86,7 @@ def number(c: Column, decimal=",") -> Column:
         grouping = ~both & ((marks > 1) | ((F.length(tail) == 3) & (mark != col(decimal))))
         plain = F.regexp_replace(r, r"[.,]", "")
         split = F.concat(F.regexp_replace(F.regexp_extract(r, r"^(.*)[.,][^.,]*$", 1), r"[.,]", ""),
-                         F.lit("."), tail)
+                         lit("."), tail)
         return F.when((marks == 0) | grouping, plain).otherwise(split).try_cast("double")
 
     return let(raw, read)
@@ -100,7 +99,7 @@ def whole_number(c: Column, decimal=",") -> Column:
 
 def lookup(table: dict, key: Column) -> Column:
     """A small constant table as a map literal, read by key."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    return F.try_element_at(constant_map(table), key)
 
 
 UNIT_NAMES = "|".join(sorted(L.UNITS, key=len, reverse=True))
@@ -108,10 +107,10 @@ UNIT_NAMES = "|".join(sorted(L.UNITS, key=len, reverse=True))
 
 def quantity(c: Column, decimal=",") -> Column:
     """``STRUCT<amount, unit, base>`` in grams or millilitres, NULL without a unit."""
-    text = F.replace(F.lower(clean(c.cast("string"))), F.lit("×"), F.lit("x"))
+    text = F.replace(F.lower(clean(c.cast("string"))), lit("×"), lit("x"))
 
     def read(t: Column) -> Column:
-        times = F.coalesce(group(t, r"^\s*(\d+)\s*x\s*(.+)$", 1).cast("double"), F.lit(1.0))
+        times = F.coalesce(group(t, r"^\s*(\d+)\s*x\s*(.+)$", 1).cast("double"), lit(1.0))
         body = F.coalesce(group(t, r"^\s*(\d+)\s*x\s*(.+)$", 2), t)
         pattern = U + r"(\d[\d., ]*)\s*(" + UNIT_NAMES + r")\b"
         name = group(body, pattern, 2)
@@ -132,13 +131,13 @@ def word_pattern(stem, language) -> Column:
     """
     stem, language = col(stem), col(language)
     escaped = F.regexp_replace(stem, r"([^\w\s])", r"\\$1")
-    pattern = F.concat(F.lit(IU + r"\b"), escaped,
-                       F.when(language == "de", F.lit("")).otherwise(F.lit(r"\b")))
-    return F.when(F.length(F.trim(F.coalesce(stem, F.lit("")))) == 0,
-                  F.raise_error(F.lit("word stem must not be empty"))).otherwise(pattern)
+    pattern = F.concat(lit(IU + r"\b"), escaped,
+                       F.when(language == "de", lit("")).otherwise(lit(r"\b")))
+    return F.when(F.length(F.trim(F.coalesce(stem, lit("")))) == 0,
+                  F.raise_error(lit("word stem must not be empty"))).otherwise(pattern)
 
 
 def timestamp(c: Column) -> Column:
     """ISO stamp in UTC; a missing or unreadable stamp is older than any real one."""
-    return F.coalesce(F.try_to_timestamp(F.nullif(F.trim(c), F.lit(""))),
-                      F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    return F.coalesce(F.try_to_timestamp(F.nullif(F.trim(c), lit(""))),
+                      lit("0001-01-01 00:00:00").cast("timestamp"))

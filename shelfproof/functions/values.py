@@ -6,7 +6,7 @@ Every builder returns a column of the same struct type, so branches of a
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,45 +43,65 @@ VALUE = T.StructType([
 ])
 
 
+@lru_cache(maxsize=None, typed=True)
+def lit(x) -> Column:
+    """A literal column, built once per process: columns are immutable."""
+    return F.lit(x)
+
+
+@lru_cache(maxsize=None)
+def expr(sql: str) -> Column:
+    """A constant SQL expression, built once per process."""
+    return F.expr(sql)
+
+
 def col(x) -> Column:
     """A column as it is; anything else as a literal."""
-    return x if isinstance(x, Column) else F.lit(x)
+    return x if isinstance(x, Column) else lit(x)
 
 
 def let(x: Column, body) -> Column:
     """Evaluate ``x`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(x), body), F.lit(0))
+    return F.get(F.transform(F.array(x), body), lit(0))
+
+
+def sql_literal(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else repr(x)
 
 
-def array_of(items, element: T.DataType) -> Column:
-    """An array column with a fixed element type, also when it is empty."""
-    items = list(items)
-    if not items:
-        return F.array().cast(T.ArrayType(element))
-    return F.array(*[col(i).cast(element) for i in items])
+def constant_map(table: dict) -> Column:
+    """A small constant table as a map literal."""
+    return expr("map(" + ", ".join(sql_literal(x) for kv in table.items() for x in kv) + ")")
+
+
+NO_STRINGS = "cast(array() as array<string>)"
+NO_EVIDENCE = "cast(array() as array<struct<field: string, quote: string>>)"
+VALUE_DDL = ("struct<value: double, text: string, status: string, source: string, unit: string,"
+             " notes: array<string>, evidence: array<struct<field: string, quote: string>>,"
+             " flags: array<string>>")
 
 
 def evidence(field, quote) -> Column:
-    return F.struct(col(field).cast("string").alias("field"),
-                    col(quote).cast("string").alias("quote"))
+    return F.struct(col(field).alias("field"), col(quote).cast("string").alias("quote"))
 
 
 def value(number=None, *, text=None, status=UNKNOWN, unit="", source="",
           notes=(), evidence=(), flags=()) -> Column:
     """One value struct.  List arguments take items or a ready array column."""
-    def listed(items, element):
-        return items if isinstance(items, Column) else array_of(items, element)
+    def listed(items, empty: str) -> Column:
+        if isinstance(items, Column):
+            return items
+        return F.array(*[col(i) for i in items]) if items else expr(empty)
 
     return F.struct(
-        col(number).cast("double").alias("value"),
-        col(text).cast("string").alias("text"),
-        col(status).cast("string").alias("status"),
-        col(source).cast("string").alias("source"),
-        col(unit).cast("string").alias("unit"),
-        listed(notes, T.StringType()).alias("notes"),
-        listed(evidence, EVIDENCE).alias("evidence"),
-        listed(flags, T.StringType()).alias("flags"),
-    ).cast(VALUE)
+        col(number), col(text), col(status), col(source), col(unit), listed(notes, NO_STRINGS),
+        listed(evidence, NO_EVIDENCE), listed(flags, NO_STRINGS)).cast(VALUE_DDL)
 
 
 def unknown(*notes, **kw) -> Column:
@@ -94,15 +114,15 @@ def present(v: Column) -> Column:
 
 def usable(v: Column) -> Column:
     """Trusted and not empty: the only values a ranking may read."""
-    return F.coalesce((v["status"] == TRUSTED) & present(v), F.lit(False))
+    return F.coalesce((v["status"] == TRUSTED) & present(v), lit(False))
 
 
 def known(v: Column) -> Column:
-    return F.coalesce((v["status"] != UNKNOWN) & present(v), F.lit(False))
+    return F.coalesce((v["status"] != UNKNOWN) & present(v), lit(False))
 
 
 def has_status(v: Column, status: str) -> Column:
-    return F.coalesce(v["status"] == status, F.lit(False))
+    return F.coalesce(v["status"] == status, lit(False))
 
 
 def plus(items: Column, *more) -> Column:
@@ -110,24 +130,34 @@ def plus(items: Column, *more) -> Column:
     return F.concat(items, F.array_compact(F.array(*[col(m) for m in more])))
 
 
+def updated(v: Column, **changes) -> Column:
+    """A value with some fields replaced; each change is a function of the bound value.
+
+    The value is bound once, so a deep chain of updates stays linear in size.
+    """
+    return let(v, lambda x: reduce(lambda acc, f: acc.withField(f, changes[f](x)), changes, x))
+
+
 def noted(v: Column, *notes) -> Column:
-    return v.withField("notes", plus(v["notes"], *notes))
+    return updated(v, notes=lambda x: plus(x["notes"], *notes))
 
 
-def flagged(v: Column, flag: str) -> Column:
-    return v.withField("flags", F.array_union(v["flags"], F.array(F.lit(flag))))
+def flagged(v: Column, flag: str, *notes) -> Column:
+    return updated(v, flags=lambda x: F.array_union(x["flags"], F.array(lit(flag))),
+                   notes=lambda x: plus(x["notes"], *notes))
 
 
 def disputed(v: Column, note, more_evidence: Column | None = None) -> Column:
     """Keep the value, mark it disputed and say why."""
-    out = noted(v.withField("status", F.lit(DISPUTED)), note)
-    if more_evidence is not None:
-        out = out.withField("evidence", F.concat(v["evidence"], more_evidence))
-    return out
+    return updated(
+        v, status=lambda x: lit(DISPUTED), notes=lambda x: plus(x["notes"], note),
+        evidence=lambda x: x["evidence"] if more_evidence is None else F.concat(x["evidence"], more_evidence))
 
 
-def trusted(v: Column) -> Column:
-    return v.withField("status", F.lit(TRUSTED))
+def trusted(v: Column, *notes, more_evidence: Column | None = None) -> Column:
+    return updated(
+        v, status=lambda x: lit(TRUSTED), notes=lambda x: plus(x["notes"], *notes) if notes else x["notes"],
+        evidence=lambda x: x["evidence"] if more_evidence is None else F.concat(x["evidence"], more_evidence))
 
 
 def cases(*branches, otherwise: Column) -> Column:

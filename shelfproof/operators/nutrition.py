@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import cases, let, number_text
+from shelfproof.functions.values import cases, let, lit, number_text
 from shelfproof.operators.pricing import within_band
 from shelfproof.operators.quantity import gap
 
@@ -43,28 +43,28 @@ NUTRIENTS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()),
 
 
 def block_source(source: Column) -> Column:
-    return cases(*[(source == k, F.lit(v)) for k, v in BLOCK_SOURCES.items()],
-                 otherwise=F.lit(V.TEXT))
+    return cases(*[(source == k, lit(v)) for k, v in BLOCK_SOURCES.items()],
+                 otherwise=lit(V.TEXT))
 
 
 def key_unit(key: Column) -> Column:
-    return cases((key == "energy_kcal", F.lit("kcal")), (key == "energy_kj", F.lit("kJ")),
-                 (key.endswith("_mg"), F.lit("mg")), otherwise=F.lit("g"))
+    return cases((key == "energy_kcal", lit("kcal")), (key == "energy_kj", lit("kJ")),
+                 (key.endswith("_mg"), lit("mg")), otherwise=lit("g"))
 
 
 def rejection(key: Column, row: Column) -> Column:
     """Why a row cannot be this nutrient at all, NULL when it can."""
-    unit = F.lower(F.coalesce(row["unit"], F.lit("")))
+    unit = F.lower(F.coalesce(row["unit"], lit("")))
     wrong_unit = reduce(lambda acc, kv: acc | ((key == kv[0]) & ~unit.isin(*kv[1])),
-                        FIELD_UNITS.items(), F.lit(False))
-    text = F.coalesce(row["value_text"], F.lit(""))
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d[\d.,]*"), F.lit(0)))
+                        FIELD_UNITS.items(), lit(False))
+    text = F.coalesce(row["value_text"], lit(""))
+    numbers = F.array_distinct(F.regexp_extract_all(text, lit(r"\d[\d.,]*"), lit(0)))
     basis_number = matches(text, BASIS_PHRASE) & (row["amount"] == 100) & (F.size(numbers) <= 1)
     return cases(
-        (F.coalesce((unit != "") & wrong_unit, F.lit(False)), F.concat(
-            F.lit("unit "), unit, F.lit(" does not measure "), key)),
-        (F.coalesce(basis_number, F.lit(False)), F.lit("the number is part of the basis phrase")),
-        otherwise=F.lit(None).cast("string"))
+        (F.coalesce((unit != "") & wrong_unit, lit(False)), F.concat(
+            lit("unit "), unit, lit(" does not measure "), key)),
+        (F.coalesce(basis_number, lit(False)), lit("the number is part of the basis phrase")),
+        otherwise=lit(None).cast("string"))
 
 
 def _values(nutrition: Column) -> Column:
@@ -73,21 +73,21 @@ def _values(nutrition: Column) -> Column:
 
     def one(e: Column) -> Column:
         key = e["key"]
-        row = F.get(F.filter(nutrition["rows"], lambda r: r["key"] == key), F.lit(0))
-        words = F.coalesce(row["value_text"], F.lit(""))
-        proof = [V.evidence(F.concat(F.lit("food.nutrition["), key, F.lit("]")), F.when(
-            words != "", F.concat(F.coalesce(row["label"], key), F.lit(": "), words))
+        row = F.get(F.filter(nutrition["rows"], lambda r: r["key"] == key), lit(0))
+        words = F.coalesce(row["value_text"], lit(""))
+        proof = [V.evidence(F.concat(lit("food.nutrition["), key, lit("]")), F.when(
+            words != "", F.concat(F.coalesce(row["label"], key), lit(": "), words))
             .otherwise(e["value"].cast("string")))]
-        derived = F.coalesce(F.array_contains(nutrition["derived"], key), F.lit(False))
-        loose = (source == V.TEXT) & ~F.coalesce(row["basis_confirmed"], F.lit(False))
+        derived = F.coalesce(F.array_contains(nutrition["derived"], key), lit(False))
+        loose = (source == V.TEXT) & ~F.coalesce(row["basis_confirmed"], lit(False))
         reason = rejection(key, row)
         kept = V.value(
             e["value"], status=V.UNVERIFIED, unit=key_unit(key), evidence=proof,
             source=F.when(derived, V.DERIVED).otherwise(source),
             notes=F.array_compact(F.array(
-                F.when(derived, F.lit("derived, not published by the vendor")),
-                F.when(loose, F.lit("from prose that states no per-100 g basis")))),
-            flags=F.array_compact(F.array(F.when(loose, F.lit(UNCONFIRMED_BASIS)))))
+                F.when(derived, lit("derived, not published by the vendor")),
+                F.when(loose, lit("from prose that states no per-100 g basis")))),
+            flags=F.array_compact(F.array(F.when(loose, lit(UNCONFIRMED_BASIS)))))
         return F.struct(key.alias("key"), F.when(reason.isNotNull(), V.value(
             None, unit=key_unit(key), evidence=proof, source=source,
             notes=F.array(reason))).otherwise(kept).alias("v"))
@@ -108,36 +108,36 @@ def _is_macro(key: Column) -> Column:
 
 def _total(values: Column, weight) -> Column:
     return F.aggregate(
-        F.filter(values, lambda e: _is_macro(e["key"]) & V.known(e["v"])), F.lit(0.0),
+        F.filter(values, lambda e: _is_macro(e["key"]) & V.known(e["v"])), lit(0.0),
         lambda acc, e: acc + e["v"]["value"] * weight(e["key"]))
 
 
 def _energy_factor(key: Column) -> Column:
-    return cases(*[(key == k, F.lit(f)) for k, f in KCAL_PER_G.items()], otherwise=F.lit(0.0))
+    return cases(*[(key == k, lit(f)) for k, f in KCAL_PER_G.items()], otherwise=lit(0.0))
 
 
 def mass_balance(values: Column) -> Column:
     """Dispute protein, carbohydrate and fat that outweigh the 100 g they sit in."""
-    return let(values, lambda vs: let(_total(vs, lambda k: F.lit(1.0)), lambda total: F.when(
+    return let(values, lambda vs: let(_total(vs, lambda k: lit(1.0)), lambda total: F.when(
         total > MASS_LIMIT, _each(vs, lambda k, v: _is_macro(k) & V.known(v), lambda v: V.disputed(
-            v, F.concat(F.lit("the macronutrients add up to "), F.round(total, 0).cast("bigint").cast("string"),
-                        F.lit(" g per 100 g"))))).otherwise(vs)))
+            v, F.concat(lit("the macronutrients add up to "), F.round(total, 0).cast("bigint").cast("string"),
+                        lit(" g per 100 g"))))).otherwise(vs)))
 
 
 def energy_balance(values: Column) -> Column:
     """Flag energy and macronutrients that contradict each other."""
     def check(vs: Column) -> Column:
         energy = F.get(F.filter(vs, lambda e: (e["key"] == "energy_kcal") & V.known(e["v"])),
-                       F.lit(0))["v"]["value"]
+                       lit(0))["v"]["value"]
 
         def flag(implied: Column) -> Column:
-            off = F.coalesce((implied != 0) & (gap(implied, energy) > ENERGY_TOLERANCE), F.lit(False))
-            note = F.concat(F.lit("energy and macronutrients contradict each other: "),
-                            number_text(energy), F.lit(" against "), number_text(F.round(implied, 0)),
-                            F.lit(" kcal"))
+            off = F.coalesce((implied != 0) & (gap(implied, energy) > ENERGY_TOLERANCE), lit(False))
+            note = F.concat(lit("energy and macronutrients contradict each other: "),
+                            number_text(energy), lit(" against "), number_text(F.round(implied, 0)),
+                            lit(" kcal"))
             return F.when(off, _each(
                 vs, lambda k, v: ((k == "energy_kcal") | _is_macro(k)) & V.known(v),
-                lambda v: V.flagged(V.noted(v, note), CONTRADICTION))).otherwise(vs)
+                lambda v: V.flagged(v, CONTRADICTION, note))).otherwise(vs)
 
         return let(_total(vs, _energy_factor), flag)
 
@@ -151,8 +151,8 @@ def corroboration(values: Column) -> Column:
 
     return let(values, lambda vs: F.when(
         F.size(F.filter(vs, lambda e: counts(e["key"], e["v"]))) < 2,
-        _each(vs, counts, lambda v: V.flagged(V.noted(
-            v, "the only nutrient stated, so nothing can confirm it"), UNCORROBORATED))).otherwise(vs))
+        _each(vs, counts, lambda v: V.flagged(
+            v, UNCORROBORATED, "the only nutrient stated, so nothing can confirm it"))).otherwise(vs))
 
 
 def bands(values: Column, limits: dict[str, tuple[float, float]], label: str) -> Column:
@@ -161,15 +161,15 @@ def bands(values: Column, limits: dict[str, tuple[float, float]], label: str) ->
         return values
 
     def bound(key: Column, i: int) -> Column:
-        return cases(*[(key == k, F.lit(float(b[i]))) for k, b in limits.items()],
-                     otherwise=F.lit(None).cast("double"))
+        return cases(*[(key == k, lit(float(b[i]))) for k, b in limits.items()],
+                     otherwise=lit(None).cast("double"))
 
     def one(e: Column) -> Column:
         low, high, v = bound(e["key"], 0), bound(e["key"], 1), e["v"]
-        outside = V.known(v) & F.coalesce((v["value"] < low) | (v["value"] > high), F.lit(False))
+        outside = V.known(v) & F.coalesce((v["value"] < low) | (v["value"] > high), lit(False))
         return F.struct(e["key"].alias("key"), F.when(outside, V.disputed(v, F.concat(
-            number_text(v["value"]), F.lit(" "), v["unit"], F.lit(" per 100 g is outside the "),
-            number_text(low), F.lit("-"), number_text(high), F.lit(f" range of {label}"))))
+            number_text(v["value"]), lit(" "), v["unit"], lit(" per 100 g is outside the "),
+            number_text(low), lit("-"), number_text(high), lit(f" range of {label}"))))
             .otherwise(v).alias("v"))
 
     return F.transform(values, one)
@@ -182,14 +182,14 @@ def resolve(values: Column) -> Column:
 
     return let(values, lambda vs: F.when(
         F.exists(vs, lambda e: involved(e["v"]) & V.has_status(e["v"], V.DISPUTED)),
-        _each(vs, lambda k, v: involved(v) & ~V.has_status(v, V.DISPUTED), lambda v: V.noted(
-            v.withField("flags", F.array_remove(v["flags"], CONTRADICTION)),
-            "the disputed value explains the contradiction"))).otherwise(vs))
+        _each(vs, lambda k, v: involved(v) & ~V.has_status(v, V.DISPUTED), lambda v: V.updated(
+            v, flags=lambda x: F.array_remove(x["flags"], CONTRADICTION),
+            notes=lambda x: V.plus(x["notes"], "the disputed value explains the contradiction")))).otherwise(vs))
 
 
 def promote(values: Column) -> Column:
     """Trust what was never flagged, never disputed and not derived."""
-    blocked = F.array(*[F.lit(b) for b in BLOCKING])
+    blocked = F.array(*[lit(b) for b in BLOCKING])
     return _each(values, lambda k, v: V.has_status(v, V.UNVERIFIED) & V.known(v)
                  & (v["source"] != V.DERIVED) & ~F.arrays_overlap(v["flags"], blocked), V.trusted)
 
@@ -214,7 +214,7 @@ def validate(df: DataFrame, limits: dict | None = None, label: str = "product",
 
 def of(values: Column, key: str) -> Column:
     """One nutrient's value struct, NULL when the block does not state it."""
-    return F.get(F.filter(values, lambda e: e["key"] == key), F.lit(0))["v"]
+    return F.get(F.filter(values, lambda e: e["key"] == key), lit(0))["v"]
 
 
 def validate_long(nutrients: DataFrame, keys=("asin",), limits: DataFrame | None = None) -> DataFrame:
@@ -227,15 +227,15 @@ def validate_long(nutrients: DataFrame, keys=("asin",), limits: DataFrame | None
     keys = list(keys)
     macro = F.col("key").isin(*MACROS)
     allowed = reduce(lambda acc, kv: acc | ((F.col("key") == kv[0]) & F.lower("unit").isin(*kv[1])),
-                     FIELD_UNITS.items(), F.lit(False))
+                     FIELD_UNITS.items(), lit(False))
     rows = nutrients.withColumn("known", F.coalesce(
-        (F.coalesce(F.col("unit"), F.lit("")) == "") | allowed, F.lit(False)) & F.col("amount").isNotNull())
+        (F.coalesce(F.col("unit"), lit("")) == "") | allowed, lit(False)) & F.col("amount").isNotNull())
     if limits is not None:
         rows = rows.join(F.broadcast(limits), "key", "left")
     else:
-        rows = rows.withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
+        rows = rows.withColumn("low", lit(None).cast("double")).withColumn("high", lit(None).cast("double"))
     rows = rows.withColumn("out_of_band", F.coalesce(
-        (F.col("amount") < F.col("low")) | (F.col("amount") > F.col("high")), F.lit(False)) & F.col("known"))
+        (F.col("amount") < F.col("low")) | (F.col("amount") > F.col("high")), lit(False)) & F.col("known"))
     facts = rows.groupBy(*keys).agg(
         F.sum(F.when(macro & F.col("known"), F.col("amount")).otherwise(0.0)).alias("mass"),
         F.sum(F.when(macro & F.col("known"), F.col("amount") * _energy_factor(F.col("key")))
@@ -243,20 +243,20 @@ def validate_long(nutrients: DataFrame, keys=("asin",), limits: DataFrame | None
         F.max(F.when((F.col("key") == "energy_kcal") & F.col("known"), F.col("amount"))).alias("energy"),
         F.count_if((F.col("key") != "energy_kj") & F.col("known")).alias("checkable"),
         F.coalesce(F.bool_or(F.col("out_of_band") & (macro | (F.col("key") == "energy_kcal"))),
-                   F.lit(False)).alias("band_hit"))
+                   lit(False)).alias("band_hit"))
     joined = rows.join(facts, keys)
     heavy = F.col("mass") > MASS_LIMIT
     clash = F.coalesce((F.col("implied") != 0)
-                       & (gap(F.col("implied"), F.col("energy")) > ENERGY_TOLERANCE), F.lit(False))
+                       & (gap(F.col("implied"), F.col("energy")) > ENERGY_TOLERANCE), lit(False))
     in_clash = clash & (macro | (F.col("key") == "energy_kcal")) & F.col("known")
     explained = F.col("band_hit") | (heavy & (F.col("mass") > 0))
     lone = (F.col("checkable") < 2) & (F.col("key") != "energy_kj") & F.col("known")
-    loose = (F.col("source") == V.TEXT) & ~F.coalesce(F.col("basis_confirmed"), F.lit(False))
+    loose = (F.col("source") == V.TEXT) & ~F.coalesce(F.col("basis_confirmed"), lit(False))
     return joined.withColumn("status", cases(
-        (~F.col("known"), F.lit(V.UNKNOWN)),
-        (F.col("out_of_band") | (heavy & macro), F.lit(V.DISPUTED)),
-        ((in_clash & ~explained) | lone | loose | F.coalesce(F.col("derived"), F.lit(False)),
-         F.lit(V.UNVERIFIED)),
-        otherwise=F.lit(V.TRUSTED))).select(
+        (~F.col("known"), lit(V.UNKNOWN)),
+        (F.col("out_of_band") | (heavy & macro), lit(V.DISPUTED)),
+        ((in_clash & ~explained) | lone | loose | F.coalesce(F.col("derived"), lit(False)),
+         lit(V.UNVERIFIED)),
+        otherwise=lit(V.TRUSTED))).select(
             *keys, "key", "amount", "unit", "status",
             F.round("mass", 4).alias("mass"), F.round("implied", 4).alias("implied"), "checkable")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import values as V
 from shelfproof.functions.text import group, lookup, matches, number
-from shelfproof.functions.values import cases, let, number_text
+from shelfproof.functions.values import cases, let, lit, number_text
 from shelfproof.operators import variation
 
 # Tolerance, units and phrases of pack statements.
@@ -36,7 +36,7 @@ HINTS = f"array<{HINT}>"
 
 def gap(a: Column, b: Column) -> Column:
     """Relative distance of two numbers, 0 when equal."""
-    return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-9))
+    return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), lit(1e-9))
 
 
 def _grams(amount: Column, unit: Column) -> Column:
@@ -44,7 +44,7 @@ def _grams(amount: Column, unit: Column) -> Column:
 
 
 def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, lit(pattern), lit(0))
 
 
 def _hint(grams: Column, field, quote: Column) -> Column:
@@ -83,8 +83,8 @@ def _hints_in(field: str, text: Column) -> Column:
     per_unit = _grams(group(text, ANY_WEIGHT, 1), group(text, ANY_WEIGHT, 2))
     bare = let(per_unit, lambda w: F.when(w > 0, F.transform(
         F.filter(_bare_counts(text), lambda n: n > 1),
-        lambda n: _hint(n * w, field, F.concat(n.cast("string"), F.lit(" x "), number_text(w),
-                                               F.lit(" g"))))))
+        lambda n: _hint(n * w, field, F.concat(n.cast("string"), lit(" x "), number_text(w),
+                                               lit(" g"))))))
     found = F.concat(
         counted(TIMES_WEIGHT, lambda m: group(m, TIMES_WEIGHT, 1), 2, 3),
         counted(WEIGHT_THEN_PACK, lambda m: F.coalesce(group(m, WEIGHT_THEN_PACK, 3),
@@ -101,9 +101,9 @@ def pack_hints(title: Column, size_name: Column, label: Column) -> Column:
         g > 0, F.array(_hint(g, "variation.size_name", label))))
     hints = F.concat(
         F.coalesce(labelled, _no_hints()),
-        _hints_in("variation.size_name", F.coalesce(label, F.lit(""))),
-        _hints_in("title", F.coalesce(title, F.lit(""))),
-        _hints_in("package.size_name", F.coalesce(size_name, F.lit(""))))
+        _hints_in("variation.size_name", F.coalesce(label, lit(""))),
+        _hints_in("title", F.coalesce(title, lit(""))),
+        _hints_in("package.size_name", F.coalesce(size_name, lit(""))))
     return F.filter(hints.cast(HINTS), lambda h: h["grams"].isNotNull())
 
 
@@ -120,7 +120,7 @@ def statement_texts(title: Column, size_name: Column, label: Column, bullets: Co
     """Texts in which a listing may state its own bare weight."""
     def one(field, text) -> Column:
         return F.struct(V.col(field).cast("string").alias("field"),
-                        F.coalesce(text, F.lit("")).alias("text"))
+                        F.coalesce(text, lit("")).alias("text"))
 
     listed = F.transform(F.coalesce(bullets, F.array().cast("array<string>")),
                          lambda b, i: one(F.format_string("content.feature_bullets[%d]", i), b))
@@ -133,10 +133,10 @@ def states_pack_count(texts: Column, item_count: Column) -> Column:
     """Does anything on the page claim more than one unit?"""
     def many(pattern: str, *groups: int):
         return lambda text: F.exists(_all(text, pattern), lambda m: F.coalesce(
-            F.coalesce(*[group(m, pattern, g) for g in groups]).cast("int") > 1, F.lit(False)))
+            F.coalesce(*[group(m, pattern, g) for g in groups]).cast("int") > 1, lit(False)))
 
     tests = (many(TIMES_WEIGHT, 1), many(PACKS_OF_WEIGHT, 1), many(WEIGHT_THEN_PACK, 3, 4))
-    return F.coalesce(item_count > 1, F.lit(False)) | F.exists(texts, lambda t: (
+    return F.coalesce(item_count > 1, lit(False)) | F.exists(texts, lambda t: (
         F.exists(_bare_counts(t["text"]), lambda n: n > 1)
         | tests[0](t["text"]) | tests[1](t["text"]) | tests[2](t["text"])))
 
@@ -147,7 +147,7 @@ def bare_weights(texts: Column, item_count: Column, unit: Column) -> Column:
     Empty as soon as anything claims more than one unit: a bare weight then
     describes one of them.
     """
-    wanted = lookup(UNIT_DIMENSION, F.lower(F.coalesce(unit, F.lit(""))))
+    wanted = lookup(UNIT_DIMENSION, F.lower(F.coalesce(unit, lit(""))))
     found = F.flatten(F.transform(texts, lambda t: F.transform(_all(t["text"], ANY_WEIGHT), lambda m: F.struct(
         _grams(group(m, ANY_WEIGHT, 1), group(m, ANY_WEIGHT, 2)).alias("grams"),
         t["field"].alias("field"), m.alias("quote"),
@@ -161,7 +161,7 @@ def bare_weights(texts: Column, item_count: Column, unit: Column) -> Column:
 def outweighs_package(package: Column) -> Column:
     """One item filed as heavier than the whole package."""
     item, whole = package["item_weight_base"], package["package_weight_base"]
-    return F.coalesce((item > 0) & (whole > 0) & (item > whole), F.lit(False))
+    return F.coalesce((item > 0) & (whole > 0) & (item > whole), lit(False))
 
 
 def _as_evidence(h: Column) -> Column:
@@ -175,36 +175,35 @@ def reconcile(package: Column, hints: Column, bare: Column) -> Column:
     disagree dispute it; bare weights are asked last and can only confirm.
     """
     total = package["total_quantity_base"]
-    unit = F.coalesce(F.nullif(package["total_quantity_unit"], F.lit("")), F.lit("g"))
-    origin = F.coalesce(F.nullif(package["total_quantity_source"], F.lit("")), F.lit("unknown"))
+    unit = F.coalesce(F.nullif(package["total_quantity_unit"], lit("")), lit("g"))
+    origin = F.coalesce(F.nullif(package["total_quantity_source"], lit("")), lit("unknown"))
     base = V.value(total, status=V.UNVERIFIED, unit=unit, source=V.ATTRIBUTES, evidence=[
-        V.evidence(F.concat(F.lit("package.total_quantity_base ("), origin, F.lit(")")),
-                   F.concat(number_text(total), F.lit(" "), unit))])
+        V.evidence(F.concat(lit("package.total_quantity_base ("), origin, lit(")")),
+                   F.concat(number_text(total), lit(" "), unit))])
     close = lambda h: gap(h["grams"], total) <= TOLERANCE
-    agreeing = F.get(F.filter(hints, close), F.lit(0))
-    confirming = F.get(F.filter(bare, close), F.lit(0))
+    agreeing = F.get(F.filter(hints, close), lit(0))
+    confirming = F.get(F.filter(bare, close), lit(0))
     from_item = origin.isin("item_weight_x_count", "item_weight")
     against = F.transform(F.slice(hints, 1, 3), lambda h: V.evidence(
-        h["field"], F.concat(h["quote"], F.lit(" -> "), number_text(h["grams"]), F.lit(" "), unit)))
+        h["field"], F.concat(h["quote"], lit(" -> "), number_text(h["grams"]), lit(" "), unit)))
     overweight = F.array(V.evidence(
         "raw_tables (item weight, package weight)",
-        F.concat(F.lit("one item "), number_text(package["item_weight_base"]),
-                 F.lit(" g, whole package "), number_text(package["package_weight_base"]), F.lit(" g"))))
+        F.concat(lit("one item "), number_text(package["item_weight_base"]),
+                 lit(" g, whole package "), number_text(package["package_weight_base"]), lit(" g"))))
 
     def decide(v: Column) -> Column:
         return cases(
             (outweighs_package(package) & from_item, V.disputed(
                 v, "computed from an item weight that the page contradicts", overweight)),
-            (agreeing.isNotNull(), V.trusted(v).withField(
-                "evidence", F.concat(v["evidence"], _as_evidence(agreeing)))),
+            (agreeing.isNotNull(), V.trusted(v, more_evidence=_as_evidence(agreeing))),
             (F.size(hints) > 0, V.disputed(
                 v, "every other statement of the pack size disagrees with the filed one", against)),
-            (confirming.isNotNull(), V.noted(V.trusted(v).withField(
-                "evidence", F.concat(v["evidence"], _as_evidence(confirming))),
-                "the listing's own text states this weight and claims no second unit")),
+            (confirming.isNotNull(), V.trusted(
+                v, "the listing's own text states this weight and claims no second unit",
+                more_evidence=_as_evidence(confirming))),
             otherwise=V.noted(v, "nothing else on the page states the pack size"))
 
-    return F.when(F.coalesce(total != 0, F.lit(False)), let(base, decide)) \
+    return F.when(F.coalesce(total != 0, lit(False)), let(base, decide)) \
             .otherwise(V.unknown("no usable pack quantity is published"))
 
 

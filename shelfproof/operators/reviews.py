@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfproof.functions import spans
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import cases, let, number_text
+from shelfproof.functions.values import cases, let, lit, number_text
 
 # Star weights, tolerance of the average, thin evidence, and the
 # percent range a whole-percent histogram may sum to.
@@ -19,24 +19,24 @@ COMPLETE = (98, 102)
 
 
 def share(histogram: Column, key: str) -> Column:
-    return F.coalesce(F.try_element_at(histogram, F.lit(key)), F.lit(0))
+    return F.coalesce(F.try_element_at(histogram, lit(key)), lit(0))
 
 
 def covered(histogram: Column) -> Column:
     """Percent of all ratings the histogram covers, 0 without one."""
-    return F.coalesce(F.aggregate(F.map_values(histogram), F.lit(0), lambda a, x: a + x), F.lit(0))
+    return F.coalesce(F.aggregate(F.map_values(histogram), lit(0), lambda a, x: a + x), lit(0))
 
 
 def implied_average(histogram: Column) -> Column:
     """The average the histogram implies, NULL when it is empty."""
-    weighted = sum((share(histogram, k) * w for k, w in STAR_WEIGHT.items()), F.lit(0))
+    weighted = sum((share(histogram, k) * w for k, w in STAR_WEIGHT.items()), lit(0))
     total = covered(histogram)
     return F.when(total != 0, weighted / total)
 
 
 def shown(histogram: Column) -> Column:
-    return F.concat_ws(" · ", *[F.when(F.try_element_at(histogram, F.lit(k)).isNotNull(), F.concat(
-        F.lit(f"{stars}★ "), share(histogram, k).cast("string"), F.lit("%")))
+    return F.concat_ws(" · ", *[F.when(F.try_element_at(histogram, lit(k)).isNotNull(), F.concat(
+        lit(f"{stars}★ "), share(histogram, k).cast("string"), lit("%")))
         for k, stars in STAR_WEIGHT.items()])
 
 
@@ -45,27 +45,28 @@ def _complete(histogram: Column) -> Column:
 
 
 def _thin(count: Column) -> Column:
-    return F.coalesce(count < THIN_EVIDENCE, F.lit(False))
+    return F.coalesce(count < THIN_EVIDENCE, lit(False))
 
 
 def rating(r: Column, histogram: Column) -> Column:
     """The published average: confirmed, doubted or left alone by the histogram."""
     base = V.value(r["value"], status=V.UNVERIFIED, unit="stars", source=V.PUBLISHED,
-                   evidence=[V.evidence("rating.text", F.coalesce(r["text"], F.lit("")))])
+                   evidence=[V.evidence("rating.text", F.coalesce(r["text"], lit("")))])
     proof = F.array(V.evidence("reviews.histogram_percent", shown(histogram)))
 
     def decide(v: Column) -> Column:
         return let(implied_average(histogram), lambda implied: cases(
             (implied.isNull(), V.noted(v, "no histogram confirms this average")),
             (~_complete(histogram), V.disputed(v, F.concat(
-                F.lit("the histogram covers "), covered(histogram).cast("string"),
-                F.lit("% of the ratings")))),
+                lit("the histogram covers "), covered(histogram).cast("string"),
+                lit("% of the ratings")))),
             (F.abs(implied - r["value"]) > AVERAGE_TOLERANCE, V.disputed(v, F.concat(
-                F.lit("the histogram implies "), F.format_string("%.2f", implied), F.lit(" stars")), proof)),
+                lit("the histogram implies "), F.format_string("%.2f", implied), lit(" stars")), proof)),
             (_thin(r["count"]), V.noted(v, F.concat(
-                F.lit("too few ratings to mean much: "), r["count"].cast("string")))),
-            otherwise=V.noted(V.trusted(v).withField("evidence", F.concat(v["evidence"], proof)), F.concat(
-                F.lit("the histogram implies "), F.format_string("%.2f", implied), F.lit(" stars")))))
+                lit("too few ratings to mean much: "), r["count"].cast("string")))),
+            otherwise=V.trusted(v, F.concat(
+                lit("the histogram implies "), F.format_string("%.2f", implied), lit(" stars")),
+                more_evidence=proof)))
 
     return F.when(r["value"].isNull(), V.unknown("no average rating is published")) \
             .otherwise(let(base, decide))
@@ -75,14 +76,14 @@ def negative_share(r: Column, histogram: Column) -> Column:
     """Percent of all ratings at one or two stars, from the complete histogram only."""
     bad = share(histogram, "one_star") + share(histogram, "two_star")
     return cases(
-        (F.coalesce(F.size(histogram) <= 0, F.lit(True)), V.unknown("no histogram on the page")),
+        (F.coalesce(F.size(histogram) <= 0, lit(True)), V.unknown("no histogram on the page")),
         (~_complete(histogram), V.unknown("the histogram does not cover all ratings")),
         otherwise=V.value(
             bad, unit="%", source=V.STRUCTURED,
             status=F.when(_thin(r["count"]), V.UNVERIFIED).otherwise(V.TRUSTED),
             evidence=[V.evidence("reviews.histogram_percent", shown(histogram))],
             notes=F.array_compact(F.array(F.when(_thin(r["count"]), F.concat(
-                F.lit("computed over only "), r["count"].cast("string"), F.lit(" ratings")))))))
+                lit("computed over only "), r["count"].cast("string"), lit(" ratings")))))))
 
 
 def _cards(reviews: Column) -> Column:
@@ -93,17 +94,17 @@ def sample(r: Column, reviews: Column) -> Column:
     """The number of rendered cards with every caveat; never better than unverified."""
     cards = _cards(reviews)
     n = F.size(cards)
-    foreign = F.filter(cards, lambda c: F.coalesce(~c["home_marketplace"], F.lit(False)))
+    foreign = F.filter(cards, lambda c: F.coalesce(~c["home_marketplace"], lit(False)))
     countries = F.array_sort(F.array_distinct(F.transform(foreign, lambda c: c["country"])))
     variants = F.array_sort(F.array_distinct(F.filter(
-        F.transform(cards, lambda c: c["variant"]), lambda v: F.coalesce(v != "", F.lit(False)))))
-    unbought = F.size(F.filter(cards, lambda c: ~F.coalesce(c["verified"], F.lit(False))))
+        F.transform(cards, lambda c: c["variant"]), lambda v: F.coalesce(v != "", lit(False)))))
+    unbought = F.size(F.filter(cards, lambda c: ~F.coalesce(c["verified"], lit(False))))
 
     def text(*parts) -> Column:
-        return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+        return F.concat(*[p.cast("string") if isinstance(p, Column) else lit(p) for p in parts])
 
     pooled = F.size(variants) > 1
-    return F.when(F.coalesce(n > 0, F.lit(False)), V.value(
+    return F.when(F.coalesce(n > 0, lit(False)), V.value(
         n, status=V.UNVERIFIED, unit="reviews", source=V.STRUCTURED,
         notes=F.array_compact(F.array(
             F.when(r["count"] > 0, text(n, " of ", r["count"], " ratings are shown, chosen by the shop"))
@@ -113,7 +114,7 @@ def sample(r: Column, reviews: Column) -> Column:
             F.when(pooled, text("pooled across ", F.size(variants), " variants: ",
                                 F.array_join(F.slice(variants, 1, 4), "; "))),
             F.when(unbought > 0, text(unbought, " of ", n, " are not verified purchases")))),
-        flags=F.array_compact(F.array(F.when(pooled, F.lit("pooled_variants")))))) \
+        flags=F.array_compact(F.array(F.when(pooled, lit("pooled_variants")))))) \
         .otherwise(V.unknown("no review text is shown"))
 
 
@@ -121,27 +122,27 @@ def caveats(reviews: Column) -> Column:
     """``STRUCT<cards, foreign, variants, unverified>`` of a review sample."""
     return F.struct(
         F.size(_cards(reviews)).alias("cards"),
-        F.size(F.filter(_cards(reviews), lambda c: F.coalesce(~c["home_marketplace"], F.lit(False)))).alias("foreign"),
+        F.size(F.filter(_cards(reviews), lambda c: F.coalesce(~c["home_marketplace"], lit(False)))).alias("foreign"),
         F.size(F.array_distinct(F.filter(F.transform(_cards(reviews), lambda c: c["variant"]),
-                                         lambda v: F.coalesce(v != "", F.lit(False))))).alias("variants"),
-        F.size(F.filter(_cards(reviews), lambda c: ~F.coalesce(c["verified"], F.lit(False)))).alias("unverified"))
+                                         lambda v: F.coalesce(v != "", lit(False))))).alias("variants"),
+        F.size(F.filter(_cards(reviews), lambda c: ~F.coalesce(c["verified"], lit(False)))).alias("unverified"))
 
 
 def search(reviews: Column, pattern: str, limit: int = 3, home_only: bool = False,
            max_stars: float | None = None, min_stars: float | None = None) -> Column:
     """Quotes from the cards that match, in card order, at most ``limit``."""
     def one(c: Column, i: Column) -> Column:
-        text = F.trim(F.concat(F.coalesce(c["title"], F.lit("")), F.lit(". "), F.coalesce(c["text"], F.lit(""))))
-        ok = F.lit(True)
+        text = F.trim(F.concat(F.coalesce(c["title"], lit("")), lit(". "), F.coalesce(c["text"], lit(""))))
+        ok = lit(True)
         if home_only:
-            ok = ok & F.coalesce(c["home_marketplace"], F.lit(True))
+            ok = ok & F.coalesce(c["home_marketplace"], lit(True))
         if max_stars is not None:
-            ok = ok & F.coalesce(c["rating"] <= max_stars, F.lit(False))
+            ok = ok & F.coalesce(c["rating"] <= max_stars, lit(False))
         if min_stars is not None:
-            ok = ok & F.coalesce(c["rating"] >= min_stars, F.lit(False))
+            ok = ok & F.coalesce(c["rating"] >= min_stars, lit(False))
         field = F.concat(F.format_string("reviews.sample[%d]", i), F.when(
-            c["rating"].isNotNull(), F.concat(F.lit(" ("), number_text(c["rating"]), F.lit("★)")))
-            .otherwise(F.lit("")))
+            c["rating"].isNotNull(), F.concat(lit(" ("), number_text(c["rating"]), lit("★)")))
+            .otherwise(lit("")))
         return F.when(ok & matches(text, pattern),
                       V.evidence(field, spans.quoted_match(text, pattern)))
 
@@ -153,6 +154,6 @@ def signal(reviews: Column, pattern: str, label: str, **kw) -> Column:
     """Found in the sample: unverified.  Not found: unknown, never "not claimed"."""
     return let(search(reviews, pattern, **kw), lambda hits: F.when(F.size(hits) > 0, V.value(
         1.0, status=V.UNVERIFIED, source=V.TEXT, evidence=hits,
-        notes=[F.concat(F.lit(f"{label}: reported by at least "), F.size(hits).cast("string"),
-                        F.lit(" of the reviews shown"))]))
+        notes=[F.concat(lit(f"{label}: reported by at least "), F.size(hits).cast("string"),
+                        lit(" of the reviews shown"))]))
         .otherwise(V.unknown(f"{label}: not in the reviews shown, which proves nothing")))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfproof.functions.values import lit
 from shelfproof.functions import spans
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
@@ -21,7 +22,7 @@ def text_fields() -> Column:
     """Every free text of a listing, most authoritative first."""
     def one(base: str, text: Column, field=None) -> Column:
         return F.struct(V.col(field if field is not None else base).cast("string").alias("field"),
-                        F.lit(base).alias("base"), text.alias("text"))
+                        lit(base).alias("base"), text.alias("text"))
 
     def each(base: str, items: Column, text, label) -> Column:
         return F.coalesce(F.transform(items, lambda x, i: one(base, text(x), label(x, i))),
@@ -38,17 +39,17 @@ def text_fields() -> Column:
              indexed("content.feature_bullets")),
         F.array(one("content.description", content["description"])).cast(TEXT_FIELDS),
         each("raw_tables", F.map_entries("raw_tables"),
-             lambda e: F.concat(e["key"], F.lit(": "), e["value"]),
-             lambda e, i: F.concat(F.lit("raw_tables."), e["key"])),
+             lambda e: F.concat(e["key"], lit(": "), e["value"]),
+             lambda e, i: F.concat(lit("raw_tables."), e["key"])),
         each("content.important_information", content["important_information"],
-             lambda s: F.concat_ws(": ", F.nullif(s["heading"], F.lit("")), s["text"]),
+             lambda s: F.concat_ws(": ", F.nullif(s["heading"], lit("")), s["text"]),
              indexed("content.important_information")),
         F.array(one("content.aplus", content["aplus"]["text"])).cast(TEXT_FIELDS))
-    return F.filter(fields, lambda f: F.coalesce(f["text"] != "", F.lit(False)))
+    return F.filter(fields, lambda f: F.coalesce(f["text"] != "", lit(False)))
 
 
 def _inside(base: Column, fields) -> Column:
-    return reduce(lambda acc, f: acc | (base == f) | base.startswith(f + "."), fields, F.lit(False))
+    return reduce(lambda acc, f: acc | (base == f) | base.startswith(f + "."), fields, lit(False))
 
 
 def scoped(fields: Column, scope: str = "page", only=None) -> Column:
@@ -94,7 +95,7 @@ def claim_hits(texts: DataFrame, claims: list[tuple[str, str]], key: str, limit:
     any_claim = "(?iU)" + "|".join(f"(?:{p})" for _, p in claims)
     hits = F.array_compact(F.array(*[
         F.when(matches(F.col("text"), "(?iU)" + p), F.struct(
-            F.lit(k).alias("claim"),
+            lit(k).alias("claim"),
             spans.quoted_match(F.col("text"), "(?iU)" + p).alias("quote"))) for k, p in claims]))
     found = (texts.where(matches(F.col("text"), any_claim))
              .select(key, order, "field", F.explode(hits).alias("h"))

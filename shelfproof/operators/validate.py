@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfproof.functions.values import lit
 from shelfproof.operators import nutrition, pricing, quantity, reviews, variation
 
 CONTRACT_VERSION = 1
@@ -53,20 +54,20 @@ def validate(listings: DataFrame, profile: Profile = NEUTRAL) -> DataFrame:
     return (out
             .withColumn("offer", variation.offer_key(F.col("variation"), F.col("asin")))
             .withColumn("siblings", variation.siblings(F.col("variation")))
-            .withColumn("contract_version", F.lit(CONTRACT_VERSION))
-            .withColumn("category_profile", F.lit(profile.key))
+            .withColumn("contract_version", lit(CONTRACT_VERSION))
+            .withColumn("category_profile", lit(profile.key))
             .drop("_hints", "_bare"))
 
 
 def serialise(validated: DataFrame, name: str = "json") -> DataFrame:
     """One JSON line per validated record: lineage and values, not the page text."""
     def text(c: str):
-        return F.coalesce(F.col(c), F.lit("")).alias(c)
+        return F.coalesce(F.col(c), lit("")).alias(c)
 
     return validated.select("asin", F.to_json(F.struct(
         "contract_version", "schema_version", "category_profile", text("asin"), text("title"),
-        text("brand"), F.coalesce("product_url", F.lit("")).alias("url"), text("marketplace"),
-        F.coalesce("search_query", F.lit("")).alias("query"), text("run_id"), text("locale"),
+        text("brand"), F.coalesce("product_url", lit("")).alias("url"), text("marketplace"),
+        F.coalesce("search_query", lit("")).alias("query"), text("run_id"), text("locale"),
         "offer", "size_label", "siblings", "quantity", F.col("price_value").alias("price"),
         "price_per_base", F.map_from_entries(F.transform(
             F.array_sort("nutrition"), lambda e: F.struct(e["key"], e["v"]))).alias("nutrition"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import let
+from shelfproof.functions.values import let, lit
 
 # Dimensions that state a pack size, and a pack size leaking
 # into the end of another dimension.
@@ -16,7 +16,7 @@ PACK_SUFFIX = (r"(?iU)[,;]?\s*\(?\s*\d{1,3}\s*[x×]\s*\d[\d.,]*\s*"
 
 
 def has_matrix(variation: Column) -> Column:
-    return F.coalesce(F.size(variation["values_by_asin"]) > 0, F.lit(False))
+    return F.coalesce(F.size(variation["values_by_asin"]) > 0, lit(False))
 
 
 def _values(variation: Column, asin: Column) -> Column:
@@ -30,7 +30,7 @@ def size_label(variation: Column, asin: Column) -> Column:
     sizes = F.filter(F.arrays_zip(variation["dimensions"].alias("dimension"),
                                   _values(variation, asin).alias("value")),
                      lambda d: d["dimension"].isin(*SIZE_DIMENSIONS))
-    return F.coalesce(F.get(sizes, F.lit(0))["value"], F.lit(""))
+    return F.coalesce(F.get(sizes, lit(0))["value"], lit(""))
 
 
 def siblings(variation: Column) -> Column:
@@ -43,8 +43,8 @@ def family(variation: Column) -> Column:
     """The family's parent id, else its member set; NULL for a lone member."""
     members = siblings(variation)
     return F.when(has_matrix(variation), F.coalesce(
-        F.nullif(variation["parent_asin"], F.lit("")),
-        F.when(F.size(members) > 1, F.concat(F.lit("set:"), F.array_join(members, ",")))))
+        F.nullif(variation["parent_asin"], lit("")),
+        F.when(F.size(members) > 1, F.concat(lit("set:"), F.array_join(members, ",")))))
 
 
 def signature(variation: Column, asin: Column) -> Column:
@@ -53,7 +53,7 @@ def signature(variation: Column, asin: Column) -> Column:
                          _values(variation, asin).alias("value"))
     other = F.filter(pairs, lambda d: ~d["dimension"].isin(*SIZE_DIMENSIONS))
     folded = F.transform(other, lambda d: F.replace(
-        F.lower(F.trim(F.regexp_replace(d["value"], PACK_SUFFIX, ""))), F.lit("ß"), F.lit("ss")))
+        F.lower(F.trim(F.regexp_replace(d["value"], PACK_SUFFIX, ""))), lit("ß"), lit("ss")))
     return F.when(_values(variation, asin).isNull(), F.array().cast("array<string>")) \
             .otherwise(F.coalesce(folded, F.array().cast("array<string>")))
 
@@ -85,9 +85,9 @@ def with_offers(records: DataFrame, order: str = "ord") -> DataFrame:
     Records without an id get a key of their own before the join, so they do
     not all hash to one task.
     """
-    alone = F.concat(F.lit("~"), F.coalesce(F.nullif("asin", F.lit("")), F.lit("")),
-                     F.lit("#"), F.col(order).cast("string"))
-    key = F.coalesce(F.nullif(F.col("asin"), F.lit("")), alone)
+    alone = F.concat(lit("~"), F.coalesce(F.nullif("asin", lit("")), lit("")),
+                     lit("#"), F.col(order).cast("string"))
+    key = F.coalesce(F.nullif(F.col("asin"), lit("")), alone)
     index = offer_index(records, order).withColumnRenamed("offer", "_pooled")
     return (records.withColumn("_member", key)
             .join(index, F.col("_member") == F.col("member"), "left")
@@ -98,5 +98,5 @@ def with_offers(records: DataFrame, order: str = "ord") -> DataFrame:
 
 def offer_sizes(placed: DataFrame) -> DataFrame:
     """Offers with their number of listings, the biggest first."""
-    return placed.groupBy("offer_id").agg(F.count(F.lit(1)).alias("listings")) \
+    return placed.groupBy("offer_id").agg(F.count(lit(1)).alias("listings")) \
                  .orderBy(F.desc("listings"), "offer_id")
