@@ -12,7 +12,7 @@ from shelfproof.operators import blocks as K
 from shelfproof.operators import merge
 from shelfproof.operators import pages as P
 from shelfproof.rules import locale as L
-from shelfproof.schema import CRAWL_FIELDS, LISTING, NUTRIENT_ROW
+from shelfproof.schema import CRAWL_FIELDS, LISTING
 
 SCHEMA_VERSION = 6
 
@@ -25,7 +25,6 @@ INGREDIENT_STRIP = r"(?i)^\s*(zutaten|bestandteile|ingredients|inhaltsstoffe)\s*
 NUTRIENT_VALUE = r"(?i)\d[\d.,]*\s*(kcal|kj|mg|g|gramm|gram)\b"
 BASIS = r"(?i)(?:pro|per|/)\s*100\s*(?:g|ml|gramm)|100\s*g\b"
 KJ_PER_KCAL = 4.184
-ROWS = f"array<{NUTRIENT_ROW}>"
 
 
 class _Profile:

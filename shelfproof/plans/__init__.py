@@ -1,0 +1,4 @@
+"""Registered queries over the driver tables."""
+
+from shelfproof.plans import shelf  # noqa: F401
+from shelfproof.plans.registry import ORACLES, QUERIES  # noqa: F401
