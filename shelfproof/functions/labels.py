@@ -163,7 +163,7 @@ def nutrient_unit(c: Column) -> Column:
 
 def product_ids(c: Column) -> Column:
     """Distinct product ids of a ``;``-separated list of ids or links, in order."""
-    items = F.filter(F.transform(F.split(F.coalesce(c, lit("")), "[;,]"), F.trim),
+    items = F.filter(F.transform(F.split(F.coalesce(c, lit("")), "[;,]"), lambda i: F.trim(i)),
                      lambda i: F.length(i) > 0)
 
     def one(item: Column) -> Column:

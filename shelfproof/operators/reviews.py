@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfproof.functions import spans
@@ -157,3 +157,30 @@ def signal(reviews: Column, pattern: str, label: str, **kw) -> Column:
         notes=[F.concat(lit(f"{label}: reported by at least "), F.size(hits).cast("string"),
                         lit(" of the reviews shown"))]))
         .otherwise(V.unknown(f"{label}: not in the reviews shown, which proves nothing")))
+
+
+def signal_hits(cards: DataFrame, signals: list[tuple[str, str, float | None, float | None]], key: str,
+                order: str, limit: int = 3) -> DataFrame:
+    """Review signals over a long card table (key, order, rating, home_marketplace, text).
+
+    ``signals`` is (key, pattern, least stars, most stars).  A card expands only
+    into the signals it reports; the rank per (key, signal) is limited, so it
+    cuts each map task's rows before the shuffle.  Every key keeps a row per
+    signal: found is unverified, not found is unknown.
+    """
+    def reports(name: str, pattern: str, least: float | None, most: float | None) -> Column:
+        ok = matches(F.col("text"), pattern)
+        if least is not None:
+            ok = F.coalesce(F.col("rating") >= least, lit(False)) & ok
+        if most is not None:
+            ok = F.coalesce(F.col("rating") <= most, lit(False)) & ok
+        return F.when(ok, lit(name))
+
+    found = cards.select(key, order, F.explode(F.array_compact(F.array(*[reports(*s) for s in signals]))).alias("signal"))
+    kept = found.withColumn("_r", F.row_number().over(Window.partitionBy(key, "signal").orderBy(order))) \
+                .where(F.col("_r") <= limit)
+    hits = kept.groupBy(key, "signal").agg(F.count(lit(1)).alias("hits"))
+    asked = cards.select(key).distinct().select(key, F.explode(F.array(*[lit(s[0]) for s in signals])).alias("signal"))
+    return asked.join(hits, [key, "signal"], "left").select(
+        key, "signal", F.coalesce("hits", lit(0)).alias("hits"),
+        F.when(F.col("hits") > 0, lit(V.UNVERIFIED)).otherwise(lit(V.UNKNOWN)).alias("status"))

@@ -100,19 +100,17 @@ def quantity_reconcile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("bare_weights", SHELF_SQL + """
-SELECT CAST(p_partkey AS VARCHAR) AS asin, CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END AS weights,
-       CASE WHEN p_type = 'SMALL' THEN said END AS first_grams,
-       p_type IN ('ECONOMY', 'PROMO', 'STANDARD') AND p_size > 1 AS counted FROM shelf
-WHERE NOT (p_type IN ('ECONOMY', 'PROMO', 'STANDARD') AND p_size = 1)""")
+SELECT CAST(p_partkey AS VARCHAR) AS asin, CASE WHEN p_type = 'SMALL' OR single THEN 1 ELSE 0 END AS weights,
+       CASE WHEN p_type = 'SMALL' OR single THEN said END AS first_grams,
+       p_type IN ('ECONOMY', 'PROMO', 'STANDARD') AND p_size > 1 AS counted
+FROM (SELECT *, p_type IN ('ECONOMY', 'PROMO', 'STANDARD') AND p_size = 1 AS single FROM shelf)""")
 def bare_weights(spark: SparkSession, sf: str) -> DataFrame:
     shelf = views.shelf(spark, sf)
     texts = quantity.statement_texts(F.col("title"), F.col("package.size_name"), lit(""),
                                      F.col("content.feature_bullets"), F.col("content.description"))
     out = shelf.withColumn("texts", texts).withColumn("bare", quantity.listing_bare_weights()) \
         .withColumn("counted", quantity.states_pack_count(F.col("texts"), F.col("package.item_count")))
-    # A single counted pack is not a count; such titles also state a bare weight.
-    single = F.col("title").rlike(r"(^|\s)1 x 100 g|\(1er|(^|\s)1 Packungen")
-    return out.where(~single).select("asin", F.size("bare").alias("weights"),
+    return out.select("asin", F.size("bare").alias("weights"),
                                      F.get("bare", lit(0))["grams"].alias("first_grams"), "counted")
 
 

@@ -52,6 +52,10 @@ def brand_number() -> Column:
 
 
 def shelf(spark: SparkSession, sf: str) -> DataFrame:
+    return shelf_of(table(spark, sf, "part"))
+
+
+def shelf_of(part: DataFrame) -> DataFrame:
     """``part`` as a shelf of listings.
 
     The type of a part decides how its title and its filed total relate:
@@ -70,7 +74,7 @@ def shelf(spark: SparkSession, sf: str) -> DataFrame:
     number = brand_number()
     per_kg = F.col("p_retailprice") / (size * 100.0 / 1000.0)
     return listing(
-        table(spark, sf, "part"), ord=F.col("p_partkey"), asin=F.col("p_partkey").cast("string"), title=title,
+        part, ord=F.col("p_partkey"), asin=F.col("p_partkey").cast("string"), title=title,
         brand=F.col("p_brand"), marketplace=lit("amazon.de"),
         breadcrumbs=F.array(lit("shelf"), kind),
         price=shape("price", amount=F.when(kind != "MEDIUM", F.col("p_retailprice")), currency=lit("EUR"),
