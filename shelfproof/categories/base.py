@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +50,9 @@ class Category:
     claims: tuple[Claim, ...]
     #: Classification from the raw listing columns and ``_fields``.
     classify: Callable[[], Column]
-    #: Adds ``axes``, ``claims`` and the category's own columns to validated listings.
-    fill: Callable[[DataFrame], DataFrame]
+    #: Projections that add ``axes``, ``claims`` and the category's own columns to
+    #: validated listings, in order.
+    fill: Callable[[], list[dict[str, Column]]]
     default_axis: str
 
     def axis(self, key: str) -> Axis:
@@ -80,7 +82,7 @@ def get(key: str) -> Category:
     return REGISTRY[key]
 
 
-def stated(fields: Column, claim: Claim, limit: int = 2, **kw) -> Column:
+def stated(fields: str, claim: Claim, limit: int = 2, **kw) -> Column:
     """A claim as a value: trusted with quotes, or not claimed (which is not "untrue")."""
     hits = S.search(fields, IU + claim.pattern, limit=limit, only=claim.fields, **kw)
     return V.let(hits, lambda h: F.when(F.size(h) > 0, V.value(
@@ -101,14 +103,19 @@ def is_match(category: Category) -> Column:
 
 def evaluate(listings: DataFrame, category: Category) -> DataFrame:
     """Listings to cards.  Only accepted listings get axes and claims."""
-    checked = validate(listings.withColumn("_fields", S.text_fields()), category.profile) \
-        .withColumn("category", category.classify()) \
-        .withColumn("category_key", lit(category.key))
-    filled = category.fill(checked)
+    out = validate(listings.withColumn("_fields", S.text_fields()), category.profile)
+    for columns in _passes(category.key):
+        out = out.withColumns(columns)
+    return out.drop("_fields", "_claims", "_parts", "_gaps")
+
+
+@lru_cache(maxsize=None)
+def _passes(key: str) -> list[dict[str, Column]]:
+    """A category's projections, built once: columns are immutable."""
+    category = get(key)
     empty = F.create_map().cast(VALUE_MAP)
-    return filled.withColumns({
-        "axes": F.when(is_match(category), F.col("axes")).otherwise(empty),
-        "claims": F.when(is_match(category), F.col("claims")).otherwise(empty)}).drop("_fields")
+    return [{"category": category.classify(), "category_key": lit(key)}, *category.fill(),
+            {name: F.when(is_match(category), F.col(name)).otherwise(empty) for name in ("axes", "claims")}]
 
 
 def found(v: Column) -> Column:

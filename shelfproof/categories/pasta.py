@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfproof.categories import base as B
@@ -36,7 +36,7 @@ def any_word(items: Column, words) -> Column:
 def classify() -> Column:
     crumbs = F.col("breadcrumbs")
     trail = F.array(V.evidence("breadcrumbs", F.array_join(crumbs, " > ")))
-    fresh = S.search(F.col("_fields"), IU + R.FRESH, limit=1)
+    fresh = S.search("_fields", IU + R.FRESH, limit=1)
 
     def other(note: str, proof: Column = trail) -> Column:
         return V.value(text="other", status=V.TRUSTED, evidence=proof, notes=[note])
@@ -49,7 +49,7 @@ def classify() -> Column:
         otherwise=V.value(text=R.KEY, status=V.TRUSTED, evidence=trail))
 
 
-def raw_materials(fields: Column, declared: Column) -> Column:
+def raw_materials(fields: str, declared: Column) -> Column:
     """Materials of the declaration, else of any text and then unverified."""
     def hits(only) -> Column:
         rows = F.array(*[F.struct(lit(key).alias("key"), F.get(S.search(
@@ -67,7 +67,7 @@ def raw_materials(fields: Column, declared: Column) -> Column:
         .otherwise(V.unknown("neither a declaration nor a description of the raw material")))
 
 
-def pure_durum(materials: Column, fields: Column) -> Column:
+def pure_durum(materials: Column, fields: str) -> Column:
     """A disputed extra claim when "100% durum" meets a declaration with more in it."""
     keys = F.split(materials["text"], ",")
     clash = F.filter(keys, lambda k: k.isin(*R.NOT_PURE))
@@ -77,7 +77,7 @@ def pure_durum(materials: Column, fields: Column) -> Column:
         notes=[F.concat(lit("the declaration also lists "), F.array_join(clash, ", "))]))
 
 
-def drying(fields: Column) -> Column:
+def drying(fields: str) -> Column:
     out = {}
     for key, pattern in R.DRYING_DETAIL:
         hits = S.search(fields, IU + pattern, limit=1)
@@ -85,19 +85,19 @@ def drying(fields: Column) -> Column:
     return B.value_map(out)
 
 
-def fill(df: DataFrame) -> DataFrame:
-    fields = F.col("_fields")
+def fill() -> list[dict[str, Column]]:
+    fields = "_fields"
     declared = F.coalesce(F.col("food.ingredients.text") != "", lit(False))
-    out = df.withColumn("raw_materials", raw_materials(fields, declared))
-    return out.withColumns({
-        "axes": B.value_map({
+    return [
+        {"raw_materials": raw_materials(fields, declared)},
+        {"axes": B.value_map({
             "price_per_base": F.col("price_per_base"), "quantity": F.col("quantity"),
             "raw_materials": F.col("raw_materials"),
             **{k: nutrition.of(F.col("nutrition"), k) for k in ("protein_g", "energy_kcal", "fiber_g")}}),
-        "claims": B.value_map({
-            **{c.key: B.stated(fields, c) for c in CLAIMS},
-            "pure_durum": pure_durum(F.col("raw_materials"), fields)}),
-        "drying": drying(fields)})
+         "claims": B.value_map({
+             **{c.key: B.stated(fields, c) for c in CLAIMS},
+             "pure_durum": pure_durum(F.col("raw_materials"), fields)}),
+         "drying": drying(fields)}]
 
 
 CATEGORY = B.register(B.Category(

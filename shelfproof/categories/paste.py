@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfproof.categories import base as B
 from shelfproof.functions import spans, values as V
 from shelfproof.functions.text import IU, matches
-from shelfproof.functions.values import cases, lit
+from shelfproof.functions.values import cases, expr, lit
 from shelfproof.operators import search as S
 from shelfproof.operators.validate import Profile
 from shelfproof.rules import paste as R
@@ -23,11 +23,12 @@ CLAIMS = tuple(B.Claim(k, label, p, adverse) for k, label, p, adverse in R.CLAIM
 
 def _disqualified(title: Column, pattern: str, head: Column) -> Column:
     """A match before the product word, or one that says what the product is for."""
-    return F.exists(spans.spans(title, IU + pattern), lambda s: (s["start"] < head) | matches(
-        F.substr(title, lit(1), s["start"]), IU + R.FOR_BEFORE))
+    found = spans.spans("coalesce(title, '')", IU + pattern)
+    return F.exists(expr(found), lambda s: (s["lo"] < head) | matches(
+        F.substr(title, lit(1), s["lo"]), IU + R.FOR_BEFORE))
 
 
-def _from_body(fields: Column, proof: Column) -> Column:
+def _from_body(fields: str, proof: Column) -> Column:
     """A silent title is settled by the description, and then only unverified."""
     def hits(pattern: str) -> Column:
         return S.search(fields, IU + pattern, limit=1, only=R.BODY_FIELDS)
@@ -51,7 +52,7 @@ def classify() -> Column:
 
     return cases(
         (title == "", V.unknown("no title to classify")),
-        (~matches(title, IU + R.PRODUCT), _from_body(F.col("_fields"), proof)),
+        (~matches(title, IU + R.PRODUCT), _from_body("_fields", proof)),
         (matches(title, IU + R.PURPOSE), other("the title says what it is for, and it is not tyres")),
         (_disqualified(title, R.WRONG_PRODUCT, head), other("a different product class")),
         (_disqualified(title, R.ACCESSORY, head), other("an accessory")),
@@ -62,7 +63,7 @@ def is_bundle() -> Column:
     return matches(F.coalesce(F.col("title"), lit("")), IU + R.BUNDLE)
 
 
-def stated(fields: Column, claim: B.Claim) -> Column:
+def stated(fields: str, claim: B.Claim) -> Column:
     """Hits that survive a negation beside them and the claim's own negated phrases."""
     banned = R.NEGATED.get(claim.key)
     v = B.stated(fields, claim, scope="page", affirmative=True, exclude=banned and IU + banned)
@@ -99,15 +100,14 @@ def consistent(v: dict[str, Column]) -> dict[str, Column]:
     return out
 
 
-def fill(df: DataFrame) -> DataFrame:
-    fields = F.col("_fields")
-    out = df.withColumn("_claims", F.struct(*[stated(fields, c).alias(c.key) for c in CLAIMS]))
+def fill() -> list[dict[str, Column]]:
     checked = consistent({c.key: F.col(f"_claims.{c.key}") for c in CLAIMS})
-    out = out.withColumns({
-        "axes": B.value_map({"quantity": F.col("quantity"), "price": F.col("price_value"),
-                             "price_per_base": F.col("price_per_base")}),
-        "claims": B.value_map(checked)}).drop("_claims")
-    return out.withColumn("suitability", suitability(F.col("claims")))
+    return [
+        {"_claims": V.named(**{c.key: stated("_fields", c) for c in CLAIMS})},
+        {"axes": B.value_map({"quantity": F.col("quantity"), "price": F.col("price_value"),
+                              "price_per_base": F.col("price_per_base")}),
+         "claims": B.value_map(checked)},
+        {"suitability": suitability(F.col("claims"))}]
 
 
 CATEGORY = B.register(B.Category(

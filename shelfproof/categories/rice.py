@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfproof.categories import base as B
@@ -62,7 +62,7 @@ def classify() -> Column:
         otherwise=V.value(text=R.KEY, status=V.TRUSTED, evidence=proof))
 
 
-def grain_type(fields: Column) -> Column:
+def grain_type(fields: str) -> Column:
     """First stated milling type in the listing's own fields; plain white only assumed."""
     options = []
     for key, pattern in R.GRAIN_TYPES:
@@ -73,7 +73,7 @@ def grain_type(fields: Column) -> Column:
                                         notes=["the milling degree is not stated"]))
 
 
-def cultivar(fields: Column) -> Column:
+def cultivar(fields: str) -> Column:
     options = []
     for _, pattern, name, registered in R.CULTIVARS:
         note, flag = (("a registered variety", "registered_cultivar") if registered
@@ -103,7 +103,7 @@ def external_test(brand: Column, title: Column, manufacturer: Column) -> Column:
     return F.coalesce(*options, V.unknown("no independent laboratory result is known"))
 
 
-def declaration_conflict(fields: Column, grain: Column) -> Column:
+def declaration_conflict(fields: str, grain: Column) -> Column:
     """Declaration and title describe different rice; NULL when they do not."""
     options = []
     for kind, pattern in R.DECLARATION_CONFLICT:
@@ -141,8 +141,8 @@ def _by(table: dict, key: Column, default: float) -> Column:
     return cases(*[(key == k, lit(x)) for k, x in table.items()], otherwise=lit(default))
 
 
-def with_score(df: DataFrame) -> DataFrame:
-    """Add ``score``: seven parts in 0..1, the weighted total, and what had to be guessed.
+def score_passes() -> list[dict[str, Column]]:
+    """``score``: seven parts in 0..1, the weighted total, and what had to be guessed.
 
     Nothing is filled in by assumption: a part without evidence stays neutral,
     and the total moves toward neutral by the number of gaps.
@@ -214,33 +214,30 @@ def with_score(df: DataFrame) -> DataFrame:
 
     parts = {"authenticity": authentic, "taste": taste, "grain": milled, "transparency": open_about,
              "health": healthy, "consistency": steady, "value": cheap}
-    out = df.withColumn("_parts", F.struct(*[c.cast("double").alias(k) for k, c in parts.items()])) \
-            .withColumn("_gaps", gaps)
     raw = reduce(lambda a, k: a + F.col(f"_parts.{k}") * R.WEIGHTS[k], R.WEIGHTS, lit(0.0))
     missing = F.size("_gaps") / R.EVIDENCE_CHECKS
     total = R.NEUTRAL + (raw - R.NEUTRAL) * (1 - R.SHRINK * missing)
-    score = F.struct(F.col("_parts").alias("parts"), F.round(raw, 1).alias("raw"),
-                     F.round(total, 1).alias("total"), F.round(1 - missing, 2).alias("evidence"),
-                     F.col("_gaps").alias("unknown"))
-    return out.withColumn("score", F.when(B.is_match(CATEGORY), score)).drop("_parts", "_gaps")
-
-
-def fill(df: DataFrame) -> DataFrame:
-    fields = F.col("_fields")
-    out = df.withColumns({
-        "grain_type": grain_type(fields), "cultivar": cultivar(fields),
-        "external_test": external_test(_text("brand"), _text("title"), F.coalesce(F.try_element_at(
-            "attributes", lit("manufacturer")), lit(""))),
-        "review_signals": B.value_map({k: reviews.signal(F.col("reviews"), IU + p, label, limit=3, **stars)
-                                       for k, label, p, stars in SIGNALS}),
-        "_claims": F.struct(*[B.stated(fields, c).alias(c.key) for c in CLAIMS])})
+    score = V.named(parts=F.col("_parts"), raw=F.round(raw, 1), total=F.round(total, 1),
+                    evidence=F.round(1 - missing, 2), unknown=F.col("_gaps"))
+    return [{"_parts": V.named(**{k: c.cast("double") for k, c in parts.items()}), "_gaps": gaps},
+            {"score": F.when(B.is_match(CATEGORY), score)}]
+
+
+def fill() -> list[dict[str, Column]]:
+    fields = "_fields"
     checked = consistent({c.key: F.col(f"_claims.{c.key}") for c in CLAIMS}, F.col("grain_type"))
-    out = out.withColumns({
-        "declaration_conflict": declaration_conflict(fields, F.col("grain_type")),
-        "axes": B.value_map({k: F.col(k) for k in ("price_per_base", "review_negative_share",
-                                                   "review_rating", "quantity")}),
-        "claims": B.value_map(checked)}).drop("_claims")
-    return with_score(out)
+    return [
+        {"grain_type": grain_type(fields), "cultivar": cultivar(fields),
+         "external_test": external_test(_text("brand"), _text("title"), F.coalesce(F.try_element_at(
+             "attributes", lit("manufacturer")), lit(""))),
+         "review_signals": B.value_map({k: reviews.signal("reviews.sample", IU + p, label, limit=3, **stars)
+                                        for k, label, p, stars in SIGNALS}),
+         "_claims": V.named(**{c.key: B.stated(fields, c) for c in CLAIMS})},
+        {"declaration_conflict": declaration_conflict(fields, F.col("grain_type")),
+         "axes": B.value_map({k: F.col(k) for k in ("price_per_base", "review_negative_share",
+                                                    "review_rating", "quantity")}),
+         "claims": B.value_map(checked)},
+        *score_passes()]
 
 
 CATEGORY = B.register(B.Category(

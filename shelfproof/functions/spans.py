@@ -2,15 +2,15 @@
 
 Splitting a text at a pattern gives the gaps between its matches; together
 with the list of matches the gaps give every match position.
+
+The expressions are deep and are asked for once per rule, so they are written
+as SQL text: ``text`` arguments are SQL, such as a column name or a lambda
+variable, and each result is parsed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from shelfproof.functions.text import matches
-from shelfproof.functions.values import cases, let, lit
+from shelfproof.functions.values import sql_literal
 
 # How far a quote may reach, and the German/English words that
 # negate the phrase directly behind or before them.
@@ -19,102 +19,85 @@ NEGATED_BEFORE = (r"(?iU)\b(?:non|nicht|nie|kaum|kein(?:e[nmrs]?)?|ohne|no|not|w
                   r"|free\s+(?:of|from)|frei\s+von)[\s\-‐-―]*$")
 NEGATED_AFTER = r"(?iU)^[\s\-‐-―]*(?:frei|free)\b"
 
+SPAN = "struct<lo: int, hi: int>"
+
+
+def let(x: str, name: str, body: str) -> str:
+    """Bind ``x`` to a lambda variable and use it several times in ``body``."""
+    return f"get(transform(array({x}), {name} -> {body}), 0)"
+
+
+def matches(text: str, pattern: str) -> str:
+    return f"coalesce({text} rlike {sql_literal(pattern)}, false)"
 
-def _steps(text: Column, pattern: str) -> Column:
+
+def _steps(text: str, pattern: str) -> str:
     """Per match, the length of the gap before it and its own length."""
-    hits = F.regexp_extract_all(text, lit(pattern), lit(0))
-    return F.zip_with(F.slice(F.split(text, pattern, -1), lit(1), F.size(hits)), hits,
-                      lambda gap, hit: F.struct(F.length(gap).alias("gap"),
-                                                F.length(hit).alias("size")))
-
-
-def spans(text: Column, pattern: str) -> Column:
-    """Every match as ``STRUCT<start, end>`` in characters, zero-based."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return F.aggregate(
-        _steps(text, pattern),
-        F.struct(lit(0).alias("at"), empty.alias("found")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct(
-                (acc["at"] + s["gap"]).alias("start"),
-                (acc["at"] + s["gap"] + s["size"]).alias("end")))).alias("found")),
-        lambda acc: acc["found"])
-
-
-def first_span(text: Column, pattern: str, affirmative: bool = False,
-               exclude: str | None = None) -> Column:
-    """First accepted match as ``STRUCT<start, end>``, NULL when there is none.
+    hits = f"regexp_extract_all({text}, {sql_literal(pattern)}, 0)"
+    return (f"zip_with(slice(split({text}, {sql_literal(pattern)}, -1), 1, size({hits})), {hits},"
+            " (gap, hit) -> named_struct('gap', length(gap), 'size', length(hit)))")
+
+
+def spans(text: str, pattern: str) -> str:
+    """Every match as ``STRUCT<lo, hi>`` in characters, zero-based."""
+    return (f"aggregate({_steps(text, pattern)},"
+            f" named_struct('at', 0, 'found', cast(array() as array<{SPAN}>)),"
+            " (acc, s) -> named_struct('at', acc.at + s.gap + s.size, 'found', concat(acc.found, array("
+            "named_struct('lo', acc.at + s.gap, 'hi', acc.at + s.gap + s.size)))), acc -> acc.found)")
+
+
+def first_span(text: str, pattern: str, affirmative: bool = False, exclude: str | None = None) -> str:
+    """First accepted match as ``STRUCT<lo, hi>``, NULL when there is none.
 
     A rejected match does not end the search.  ``affirmative`` rejects a match
     with a negation right beside it, ``exclude`` one that overlaps a match of
     another pattern.
     """
-    none = F.expr("cast(null as struct<start:int,end:int>)")
+    p = sql_literal(pattern)
     if not affirmative and exclude is None:
-        hit = F.regexp_instr(text, lit(pattern)) - 1
-        return F.when(matches(text, pattern), F.struct(
-            hit.alias("start"),
-            (hit + F.length(F.regexp_extract(text, pattern, 0))).alias("end"))).otherwise(none)
-
-    def search(banned: Column | None) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            end = start + s["size"]
-            ok = lit(True)
-            if affirmative:
-                ok = ok & ~matches(F.substr(text, lit(1), start), NEGATED_BEFORE) \
-                        & ~matches(F.substr(text, end + 1), NEGATED_AFTER)
-            if banned is not None:
-                ok = ok & ~F.exists(banned, lambda b: (start < b["end"]) & (end > b["start"]))
-            return F.when(acc["start"] >= 0, acc).otherwise(F.struct(
-                end.alias("at"),
-                F.when(ok, start).otherwise(lit(-1)).alias("start"),
-                F.when(ok, end).otherwise(lit(-1)).alias("end")))
-
-        return F.aggregate(
-            _steps(text, pattern),
-            F.struct(lit(0).alias("at"), lit(-1).alias("start"), lit(-1).alias("end")),
-            step,
-            lambda acc: F.when(acc["start"] >= 0, F.struct(acc["start"].alias("start"),
-                                                           acc["end"].alias("end"))))
-
-    found = search(None) if exclude is None else let(spans(text, exclude), search)
-    return F.when(matches(text, pattern), found).otherwise(none)
-
-
-def quote(text: Column, span: Column) -> Column:
+        found = (f"named_struct('lo', regexp_instr({text}, {p}) - 1, 'hi',"
+                 f" regexp_instr({text}, {p}) - 1 + length(regexp_extract({text}, {p}, 0)))")
+    else:
+        lo, hi = "(acc.at + s.gap)", "(acc.at + s.gap + s.size)"
+        tests = []
+        if affirmative:
+            tests += [f"not {matches(f'substr({text}, 1, {lo})', NEGATED_BEFORE)}",
+                      f"not {matches(f'substr({text}, {hi} + 1)', NEGATED_AFTER)}"]
+        if exclude is not None:
+            tests.append(f"not exists(banned, b -> {lo} < b.hi and {hi} > b.lo)")
+        ok = " and ".join(tests)
+        found = (f"aggregate({_steps(text, pattern)}, named_struct('at', 0, 'lo', -1, 'hi', -1),"
+                 f" (acc, s) -> if(acc.lo >= 0, acc, named_struct('at', {hi},"
+                 f" 'lo', if({ok}, {lo}, -1), 'hi', if({ok}, {hi}, -1))),"
+                 " acc -> if(acc.lo >= 0, named_struct('lo', acc.lo, 'hi', acc.hi), null))")
+        if exclude is not None:
+            found = let(spans(text, exclude), "banned", found)
+    return f"if({matches(text, pattern)}, {found}, cast(null as {SPAN}))"
+
+
+def quote(text: str, span: str) -> str:
     """The sentence around a span, or a window of it when the sentence is long."""
-    start, end = span["start"], span["end"]
-    size = F.length(text)
-    before = F.substr(text, lit(1), start)
-    mark = r"(?s)^(.*)(?:\. |! |\? |; | \| | - )"
-    left = F.when(matches(before, mark), F.length(F.regexp_extract(before, mark, 1)) + 1).otherwise(0)
-    # One character of context, so that the mark itself may be the match's last one.
-    tail = F.regexp_instr(F.substr(text, F.greatest(end, lit(1))), lit(r"(?U)(?<=[.!?;])\s+"))
-    right = F.when(tail > 0, F.greatest(end, lit(1)) + tail - 2).otherwise(size)
-
-    def cut(edge: Column) -> Column:
-        long = edge["right"] - edge["left"] > QUOTE_MAX
-        lo = F.when(long, F.greatest(edge["left"], start - QUOTE_MAX // 2)).otherwise(edge["left"])
-        hi = F.when(long, F.least(edge["right"], end + QUOTE_MAX // 2)).otherwise(edge["right"])
-
-        def render(e: Column) -> Column:
-            body = F.regexp_replace(F.substr(text, e["lo"] + 1, e["hi"] - e["lo"]),
-                                    r"(?U)^\s+|\s+$", "")
-            head = (e["lo"] > 0) & ~matches(F.substr(text, lit(1), e["lo"]), r"(?U)^\s+$")
-            return F.when(F.length(body) < size, F.concat(
-                F.when(head, lit("…")).otherwise(lit("")), body,
-                F.when(e["hi"] < size, lit("…")).otherwise(lit("")))).otherwise(body)
-
-        return let(F.struct(lo.alias("lo"), hi.alias("hi")), render)
-
-    return let(F.struct(left.alias("left"), right.alias("right")), cut)
-
-
-def quoted_match(text: Column, pattern: str, affirmative: bool = False,
-                 exclude: str | None = None) -> Column:
+    before = f"substr({text}, 1, {span}.lo)"
+    mark = sql_literal(r"(?s)^(.*)(?:\. |! |\? |; | \| | - )")
+    left = f"if({before} rlike {mark}, length(regexp_extract({before}, {mark}, 1)) + 1, 0)"
+    # One character of context: the sentence mark may be the match's last one.
+    sentence = sql_literal(r"(?U)(?<=[.!?;])\s+")
+    tail = f"regexp_instr(substr({text}, greatest({span}.hi, 1)), {sentence})"
+    right = let(tail, "t", f"if(t > 0, greatest({span}.hi, 1) + t - 2, length({text}))")
+    edges = let(f"named_struct('l', {left}, 'r', {right})", "e", (
+        f"if(e.r - e.l > {QUOTE_MAX}, named_struct('l', greatest(e.l, {span}.lo - {QUOTE_MAX // 2}),"
+        f" 'r', least(e.r, {span}.hi + {QUOTE_MAX // 2})), e)"))
+    ends = sql_literal(r"(?U)^\s+|\s+$")
+    blank = sql_literal(r"(?U)^\s+$")
+    body = f"regexp_replace(substr({text}, c.l + 1, c.r - c.l), {ends}, '')"
+    shown = let(body, "w", (
+        f"if(length(w) < length({text}), concat(if(c.l > 0 and not substr({text}, 1, c.l) rlike {blank}, '…', ''), w,"
+        f" if(c.r < length({text}), '…', '')), w)"))
+    return let(edges, "c", shown)
+
+
+def quoted_match(text: str, pattern: str, affirmative: bool = False, exclude: str | None = None) -> str:
     """Quote around the first accepted match, NULL without one."""
-    return F.when(matches(text, pattern),
-                  let(first_span(text, pattern, affirmative, exclude),
-                      lambda s: F.when(s.isNotNull(), quote(text, s))))
+    found = let(first_span(text, pattern, affirmative, exclude), "m",
+                f"if(m is null, null, {quote(text, 'm')})")
+    return f"if({matches(text, pattern)}, {found}, cast(null as string))"

@@ -87,8 +87,17 @@ VALUE_DDL = ("struct<value: double, text: string, status: string, source: string
              " flags: array<string>>")
 
 
+def named(**fields) -> Column:
+    """A struct from keyword arguments."""
+    return F.named_struct(*[x for name, c in fields.items() for x in (lit(name), col(c))])
+
+
 def evidence(field, quote) -> Column:
-    return F.struct(col(field).alias("field"), col(quote).cast("string").alias("quote"))
+    return named(field=field, quote=quote)
+
+
+NO_NUMBER = "cast(null as double)"
+NO_TEXT = "cast(null as string)"
 
 
 def value(number=None, *, text=None, status=UNKNOWN, unit="", source="",
@@ -99,9 +108,10 @@ def value(number=None, *, text=None, status=UNKNOWN, unit="", source="",
             return items
         return F.array(*[col(i) for i in items]) if items else expr(empty)
 
-    return F.struct(
-        col(number), col(text), col(status), col(source), col(unit), listed(notes, NO_STRINGS),
-        listed(evidence, NO_EVIDENCE), listed(flags, NO_STRINGS)).cast(VALUE_DDL)
+    return named(
+        value=expr(NO_NUMBER) if number is None else col(number).cast("double"),
+        text=expr(NO_TEXT) if text is None else text, status=status, source=source, unit=unit,
+        notes=listed(notes, NO_STRINGS), evidence=listed(evidence, NO_EVIDENCE), flags=listed(flags, NO_STRINGS))
 
 
 def unknown(*notes, **kw) -> Column:

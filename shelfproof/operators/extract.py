@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -301,15 +303,33 @@ def extract(pages: DataFrame, host: str) -> DataFrame:
     data is read from the source before the page is tokenised, then the source
     is dropped.
     """
-    p = _Profile(host)
-    raw = (P.with_challenge_text(pages)
-           .withColumn("_images", K.image_records(F.col("html")))
-           .withColumn("variation", K.variation_matrix(F.col("html"))))
-    vis, els = F.col("vis"), F.col("els")
-    out = P.tokenise(raw)
+    source, *passes = _passes(host)
+    out = P.tokenise(pages.withColumns(source))
+    for columns in passes:
+        out = out.withColumns(columns)
     lineage = [f for f in CRAWL_FIELDS if f in pages.columns]
+    columns = {**_assembled(), "canonical_url": F.coalesce(
+        "_canonical", F.col("canonical_url") if "canonical_url" in lineage else lit(None))}
+    select = []
+    for field in LISTING.fields:
+        if field.name in columns:
+            c = columns[field.name]
+        elif field.name in CRAWL_FIELDS and field.name not in lineage:
+            c = lit(None)
+        else:
+            c = F.col(field.name)
+        select.append(c.cast(field.dataType).alias(field.name))
+    return out.select(*select, "page_error")
+
+
+@lru_cache(maxsize=None)
+def _passes(host: str) -> list[dict[str, Column]]:
+    """The projections from source to blocks, in order; built once per marketplace."""
+    p = _Profile(host)
+    vis, els, pairs = F.col("vis"), F.col("els"), F.col("_pairs")
+    source = {"_images": K.image_records(F.col("html")), "variation": K.variation_matrix(F.col("html"))}
     canonical_link = P.attr(F.get(P.pick(els, "link [rel=canonical]"), lit(0)), "href")
-    out = out.withColumns({
+    blocks = {
         "title": P.first_text(vis, els, ("#productTitle",), ("#title",)),
         "_canonical": canonical_link,
         "_pairs": K.merged_pairs(K.table_pairs(vis, els), K.bullet_pairs(vis, els)),
@@ -326,10 +346,8 @@ def extract(pages: DataFrame, host: str) -> DataFrame:
         "_shares": K.histogram(els, p.language),
         "_cards": K.review_cards(vis, els, p.language, p.decimal, p.home),
         "_card_nutrition": card_nutrition(vis, els, p),
-        "media": K.media(F.col("_images"), els)})
-    pairs = F.col("_pairs")
-    out = out.withColumn("attributes", K.canonical(pairs, p.language))
-    out = out.withColumns({
+        "media": K.media(F.col("_images"), els)}
+    derived = {
         "_ingredients": ingredients(vis, els, F.col("_important"), F.col("attributes"), pairs, p),
         "_allergens": allergens(vis, els, F.col("attributes")),
         "_nutrition": F.coalesce(
@@ -339,7 +357,14 @@ def extract(pages: DataFrame, host: str) -> DataFrame:
         "package": package(F.col("attributes"), F.col("title"), p),
         "brand": F.coalesce(F.nullif(F.try_element_at("attributes", lit("brand")), lit("")),
                             LB.byline(F.col("byline_text"), p.language)),
-        "reviews": K.review_block(F.col("_shares"), F.col("_cards"), F.col("rating.count"))})
+        "reviews": K.review_block(F.col("_shares"), F.col("_cards"), F.col("rating.count"))}
+    return [source, blocks, {"attributes": K.canonical(pairs, p.language)}, derived]
+
+
+@lru_cache(maxsize=None)
+def _assembled() -> dict[str, Column]:
+    """The nested groups of a listing and its block log."""
+    pairs = F.col("_pairs")
     present = {
         "raw_tables": F.size(pairs) > 0, "important_information": F.size("_important") > 0,
         "feature_bullets": F.size("_bullets") > 0, "description": F.col("_description") != "",
@@ -357,7 +382,7 @@ def extract(pages: DataFrame, host: str) -> DataFrame:
         F.when(F.col("page_error").isNotNull(), F.array(F.struct(
             lit("page").alias("block"), F.col("page_error").alias("error"))))
         .otherwise(F.expr("cast(array() as array<struct<block: string, error: string>>)")).alias("errors"))
-    columns = {
+    return {
         "schema_version": lit(SCHEMA_VERSION),
         "raw_tables": F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["label"], e["value"]))),
         "attribute_sources": F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["label"], e["source"]))),
@@ -365,20 +390,7 @@ def extract(pages: DataFrame, host: str) -> DataFrame:
                             F.col("_important").alias("important_information"), F.col("_aplus").alias("aplus")),
         "food": F.struct(F.col("_ingredients").alias("ingredients"), F.col("_allergens").alias("allergens"),
                          F.col("_nutrition").alias("nutrition")),
-        "extraction": log,
-        "canonical_url": F.coalesce("_canonical", F.col("canonical_url") if "canonical_url" in lineage else lit(None)),
-    }
-    select = []
-    for field in LISTING.fields:
-        name = field.name
-        if name in columns:
-            source = columns[name]
-        elif name in CRAWL_FIELDS and name not in lineage:
-            source = lit(None)
-        else:
-            source = F.col(name)
-        select.append(source.cast(field.dataType).alias(name))
-    return out.select(*select, "page_error")
+        "extraction": log}
 
 
 def accepted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

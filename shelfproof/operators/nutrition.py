@@ -7,7 +7,7 @@ table, where one pre-aggregated pass per listing gives the facts the rules ask.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,13 +205,19 @@ def validate(df: DataFrame, limits: dict | None = None, label: str = "product",
 
     Each pass is its own projection, so no pass is evaluated twice.
     """
-    out = df.withColumn(name, _values(F.col(block)))
-    for step in (mass_balance, energy_balance, corroboration,
-                 lambda c: bands(c, limits or {}, label), resolve, promote):
-        out = out.withColumn(name, step(F.col(name)))
+    out = df
+    for step in _passes(tuple((limits or {}).items()), label, block, name):
+        out = out.withColumn(name, step)
     return out
 
 
+@lru_cache(maxsize=None)
+def _passes(limits: tuple, label: str, block: str, name: str) -> list[Column]:
+    values = F.col(name)
+    return [_values(F.col(block)), mass_balance(values), energy_balance(values), corroboration(values),
+            *([bands(values, dict(limits), label)] if limits else []), resolve(values), promote(values)]
+
+
 def of(values: Column, key: str) -> Column:
     """One nutrient's value struct, NULL when the block does not state it."""
     return F.get(F.filter(values, lambda e: e["key"] == key), lit(0))["v"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfproof.functions import spans
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import cases, let, lit, number_text
+from shelfproof.functions.values import cases, expr, let, lit, number_text
 
 # Star weights, tolerance of the average, thin evidence, and the
 # percent range a whole-percent histogram may sum to.
@@ -128,31 +128,31 @@ def caveats(reviews: Column) -> Column:
         F.size(F.filter(_cards(reviews), lambda c: ~F.coalesce(c["verified"], lit(False)))).alias("unverified"))
 
 
-def search(reviews: Column, pattern: str, limit: int = 3, home_only: bool = False,
+def search(sample: str, pattern: str, limit: int = 3, home_only: bool = False,
            max_stars: float | None = None, min_stars: float | None = None) -> Column:
-    """Quotes from the cards that match, in card order, at most ``limit``."""
-    def one(c: Column, i: Column) -> Column:
-        text = F.trim(F.concat(F.coalesce(c["title"], lit("")), lit(". "), F.coalesce(c["text"], lit(""))))
-        ok = lit(True)
-        if home_only:
-            ok = ok & F.coalesce(c["home_marketplace"], lit(True))
-        if max_stars is not None:
-            ok = ok & F.coalesce(c["rating"] <= max_stars, lit(False))
-        if min_stars is not None:
-            ok = ok & F.coalesce(c["rating"] >= min_stars, lit(False))
-        field = F.concat(F.format_string("reviews.sample[%d]", i), F.when(
-            c["rating"].isNotNull(), F.concat(lit(" ("), number_text(c["rating"]), lit("★)")))
-            .otherwise(lit("")))
-        return F.when(ok & matches(text, pattern),
-                      V.evidence(field, spans.quoted_match(text, pattern)))
-
-    hits = F.array_compact(F.transform(_cards(reviews), one))
-    return F.coalesce(F.slice(hits, 1, limit), F.array()).cast(V.EVIDENCE_LIST)
-
-
-def signal(reviews: Column, pattern: str, label: str, **kw) -> Column:
+    """Quotes from the cards that match, in card order, at most ``limit``.
+
+    ``sample`` names the array of cards.
+    """
+    tests = ["true"]
+    if home_only:
+        tests.append("coalesce(k.card.home_marketplace, true)")
+    if max_stars is not None:
+        tests.append(f"coalesce(k.card.rating <= {max_stars}, false)")
+    if min_stars is not None:
+        tests.append(f"coalesce(k.card.rating >= {min_stars}, false)")
+    cards = (f"transform({sample}, (c, i) -> named_struct('i', i, 'card', c, 'text',"
+             " trim(concat(coalesce(c.title, ''), '. ', coalesce(c.text, '')))))")
+    stars = "if(k.card.rating is null, '', concat(' (', regexp_replace(cast(k.card.rating as string), '[.]0$', ''), '★)'))"
+    hits = (f"transform(filter({cards}, k -> {' and '.join(tests)} and {spans.matches('k.text', pattern)}), k ->"
+            f" named_struct('field', concat('reviews.sample[', k.i, ']', {stars}),"
+            f" 'quote', {spans.quoted_match('k.text', pattern)}))")
+    return expr(f"coalesce(slice({hits}, 1, {limit}), {V.NO_EVIDENCE})")
+
+
+def signal(sample: str, pattern: str, label: str, **kw) -> Column:
     """Found in the sample: unverified.  Not found: unknown, never "not claimed"."""
-    return let(search(reviews, pattern, **kw), lambda hits: F.when(F.size(hits) > 0, V.value(
+    return let(search(sample, pattern, **kw), lambda hits: F.when(F.size(hits) > 0, V.value(
         1.0, status=V.UNVERIFIED, source=V.TEXT, evidence=hits,
         notes=[F.concat(lit(f"{label}: reported by at least "), F.size(hits).cast("string"),
                         lit(" of the reviews shown"))]))

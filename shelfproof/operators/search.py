@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfproof.functions.values import lit
+from shelfproof.functions.values import expr, lit, sql_literal
 from shelfproof.functions import spans
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
@@ -48,37 +46,36 @@ def text_fields() -> Column:
     return F.filter(fields, lambda f: F.coalesce(f["text"] != "", lit(False)))
 
 
-def _inside(base: Column, fields) -> Column:
-    return reduce(lambda acc, f: acc | (base == f) | base.startswith(f + "."), fields, lit(False))
+def _inside(only) -> str:
+    return "(" + " or ".join(f"f.base = {sql_literal(o)} or startswith(f.base, {sql_literal(o + '.')})" for o in only) + ")"
 
 
-def scoped(fields: Column, scope: str = "page", only=None) -> Column:
+def _scope(scope: str, only) -> str:
     if scope not in ("self", "page"):
         raise ValueError(f"unknown search scope: {scope!r}")
-    out = fields
-    if scope == "self":
-        out = F.filter(out, lambda f: _inside(f["base"], SELF_FIELDS))
+    tests = [_inside(SELF_FIELDS)] if scope == "self" else []
     if only is not None:
-        out = F.filter(out, lambda f: _inside(f["base"], only))
-    return out
+        tests.append(_inside(only))
+    return " and ".join([*tests, ""])
 
 
-def search(fields: Column, pattern: str, limit: int = 3, only=None, scope: str = "page",
+def search(fields: str, pattern: str, limit: int = 3, only=None, scope: str = "page",
            affirmative: bool = False, exclude: str | None = None) -> Column:
-    """Quotes for a pattern, one per field, source order, at most ``limit``."""
+    """Quotes for a pattern, one per field, source order, at most ``limit``.
+
+    ``fields`` names a ``text_fields`` column.  Fields out of scope are dropped
+    before any pattern runs on them.
+    """
     if limit <= 0:
-        return F.array().cast(V.EVIDENCE_LIST)
-    hits = F.transform(
-        F.filter(scoped(fields, scope, only), lambda f: matches(f["text"], pattern)),
-        lambda f: F.struct(f["field"].alias("field"), spans.quoted_match(
-            f["text"], pattern, affirmative, exclude).alias("quote")))
-    return F.coalesce(F.slice(F.filter(hits, lambda h: h["quote"].isNotNull()), 1, limit),
-                      F.array()).cast(V.EVIDENCE_LIST)
+        return expr(V.NO_EVIDENCE)
+    hits = (f"transform(filter({fields}, f -> {_scope(scope, only)}{spans.matches('f.text', pattern)}), f ->"
+            f" named_struct('field', f.field, 'quote', {spans.quoted_match('f.text', pattern, affirmative, exclude)}))")
+    return expr(f"coalesce(slice(filter({hits}, h -> h.quote is not null), 1, {limit}), {V.NO_EVIDENCE})")
 
 
-def states(fields: Column, pattern: str, only=None) -> Column:
+def states(fields: str, pattern: str, only=None) -> Column:
     """Does any field match?  The search without its quotes."""
-    return F.exists(scoped(fields, only=only), lambda f: matches(f["text"], pattern))
+    return expr(f"coalesce(exists({fields}, f -> {_scope('page', only)}{spans.matches('f.text', pattern)}), false)")
 
 
 def claim_hits(texts: DataFrame, claims: list[tuple[str, str]], key: str, limit: int = 3,
@@ -96,7 +93,7 @@ def claim_hits(texts: DataFrame, claims: list[tuple[str, str]], key: str, limit:
     hits = F.array_compact(F.array(*[
         F.when(matches(F.col("text"), "(?iU)" + p), F.struct(
             lit(k).alias("claim"),
-            spans.quoted_match(F.col("text"), "(?iU)" + p).alias("quote"))) for k, p in claims]))
+            expr(spans.quoted_match("text", "(?iU)" + p)).alias("quote"))) for k, p in claims]))
     found = (texts.where(matches(F.col("text"), any_claim))
              .select(key, order, "field", F.explode(hits).alias("h"))
              .select(key, order, "field", "h.claim", "h.quote"))

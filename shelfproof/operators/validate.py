@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfproof.functions.values import lit
@@ -33,30 +34,32 @@ def validate(listings: DataFrame, profile: Profile = NEUTRAL) -> DataFrame:
     the alternative-price note; nutrition runs detect, bands, resolve, promote.
     All columns are narrow, so the same call works on a stream.
     """
-    low, high = profile.price_band or (None, None)
-    out = (listings
-           .withColumn("size_label", variation.size_label(F.col("variation"), F.col("asin")))
-           .withColumn("_hints", quantity.listing_hints())
-           .withColumn("_bare", quantity.listing_bare_weights())
-           .withColumn("quantity", quantity.reconcile(F.col("package"), F.col("_hints"), F.col("_bare")))
-           .withColumn("price_value", pricing.price(F.col("price")))
-           .withColumn("price_per_base", pricing.per_base(
-               F.col("price"), F.col("unit_price"), F.col("package"), F.col("quantity")))
-           .withColumn("price_per_base", pricing.within_band(
-               F.col("price_per_base"), low, high, profile.label))
-           .withColumn("price_per_base", pricing.with_alternative(
-               F.col("price_per_base"), F.col("price"), quantity.consensus(F.col("_hints"))))
-           .withColumn("review_rating", reviews.rating(F.col("rating"), F.col("reviews.histogram_percent")))
-           .withColumn("review_negative_share", reviews.negative_share(
-               F.col("rating"), F.col("reviews.histogram_percent")))
-           .withColumn("review_sample", reviews.sample(F.col("rating"), F.col("reviews"))))
-    out = nutrition.validate(out, profile.nutrition_bands, profile.label)
-    return (out
-            .withColumn("offer", variation.offer_key(F.col("variation"), F.col("asin")))
-            .withColumn("siblings", variation.siblings(F.col("variation")))
-            .withColumn("contract_version", lit(CONTRACT_VERSION))
-            .withColumn("category_profile", lit(profile.key))
-            .drop("_hints", "_bare"))
+    out = listings
+    for columns in _passes(profile.key, profile.label, profile.price_band):
+        out = out.withColumns(columns)
+    return nutrition.validate(out, profile.nutrition_bands, profile.label).drop("_hints", "_bare")
+
+
+@lru_cache(maxsize=None)
+def _passes(key: str, label: str, band: tuple | None) -> list[dict[str, Column]]:
+    """The projections of the pass, in order; built once per profile, since columns are immutable."""
+    low, high = band or (None, None)
+    return [
+        {"size_label": variation.size_label(F.col("variation"), F.col("asin")),
+         "_hints": quantity.listing_hints(), "_bare": quantity.listing_bare_weights(),
+         "price_value": pricing.price(F.col("price")),
+         "review_rating": reviews.rating(F.col("rating"), F.col("reviews.histogram_percent")),
+         "review_negative_share": reviews.negative_share(F.col("rating"), F.col("reviews.histogram_percent")),
+         "review_sample": reviews.sample(F.col("rating"), F.col("reviews")),
+         "offer": variation.offer_key(F.col("variation"), F.col("asin")),
+         "siblings": variation.siblings(F.col("variation")),
+         "contract_version": lit(CONTRACT_VERSION), "category_profile": lit(key)},
+        {"quantity": quantity.reconcile(F.col("package"), F.col("_hints"), F.col("_bare"))},
+        {"price_per_base": pricing.per_base(F.col("price"), F.col("unit_price"), F.col("package"), F.col("quantity"))},
+        {"price_per_base": pricing.within_band(F.col("price_per_base"), low, high, label)},
+        {"price_per_base": pricing.with_alternative(
+            F.col("price_per_base"), F.col("price"), quantity.consensus(F.col("_hints")))},
+    ]
 
 
 def serialise(validated: DataFrame, name: str = "json") -> DataFrame:

@@ -38,7 +38,7 @@ def pasta(spark: SparkSession, sf: str) -> DataFrame:
     bullets = F.array(_cases("p_type", {"STANDARD": "Frische Pasta aus dem Kühlregal", "LARGE": "Aus 100% Hartweizen"}),
                       F.when(views.brand_number() <= 10, lit("Bronze gezogen und langsam getrocknet.")))
     return _common(
-        views.table(spark, sf, "part"), title=views.text("Spaghetti ", F.col("p_name"), " 1 kg"),
+        views.spread(views.table(spark, sf, "part")), title=views.text("Spaghetti ", F.col("p_name"), " 1 kg"),
         breadcrumbs=F.when(F.col("p_type").isin("ECONOMY", "STANDARD", "LARGE"), shelf)
         .when(F.col("p_type") == "PROMO", F.array(lit("Nudeln & Pasta"), lit("Konserven")))
         .when(F.col("p_type") == "MEDIUM", F.array(lit("Werkzeug"))),
@@ -92,7 +92,7 @@ def paste(spark: SparkSession, sf: str) -> DataFrame:
         .when(number <= 10, lit("TROCKNET NICHT EIN im Eimer und am Pinsel")) \
         .when(number <= 15, lit("Technologie: Mineralöl, trocknet schnell ab, ohne Mineralöl"))
     return _common(
-        views.table(spark, sf, "part"),
+        views.spread(views.table(spark, sf, "part")),
         title=_cases("p_type", {
             "ECONOMY": "Reifenmontagepaste 1 kg inkl. Pinsel", "PROMO": "Max Grip Carbon Montagepaste 1 kg",
             "STANDARD": "Rundpinsel für Reifenmontagepaste", "SMALL": "Schwammdose transparent 1 kg",
@@ -121,7 +121,7 @@ def paste_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rice(spark: SparkSession, sf: str) -> DataFrame:
-    part = views.table(spark, sf, "part")
+    part = views.spread(views.table(spark, sf, "part"))
     origin = _cases("p_type", {"ECONOMY": "Indien", "PROMO": "Deutschland", "STANDARD": "Pakistan"})
     card = views.listing(part.limit(0)).select("reviews").schema["reviews"].dataType["sample"].dataType.elementType
     review = F.struct(*[(lit(5.0) if f.name == "rating" else lit("herrlicher Duft") if f.name == "text"

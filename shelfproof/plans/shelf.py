@@ -180,7 +180,7 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
         "category_key": lit("shelf"),
         "category": V.value(text=F.when(other, lit("other")).otherwise(lit("shelf")), status=V.TRUSTED),
         "axes": B.value_map({"price_per_base": F.col("price_per_base"), "quantity": F.col("quantity")}),
-        "claims": B.value_map({c.key: B.stated(F.col("_fields"), c) for c in CLAIMS})}).drop("_fields")
+        "claims": B.value_map({c.key: B.stated("_fields", c) for c in CLAIMS})}).drop("_fields")
 
 
 RANK_SQL = SHELF_SQL + """,

@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a small file would otherwise be one task.
+
+    The rules cost far more than reading a row, so a table that arrives in
+    fewer pieces than there are cores is dealt out once.  A large table already
+    has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's output, in the shared folder the cluster names."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,7 +63,7 @@ def brand_number() -> Column:
 
 
 def shelf(spark: SparkSession, sf: str) -> DataFrame:
-    return shelf_of(table(spark, sf, "part"))
+    return shelf_of(spread(table(spark, sf, "part")))
 
 
 def shelf_of(part: DataFrame) -> DataFrame:
@@ -112,7 +123,7 @@ def sighting_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_fields(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` as vendor text: the first line is the title, each other line a bullet."""
-    return (table(spark, sf, "documents")
+    return (spread(table(spark, sf, "documents"))
             .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
             .withColumn("field", F.when(F.col("ord") == 0, lit("title")).otherwise(
                 text("content.feature_bullets[", F.col("ord") - 1, "]"))))

@@ -16,7 +16,7 @@ UNESCAPE = """replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;',
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return P.tokenise(views.table(spark, sf, "pages").select("page_id", "html"))
+    return P.tokenise(views.spread(views.table(spark, sf, "pages")).select("page_id", "html"))
 
 
 @query("page_titles", "SELECT page_id, " + CLEAN.replace("{t}", UNESCAPE.replace(
@@ -61,7 +61,7 @@ SELECT page_id, CASE WHEN length(html) < 120000 AND (contains(lower(html), 'ente
          OR contains(lower(html), 'api-services-support@amazon.com')) THEN 'challenge_text' END AS challenge,
        NOT regexp_matches(html, 'id="(productTitle|title)"') AS parse_failed FROM pages""")
 def page_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return P.gate(views.table(spark, sf, "pages").select("page_id", "html")).select("page_id", "challenge", "parse_failed")
+    return P.gate(views.spread(views.table(spark, sf, "pages")).select("page_id", "html")).select("page_id", "challenge", "parse_failed")
 
 
 @query("page_redact", """
@@ -75,7 +75,7 @@ def page_redact(spark: SparkSession, sf: str) -> DataFrame:
     html = views.text(
         F.col("html"), "<script>ue_sid = '", sid, "'; ue_id='", rid, "';</script><a href=\"?s=", sid, "&r=", rid,
         "\"></a><div data-rid=\"", rid, "\">{\"ipAddress\":\"10.1.2.3\",\"rid\" : \"", sid, "\"} 123-4567890-1234567</div>")
-    pages = views.table(spark, sf, "pages").select("page_id", html.alias("html"))
+    pages = views.spread(views.table(spark, sf, "pages")).select("page_id", html.alias("html"))
     return P.redact_pages(pages).select("page_id", F.md5("html").alias("digest"))
 
 
@@ -122,7 +122,7 @@ def product_pages(spark: SparkSession, sf: str) -> DataFrame:
         "<a data-hook='review-title'><span>4,0 von 5 Sternen</span><span>Gut</span></a>"
         "<span data-hook='review-date'>Bewertet in Italien am 6. März 2026</span><a data-hook='format-strip'>Größe: ", size,
         " g</a><span data-hook='review-body'><span>Schmeckt ", F.col("p_name"), " Mehr erfahren</span></span></div></body></html>")
-    return views.table(spark, sf, "part").select(
+    return views.spread(views.table(spark, sf, "part")).select(
         id_.alias("asin"), lit("run").alias("run_id"), html.alias("html"), lit("2026-01-02T03:04:05+00:00").alias("fetched_at"))
 
 
@@ -233,7 +233,7 @@ def search_pages(spark: SparkSession, sf: str) -> DataFrame:
         "%2F'><h2><span>", F.col("p_type"), "</span></h2></a></div>",
         "<span class='s-pagination-item'>Zurück</span><span class='s-pagination-item'>", F.col("p_size"),
         "</span><a class='s-pagination-item'>2</a></body></html>")
-    return views.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("query"), html.alias("html"))
+    return views.spread(views.table(spark, sf, "part")).select("p_partkey", F.col("p_brand").alias("query"), html.alias("html"))
 
 
 @query("search_sightings", """

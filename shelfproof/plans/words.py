@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfproof.functions import labels as LB
 from shelfproof.functions import spans
 from shelfproof.functions import text as TX
-from shelfproof.functions.values import lit
+from shelfproof.functions.values import expr, lit
 from shelfproof.operators import coverage, normalise, search
 from shelfproof.plans import views
 from shelfproof.plans.registry import query
@@ -59,9 +59,9 @@ FROM documents""")
 def claim_affirmative(spark: SparkSession, sf: str) -> DataFrame:
     pattern = "(?iU)the|que|der"
     text = F.col("text")
-    return views.table(spark, sf, "documents").select(
+    return views.spread(views.table(spark, sf, "documents")).select(
         "doc_id", TX.matches(text, pattern).alias("mentioned"),
-        spans.first_span(text, pattern, affirmative=True).isNotNull().alias("affirmed"))
+        expr(spans.first_span("text", pattern, affirmative=True)).isNotNull().alias("affirmed"))
 
 
 @query("field_coverage", """
@@ -73,7 +73,7 @@ SELECT f.field, CASE f.field WHEN 'text' THEN text WHEN 'lang' THEN lang WHEN 's
 FROM c, (VALUES ('text'), ('lang'), ('source'), ('n_chars'), ('bullets')) f(field)""")
 def field_coverage(spark: SparkSession, sf: str) -> DataFrame:
     some = lambda c: F.coalesce(F.col(c) != "", lit(False))
-    return coverage.coverage(views.table(spark, sf, "documents"), {
+    return coverage.coverage(views.spread(views.table(spark, sf, "documents")), {
         "text": some("text"), "lang": some("lang"), "source": some("source"),
         "n_chars": F.coalesce(F.col("n_chars") > 0, lit(False)), "bullets": F.col("text").contains("\n")})
 
@@ -87,7 +87,7 @@ c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\pL\pM\pN_]) (-\pL)', '
 SELECT doc_id, md5(trim(regexp_replace(t, '([(\[]) ', '\1', 'g'))) AS digest,
        length(trim(regexp_replace(t, '([(\[]) ', '\1', 'g'))) AS chars FROM c""")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    t = views.table(spark, sf, "documents").select("doc_id", TX.clean(F.col("text")).alias("t"))
+    t = views.spread(views.table(spark, sf, "documents")).select("doc_id", TX.clean(F.col("text")).alias("t"))
     return t.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars"))
 
 
@@ -212,7 +212,7 @@ def word_stems(spark: SparkSession, sf: str) -> DataFrame:
     """A stem may open a compound in German and must be a whole word elsewhere; the pattern is a column."""
     german = F.col("lang") == "de"
     stem = F.when(german, lit("ver")).otherwise(lit("the"))
-    return views.table(spark, sf, "documents").select("doc_id", F.coalesce(F.rlike(
+    return views.spread(views.table(spark, sf, "documents")).select("doc_id", F.coalesce(F.rlike(
         "text", TX.word_pattern(stem, F.when(german, lit("de")).otherwise(lit("en")))), lit(False)).alias("found"))
 
 
