@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,6 +170,15 @@ def trusted(v: Column, *notes, more_evidence: Column | None = None) -> Column:
         evidence=lambda x: x["evidence"] if more_evidence is None else F.concat(x["evidence"], more_evidence))
 
 
+def unfold(df: DataFrame, items: Column, name: str, *keep) -> DataFrame:
+    """One row per array item, none for an empty array.
+
+    A plain ``explode`` infers a filter on the array's size, which computes the
+    array a second time below the generator; this filters the items instead.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def cases(*branches, otherwise: Column) -> Column:
     """First branch whose condition holds: ``cases((cond, col), ..., otherwise=col)``."""
     chain = reduce(lambda acc, b: acc.when(*b), branches[1:], F.when(*branches[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfproof.functions.values import lit
+from shelfproof.functions.values import lit, unfold
 
 
 def _filled(c: str) -> Column:
@@ -55,8 +55,7 @@ def source_counts(listings: DataFrame) -> DataFrame:
                      F.transform(F.coalesce(F.col("extraction.errors"), F.expr(
                          "cast(array() as array<struct<block: string, error: string>>)")),
                          lambda e: F.struct(lit("block error").alias("kind"), e["block"].alias("name"))))
-    return listings.select(F.explode(F.array_compact(items)).alias("i")) \
-        .groupBy("i.kind", "i.name").agg(F.count(lit(1)).alias("n"))
+    return unfold(listings, F.array_compact(items), "i").groupBy("i.kind", "i.name").agg(F.count(lit(1)).alias("n"))
 
 
 def run_report(listings: DataFrame, unseen: DataFrame) -> DataFrame:

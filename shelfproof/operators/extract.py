@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import labels as LB
 from shelfproof.functions.text import IU, clean, decode_entities, group, lookup, matches, number, quantity
-from shelfproof.functions.values import cases, let, lit
+from shelfproof.functions.values import cases, let, lit, unfold
 from shelfproof.operators import blocks as K
 from shelfproof.operators import merge
 from shelfproof.operators import pages as P
@@ -430,5 +430,5 @@ def block_status(listings: DataFrame) -> DataFrame:
 
     failed = F.transform(F.col("extraction.errors"), lambda e: F.struct(
         e["block"].alias("block"), lit("error").alias("state"), e["error"].alias("error")))
-    return listings.select("asin", F.explode(F.concat(
-        rows("blocks_present", "present"), rows("blocks_absent", "absent"), failed)).alias("b")).select("asin", "b.*")
+    blocks = F.concat(rows("blocks_present", "present"), rows("blocks_absent", "absent"), failed)
+    return unfold(listings, blocks, "b", "asin").select("asin", "b.*")

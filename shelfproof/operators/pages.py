@@ -41,39 +41,76 @@ ENDS = {
 
 ELEMENT = ("struct<ord: int, last: int, parent: int, tag: string, seg: string, start: int,"
            " stop: int, attrs: map<string, string>>")
-_ARROW_ELEMENT = pa.list_(pa.struct([
-    ("ord", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
-    ("seg", pa.string()), ("start", pa.int32()), ("stop", pa.int32()),
-    ("attrs", pa.map_(pa.string(), pa.string()))]))
 
 
 class _Reader(HTMLParser):
-    """Collects elements and visible text; closes what a page leaves open."""
+    """Collects elements and visible text of pages; closes what a page leaves open.
+
+    Elements are kept column by column, as Arrow wants them.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list[dict] = []
-        self.open: list[dict] = []
-        self.texts: list[str] = []
-        self.size = 0
-        self.hidden = 0
+        self.ords, self.lasts, self.parents, self.starts, self.stops = [], [], [], [], []
+        self.tags, self.segs, self.keys, self.items = [], [], [], []
+        self.attr_ends, self.page_ends, self.vis, self.errors = [0], [0], [], []
+
+    def read(self, html: str | None) -> None:
+        self.reset()
+        self.base, self.open, self.texts, self.size, self.hidden = len(self.ords), [], [], 0, 0
+        error = None
+        try:
+            self.feed(html or "")
+            self.close()
+        except Exception as problem:  # noqa: BLE001  one unreadable page must not end the pass
+            error = f"{type(problem).__name__}: {problem}"
+        while self.open:
+            self._close()
+        self.vis.append(SEPARATOR.join(self.texts))
+        self.errors.append(error)
+        self.page_ends.append(len(self.ords))
+
+    def arrays(self) -> list[pa.Array]:
+        """``vis``, ``els`` and ``page_error`` of the pages read."""
+        attrs = pa.MapArray.from_arrays(pa.array(self.attr_ends, pa.int32()), pa.array(self.keys, pa.string()),
+                                        pa.array(self.items, pa.string()))
+        columns = {"ord": self.ords, "last": self.lasts, "parent": self.parents, "tag": self.tags, "seg": self.segs,
+                   "start": self.starts, "stop": self.stops}
+        arrays = [pa.array(v, pa.string() if k in ("tag", "seg") else pa.int32()) for k, v in columns.items()]
+        elements = pa.StructArray.from_arrays([*arrays, attrs], names=[*columns, "attrs"])
+        return [pa.array(self.vis, pa.string()),
+                pa.ListArray.from_arrays(pa.array(self.page_ends, pa.int32()), elements),
+                pa.array(self.errors, pa.string())]
 
     def handle_starttag(self, tag, attrs):
-        ends, stop_at = ENDS.get(tag, (("p",), ("table",)) if tag in BLOCKS else ((), ()))
-        self._end_open(ends, stop_at)
-        attrs = {k: v or "" for k, v in attrs}
-        words = [tag]
-        if attrs.get("id"):
-            words.append("#" + attrs["id"].strip())
-        words += ["." + c for c in attrs.get("class", "").split()]
-        words += [f"[{k}={attrs[k]}]" for k in TOKENS if k in attrs]
-        element = {"ord": len(self.elements), "last": len(self.elements), "tag": tag,
-                   "parent": self.open[-1]["ord"] if self.open else -1,
-                   "seg": " " + " ".join(words) + " ", "start": self.size, "stop": self.size,
-                   "attrs": [(k, attrs[k]) for k in KEPT if k in attrs]}
-        self.elements.append(element)
+        if tag in ENDS:
+            self._end_open(*ENDS[tag])
+        elif tag in BLOCKS:
+            self._end_open(("p",), ("table",))
+        seg = " " + tag + " "
+        extra = {k: v or "" for k, v in attrs} if attrs else {}
+        if extra:
+            if extra.get("id"):
+                seg += "#" + extra["id"].strip() + " "
+            for name in extra.get("class", "").split():
+                seg += "." + name + " "
+            for k, v in extra.items():
+                if k in TOKENS:
+                    seg += f"[{k}={v}] "
+                if k in KEPT:
+                    self.keys.append(k)
+                    self.items.append(v)
+        at = len(self.ords) - self.base
+        self.ords.append(at)
+        self.lasts.append(at)
+        self.parents.append(self.open[-1][0] if self.open else -1)
+        self.tags.append(tag)
+        self.segs.append(seg)
+        self.starts.append(self.size)
+        self.stops.append(self.size)
+        self.attr_ends.append(len(self.keys))
         if tag not in VOID:
-            self.open.append(element)
+            self.open.append((at, tag))
             self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -82,66 +119,60 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if any(e["tag"] == tag for e in self.open):
-            while self._close()["tag"] != tag:
+        if any(t == tag for _, t in self.open):
+            while self._close() != tag:
                 pass
 
     def handle_data(self, data):
         if not self.hidden and data:
-            data = data.replace(SEPARATOR, " ")
+            if SEPARATOR in data:
+                data = data.replace(SEPARATOR, " ")
             self.texts.append(data)
             self.size += len(data) + 1
 
     def _end_open(self, ends, stop_at):
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] in stop_at:
+            tag = self.open[depth][1]
+            if tag in stop_at:
                 return
-            if self.open[depth]["tag"] in ends:
+            if tag in ends:
                 while len(self.open) > depth:
                     self._close()
                 if ends != ("tr", "td", "th"):
                     return
 
-    def _close(self) -> dict:
-        element = self.open.pop()
-        element["last"] = len(self.elements) - 1
+    def _close(self) -> str:
+        at, tag = self.open.pop()
+        self.lasts[self.base + at] = len(self.ords) - self.base - 1
         # The separator behind the last text is not part of the element.
-        element["stop"] = max(element["start"], self.size - 1)
-        self.hidden -= element["tag"] in HIDDEN
-        return element
-
-
-def _read(html: str | None) -> tuple[str, list[dict], str | None]:
-    reader = _Reader()
-    try:
-        reader.feed(html or "")
-        reader.close()
-    except Exception as problem:  # noqa: BLE001  one unreadable page must not end the pass
-        return "", [], f"{type(problem).__name__}: {problem}"
-    while reader.open:
-        reader._close()
-    return SEPARATOR.join(reader.texts), reader.elements, None
+        self.stops[self.base + at] = max(self.starts[self.base + at], self.size - 1)
+        self.hidden -= tag in HIDDEN
+        return tag
 
 
-def tokenise(pages: DataFrame, html: str = "html", chunk: int = 16) -> DataFrame:
+def tokenise(pages: DataFrame, html: str = "html", chunk_chars: int = 8 << 20) -> DataFrame:
     """Replace the page source by ``vis``, ``els`` and ``page_error``.
 
-    Other columns pass through as Arrow arrays.  Output leaves in small batches,
-    since the elements of a page outweigh its source.
+    Other columns pass through as Arrow arrays.  Output leaves whenever some
+    megabytes of source are read, since the elements of a page outweigh it.
     """
     keep = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                part = batch.slice(at, chunk)
-                read = [_read(h.as_py()) for h in part.column(part.schema.get_field_index(html))]
+            source = batch.column(batch.schema.get_field_index(html))
+            passed = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            at = 0
+            while at < batch.num_rows:
+                reader, start, read = _Reader(), at, 0
+                while at < batch.num_rows and read < chunk_chars:
+                    page = source[at].as_py()
+                    reader.read(page)
+                    read += len(page or "")
+                    at += 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(n)) for n in names] + [
-                        pa.array([r[0] for r in read], pa.string()),
-                        pa.array([r[1] for r in read], _ARROW_ELEMENT),
-                        pa.array([r[2] for r in read], pa.string())],
+                    [c.slice(start, at - start) for c in passed] + reader.arrays(),
                     names=[*names, "vis", "els", "page_error"])
 
     schema = T.StructType([*keep, T.StructField("vis", T.StringType()),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfproof.functions import values as V
-from shelfproof.functions.values import cases, lit
+from shelfproof.functions.values import cases, lit, unfold
 from shelfproof.operators import variation
 from shelfproof.operators.ranking import matching, pack_size
 
@@ -111,8 +111,7 @@ def compare(cards: DataFrame, pairs: DataFrame, axes, claims=(), default_axis: s
                 F.col(f"{s}.size_label"), F.col(f"{s}.quantity")) for s in "ab"]))))
     rows.append(F.when(F.col("state") == "other category", row(
         "category", "category", lit("nothing to compare"), nothing, nothing, nothing)))
-    return paired.select("left_asin", "right_asin", F.explode(F.array_compact(F.array(*rows))).alias("r")) \
-                 .select("left_asin", "right_asin", "r.*")
+    return unfold(paired, F.array_compact(F.array(*rows)), "r", "left_asin", "right_asin").select("left_asin", "right_asin", "r.*")
 
 
 def summary(cards: DataFrame, axes, claims=(), order: str = "ord") -> DataFrame:
@@ -146,7 +145,7 @@ def summary(cards: DataFrame, axes, claims=(), order: str = "ord") -> DataFrame:
         pair("listings", "with a trusted axis", match & usable_any),
         pair("listings", "with a disputed axis", match & disputed_any),
     ]
-    counted = (cards.select(F.explode(F.array_compact(F.array(*items))).alias("i"))
+    counted = (unfold(cards, F.array_compact(F.array(*items)), "i")
                .groupBy("i.metric", "i.key").agg(F.count(lit(1)).alias("n")))
     per_offer = variation.with_offers(matching(cards), order).groupBy("offer_id").agg(
         F.count(lit(1)).alias("n"))
@@ -177,8 +176,7 @@ def sections(cards: DataFrame, category) -> DataFrame:
               otherwise=lit("claims")).alias("section"),
         e["key"].alias("key"), e["value"]["status"].alias("status"),
         F.get(e["value"]["evidence"], lit(0))["quote"].alias("quote")))
-    return matching(cards).select("asin", F.explode(F.concat(
-        listed, F.coalesce(claimed, F.array()))).alias("s")).select("asin", "s.*")
+    return unfold(matching(cards), F.concat(listed, F.coalesce(claimed, F.array())), "s", "asin").select("asin", "s.*")
 
 
 def facts(cards: DataFrame) -> DataFrame:
@@ -187,8 +185,7 @@ def facts(cards: DataFrame) -> DataFrame:
         return F.transform(F.map_entries(kind), lambda e: F.struct(
             lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("v")))
 
-    return cards.select("asin", "category_key", F.explode(F.concat(of("axes"), of("claims"))).alias("f")) \
-                .select("asin", "category_key", "f.kind", "f.key", "f.v")
+    return unfold(cards, F.concat(of("axes"), of("claims")), "f", "asin", "category_key").select("asin", "category_key", "f.kind", "f.key", "f.v")
 
 
 def card_json(cards: DataFrame, name: str = "json") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfproof.functions import spans
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import cases, expr, let, lit, number_text
+from shelfproof.functions.values import cases, expr, let, lit, number_text, unfold
 
 # Star weights, tolerance of the average, thin evidence, and the
 # percent range a whole-percent histogram may sum to.
@@ -176,7 +176,7 @@ def signal_hits(cards: DataFrame, signals: list[tuple[str, str, float | None, fl
             ok = F.coalesce(F.col("rating") <= most, lit(False)) & ok
         return F.when(ok, lit(name))
 
-    found = cards.select(key, order, F.explode(F.array_compact(F.array(*[reports(*s) for s in signals]))).alias("signal"))
+    found = unfold(cards, F.array_compact(F.array(*[reports(*s) for s in signals])), "signal", key, order)
     kept = found.withColumn("_r", F.row_number().over(Window.partitionBy(key, "signal").orderBy(order))) \
                 .where(F.col("_r") <= limit)
     hits = kept.groupBy(key, "signal").agg(F.count(lit(1)).alias("hits"))

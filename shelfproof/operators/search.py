@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfproof.functions.values import expr, lit, sql_literal
+from shelfproof.functions.values import expr, lit, sql_literal, unfold
 from shelfproof.functions import spans
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
@@ -94,8 +94,7 @@ def claim_hits(texts: DataFrame, claims: list[tuple[str, str]], key: str, limit:
         F.when(matches(F.col("text"), "(?iU)" + p), F.struct(
             lit(k).alias("claim"),
             expr(spans.quoted_match("text", "(?iU)" + p)).alias("quote"))) for k, p in claims]))
-    found = (texts.where(matches(F.col("text"), any_claim))
-             .select(key, order, "field", F.explode(hits).alias("h"))
+    found = (unfold(texts.where(matches(F.col("text"), any_claim)), hits, "h", key, order, "field")
              .select(key, order, "field", "h.claim", "h.quote"))
     ranked = found.withColumn("rank", F.row_number().over(
         Window.partitionBy(key, "claim").orderBy(order)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import labels as LB
 from shelfproof.functions.text import clean, decode_entities, group, number
-from shelfproof.functions.values import let, lit
+from shelfproof.functions.values import let, lit, unfold
 from shelfproof.operators import pages as P
 from shelfproof.rules import locale as L
 
@@ -63,8 +63,7 @@ def sightings(pages: DataFrame, host: str) -> DataFrame:
 
     found = let(grid, lambda ranks: F.transform(tiles, lambda t, i: one(t, i, ranks)))
     keep = [c for c in tokens.columns if c not in ("vis", "els")]
-    return (tokens.select(*keep, F.explode(F.filter(found, lambda s: s["asin"].isNotNull())).alias("s"))
-            .select(*keep, "s.*"))
+    return unfold(tokens, F.filter(found, lambda s: s["asin"].isNotNull()), "s", *keep).select(*keep, "s.*")
 
 
 def last_page(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfproof.functions.values import let, lit
+from shelfproof.functions.values import let, lit, unfold
 
 ENTRIES = "array<struct<path: string, value: string>>"
 
@@ -65,5 +65,4 @@ def difference(expected: DataFrame, actual: DataFrame, key: str = "asin") -> Dat
         return F.filter(rows, lambda r: ~r["expected"].eqNullSafe(r["actual"]))
 
     maps = F.struct(F.map_from_entries(want).alias("e"), F.map_from_entries(got).alias("a"))
-    return both.select(F.coalesce("_e_key", "_a_key").alias(key), F.explode(let(maps, compare)).alias("d")) \
-               .select(key, "d.*")
+    return unfold(both, let(maps, compare), "d", F.coalesce("_e_key", "_a_key").alias(key)).select(key, "d.*")

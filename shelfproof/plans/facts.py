@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.functions.values import lit
+from shelfproof.functions.values import lit, unfold
 from shelfproof.operators import nutrition, reviews
 from shelfproof.plans import views
 from shelfproof.plans.registry import query
@@ -62,7 +62,7 @@ def nutrition_values(spark: SparkSession, sf: str) -> DataFrame:
     # Compact rows of one aggregate, dealt out because the rules cost more than the rows.
     blocks = blocks.repartition(spark.sparkContext.defaultParallelism)
     checked = nutrition.validate(blocks, BANDS, "shelf", block="block")
-    return checked.select("asin", F.explode("nutrition").alias("e")).select(
+    return unfold(checked, F.col("nutrition"), "e", "asin").select(
         "asin", "e.key", "e.v.value", "e.v.status",
         F.array_contains("e.v.flags", nutrition.CONTRADICTION).alias("contradiction"))
 

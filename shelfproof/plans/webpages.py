@@ -36,8 +36,8 @@ d AS (SELECT page_id, text, min(i) AS i FROM c WHERE text <> '' GROUP BY page_id
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS position, text FROM d""")
 def page_bullets(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct list items in page order; positions are array positions."""
-    return _tokens(spark, sf).select("page_id", F.posexplode(P.bullets(F.col("vis"), F.col("els"), "li")).alias("p", "text")) \
-        .select("page_id", (F.col("p") + 1).alias("position"), "text")
+    return _tokens(spark, sf).select("page_id", F.posexplode_outer(P.bullets(F.col("vis"), F.col("els"), "li")).alias("p", "text")) \
+        .where(F.col("text").isNotNull()).select("page_id", (F.col("p") + 1).alias("position"), "text")
 
 
 @query("page_links", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfproof.functions import labels as LB
 from shelfproof.functions import spans
 from shelfproof.functions import text as TX
-from shelfproof.functions.values import expr, lit
+from shelfproof.functions.values import expr, lit, unfold
 from shelfproof.operators import coverage, normalise, search
 from shelfproof.plans import views
 from shelfproof.plans.registry import query
@@ -45,7 +45,7 @@ SELECT claim, count(DISTINCT doc_id) AS documents, count(*) AS fields FROM hits
 def claim_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Fields and documents per claim; counted per document first, so a common claim is not one big group."""
     hit = F.array_compact(F.array(*[F.when(TX.matches(F.col("text"), "(?i)" + p), lit(k)) for k, p in CLAIMS]))
-    per_doc = (views.text_fields(spark, sf).select("doc_id", F.explode(hit).alias("claim"))
+    per_doc = (unfold(views.text_fields(spark, sf), hit, "claim", "doc_id")
                .groupBy("doc_id", "claim").agg(F.count(lit(1)).alias("n")))
     return per_doc.groupBy("claim").agg(F.count(lit(1)).alias("documents"), F.sum("n").alias("fields"))
 
@@ -192,7 +192,7 @@ def review_cards(spark: SparkSession, sf: str) -> DataFrame:
     country = F.when(F.col("o_orderstatus") == "F", lit("Deutschland")).when(
         F.col("o_orderstatus") == "O", lit("Italien")).otherwise(lit("Frankreich"))
     level = F.col("o_orderpriority")
-    raw = views.table(spark, sf, "orders").select(
+    raw = views.spread(views.table(spark, sf, "orders")).select(
         "o_orderkey",
         views.text("Bewertet in ", country, " am ", F.dayofmonth("o_orderdate"), ". ", month, " ", F.year("o_orderdate")).alias("dateline"),
         F.when(level.isin("1-URGENT", "2-HIGH"), lit("Verifizierter Kauf")).otherwise(lit("")).alias("badge"),
