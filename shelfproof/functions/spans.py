@@ -5,7 +5,8 @@ with the list of matches the gaps give every match position.
 
 The expressions are deep and are asked for once per rule, so they are written
 as SQL text: ``text`` arguments are SQL, such as a column name or a lambda
-variable, and each result is parsed once.
+variable, and each result is parsed once.  Lambda variables here start with
+``q_``, so that they do not hide a column of the caller.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ def _steps(text: str, pattern: str) -> str:
     """Per match, the length of the gap before it and its own length."""
     hits = f"regexp_extract_all({text}, {sql_literal(pattern)}, 0)"
     return (f"zip_with(slice(split({text}, {sql_literal(pattern)}, -1), 1, size({hits})), {hits},"
-            " (gap, hit) -> named_struct('gap', length(gap), 'size', length(hit)))")
+            " (q_gap, q_hit) -> named_struct('gap', length(q_gap), 'size', length(q_hit)))")
 
 
 def spans(text: str, pattern: str) -> str:
     """Every match as ``STRUCT<lo, hi>`` in characters, zero-based."""
     return (f"aggregate({_steps(text, pattern)},"
             f" named_struct('at', 0, 'found', cast(array() as array<{SPAN}>)),"
-            " (acc, s) -> named_struct('at', acc.at + s.gap + s.size, 'found', concat(acc.found, array("
-            "named_struct('lo', acc.at + s.gap, 'hi', acc.at + s.gap + s.size)))), acc -> acc.found)")
+            " (q_acc, q_step) -> named_struct('at', q_acc.at + q_step.gap + q_step.size, 'found', concat(q_acc.found, array("
+            "named_struct('lo', q_acc.at + q_step.gap, 'hi', q_acc.at + q_step.gap + q_step.size)))), q_acc -> q_acc.found)")
 
 
 def first_span(text: str, pattern: str, affirmative: bool = False, exclude: str | None = None) -> str:
@@ -58,20 +59,20 @@ def first_span(text: str, pattern: str, affirmative: bool = False, exclude: str
         found = (f"named_struct('lo', regexp_instr({text}, {p}) - 1, 'hi',"
                  f" regexp_instr({text}, {p}) - 1 + length(regexp_extract({text}, {p}, 0)))")
     else:
-        lo, hi = "(acc.at + s.gap)", "(acc.at + s.gap + s.size)"
+        lo, hi = "(q_acc.at + q_step.gap)", "(q_acc.at + q_step.gap + q_step.size)"
         tests = []
         if affirmative:
             tests += [f"not {matches(f'substr({text}, 1, {lo})', NEGATED_BEFORE)}",
                       f"not {matches(f'substr({text}, {hi} + 1)', NEGATED_AFTER)}"]
         if exclude is not None:
-            tests.append(f"not exists(banned, b -> {lo} < b.hi and {hi} > b.lo)")
+            tests.append(f"not exists(q_banned, q_ban -> {lo} < q_ban.hi and {hi} > q_ban.lo)")
         ok = " and ".join(tests)
         found = (f"aggregate({_steps(text, pattern)}, named_struct('at', 0, 'lo', -1, 'hi', -1),"
-                 f" (acc, s) -> if(acc.lo >= 0, acc, named_struct('at', {hi},"
+                 f" (q_acc, q_step) -> if(q_acc.lo >= 0, q_acc, named_struct('at', {hi},"
                  f" 'lo', if({ok}, {lo}, -1), 'hi', if({ok}, {hi}, -1))),"
-                 " acc -> if(acc.lo >= 0, named_struct('lo', acc.lo, 'hi', acc.hi), null))")
+                 " q_acc -> if(q_acc.lo >= 0, named_struct('lo', q_acc.lo, 'hi', q_acc.hi), null))")
         if exclude is not None:
-            found = let(spans(text, exclude), "banned", found)
+            found = let(spans(text, exclude), "q_banned", found)
     return f"if({matches(text, pattern)}, {found}, cast(null as {SPAN}))"
 
 
@@ -83,21 +84,21 @@ def quote(text: str, span: str) -> str:
     # One character of context: the sentence mark may be the match's last one.
     sentence = sql_literal(r"(?U)(?<=[.!?;])\s+")
     tail = f"regexp_instr(substr({text}, greatest({span}.hi, 1)), {sentence})"
-    right = let(tail, "t", f"if(t > 0, greatest({span}.hi, 1) + t - 2, length({text}))")
-    edges = let(f"named_struct('l', {left}, 'r', {right})", "e", (
-        f"if(e.r - e.l > {QUOTE_MAX}, named_struct('l', greatest(e.l, {span}.lo - {QUOTE_MAX // 2}),"
-        f" 'r', least(e.r, {span}.hi + {QUOTE_MAX // 2})), e)"))
+    right = let(tail, "q_tail", f"if(q_tail > 0, greatest({span}.hi, 1) + q_tail - 2, length({text}))")
+    edges = let(f"named_struct('l', {left}, 'r', {right})", "q_edge", (
+        f"if(q_edge.r - q_edge.l > {QUOTE_MAX}, named_struct('l', greatest(q_edge.l, {span}.lo - {QUOTE_MAX // 2}),"
+        f" 'r', least(q_edge.r, {span}.hi + {QUOTE_MAX // 2})), q_edge)"))
     ends = sql_literal(r"(?U)^\s+|\s+$")
     blank = sql_literal(r"(?U)^\s+$")
-    body = f"regexp_replace(substr({text}, c.l + 1, c.r - c.l), {ends}, '')"
-    shown = let(body, "w", (
-        f"if(length(w) < length({text}), concat(if(c.l > 0 and not substr({text}, 1, c.l) rlike {blank}, '…', ''), w,"
-        f" if(c.r < length({text}), '…', '')), w)"))
-    return let(edges, "c", shown)
+    body = f"regexp_replace(substr({text}, q_cut.l + 1, q_cut.r - q_cut.l), {ends}, '')"
+    shown = let(body, "q_body", (
+        f"if(length(q_body) < length({text}), concat(if(q_cut.l > 0 and not substr({text}, 1, q_cut.l) rlike {blank}, '…', ''), q_body,"
+        f" if(q_cut.r < length({text}), '…', '')), q_body)"))
+    return let(edges, "q_cut", shown)
 
 
 def quoted_match(text: str, pattern: str, affirmative: bool = False, exclude: str | None = None) -> str:
     """Quote around the first accepted match, NULL without one."""
-    found = let(first_span(text, pattern, affirmative, exclude), "m",
-                f"if(m is null, null, {quote(text, 'm')})")
+    found = let(first_span(text, pattern, affirmative, exclude), "q_match",
+                f"if(q_match is null, null, {quote(text, 'q_match')})")
     return f"if({matches(text, pattern)}, {found}, cast(null as string))"

@@ -64,4 +64,5 @@ def run_report(listings: DataFrame, unseen: DataFrame) -> DataFrame:
         F.count(lit(1)).alias("pages"), F.count_if(F.col("page_error").isNull()).alias("records"),
         F.coalesce(F.sum(F.when(F.col("page_error").isNull(), F.size("extraction.errors"))), lit(0)).alias("block_errors"),
         F.count_if(F.col("page_error").isNotNull()).alias("failed"))
-    return totals.join(unseen.agg(F.count(lit(1)).alias("unseen")))
+    both = totals.unionByName(unseen.agg(F.count(lit(1)).alias("unseen")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("pages", "records", "block_errors", "failed", "unseen")])

@@ -58,7 +58,8 @@ def provenance(captures: DataFrame, keys=("asin",), order: str = "ord",
                          F.count_if(F.col("n") > 1).alias("superseded"))
     feeds = captures.select((feed if feed is not None else F.col(order)["feed"]).alias("f")) \
                     .distinct().agg(F.count(lit(1)).alias("feeds"))
-    return totals.join(feeds).select("records", "feeds", "superseded")
+    both = totals.unionByName(feeds, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("records", "feeds", "superseded")])
 
 
 def lineage(pages: DataFrame, feed: DataFrame, fields: list[str], key: str = "asin") -> DataFrame:

@@ -120,9 +120,12 @@ def excluded(placed: DataFrame) -> DataFrame:
 def excluded_head(placed: DataFrame, shown: int = 10) -> DataFrame:
     """The first excluded listings and how many there are in all."""
     out = excluded(placed)
-    total = out.agg(F.count(lit(1)).alias("excluded_total"))
-    head = out.orderBy(*_offer_tie()).limit(shown)
-    return head.join(total).select("asin", "status", "reason", "excluded_total")
+    total = out.agg(F.count(lit(1)).alias("_total"))
+    head = out.orderBy(*_offer_tie()).limit(shown).withColumn("_shown", lit(True))
+    # At most ``shown`` rows and the one total, so the window is a handful of rows.
+    both = head.unionByName(total, allowMissingColumns=True)
+    return both.withColumn("excluded_total", F.max("_total").over(Window.partitionBy())) \
+        .where("_shown").select("asin", "status", "reason", "excluded_total")
 
 
 def numbered(df: DataFrame, keys: list[str], sort: list[str], name: str = "rank",

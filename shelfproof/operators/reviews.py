@@ -136,17 +136,17 @@ def search(sample: str, pattern: str, limit: int = 3, home_only: bool = False,
     """
     tests = ["true"]
     if home_only:
-        tests.append("coalesce(k.card.home_marketplace, true)")
+        tests.append("coalesce(q_card.card.home_marketplace, true)")
     if max_stars is not None:
-        tests.append(f"coalesce(k.card.rating <= {max_stars}, false)")
+        tests.append(f"coalesce(q_card.card.rating <= {max_stars}, false)")
     if min_stars is not None:
-        tests.append(f"coalesce(k.card.rating >= {min_stars}, false)")
-    cards = (f"transform({sample}, (c, i) -> named_struct('i', i, 'card', c, 'text',"
-             " trim(concat(coalesce(c.title, ''), '. ', coalesce(c.text, '')))))")
-    stars = "if(k.card.rating is null, '', concat(' (', regexp_replace(cast(k.card.rating as string), '[.]0$', ''), '★)'))"
-    hits = (f"transform(filter({cards}, k -> {' and '.join(tests)} and {spans.matches('k.text', pattern)}), k ->"
-            f" named_struct('field', concat('reviews.sample[', k.i, ']', {stars}),"
-            f" 'quote', {spans.quoted_match('k.text', pattern)}))")
+        tests.append(f"coalesce(q_card.card.rating >= {min_stars}, false)")
+    cards = (f"transform({sample}, (q_one, q_at) -> named_struct('i', q_at, 'card', q_one, 'text',"
+             " trim(concat(coalesce(q_one.title, ''), '. ', coalesce(q_one.text, '')))))")
+    stars = "if(q_card.card.rating is null, '', concat(' (', regexp_replace(cast(q_card.card.rating as string), '[.]0$', ''), '★)'))"
+    hits = (f"transform(filter({cards}, q_card -> {' and '.join(tests)} and {spans.matches('q_card.text', pattern)}), q_card ->"
+            f" named_struct('field', concat('reviews.sample[', q_card.i, ']', {stars}),"
+            f" 'quote', {spans.quoted_match('q_card.text', pattern)}))")
     return expr(f"coalesce(slice({hits}, 1, {limit}), {V.NO_EVIDENCE})")
 
 

@@ -47,7 +47,7 @@ def text_fields() -> Column:
 
 
 def _inside(only) -> str:
-    return "(" + " or ".join(f"f.base = {sql_literal(o)} or startswith(f.base, {sql_literal(o + '.')})" for o in only) + ")"
+    return "(" + " or ".join(f"q_field.base = {sql_literal(o)} or startswith(q_field.base, {sql_literal(o + '.')})" for o in only) + ")"
 
 
 def _scope(scope: str, only) -> str:
@@ -68,14 +68,14 @@ def search(fields: str, pattern: str, limit: int = 3, only=None, scope: str = "p
     """
     if limit <= 0:
         return expr(V.NO_EVIDENCE)
-    hits = (f"transform(filter({fields}, f -> {_scope(scope, only)}{spans.matches('f.text', pattern)}), f ->"
-            f" named_struct('field', f.field, 'quote', {spans.quoted_match('f.text', pattern, affirmative, exclude)}))")
-    return expr(f"coalesce(slice(filter({hits}, h -> h.quote is not null), 1, {limit}), {V.NO_EVIDENCE})")
+    hits = (f"transform(filter({fields}, q_field -> {_scope(scope, only)}{spans.matches('q_field.text', pattern)}), q_field ->"
+            f" named_struct('field', q_field.field, 'quote', {spans.quoted_match('q_field.text', pattern, affirmative, exclude)}))")
+    return expr(f"coalesce(slice(filter({hits}, q_found -> q_found.quote is not null), 1, {limit}), {V.NO_EVIDENCE})")
 
 
 def states(fields: str, pattern: str, only=None) -> Column:
     """Does any field match?  The search without its quotes."""
-    return expr(f"coalesce(exists({fields}, f -> {_scope('page', only)}{spans.matches('f.text', pattern)}), false)")
+    return expr(f"coalesce(exists({fields}, q_field -> {_scope('page', only)}{spans.matches('q_field.text', pattern)}), false)")
 
 
 def claim_hits(texts: DataFrame, claims: list[tuple[str, str]], key: str, limit: int = 3,
