@@ -237,7 +237,7 @@ def validate_long(nutrients: DataFrame, keys=("asin",), limits: DataFrame | None
     rows = nutrients.withColumn("known", F.coalesce(
         (F.coalesce(F.col("unit"), lit("")) == "") | allowed, lit(False)) & F.col("amount").isNotNull())
     if limits is not None:
-        rows = rows.join(F.broadcast(limits), "key", "left")
+        rows = rows.join(limits, "key", "left")
     else:
         rows = rows.withColumn("low", lit(None).cast("double")).withColumn("high", lit(None).cast("double"))
     rows = rows.withColumn("out_of_band", F.coalesce(

@@ -12,6 +12,8 @@ from shelfproof.session import cut_lineage
 
 #: Rows one task may sort for a single group before the ranged plan is used.
 GROUP_ROWS = 2_000_000
+#: Winners small enough to send to every task.
+BROADCAST_ROWS = 10_000
 
 
 def pack_size(size_label: Column, quantity: Column) -> Column:
@@ -93,8 +95,7 @@ def rank(cards: DataFrame, axis: str, better: str = "lower", require=(), limit:
     """The ranking: winners and, under each, the other packs of the same offer.
 
     ``fold`` adds the other packs.  They are found by joining the listings with
-    the ``limit`` winning offers, the one side whose size is bounded, so it is
-    broadcast.
+    the ``limit`` winning offers; that side is broadcast while the limit is small.
     """
     placed = place(requiring(matching(cards), require), axis, better, order, keep and fold)
     winners = top(placed, limit)
@@ -102,7 +103,8 @@ def rank(cards: DataFrame, axis: str, better: str = "lower", require=(), limit:
     if not fold:
         return winners.select(*shown, "listings", (F.col("rankable") - 1).alias("folded"))
     heads = winners.select("offer_id", "position", F.col("ord").alias("_best"))
-    return (placed.where("is_usable").join(F.broadcast(heads), "offer_id")
+    heads = F.broadcast(heads) if limit <= BROADCAST_ROWS else heads
+    return (placed.where("is_usable").join(heads, "offer_id")
             .withColumn("is_best", F.col("ord") == F.col("_best"))
             .withColumn("value", F.col("v.value")).withColumn("unit", F.col("v.unit"))
             .orderBy("position", F.desc("is_best"), "score", "ord").select(*shown, "is_best"))

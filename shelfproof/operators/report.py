@@ -11,6 +11,7 @@ from shelfproof.functions import values as V
 from shelfproof.functions.values import cases, lit, unfold
 from shelfproof.operators import variation
 from shelfproof.operators.ranking import matching, pack_size
+from shelfproof.session import cut_lineage
 
 
 def blocked(a: Column, b: Column) -> Column:
@@ -55,10 +56,15 @@ def axis_difference(a: Column, b: Column, better: Column, tolerance: Column) ->
         F.when(won & (outcome == "different"), high / F.greatest(low, lit(1e-9))).alias("ratio"))
 
 
-def pair_up(cards: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (left_asin, right_asin) with both cards.  Only the pairs asked for, never all."""
+def pair_up(cards: DataFrame, pairs: DataFrame, keep: bool = True) -> DataFrame:
+    """Pairs (left_asin, right_asin) with both cards.  Only the pairs asked for, never all.
+
+    Both sides read the cards; ``keep`` checkpoints them, so the checks behind a
+    card run once.
+    """
     card = F.struct("asin", "category_key", "category", "axes", "claims", "offer", "quantity", "size_label")
     side = cards.select(F.col("asin").alias("_id"), card.alias("_card"))
+    side = cut_lineage(side) if keep else side
     return (pairs
             .join(side.select(F.col("_id").alias("left_asin"), F.col("_card").alias("a")), "left_asin")
             .join(side.select(F.col("_id").alias("right_asin"), F.col("_card").alias("b")), "right_asin"))
