@@ -66,7 +66,7 @@ packed AS (
                  WHEN n_hints > 0 AND abs(said - total) / greatest(said, total) <= 0.15 THEN 'trusted'
                  WHEN n_hints > 0 THEN 'disputed' WHEN p_type = 'SMALL' THEN 'trusted'
                  ELSE 'unverified' END AS q_status,
-         CASE WHEN bn <= 8 THEN per_kg WHEN bn <= 16 THEN per_kg * 2 WHEN bn <= 20 THEN per_kg END AS published,
+         CASE WHEN bn <= 8 THEN per_kg WHEN bn <= 16 THEN per_kg * 2 WHEN bn <= 20 THEN per_kg / 10::DOUBLE * 10::DOUBLE END AS published,
          amount / (total / 1000::DOUBLE) AS derived
   FROM base),
 priced AS (
