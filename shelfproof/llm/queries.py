@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import token_counts
+from shelfproof.llm import token_counts, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,23 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048).select(
         "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op2_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector with all others."""
+    return topk_search.top_k(table(spark, sf, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op2_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
