@@ -74,16 +74,37 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
 
 
 def with_keyed(df: DataFrame, table: DataFrame, key: str, rows: int, spread: Column) -> DataFrame:
-    """``df`` with the columns of ``table`` (one row a key) where the keys are equal, NULL being a key.
+    """``df`` with the columns of ``table`` (one row a key, its first column) where the keys are equal, NULL being a key.
 
     A key may hold a third of ``df``.  A table of at most ``SMALL_ROWS`` (counted by the
     caller) is broadcast.  A larger one is repeated over ``SALTS`` salts, and the rows of
     a key are dealt over them by ``spread``.
     """
-    right = table.withColumnRenamed(key, "_key")
+    right = table.withColumnRenamed(table.columns[0], "_key")
     if rows <= SMALL_ROWS:
         return df.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = df.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
     return (left.join(right, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt_r")))
             .drop("_key", "_salt", "_salt_r"))
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``: the place of each row, from 0, in the given order over all rows.
+
+    Rows are range partitioned; places within a partition are added to the sizes of
+    the partitions before it, so no task holds the whole order.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_at", F.spark_partition_id()), "ranged")
+    within = Window.partitionBy("_at").orderBy(*order)
+    ranged = ranged.withColumn("_n", F.row_number().over(within).cast("long") - 1)
+    sizes = dict(ranged.groupBy("_at").count().collect())  # one row a partition
+    base, bases = 0, {}
+    for at in sorted(sizes):
+        bases[at] = base
+        base += sizes[at]
+    table = spark.createDataFrame(sorted(bases.items()), "_p int, _base long")
+    return (ranged.join(F.broadcast(table), F.col("_at") == F.col("_p"))
+            .withColumn(out, F.col("_n") + F.col("_base")).drop("_at", "_n", "_p", "_base"))

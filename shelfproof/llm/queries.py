@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import token_counts, topk_search
+from shelfproof.llm import mixing, token_counts, topk_search
+from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,12 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    mix = mixing.plan(stored(docs, "sizes"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.words)
+    return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
