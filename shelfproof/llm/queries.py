@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import mixing, token_counts, topk_search
+from shelfproof.llm import mixing, quality, token_counts, topk_search
 from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,16 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mix = mixing.plan(stored(docs, "sizes"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.words)
     return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
+
+
+#: Documents whose labels the quality classifier may learn from.
+LEARN_QUALITY = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+
+
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Probability that a document is labelled good."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.with_quality(docs, table(spark, sf, "labels"), LEARN_QUALITY)
+    return scored.select("doc_id", (~LEARN_QUALITY).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
