@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import mixing, quality, token_counts, topk_search
+from shelfproof.llm import language, mixing, quality, token_counts, topk_search
 from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,16 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     scored = quality.with_quality(docs, table(spark, sf, "labels"), LEARN_QUALITY)
     return scored.select("doc_id", (~LEARN_QUALITY).alias("held_out"), "score",
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+#: Documents that the language predictor may learn from.
+LEARN_LANG = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+
+
+@query
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf, "documents")
+    model = language.learn(docs.where(LEARN_LANG))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~LEARN_LANG).alias("held_out"), "lang_pred", "score")
