@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import language, mixing, quality, token_counts, topk_search
+from shelfproof.llm import language, mixing, quality, simhash, token_counts, topk_search
 from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,11 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     model = language.learn(docs.where(LEARN_LANG))
     return language.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", (~LEARN_LANG).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """SimHash of every document and its group of near copies."""
+    docs = table(spark, sf, "documents").select("doc_id", simhash.fingerprint(F.col("text"))[0].alias("fp"))
+    grouped = simhash.groups(stored(docs, "fingerprints"), "fp")
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
