@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import language, mixing, quality, simhash, token_counts, topk_search
+from shelfproof.llm import language, mixing, quality, simhash, substring, token_counts, topk_search
 from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,30 +60,32 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-#: Documents whose labels the quality classifier may learn from.
-LEARN_QUALITY = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+def learn_quality() -> Column:
+    """Documents whose labels the quality classifier may learn from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 != 0
 
 
 @query
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Probability that a document is labelled good."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    scored = quality.with_quality(docs, table(spark, sf, "labels"), LEARN_QUALITY)
-    return scored.select("doc_id", (~LEARN_QUALITY).alias("held_out"), "score",
+    scored = quality.with_quality(docs, table(spark, sf, "labels"), learn_quality())
+    return scored.select("doc_id", (~learn_quality()).alias("held_out"), "score",
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-#: Documents that the language predictor may learn from.
-LEARN_LANG = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+def learn_lang() -> Column:
+    """Documents that the language predictor may learn from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 != 2
 
 
 @query
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf, "documents")
-    model = language.learn(docs.where(LEARN_LANG))
+    model = language.learn(docs.where(learn_lang()))
     return language.predict(docs.select("doc_id", "text"), model).select(
-        "doc_id", (~LEARN_LANG).alias("held_out"), "lang_pred", "score")
+        "doc_id", (~learn_lang()).alias("held_out"), "lang_pred", "score")
 
 
 @query
@@ -92,3 +94,44 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", simhash.fingerprint(F.col("text"))[0].alias("fp"))
     grouped = simhash.groups(stored(docs, "fingerprints"), "fp")
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_substring(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the passages that an earlier document has."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substring.without_repeats(docs).select(
+        "doc_id", "n_units", "n_removed", "removed_words", "removed", F.col("kept_text").alias("text"))
+
+
+ORACLES["op10_substring"] = r"""
+WITH p AS (
+  SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE
+           regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+') END AS parts FROM documents),
+u AS (
+  SELECT doc_id, i, parts[i] AS unit,
+         regexp_extract_all(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+d AS (
+  SELECT *, len(w) AS n, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         len(w) > 0 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, i) > 1 AS again
+  FROM u),
+-- a unit without words goes with the run it follows
+f AS (SELECT *, max(CASE WHEN n > 0 THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS head FROM d),
+g AS (SELECT f.*, coalesce(h.again, false) AS gone FROM f LEFT JOIN d h ON h.doc_id = f.doc_id AND h.i = f.head),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM g),
+s AS (SELECT *, gone AND sum(n) OVER (PARTITION BY doc_id, gone, run) >= 10 AS cut FROM r),
+spans AS (
+  SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM (
+    SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + length(unit)) AS BIGINT) AS b
+    FROM s WHERE cut GROUP BY doc_id, run) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (cut) AS n_removed, sum(n) FILTER (cut) AS removed_words,
+         string_agg(unit, '' ORDER BY i) FILTER (NOT cut) AS text FROM s GROUP BY doc_id)
+SELECT p.doc_id, CAST(coalesce(n_units, 0) AS INTEGER) AS n_units, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+       CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words, coalesce(removed, '') AS removed,
+       CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text
+FROM p LEFT JOIN t ON t.doc_id = p.doc_id LEFT JOIN spans ON spans.doc_id = p.doc_id
+"""
