@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import language, mixing, quality, simhash, substring, token_counts, topk_search
+from shelfproof.llm import language, mixing, packing, quality, simhash, substring, token_counts, topk_search
 from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,10 @@ SELECT p.doc_id, CAST(coalesce(n_units, 0) AS INTEGER) AS n_units, CAST(coalesce
        CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text
 FROM p LEFT JOIN t ON t.doc_id = p.doc_id LEFT JOIN spans ON spans.doc_id = p.doc_id
 """
+
+
+@query
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
