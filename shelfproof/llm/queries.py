@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import language, mixing, packing, quality, simhash, substring, token_counts, topk_search
+from shelfproof.llm import language, mixing, packing, quality, simhash, sketch, substring, token_counts, topk_search
 from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of the text whose last third comes from the next document."""
+    return sketch.edited(table(spark, sf, "documents"))
