@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import language, mixing, packing, quality, simhash, sketch, substring, token_counts, topk_search
+from shelfproof.llm import language, mixing, packing, quality, repair, simhash, sketch, substring, token_counts, topk_search
 from shelfproof.llm.common import size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every document and of the text whose last third comes from the next document."""
     return sketch.edited(table(spark, sf, "documents"))
+
+
+@query
+def op5_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document, written to grammar-compressed files and read back."""
+    return repair.read(repair.write(table(spark, sf, "documents")))
