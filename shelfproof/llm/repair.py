@@ -32,63 +32,71 @@ from shelfproof.llm.vocabulary import default_path, vocabulary
 
 MAGIC = 0x31505052
 SEGMENT = 1 << 20
-RULES, ROUNDS = 12_000, 6
+RULES, ROUNDS = 12_000, 4
 #: A pair gets a rule from so many occurrences on.
 OFTEN = 16
-_TABLE = 1 << 18
+_SLOTS = 18
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    if pair.dtype == np.uint32:
+        return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
+    return (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
     """Bytes of a segment: token ids (below ``base``) of documents that end at ``ends``."""
-    seq = ids.astype(np.uint32)
+    # Two symbols in one number: of 32 bits where all symbols fit 16, else of 64.
+    half, pair_type = (16, np.uint32) if base + RULES <= 1 << 16 else (32, np.uint64)
+    seq = ids.astype(np.uint16 if half == 16 else np.uint32)
     last = np.zeros(len(seq), dtype=bool)
     last[np.asarray(ends) - 1] = True
     rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
     known = 0
     size = np.zeros(RULES, dtype=np.uint32)
     for turn in range(ROUNDS):
-        room = min(RULES - known, max(RULES // ROUNDS * 2 if turn else RULES // 2, 1))
+        room = min(RULES - known, RULES // ROUNDS * 2 if turn else RULES // 2)
         if room <= 0 or len(seq) < 2:
             break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        key = seq[:-1].astype(pair_type) << pair_type(half) | seq[1:]
         inner = np.sort(key[~last[:-1]])
-        first = np.flatnonzero(np.diff(inner, prepend=~inner[:1]))
-        count = np.diff(np.append(first, len(inner)))
+        if not len(inner):
+            break
+        first = np.concatenate([[0], np.flatnonzero(inner[1:] != inner[:-1]) + 1])
+        count = np.diff(first, append=len(inner))
         often = np.flatnonzero(count >= OFTEN)
         if not len(often):
             break
         often = often[np.argsort(-count[often], kind="stable")[:room]]
         pairs = inner[first[often]]  # the most frequent first
         # The rule of each place, by a table of pairs; where two pairs share a slot the more frequent one has it.
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        table = np.full(_TABLE, -1, dtype=np.int32)
-        table[slot(pairs)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
-        rule = table[slot(key)]
-        hit = (rule >= 0) & ~last[:-1]
-        hit[hit] = pairs[rule[hit]] == key[hit]
+        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        table[_slot(pairs)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        rule = table[_slot(key)]
+        at = np.flatnonzero((rule >= 0) & ~last[:-1])
+        at = at[pairs[rule[at]] == key[at]]
         # Of places that follow each other every second one is taken, from the first.
-        at = np.flatnonzero(hit)
         fresh = np.diff(at, prepend=-2) > 1
-        start = np.maximum.accumulate(np.where(fresh, at, 0))
-        at = at[(at - start) % 2 == 0]
-        used, number = np.unique(rule[at], return_inverse=True)
-        pair = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        at = at[(at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0]
+        there = np.zeros(len(pairs), dtype=bool)
+        there[rule[at]] = True
+        used = np.flatnonzero(there)
+        number = (np.cumsum(there) - 1)[rule[at]]
+        low = pair_type((1 << half) - 1)
+        pair = np.stack([pairs[used] >> pair_type(half), pairs[used] & low], axis=1).astype(np.uint32)
         below = np.where(pair >= base, size[np.where(pair >= base, pair - base, 0)], 1)
         size[known:known + len(used)] = below.sum(1)
-        seq[at] = (base + known + number).astype(np.uint32)
+        seq[at] = base + known + number
         last[at] = last[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
         rules.append(pair)
-        lengths.append(size[known:known + len(used)])
         known += len(used)
     width = 2 if base + known <= 1 << 16 else 4
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
-    expand = np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.uint32)
     head = np.array([MAGIC, len(ends), known, len(seq), width], dtype="<u4")
-    return b"".join([head.tobytes(), table.astype("<u4").tobytes(), expand.astype("<u4").tobytes(),
+    return b"".join([head.tobytes(), table.astype("<u4").tobytes(), size[:known].astype("<u4").tobytes(),
                      (np.flatnonzero(last) + 1).astype("<u4").tobytes(), seq.astype(f"<u{width}").tobytes()])
 
 
@@ -134,12 +142,12 @@ class Segment:
             self._expansions()
         size = self.sizes(symbols)
         ends = np.cumsum(size)
-        which = np.repeat(np.arange(len(symbols)), size)
-        within = np.arange(len(which)) - (ends - size)[which]
-        symbol = symbols[which].astype(np.int64)
-        out = symbol.astype(np.uint32)
-        new = symbol >= self.base
-        out[new] = self.flat[self.offset[symbol[new] - self.base] + within[new]]
+        out = np.repeat(symbols.astype(np.uint32), size)
+        new = np.flatnonzero(symbols >= self.base)
+        n, rule = size[new], symbols[new].astype(np.int64) - self.base
+        # Places of the output that rules fill, and the places of their expansions.
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(ends[new] - n, n) + step] = self.flat[np.repeat(self.offset[rule], n) + step]
         return out
 
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
