@@ -30,7 +30,7 @@ CHUNK = 1 << 15
 MATCH, LAGS = 4, 24
 #: Bound of the training sample, for each label, and its bytes in all.
 ROWS, BYTES = 800, 8_000_000
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+STEPS, BATCH, RATE = 300, 32, 0.01
 #: Texts longer than this are read in more than one chunk and never held as windows whole.
 THRESHOLD = 0.3
 
@@ -107,48 +107,46 @@ def pooled(net: Network, text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 4) -> Network:
     """Adam on cross-entropy; only the places that won the pooling get a gradient.
 
-    Both labels weigh the same in a step; at the end the bias is moved to the share of labels
-    given, so that scores are probabilities under the sample's weights.
+    Both labels weigh the same, however rare one is in the sample.
     """
     net, rng = start(seed), np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
-    first, second, step = ([np.zeros_like(p) for p in net.parts()] for _ in range(2)), None, 0
-    first, second = first
+    first, second = ([np.zeros_like(p) for p in net.parts()] for _ in range(2))
     padded = [t + b"\0" * (WIDTH + STRIDE) for t in texts]
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS) + RATE * 0.05
-        order = rng.permutation(len(texts))
-        for a in range(0, len(order), BATCH):
-            grads = [np.zeros_like(p) for p in net.parts()]
-            some = order[a:a + BATCH]
-            for i in some:
-                h, place = pooled(net, texts[i])
-                p = 1 / (1 + np.exp(-np.clip(float(h @ net.out) + net.bias, -30, 30)))
-                d = (p - labels[i]) * weight[i] / len(some)
-                grads[3] += d * h
-                grads[4] += d
-                if place[0] < 0:
-                    continue
-                dh = d * net.out * (1 - h**2)
-                grads[2] += dh
-                b = np.frombuffer(padded[i], dtype=np.uint8)
-                at = place[:, None] + np.arange(WIDTH)
-                x = np.empty((FILTERS, WIDTH, EMBED + 1), dtype=np.float32)
-                x[:, :, :EMBED] = net.table[b[at]]
-                lo = np.maximum(place - LAGS - MATCH, 0)
-                for f in range(FILTERS):
-                    x[f, :, EMBED] = repeats(b[lo[f]:place[f] + WIDTH])[place[f] - lo[f]:]
-                grads[1] += (x.reshape(FILTERS, -1) * dh[:, None]).T
-                back = (net.filters.T * dh[:, None]).reshape(FILTERS, WIDTH, EMBED + 1)[:, :, :EMBED]
-                np.add.at(grads[0], b[at].ravel(), back.reshape(-1, EMBED))
-            step += 1
-            new = []
-            for k, (p, g) in enumerate(zip(net.parts(), grads, strict=True)):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                move = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-                new.append((p - move).astype(np.float32))
-            net = Network(*new[:4], float(new[4][0]))
+    order = np.zeros(0, dtype=int)
+    for step in range(1, STEPS + 1):
+        rate = RATE * (1 - step / STEPS) + RATE * 0.05
+        if len(order) < min(BATCH, len(texts)):
+            order = rng.permutation(len(texts))
+        some, order = order[:BATCH], order[BATCH:]
+        grads = [np.zeros_like(p) for p in net.parts()]
+        for i in some:
+            h, place = pooled(net, texts[i])
+            p = 1 / (1 + np.exp(-np.clip(float(h @ net.out) + net.bias, -30, 30)))
+            d = (p - labels[i]) * weight[i] / len(some)
+            grads[3] += d * h
+            grads[4] += d
+            if place[0] < 0:
+                continue
+            dh = d * net.out * (1 - h**2)
+            grads[2] += dh
+            b = np.frombuffer(padded[i], dtype=np.uint8)
+            at = place[:, None] + np.arange(WIDTH)
+            x = np.empty((FILTERS, WIDTH, EMBED + 1), dtype=np.float32)
+            x[:, :, :EMBED] = net.table[b[at]]
+            lo = np.maximum(place - LAGS - MATCH, 0)
+            for f in range(FILTERS):
+                x[f, :, EMBED] = repeats(b[lo[f]:place[f] + WIDTH])[place[f] - lo[f]:]
+            grads[1] += (x.reshape(FILTERS, -1) * dh[:, None]).T
+            back = (net.filters.T * dh[:, None]).reshape(FILTERS, WIDTH, EMBED + 1)[:, :, :EMBED]
+            np.add.at(grads[0], b[at].ravel(), back.reshape(-1, EMBED))
+        new = []
+        for k, (p, g) in enumerate(zip(net.parts(), grads, strict=True)):
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            move = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            new.append((p - move).astype(np.float32))
+        net = Network(*new[:4], float(new[4][0]))
     return net
 
 
