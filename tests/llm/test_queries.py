@@ -1,0 +1,25 @@
+"""The registered operator queries against their SQL, on a driver table."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+from shelfproof.llm.queries import ORACLES, QUERIES
+from tools import check
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    got, names = check.rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got
+    if name in ORACLES:
+        db = duckdb.connect()
+        for t in check.TABLES:
+            db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        res = db.sql(ORACLES[name])
+        want, wanted = check.rows_of(res.columns, res.fetchall())
+        assert names == wanted and got == want
