@@ -276,8 +276,8 @@ def groups(docs: DataFrame, print_col: str, id_col: str = "doc_id", radius: int
     named = firsts.join(roots, F.col("v") == F.col("node"), "left").select(
         "v", "_first", F.coalesce("root", "v").alias("_root"))
     best = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = stored(named.join(best, "_root").select("v", "component_id"), "groups")
-    return docs.drop("component_id").join(named, F.col(print_col) == F.col("v")).drop("v")
+    named = stored(named.join(best, "_root").select(F.col("v").alias("_sim_v"), "component_id"), "groups")
+    return docs.drop("component_id").join(named, F.col(print_col) == F.col("_sim_v")).drop("_sim_v")
 
 
 #: Near-duplicates of whole texts: words of a shingle, similarity, bits of a fingerprint.

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+")
 MIN_WORDS = 10
@@ -114,11 +115,11 @@ def _cut(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [one(t, set(p or ())) for t, p in zip(b.column("_text").to_pylist(), b.column("_places").to_pylist(),
+            out = [one(t, set(p or ())) for t, p in zip(b.column("_unit_text").to_pylist(), b.column("_unit_places").to_pylist(),
                                                         strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-            keep = [n for n in b.schema.names if n not in ("_text", "_places")]
+            keep = [n for n in b.schema.names if n not in ("_unit_text", "_unit_places")]
             yield pa.RecordBatch.from_arrays(
                 [b.column(n) for n in keep] + [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)],
                 names=[*keep, *NEW])
@@ -133,12 +134,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``kept_text`` and what was removed: units, words, and spans ``start-end`` of the original."""
     docs = docs.drop(*NEW)
-    places = repeats(docs, id_col, text_col).groupBy("id").agg(F.collect_set("place").alias("_places"))
-    full = docs.join(places, F.col(id_col).eqNullSafe(F.col("id")) if "id" not in docs.columns else
-                     docs[id_col].eqNullSafe(places["id"]), "left").select(
-        *[docs[c] for c in docs.columns], F.col(text_col).cast("string").alias("_text"), "_places")
-    from pyspark.sql import types as T
-
+    places = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_unit_id")).agg(
+        F.collect_set("place").alias("_unit_places"))
+    full = docs.withColumn("_unit_text", F.col(text_col).cast("string")).join(
+        places, F.col(id_col).eqNullSafe(F.col("_unit_id")), "left").drop("_unit_id")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),
                            T.StructField("n_units", T.IntegerType()), T.StructField("n_removed", T.IntegerType()),
                            T.StructField("removed_words", T.LongType()), T.StructField("removed", T.StringType())])
