@@ -10,14 +10,16 @@ of fewer than ``WIDTH`` words is one shingle, a text without words none; NULL is
 ``likeness`` is the share that the smaller fingerprint has in common with the larger one, 1 if
 both are equal (also if both are empty) and 0 if only one is empty.
 
-``with_next`` finds each document's successor in descending order of ids: rows are range
-partitioned, each partition's first row is also given to the partition before it, and a
-window within each partition does the rest.  Rows that repeat an id are ordered by a hash of their texts; NULL ids
+``with_next`` finds each document's successor in descending order of ids (whole numbers): ids are cut into buckets
+at approximate quantiles, each bucket's first row is also given to the bucket before it, and a
+window within each bucket does the rest, so texts are moved once.  Rows that repeat an id are ordered by a hash of their texts; NULL ids
 come last.  A single document is its own successor.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,39 +64,41 @@ def likeness(a: Column, b: Column) -> Column:
         F.size(F.array_intersect(a, b)).cast("double") / least)
 
 
-def with_next(docs: DataFrame, id_col: str, value: str, out: str) -> DataFrame:
-    """Adds ``out``: ``value`` of the next row in descending order of ids, after the last of the first."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(id_col).desc_nulls_last(), F.col("_tie")]
-    ranged = docs.withColumn("_tie", F.xxhash64(value)).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    firsts = ranged.groupBy("_part").agg(F.max(F.struct(F.col(id_col).isNotNull().alias("there"),
-                                                        F.col(id_col).alias("id"))).alias("_id"))
-    firsts = firsts.select("_part", F.col("_id.id").alias("_id"))
-    # The partition that each partition's first row also goes to; the very first row goes to the last one.
-    around = Window.orderBy("_part")
-    to = firsts.withColumn("_to", F.coalesce(F.lag("_part").over(around), F.max("_part").over(
-        Window.partitionBy()))).select("_part", "_to", "_id")
-    at = Window.partitionBy("_part").orderBy(*order)
-    heads = (ranged.join(F.broadcast(to.withColumnRenamed("_part", "_p")),
-                         (F.col("_part") == F.col("_p")) & F.col(id_col).eqNullSafe(F.col("_id")))
-             .withColumn("_n", F.row_number().over(at)).where(F.col("_n") == 1))
-    heads = heads.select(*docs.columns, "_tie", F.col("_to").alias("_part"), F.lit(True).alias("_guest"))
-    rows = ranged.withColumn("_guest", F.lit(False)).unionByName(heads)
-    place = Window.partitionBy("_part").orderBy("_guest", *order)
-    return rows.withColumn(out, F.lead(value).over(place)).where(~F.col("_guest")).drop("_part", "_guest", "_tie")
+def with_next(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """Adds ``out``: the text of the next row in descending order of ids, after the last that of the first."""
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)])).first()[0] or []
+    cuts = sorted(set(cuts), reverse=True)  # fewer than the buckets
+    wide = math.isqrt(len(cuts)) + 1
+    fine, coarse = (F.array(*map(F.lit, c)).cast("array<long>") for c in (cuts, cuts[wide - 1::wide]))
+    above = lambda some: F.size(F.filter(some, lambda c: c > F.col(id_col)))
+    whole = above(coarse) * wide
+    bucket = F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(
+        whole + above(F.slice(fine, whole + 1, F.lit(wide)))).cast("int")
+    rows = docs.withColumns({"_tie": F.xxhash64(text_col), "_bucket": bucket})
+    firsts = rows.groupBy("_bucket").agg(F.max(F.struct(
+        F.col(id_col).isNotNull().alias("there"), F.col(id_col).alias("id"), F.bitwise_not("_tie").alias("tie"))).alias("_f"))
+    # A row a bucket: the bucket before it also gets its first row; the very first row goes to the last bucket.
+    to = F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy()))
+    firsts = firsts.select(to.alias("_to"), F.col("_f.id").alias("_id"), F.bitwise_not(F.col("_f.tie")).alias("_first"))
+    guests = rows.join(F.broadcast(firsts), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_first")))
+    guests = guests.withColumn("_bucket", F.col("_to")).select(*rows.columns, F.lit(True).alias("_guest"))
+    place = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_col).desc_nulls_last(), "_tie")
+    both = rows.withColumn("_guest", F.lit(False)).unionByName(guests)
+    return both.withColumn(out, F.lead(text_col).over(place)).where(~F.col("_guest")).drop("_tie", "_bucket", "_guest")
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likenesses; see ``queries.op6_fingerprints``."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.select("id", F.struct(F.col("text"), sketch(F.col("text")).alias("kept")).alias("doc"))
-    pair = with_next(own, "id", "doc", "next")
-    n = F.length("doc.text")
+    pair = with_next(own, "id", "text", "next")
+    n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    changed = F.concat(F.substring("doc.text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut))
-    pair = pair.select("id", n.cast("long").alias("n_chars"), changed.alias("changed"), F.col("doc.kept").alias("kept"),
-                       likeness(F.col("doc.kept"), F.col("next.kept")).alias("near_next"))
+    changed = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut))
+    pair = pair.select("id", n.cast("long").alias("n_chars"), changed.alias("changed"), sketch(F.col("text")).alias("kept"),
+                       sketch(F.col("next")).alias("kept_next"))
     pair = pair.withColumn("kept_edited", sketch(F.col("changed")))
     return pair.select(F.col("id").alias(id_col), "n_chars", F.sha2("changed", 256).alias("edited_sha256"),
                        shown(F.col("kept")).alias("fingerprint"), shown(F.col("kept_edited")).alias("edited_fingerprint"),
-                       likeness(F.col("kept"), F.col("kept_edited")).alias("near_edited"), "near_next")
+                       likeness(F.col("kept"), F.col("kept_edited")).alias("near_edited"),
+                       likeness(F.col("kept"), F.col("kept_next")).alias("near_next"))
