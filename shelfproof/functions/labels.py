@@ -111,8 +111,8 @@ def histogram_share(c: Column, language="de") -> Column:
     def build(lang: str) -> Column:
         pattern = IU + L.HISTOGRAM_LABEL[lang]
         return F.when(matches(c, pattern), F.struct(
-            group(c, pattern, 2).cast("int").alias("stars"),
-            group(c, pattern, 1).cast("int").alias("percent")))
+            group(c, pattern, 2).try_cast("int").alias("stars"),
+            group(c, pattern, 1).try_cast("int").alias("percent")))
 
     return per_language(language, build)
 

@@ -94,7 +94,7 @@ def number(c: Column, decimal=",") -> Column:
 
 def whole_number(c: Column, decimal=",") -> Column:
     """The first number when it has no fraction, else NULL."""
-    return let(number(c, decimal), lambda n: F.when(n == F.floor(n), n.cast("bigint")))
+    return let(number(c, decimal), lambda n: F.when(n == F.floor(n), n.try_cast("bigint")))
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -137,7 +137,14 @@ def word_pattern(stem, language) -> Column:
                   F.raise_error(lit("word stem must not be empty"))).otherwise(pattern)
 
 
+ISO_STAMP = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def timestamp(c: Column) -> Column:
-    """ISO stamp in UTC; a missing or unreadable stamp is older than any real one."""
-    return F.coalesce(F.try_to_timestamp(F.nullif(F.trim(c), lit(""))),
+    """ISO stamp in UTC; a missing or unreadable stamp is older than any real one.
+
+    A date must be whole: a time or a year alone says nothing and does not become today or 1 January.
+    """
+    dashed = F.regexp_replace(F.trim(c), r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    return F.coalesce(F.when(dashed.rlike(ISO_STAMP), F.try_to_timestamp(F.translate(dashed, ",", "."))),
                       lit("0001-01-01 00:00:00").cast("timestamp"))

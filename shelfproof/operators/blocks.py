@@ -145,13 +145,24 @@ def image_records(html: Column) -> Column:
     """The gallery's records, quoted as a script string or written as a literal."""
     # Two shapes: a quoted string with script escapes, and a plain array.
     start = r"""['"]colorImages['"]\s*:\s*\{\s*['"]initial['"]\s*:\s*"""
-    quoted = group(html, r"(?s)" + start + r"A\.\$\.parseJSON\(\s*'(.*?)(?<!\\)'\s*\)", 1)
-    decoded = F.replace(F.replace(F.replace(quoted, lit("\\'"), lit("'")), lit('\\"'), lit('"')),
-                        lit("\\\\"), lit("\\"))
+    # A label may hold what looks like the end of the string, so every end within the script is tried, the
+    # first that leaves whole JSON is taken.
+    rest = F.regexp_replace(group(html, r"(?s)" + start + r"A\.\$\.parseJSON\(\s*'(.*?)(?:</script|\z)", 1), r"'\s+\)", "')")
+
+    def decoded(quoted: Column) -> Column:
+        return F.from_json(F.replace(F.replace(F.replace(quoted, lit("\\'"), lit("'")), lit('\\"'), lit('"')),
+                                     lit("\\\\"), lit("\\")), IMAGES)
+
+    def ends(text: Column) -> Column:
+        n = F.size(F.split(text, r"'\)")) - 1
+        tried = F.transform(F.when(n > 0, F.sequence(lit(1), n)).otherwise(F.array().cast("array<int>")),
+                            lambda i: decoded(F.call_function("substring_index", text, lit("')"), i)))
+        return F.get(F.filter(tried, lambda v: v.isNotNull()), lit(0))
+
     literal = F.substr(html, F.regexp_instr(html, lit(start + r"\["))
                        + F.length(F.regexp_extract(html, start + r"\[", 0)) - 1)
     return F.coalesce(
-        F.from_json(decoded, IMAGES),
+        let(rest, ends),
         F.when(matches(html, start + r"\["), F.from_json(literal, IMAGES)))
 
 
@@ -215,7 +226,7 @@ def variation_matrix(html: Column) -> Column:
             json("variationDisplayLabels", "map<string, string>").alias("display_labels"),
             json("dimensionValuesDisplayData", "map<string, array<string>>").alias("values_by_asin"),
             string("currentAsin").alias("current_asin"), string("parentAsin").alias("parent_asin"),
-            group(rest("num_total_variations"), r'^"?(\d+)', 1).cast("int").alias("total_variations"))
+            group(rest("num_total_variations"), r'^"?(\d+)', 1).try_cast("int").alias("total_variations"))
 
     return F.when(anchor > 0, let(chunk, read))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +29,15 @@ BASIS = r"(?i)(?:pro|per|/)\s*100\s*(?:g|ml|gramm)|100\s*g\b"
 KJ_PER_KCAL = 4.184
 
 
+def plain_host(host: str) -> str:
+    return host.strip().lower().rstrip("/").split("://")[-1].removeprefix("www.")
+
+
 class _Profile:
     """The one marketplace a run belongs to."""
 
     def __init__(self, host: str) -> None:
-        key = host.strip().lower().rstrip("/").split("://")[-1].removeprefix("www.")
-        self.language, self.currency, self.decimal, self.home = L.MARKETPLACES.get(key, L.FALLBACK)
+        self.language, self.currency, self.decimal, self.home = L.MARKETPLACES.get(plain_host(host), L.FALLBACK)
 
 
 # --- price and rating -----------------------------------------------------------
@@ -105,7 +108,7 @@ def rating(vis: Column, els: Column, p: _Profile) -> Column:
     counted = P.first_text(vis, els, ("#acrCustomerReviewText",), ("div [data-hook=total-review-count]",))
     return let(F.struct(text.alias("t"), counted.alias("c")), lambda x: F.when(
         (x["t"] != "") | (x["c"] != ""), F.struct(
-            number(x["t"], p.decimal).alias("value"), number(x["c"], p.decimal).cast("bigint").alias("count"),
+            number(x["t"], p.decimal).alias("value"), number(x["c"], p.decimal).try_cast("bigint").alias("count"),
             x["t"].alias("text"), x["c"].alias("count_text"))))
 
 
@@ -129,7 +132,7 @@ def package(attributes: Column, title: Column, p: _Profile) -> Column:
         refiled = q["unit_count"].isNull() & q["item_count"].isNotNull()
         unit_count = F.coalesce(q["unit_count"], q["item_count"])
         count = F.when(q["item_count"].isNull(), number(raw("item_count"), p.decimal))
-        count = F.when(count >= 1, count.cast("int"))
+        count = F.when(count >= 1, count.try_cast("int"))
         item, whole = q["item_weight"], q["package_weight"]
 
         def total(amount: Column, source: str, unit: Column) -> Column:
@@ -401,23 +404,39 @@ def accepted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return content, refused
 
 
+#: Manifests that are sent to every task; each is a run id and three short texts.
+MANIFESTS = 20_000
+
+
 def reextract(pages: DataFrame, run: DataFrame, host: str, feed: DataFrame | None = None) -> DataFrame:
     """Extract retained pages again and give them the lineage of the crawl that found them.
 
-    ``pages`` is (asin, run_id, html, fetched_at); ``run`` the manifests.  The
-    manifest side is one row per run and is joined on the run id; Spark sizes
-    that join.  Pages that could not be read keep their row with ``page_error``.
+    ``pages`` is (asin, run_id, html, fetched_at); ``run`` the manifests.  A page is read by the
+    rules of its manifest's marketplace; ``host`` is for pages whose run has none.  Manifests are one
+    small row per run and go to the pages (checked against ``MANIFESTS``), so pages are not
+    moved for them.  The feed is joined to the listings.  Pages that could not be read keep their
+    row with ``page_error``.
     """
-    about = run.select("run_id", F.col("marketplace").alias("_marketplace"),
-                       F.col("locale.language").alias("_locale"),
-                       F.col("locale.accept_language").alias("_accept"))
+    about = run.groupBy("run_id").agg(F.max(F.struct(
+        F.col("marketplace").alias("_marketplace"), F.col("locale.language").alias("_locale"),
+        F.col("locale.accept_language").alias("_accept"))).alias("_m")).select("run_id", "_m.*")
+    known = [h for h in L.MARKETPLACES]
+    place = LB.host_key(F.col("_marketplace"))
+    seen = {r[0] for r in about.select(F.when(place.isin(known), place)).distinct().collect()}  # at most every known one
+    about = F.broadcast(about) if run.count() <= MANIFESTS else about
     base = pages.join(about, "run_id", "left")
     link = F.concat(lit("https://"), F.col("_marketplace"), lit("/dp/"), F.col("asin"))
     base = base.select(
         "asin", "run_id", "html", "fetched_at", F.coalesce("_marketplace", lit("")).alias("marketplace"),
         link.alias("product_url"), link.alias("canonical_url"), F.coalesce("_locale", lit("")).alias("locale"),
         F.coalesce("_accept", lit("")).alias("accept_language"))
-    records = extract(base, host)
+    shop = F.coalesce(F.nullif(F.col("marketplace"), lit("")), lit(host))
+    key = LB.host_key(shop)
+    named = sorted(h for h in seen | {plain_host(host)} if h in known)
+    parts = [extract(base.where(key == h), h) for h in named]
+    if None in seen or not parts or plain_host(host) not in known:
+        parts.append(extract(base.where(~F.coalesce(key.isin(named), lit(False))), ""))
+    records = reduce(DataFrame.unionByName, parts)
     return records if feed is None else merge.lineage(records, feed, [f for f in CRAWL_FIELDS if f in feed.columns
                                                                       and f != "asin"])
 

@@ -74,10 +74,10 @@ def _bare_counts(text: Column) -> Column:
 
 
 def _hints_in(field: str, text: Column) -> Column:
-    """Every counted statement of content in one text."""
+    """Every counted statement of content in one text; a pack of nought grams states nothing."""
     def counted(pattern: str, count, amount: int, unit: int) -> Column:
         return F.transform(_all(text, pattern), lambda m: _hint(
-            count(m).cast("double") * _grams(group(m, pattern, amount), group(m, pattern, unit)),
+            count(m).cast("double") * F.nullif(_grams(group(m, pattern, amount), group(m, pattern, unit)), lit(0.0)),
             field, m))
 
     per_unit = _grams(group(text, ANY_WEIGHT, 1), group(text, ANY_WEIGHT, 2))

@@ -10,11 +10,6 @@ from shelfproof.functions.values import lit, number_text
 from shelfproof.operators import variation
 from shelfproof.session import cut_lineage
 
-#: Rows one task may sort for a single group before the ranged plan is used.
-GROUP_ROWS = 2_000_000
-#: Winners small enough to send to every task.
-BROADCAST_ROWS = 10_000
-
 
 def pack_size(size_label: Column, quantity: Column) -> Column:
     """The shop's own label, else the checked content in the larger unit when it fits."""
@@ -95,7 +90,7 @@ def rank(cards: DataFrame, axis: str, better: str = "lower", require=(), limit:
     """The ranking: winners and, under each, the other packs of the same offer.
 
     ``fold`` adds the other packs.  They are found by joining the listings with
-    the ``limit`` winning offers; that side is broadcast while the limit is small.
+    the ``limit`` winning offers; Spark sizes that join.
     """
     placed = place(requiring(matching(cards), require), axis, better, order, keep and fold)
     winners = top(placed, limit)
@@ -103,7 +98,6 @@ def rank(cards: DataFrame, axis: str, better: str = "lower", require=(), limit:
     if not fold:
         return winners.select(*shown, "listings", (F.col("rankable") - 1).alias("folded"))
     heads = winners.select("offer_id", "position", F.col("ord").alias("_best"))
-    heads = F.broadcast(heads) if limit <= BROADCAST_ROWS else heads
     return (placed.where("is_usable").join(heads, "offer_id")
             .withColumn("is_best", F.col("ord") == F.col("_best"))
             .withColumn("value", F.col("v.value")).withColumn("unit", F.col("v.unit"))
@@ -130,31 +124,22 @@ def excluded_head(placed: DataFrame, shown: int = 10) -> DataFrame:
         .where("_shown").select("asin", "status", "reason", "excluded_total")
 
 
-def numbered(df: DataFrame, keys: list[str], sort: list[str], name: str = "rank",
-             group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Exact ``row_number`` per group, also when one group holds much of the data.
+def numbered(df: DataFrame, keys: list[str], sort: list[str], name: str = "rank") -> DataFrame:
+    """Exact ``row_number`` (BIGINT) per group, also when one group holds much of the data.
 
-    The largest group is measured first.  Where one task can sort it, this is a
-    plain window.  Otherwise rows are range-partitioned by (keys, sort), kept
-    in a reliable checkpoint so that both uses below see the same ranges,
-    numbered within each range, and shifted by the rows of the same group in
-    earlier ranges.  Only groups that cross a range border need a shift: at
-    most one per partition, which bounds the broadcast.
+    Rows are range-partitioned by (keys, sort), kept in a reliable checkpoint so that both uses below see the same
+    ranges, numbered within each range, and shifted by the rows of the same group in earlier ranges.  Only groups that cross
+    a range border need a shift: at most two per range.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                -(-largest // group_rows) * 2)
-    ranged = cut_lineage(df.repartitionByRange(parts, *keys, *sort)
-                         .withColumn("_range", F.spark_partition_id()))
-    local = ranged.withColumn("_local", F.row_number().over(
-        Window.partitionBy("_range", *keys).orderBy(*sort)))
+    ranged = cut_lineage(df.repartitionByRange(*keys, *sort).withColumn("_range", F.spark_partition_id()))
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*sort)))
     counts = ranged.groupBy(*keys, "_range").agg(F.count(lit(1)).alias("_n"))
-    crossing = counts.groupBy(*keys).agg(F.count(lit(1)).alias("_k")).where("_k > 1").drop("_k")
-    shifts = counts.join(F.broadcast(crossing), keys).withColumn(
-        "_shift", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(
-            Window.unboundedPreceding, -1)), lit(0))).drop("_n")
-    return (local.join(F.broadcast(shifts), [*keys, "_range"], "left")
-            .withColumn(name, (F.col("_local") + F.coalesce("_shift", lit(0))).cast("int"))
-            .drop("_range", "_local", "_shift"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.sum("_n").over(earlier)).where("_shift IS NOT NULL").drop("_n").select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_in"), "_shift")
+    same = F.col("_range") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return (local.join(shifts, same, "left")
+            .withColumn(name, F.col("_local").cast("bigint") + F.coalesce("_shift", lit(0)))
+            .drop("_range", "_local", "_shift", "_in", *[f"_of_{k}" for k in keys]))

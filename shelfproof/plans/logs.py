@@ -134,12 +134,15 @@ def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("asin"), "event_id", "ts", "value")
 
 
-@query("stream_distinct_sightings", LOG_SQL + "SELECT DISTINCT run_id, asin FROM log")
+@query("stream_distinct_sightings", LOG_SQL + """
+SELECT run_id, asin, query, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, asin ORDER BY ts, event_id) AS r FROM log) WHERE r = 1""")
 def stream_distinct_sightings(spark: SparkSession, sf: str) -> DataFrame:
     out = views.scratch(spark, "distinct-sightings")
-    once = jobs.distinct_sightings(_log_stream(spark, sf), seen_at="ts").select("run_id", "asin")
-    jobs.run_to_table(once, f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(once.schema).parquet(f"{out}/table")
+    once = jobs.distinct_sightings(_log_stream(spark, sf), ["query", "event_id"], seen_at="ts", order="event_id")
+    jobs.run_batches(once, f"{out}/checkpoint", jobs.upsert_to(f"{out}/updates"), "update").awaitTermination()
+    return jobs.latest(spark.read.parquet(f"{out}/updates"), "run_id", "asin").select(
+        "run_id", "asin", "first.query", "first.event_id")
 
 
 @query("stream_query_budget", """

@@ -7,13 +7,13 @@ are left out.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfproof.functions.values import lit
 from shelfproof.schema import LISTING
+from shelfproof.session import shared_folder
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,10 +33,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's output, in the shared folder the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix=f"shelfproof-{name}-")
+    return f"{shared_folder(spark)}/{name}-{os.urandom(6).hex()}"
 
 
 def listing(df: DataFrame, **columns: Column) -> DataFrame:

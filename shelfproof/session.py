@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,26 @@ def build(master: str | None = None, app: str = "shelfproof", **extra: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    On one machine (``local[n]``) without it, a new temporary folder; on a cluster its absence is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="shelfproof-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where nothing is
-    set (unit tests on one machine) does this pick a folder of its own.
+    ``spark.checkpoint.dir`` is read from the session.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shelfproof-checkpoint-",
-                                                            dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -25,9 +25,12 @@ def write_manifests(runs: DataFrame, stats: DataFrame, path: str) -> None:
     """Manifests with their scalar stats, one JSON line per run.
 
     ``stats`` is (run_id, key, value).  It is reduced to one row per stat before
-    the map of a run is built, so a map is as large as the list of stat names.
+    the map of a run is built, so a map is as large as the list of stat names.  Of a stat given
+    more than once the last by ``ord`` counts; without an order the largest number, then the last text.
     """
-    last = stats.where(F.col("value").isNotNull()).groupBy("run_id", "key").agg(F.max("value").alias("value"))
+    rank = F.col("ord") if "ord" in stats.columns else F.struct(
+        F.col("value").cast("string").try_cast("double").alias("number"), F.col("value").cast("string").alias("text"))
+    last = stats.where(F.col("value").isNotNull()).groupBy("run_id", "key").agg(F.max_by("value", rank).alias("value"))
     maps = last.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct("key", F.col("value").cast("string").alias("value"))))).alias("stats"))
     runs.drop("stats").join(maps, "run_id", "left").write.mode("overwrite").json(path)
@@ -49,9 +52,9 @@ def read_pages(spark: SparkSession, folder: str, run_id: str | None = None) -> D
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Page table with identifiers redacted, one folder per run."""
+    """Page table with identifiers redacted, one folder per run; runs already there stay."""
     P.redact_pages(pages.where((F.col("asin") != "") & (F.col("html") != ""))) \
-        .write.mode("overwrite").partitionBy("run_id").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_sightings(spark: SparkSession, path: str) -> DataFrame:

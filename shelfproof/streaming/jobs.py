@@ -17,10 +17,13 @@ from shelfproof.functions.values import lit
 from shelfproof.session import cut_lineage
 
 
-def distinct_sightings(log: DataFrame, keys=("run_id", "asin"), seen_at: str = "seen_at_ts",
-                       run_length: str = "2 days") -> DataFrame:
-    """First sighting of a product per run.  ``run_length`` must exceed a run."""
-    return log.withWatermark(seen_at, run_length).dropDuplicatesWithinWatermark(list(keys))
+def distinct_sightings(log: DataFrame, columns: list[str], keys=("run_id", "asin"), seen_at: str = "seen_at_ts",
+                       order: str = "position") -> DataFrame:
+    """First sighting of a product per run as state, so that one that arrives late but was seen earlier wins.
+
+    Combined on the map side; run in update mode and read with ``latest``.
+    """
+    return log.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(seen_at, order)).alias("first"))
 
 
 def freshest(captures: DataFrame, key: str, stamp: str, order: str, columns: list[str]) -> DataFrame:
@@ -62,9 +65,9 @@ def upsert_to(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest(updates: DataFrame, key: str) -> DataFrame:
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
     """The newest update of each key."""
-    newest = Window.partitionBy(key).orderBy(F.desc("batch_id"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
     return updates.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r", "batch_id")
 
 
