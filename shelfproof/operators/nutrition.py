@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,34 +223,32 @@ def of(values: Column, key: str) -> Column:
     return F.get(F.filter(values, lambda e: e["key"] == key), lit(0))["v"]
 
 
-def validate_long(nutrients: DataFrame, keys=("asin",), limits: DataFrame | None = None) -> DataFrame:
+def validate_long(nutrients: DataFrame, keys=("asin",), limits: dict | None = None) -> DataFrame:
     """The same rules over a long table (keys, key, amount, unit, source, derived, basis_confirmed).
 
-    The facts the rules need per listing come from two map-side combined
-    aggregates joined back on the listing key; no listing's rows are collected.
-    ``limits`` is a small table (key, low, high).
+    The facts the rules need per listing are windows over the listing key, so rows move once.
+    ``limits`` gives (low, high) by nutrient; a nutrient outside the known ones is read as stated.
     """
     keys = list(keys)
     macro = F.col("key").isin(*MACROS)
     allowed = reduce(lambda acc, kv: acc | ((F.col("key") == kv[0]) & F.lower("unit").isin(*kv[1])),
-                     FIELD_UNITS.items(), lit(False))
+                     FIELD_UNITS.items(), ~F.col("key").isin(*FIELD_UNITS))
     rows = nutrients.withColumn("known", F.coalesce(
         (F.coalesce(F.col("unit"), lit("")) == "") | allowed, lit(False)) & F.col("amount").isNotNull())
-    if limits is not None:
-        rows = rows.join(limits, "key", "left")
-    else:
-        rows = rows.withColumn("low", lit(None).cast("double")).withColumn("high", lit(None).cast("double"))
+    band = lambda i: cases(*[(F.col("key") == k, lit(float(b[i]))) for k, b in (limits or {}).items()],
+                           otherwise=lit(None).cast("double"))
+    rows = rows.withColumns({"low": band(0), "high": band(1)})
     rows = rows.withColumn("out_of_band", F.coalesce(
         (F.col("amount") < F.col("low")) | (F.col("amount") > F.col("high")), lit(False)) & F.col("known"))
-    facts = rows.groupBy(*keys).agg(
-        F.sum(F.when(macro & F.col("known"), F.col("amount")).otherwise(0.0)).alias("mass"),
-        F.sum(F.when(macro & F.col("known"), F.col("amount") * _energy_factor(F.col("key")))
-              .otherwise(0.0)).alias("implied"),
-        F.max(F.when((F.col("key") == "energy_kcal") & F.col("known"), F.col("amount"))).alias("energy"),
-        F.count_if((F.col("key") != "energy_kj") & F.col("known")).alias("checkable"),
-        F.coalesce(F.bool_or(F.col("out_of_band") & (macro | (F.col("key") == "energy_kcal"))),
-                   lit(False)).alias("band_hit"))
-    joined = rows.join(facts, keys)
+    listing = Window.partitionBy(*keys)
+    joined = rows.withColumns({
+        "mass": F.sum(F.when(macro & F.col("known"), F.col("amount")).otherwise(0.0)).over(listing),
+        "implied": F.sum(F.when(macro & F.col("known"), F.col("amount") * _energy_factor(F.col("key")))
+                         .otherwise(0.0)).over(listing),
+        "energy": F.max(F.when((F.col("key") == "energy_kcal") & F.col("known"), F.col("amount"))).over(listing),
+        "checkable": F.sum(F.when((F.col("key") != "energy_kj") & F.col("known"), 1).otherwise(0)).over(listing),
+        "band_hit": F.coalesce(F.max(F.col("out_of_band") & (macro | (F.col("key") == "energy_kcal"))).over(listing),
+                               lit(False))})
     heavy = F.col("mass") > MASS_LIMIT
     clash = F.coalesce((F.col("implied") != 0)
                        & (gap(F.col("implied"), F.col("energy")) > ENERGY_TOLERANCE), lit(False))

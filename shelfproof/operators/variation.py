@@ -49,13 +49,16 @@ def family(variation: Column) -> Column:
 
 def signature(variation: Column, asin: Column) -> Column:
     """What tells a member from its siblings apart from the pack size."""
-    pairs = F.arrays_zip(variation["dimensions"].alias("dimension"),
-                         _values(variation, asin).alias("value"))
+    return _signature(variation["dimensions"], F.try_element_at(variation["values_by_asin"], asin))
+
+
+def _signature(dimensions: Column, values: Column) -> Column:
+    """The signature of a member with these values; empty when they do not line up with the dimensions."""
+    pairs = F.arrays_zip(dimensions.alias("dimension"), values.alias("value"))
     other = F.filter(pairs, lambda d: ~d["dimension"].isin(*SIZE_DIMENSIONS))
     folded = F.transform(other, lambda d: F.replace(
         F.lower(F.trim(F.regexp_replace(d["value"], PACK_SUFFIX, ""))), lit("ß"), lit("ss")))
-    return F.when(_values(variation, asin).isNull(), F.array().cast("array<string>")) \
-            .otherwise(F.coalesce(folded, F.array().cast("array<string>")))
+    return F.when(F.size(values) == F.size(dimensions), folded).otherwise(F.array().cast("array<string>"))
 
 
 def offer_key(variation: Column, asin: Column) -> Column:
@@ -67,15 +70,19 @@ def offer_key(variation: Column, asin: Column) -> Column:
 def offer_index(records: DataFrame, order: str = "ord") -> DataFrame:
     """``asin -> offer`` pooled from every matrix; the first record to claim an id wins.
 
-    One row per family member, then a map-side combined ``min_by`` per id, so a
-    family that appears on very many records costs no more than its members.
+    Records that show the same matrix count once, by its digest.  A matrix's family is worked out once, and each of
+    its entries gives a row of member and offer, so the matrix itself is not repeated and the work is linear in
+    its members.  A map-side combined ``min_by`` per id follows.
     """
-    claims = (records
-              .where(has_matrix(F.col("variation")) & family(F.col("variation")).isNotNull())
-              .select(F.explode(siblings(F.col("variation"))).alias("member"),
-                      "variation", F.col(order).alias("_claim"))
-              .select("member", "_claim", F.to_json(
-                  offer_key(F.col("variation"), F.col("member"))).alias("offer")))
+    shown = (records.where(has_matrix(F.col("variation")) & family(F.col("variation")).isNotNull())
+             .select("variation", F.col(order).alias("_claim"))
+             .groupBy(F.sha2(F.to_json("variation"), 256).alias("_digest"))
+             .agg(F.min("_claim").alias("_claim"), F.first("variation").alias("variation")))
+    entries = F.map_entries("variation.values_by_asin")
+    offers = let(F.struct(family(F.col("variation")).alias("family"), F.col("variation.dimensions").alias("dimensions")),
+                 lambda m: F.transform(entries, lambda e: F.struct(e["key"].alias("member"), F.to_json(F.struct(
+                     m["family"].alias("family"), _signature(m["dimensions"], e["value"]).alias("signature"))).alias("offer"))))
+    claims = shown.select("_claim", F.explode(offers).alias("_o")).select("_claim", "_o.member", "_o.offer")
     return claims.groupBy("member").agg(F.min_by("offer", "_claim").alias("offer"))
 
 

@@ -59,8 +59,6 @@ def nutrition_values(spark: SparkSession, sf: str) -> DataFrame:
     blocks = wide.select("asin", F.struct(
         lit("nutrition_card").alias("source"), lit("100 g").alias("basis_text"), F.map_from_entries(stated).alias("per_100g"),
         lines.alias("rows"), F.expr("cast(array() as array<string>)").alias("derived")).alias("block"))
-    # Compact rows of one aggregate, dealt out because the rules cost more than the rows.
-    blocks = blocks.repartition(spark.sparkContext.defaultParallelism)
     checked = nutrition.validate(blocks, BANDS, "shelf", block="block")
     return unfold(checked, F.col("nutrition"), "e", "asin").select(
         "asin", "e.key", "e.v.value", "e.v.status",
@@ -70,8 +68,7 @@ def nutrition_values(spark: SparkSession, sf: str) -> DataFrame:
 @query("nutrition_long", NUTRIENTS_SQL + """
 SELECT asin, key, amount, status, mass, implied, checkable FROM checked""")
 def nutrition_long(spark: SparkSession, sf: str) -> DataFrame:
-    limits = spark.createDataFrame([(k, *b) for k, b in BANDS.items()], "key string, low double, high double")
-    return nutrition.validate_long(views.nutrient_table(spark, sf), limits=limits).drop("unit")
+    return nutrition.validate_long(views.nutrient_table(spark, sf), limits=BANDS).drop("unit")
 
 
 def _rated(spark: SparkSession, sf: str) -> DataFrame:

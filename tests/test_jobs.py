@@ -157,8 +157,7 @@ def test_nested_and_long_nutrition_agree(spark):
         "asin", F.explode("nutrition").alias("e")).select("asin", "e.key", "e.v.status").collect()}
     table = spark.createDataFrame(rows, "asin int, key string, amount double, unit string, source string, derived boolean,"
                                         " basis_confirmed boolean")
-    bands = spark.createDataFrame([(k, *b) for k, b in limits.items()], "key string, low double, high double")
-    two = {(r.asin, r.key): r.status for r in nutrition.validate_long(table, limits=bands).collect()}
+    two = {(r.asin, r.key): r.status for r in nutrition.validate_long(table, limits=limits).collect()}
     assert one == two and len(set(one.values())) == 4
 
 
