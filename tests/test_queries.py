@@ -1,12 +1,7 @@
-"""Registered queries against their SQL.
-
-By default the queries that plan quickly; ``SHELFPROOF_ALL=1`` runs every one.
-"""
+"""Registered queries against their SQL, all of them but the operators of ``llm``, which have their own tests."""
 
 from __future__ import annotations
 
-import os
-
 import duckdb
 import pytest
 
@@ -14,9 +9,6 @@ import __spark_entry__ as E
 from tools import check
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("page_extract", "page_coverage", "page_block_status", "page_source_counts", "page_reextract", "page_run_report",
-        "pasta_cards", "pasta_summary", "paste_cards", "rice_cards", "ranked_members", "excluded_head", "card_facts",
-        "card_sections", "card_json", "validated_json", "rank_winners_with_claim", "stream_validation")
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +19,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if os.environ.get("SHELFPROOF_ALL") or n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in E.queries() if n not in E.LLM])
 def test_query_equals_its_sql(spark, db, name):
     df = E.queries()[name](spark, SF)
     got, names = check.rows_of(df.columns, [tuple(r) for r in df.collect()])
