@@ -155,7 +155,8 @@ def junk(i: int) -> str:
     return " ".join(w.upper() + "!!" for w in words) if i % 2 else "### ".join(words)
 
 
-def test_quality(spark, docs, empty):
+def test_quality(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 120)
     rows = [(i, junk(i) if i % 3 == 0 else prose(i, 40)) for i in range(150)] + [(900, None), (901, "")]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
     marks = [(i, 0 if i % 3 == 0 else 1) for i in range(150)] + [(0, 0), (None, 1), (5, None), (900, 1)]
@@ -442,7 +443,8 @@ def test_substring(spark, docs, empty):
     assert substring.without_repeats(empty).collect() == []
 
 
-def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path):
+def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 20)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1) for i in range(100, 160)] + [(4, 0), (5, 0)], "doc_id long, quality int").write.parquet(
         str(tmp_path / "labels.parquet"))
