@@ -167,9 +167,10 @@ def plan(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
         return F.coalesce(size, F.lit(0))
 
     most_passes = math.ceil(most)
-    for p in range(most_passes):
-        full = full.withColumn(f"_m_words{p}", draw(p)).withColumn(f"_m_shard{p}", shard(F.col("_m_stratum"), F.when(
-            F.col(f"_m_words{p}") > 0, F.col("_m_first") + p * F.col("_m_blocks") + F.col("_m_block"))))
+    full = full.withColumns({f"_m_words{p}": draw(p) for p in range(most_passes)})
+    full = full.withColumns({f"_m_shard{p}": shard(F.col("_m_stratum"), F.when(
+        F.col(f"_m_words{p}") > 0, F.col("_m_first") + p * F.col("_m_blocks") + F.col("_m_block")))
+        for p in range(most_passes)})
     draws = F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"_m_words{p}").cast("long").alias("words"),
                                F.col(f"_m_shard{p}").alias("shard")) for p in range(most_passes)])
     full = full.withColumn("draws", F.filter(draws, lambda d: d.words > 0))

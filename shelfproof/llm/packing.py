@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfproof.llm.common import stored
-from shelfproof.llm.vocabulary import default_path, vocabulary
+from shelfproof.llm.vocabulary import REMEMBERED, default_path, vocabulary
 
 LENGTH = 2048
 GROUP = 16384
@@ -172,9 +172,9 @@ def pack(pieces: DataFrame, room: int = LENGTH, group: int = GROUP) -> DataFrame
     return full.unionByName(rest)
 
 
-def _pieces(path: str, room: int, end_id: int):
+def _pieces(path: str, room: int, end_id: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(path)
+        voc = vocabulary(path, remembered)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for at in range(0, len(texts), 1024):
@@ -197,15 +197,18 @@ def _pieces(path: str, room: int, end_id: int):
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = LENGTH, end_id: int = 0,
-           tokenizer: str | None = None) -> DataFrame:
-    """Pieces of each whole text: place and length in ids, and the CRC-32 of the ids."""
+           tokenizer: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces of each whole text: place and length in ids, and the CRC-32 of the ids.
+
+    ``remembered`` words are kept by a worker: fewer take less memory and more time.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _pieces(tokenizer or default_path(), room, end_id),
+        _pieces(tokenizer or default_path(), room, end_id, remembered),
         f"id {kind}, piece int, start long, length long, ids_crc32 long")
     return cut.withColumnRenamed("id", id_col)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = LENGTH,
-                   end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
-    return pack(pieces(docs, id_col, text_col, room, end_id, tokenizer), room)
+                   end_id: int = 0, tokenizer: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    return pack(pieces(docs, id_col, text_col, room, end_id, tokenizer, remembered), room)

@@ -7,7 +7,7 @@ Learned filters of ``WIDTH`` bytes move by ``STRIDE``; each filter's largest val
 whole text (max-pooling across chunks) goes through one linear unit and a sigmoid.
 
 ``fit`` learns by Adam on the driver from at most ``ROWS`` labelled texts of each label and at most
-``BYTES`` bytes of them, whole texts in hash order (the documented bound); scoring runs in
+``BYTES`` bytes of them, whole texts in hash order, none longer than a twentieth of ``BYTES`` (the documented bound); scoring runs in
 Arrow batches on all rows, with the weights (about 20 kB) in the closure.
 
 NULL and empty texts have no filter value and get the probability that the bias gives.

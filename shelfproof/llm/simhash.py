@@ -182,32 +182,59 @@ class GrayIndex:
         return self.order[member], self.order[self.root[member]]
 
 
-def _forest(radius: int, lanes: int):
-    """Links of each chunk; rows come sorted by chunk."""
+def _small(x: np.ndarray, left: np.ndarray, radius: int) -> np.ndarray:
+    """Root of each row among rows of groups that follow each other; ``left`` rows of its group come after a row."""
+    root, i, j = np.arange(len(x)), [], []
+    for step in range(1, int(left.max(initial=0)) + 1):
+        at = np.flatnonzero(left >= step)
+        near = np.bitwise_count(x[at] ^ x[at + step]).sum(1, dtype=np.int64) <= radius
+        i.append(at[near])
+        j.append(at[near] + step)
+    i, j = (np.concatenate(k) if k else np.zeros(0, dtype=int) for k in (i, j))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, j, root[i])
+        np.minimum.at(root, i, root[j])
+        root = root[root]
+        if (root == before).all():
+            return root
+
 
-    def links(ids: list[np.ndarray], prints: list[np.ndarray]) -> pa.RecordBatch:
-        v, x = np.concatenate(ids), np.concatenate(prints).view(np.uint64)
-        a, b = GrayIndex(x, radius).run() if len(v) > 1 else (np.zeros(0, dtype=int),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["a", "b"])
+def _forest(radius: int, lanes: int):
+    """Links of each chunk; rows come sorted by chunk.  Chunks of up to ``NODE`` rows are compared many at a time."""
+
+    def links(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        chunk, v, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        start = np.flatnonzero(np.diff(chunk, prepend=chunk[0])) if len(chunk) else np.zeros(0, dtype=int)
+        start = np.concatenate([[0], start])
+        size = np.diff(start, append=len(chunk))
+        of = np.repeat(size, size)
+        few = np.flatnonzero((of > 1) & (of <= NODE))
+        left = (np.repeat(start + size, size) - 1 - np.arange(len(chunk)))[few]
+        root = _small(x[few], left, radius)
+        member = np.flatnonzero(root != np.arange(len(root)))
+        a, b = [v[few][member]], [v[few][root[member]]]
+        for at, n in zip(start[size > NODE].tolist(), size[size > NODE].tolist(), strict=True):
+            i, j = GrayIndex(x[at:at + n], radius).run()
+            a.append(v[at + i])
+            b.append(v[at + j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, prints = None, [], []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            v = batch.column("v").to_numpy()
-            x = np.stack([batch.column(f"f{i}").to_numpy() for i in range(lanes)], axis=1)
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if chunk[lo] != now:
-                    if ids:
-                        yield links(ids, prints)
-                    now, ids, prints = chunk[lo], [], []
-                ids.append(v[lo:hi])
-                prints.append(x[lo:hi])
-        if ids:
-            yield links(ids, prints)
+            if not batch.num_rows:
+                continue
+            chunk, v = batch.column("chunk").to_numpy(), batch.column("v").to_numpy()
+            x = np.stack([batch.column(f"f{i}").to_numpy() for i in range(lanes)], axis=1).view(np.uint64)
+            cut = int(np.searchsorted(chunk, chunk[-1]))  # the last chunk may go on in the next batch
+            if cut or (held and held[0][0][-1] != chunk[0]):
+                held.append((chunk[:cut], v[:cut], x[:cut]))
+                yield links(held)
+                held = []
+            held.append((chunk[cut:], v[cut:], x[cut:]))
+        if held:
+            yield links(held)
 
     return run
 

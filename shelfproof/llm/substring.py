@@ -47,7 +47,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end.append(at)
                 words.append(len(w))
                 digests.append(xxh3_128_digest(b" ".join(w)))
-            if len(rows) > 200_000:
+            if len(rows) > 40_000:
                 yield _batch(batch, rows, place, start, end, words, digests)
                 rows, place, start, end, words, digests = [], [], [], [], [], []
         yield _batch(batch, rows, place, start, end, words, digests)

@@ -23,10 +23,11 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, remembered: int = REMEMBERED) -> Vocabulary:
     """The worker's own copy, kept from task to task."""
     if path not in _LOADED:
         _LOADED[path] = Vocabulary(path)
+    _LOADED[path].remembered = remembered
     return _LOADED[path]
 
 
@@ -53,6 +54,7 @@ class Vocabulary:
         one = [self.raw(w) for w in ("Été,", "ab", "9", "'s")]
         self.by_word = self.raw(" \t\nÉté,\r ab\x0b\x0c9  's ") == b"".join(one)
         self.known: dict[bytes, bytes] = {}
+        self.remembered = REMEMBERED
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -63,7 +65,7 @@ class Vocabulary:
 
     def learn(self, words: set[bytes]) -> None:
         """Remembers the ids of words that hold no blank."""
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             self.known.clear()
         split, other, letters = [], [], set()
         for w in words:
