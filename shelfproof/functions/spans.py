@@ -39,6 +39,20 @@ def _steps(text: str, pattern: str) -> str:
             " (q_gap, q_hit) -> named_struct('gap', length(q_gap), 'size', length(q_hit)))")
 
 
+def _steps_beside(text: str, pattern: str) -> str:
+    """As ``_steps``, and the text beside each match: back over the match before it, on over the next one.
+
+    Only the gaps next to a match are looked at, so all matches together cost no more than the text is long.
+    """
+    step = ("named_struct('gap', length(get(q_parts, q_i)), 'size', length(q_hit),"
+            " 'before', concat(right(coalesce(get(q_parts, q_i - 1), ''), 1), coalesce(get(q_hits, q_i - 1), ''),"
+            " get(q_parts, q_i)),"
+            " 'after', concat(coalesce(get(q_parts, q_i + 1), ''), coalesce(get(q_hits, q_i + 1), ''),"
+            " left(coalesce(get(q_parts, q_i + 2), ''), 1)))")
+    return let(f"split({text}, {sql_literal(pattern)}, -1)", "q_parts", let(
+        f"regexp_extract_all({text}, {sql_literal(pattern)}, 0)", "q_hits", f"transform(q_hits, (q_hit, q_i) -> {step})"))
+
+
 def spans(text: str, pattern: str) -> str:
     """Every match as ``STRUCT<lo, hi>`` in characters, zero-based."""
     return (f"aggregate({_steps(text, pattern)},"
@@ -62,12 +76,12 @@ def first_span(text: str, pattern: str, affirmative: bool = False, exclude: str
         lo, hi = "(q_acc.at + q_step.gap)", "(q_acc.at + q_step.gap + q_step.size)"
         tests = []
         if affirmative:
-            tests += [f"not {matches(f'substr({text}, 1, {lo})', NEGATED_BEFORE)}",
-                      f"not {matches(f'substr({text}, {hi} + 1)', NEGATED_AFTER)}"]
+            tests += [f"not {matches('q_step.before', NEGATED_BEFORE)}", f"not {matches('q_step.after', NEGATED_AFTER)}"]
         if exclude is not None:
             tests.append(f"not exists(q_banned, q_ban -> {lo} < q_ban.hi and {hi} > q_ban.lo)")
         ok = " and ".join(tests)
-        found = (f"aggregate({_steps(text, pattern)}, named_struct('at', 0, 'lo', -1, 'hi', -1),"
+        steps = _steps_beside(text, pattern) if affirmative else _steps(text, pattern)
+        found = (f"aggregate({steps}, named_struct('at', 0, 'lo', -1, 'hi', -1),"
                  f" (q_acc, q_step) -> if(q_acc.lo >= 0, q_acc, named_struct('at', {hi},"
                  f" 'lo', if({ok}, {lo}, -1), 'hi', if({ok}, {hi}, -1))),"
                  " q_acc -> if(q_acc.lo >= 0, named_struct('lo', q_acc.lo, 'hi', q_acc.hi), null))")
