@@ -192,6 +192,9 @@ def _pieces(path: str, room: int, end_id: int, remembered: int):
                     batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["id", "piece", "start", "length", "ids_crc32"])
+        if remembered < REMEMBERED:  # where memory is short, later tasks of this worker get it back
+            voc.known.clear()
+            pa.default_memory_pool().release_unused()
 
     return run
 
