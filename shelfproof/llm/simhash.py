@@ -13,8 +13,7 @@ whose shared patterns differ in more than ``radius`` bits are left out with all
 them.  What remains is compared bit by bit, and only a forest of links per chunk is passed
 on, so copies are never expanded into pairs.  Components of the forest are the groups.
 
-``wide_links`` does the same for fingerprints of several words, where equal blocks of 16 bits are a
-filter with measured recall instead of a guarantee.
+``without_near_duplicates`` goes by the sets of shingles themselves, see ``jaccard``.
 
 NULL and empty texts have fingerprint 0, linked like any other.  Repeated rows and equal texts
 share a fingerprint.  NULL ids take part; a group's id is the smallest that is not NULL.
@@ -33,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfproof.llm import jaccard
 from shelfproof.llm.common import stored
 from shelfproof.llm.graph import components
 
@@ -307,62 +307,38 @@ def groups(docs: DataFrame, print_col: str, id_col: str = "doc_id", radius: int
     return docs.drop("component_id").join(named, F.col(print_col) == F.col("_sim_v")).drop("_sim_v")
 
 
-#: Near-duplicates of whole texts: words of a shingle, similarity, bits of a fingerprint.
-WIDTH, ALIKE, LANES = 5, 0.8, 4
-#: Words of the shingles and bits of the blocks by which candidates meet.
-MEET_WIDTH, BLOCK_BITS = 2, 16
-
-
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits expected of two texts whose sets of shingles have this Jaccard similarity.
-
-    Texts of equal size share ``2 s / (1 + s)`` of their shingles, the cosine of their
-    counts; each bit differs with probability angle / pi.
-    """
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def wide_links(prints: DataFrame, radius: int) -> DataFrame:
-    """A forest of links between rows ``v`` whose ``near`` words differ in at most ``radius`` bits.
-
-    Rows meet where one of the blocks of ``meet``, the fingerprint of short shingles, is
-    equal.  A changed word touches fewer short shingles than long ones, so of pairs at the
-    similarity of 0.8 about 97 % meet, of pairs at 0.9 over 99 %.
-    """
-    lanes = [F.col("near")[i].alias(f"f{i}") for i in range(LANES)]
-    per = 64 // BLOCK_BITS
-    block = F.explode(F.array(*[
-        F.xxhash64(F.lit(lane * per + i), _bits(F.col("meet")[lane], 64, i * BLOCK_BITS, BLOCK_BITS))
-        for lane in range(LANES) for i in range(per)])).alias("chunk")
-    rows = prints.select("v", *lanes, block)
-    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_forest(radius, LANES), "a long, b long")
+#: Jaccard similarity of near-duplicates among whole texts.
+ALIKE = 0.8
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             similarity: float = ALIKE) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id.
 
-    Two texts are linked when their 256-bit SimHashes of five-word shingles differ by no more
-    than texts of this similarity do; a group is what links connect.  Texts without
-    words are copies of each other.  Rows that repeat are copies.  A row without an id is kept
-    only if no row of its group has one.
+    Two texts are linked when their sets of five-word shingles have this Jaccard similarity or
+    more, which is checked on the sets (``jaccard``); a group is what links connect.  A text of fewer words is
+    one shingle.  Texts without words are copies of each other.  Rows that repeat are copies.  A row without an id is
+    kept only if no row of its group has one.
     """
     text = F.col(text_col).cast("string")
     mark = F.xxhash64(F.coalesce(text, F.lit("")))
-    narrow = stored(docs.select(F.col(id_col).alias("id"), mark.alias("mark"),
-                                fingerprint(text, WIDTH, lanes=LANES).alias("near"),
-                                fingerprint(text, MEET_WIDTH, lanes=LANES).alias("meet")), "wide")
-    narrow = narrow.withColumn("v", F.xxhash64("near", "meet"))
+    narrow = stored(jaccard.prefixes(docs, id_col, mark, text, similarity), "narrow")
     rank = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark")))
-    firsts = stored(narrow.groupBy("v").agg(rank.alias("first"), F.first("near").alias("near"),
-                                            F.first("meet").alias("meet")), "prints")
-    roots = components(wide_links(firsts, radius_of(similarity, 64 * LANES)))
+    firsts = stored(narrow.groupBy("v").agg(rank.alias("first_row"), F.first("n").alias("n"),
+                                            F.first("first").alias("first")), "sets")
+    rows = stored(jaccard.meeting(firsts), "meeting")
+    marked = docs.withColumn("_mark", mark)
+    need = firsts.join(rows.select("v").distinct(), "v").select(
+        "v", F.col("first_row.id").alias("_id"), F.col("first_row.mark").alias("_kept"))
+    texts = marked.select(F.col(id_col).alias("_own"), "_mark", text.alias("text")).join(
+        need, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_kept")))
+    texts = stored(texts.select("v", "text").dropDuplicates(["v"]), "texts")
+    roots = components(jaccard.links(rows, texts, similarity))
     named = firsts.join(roots, F.col("v") == F.col("node"), "left").select(
-        "first", F.coalesce("root", "v").alias("_root"))
-    kept = named.groupBy("_root").agg(F.min("first").alias("k")).select(
+        "first_row", F.coalesce("root", "v").alias("_root"))
+    kept = named.groupBy("_root").agg(F.min("first_row").alias("k")).select(
         F.col("k.id").alias("_id"), F.col("k.mark").alias("_kept"))
     kept = stored(kept, "kept")
-    marked = docs.withColumn("_mark", mark)
     one = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_kept")), "left_semi")
     order = Window.partitionBy(id_col, "_mark").orderBy(F.lit(0))
     return one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).select(*docs.columns)

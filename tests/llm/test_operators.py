@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfproof.llm import (language, mixing, packing, quality, repair, simhash, sketch, substring, token_counts,
-                            topk_search)
+from shelfproof.llm import (jaccard, language, mixing, packing, quality, repair, simhash, sketch, substring,
+                            token_counts, topk_search)
 from shelfproof.llm.graph import components
 from shelfproof.llm.vocabulary import Vocabulary, default_path
 
@@ -366,6 +366,49 @@ def test_near_duplicates(docs, empty):
     assert simhash.without_near_duplicates(empty).collect() == []
 
 
+def planted_near(seed: int, n: int) -> list[tuple[int, str]]:
+    """Texts and edits of them at similarities about 0.7 to 0.95: words changed here and there, parts appended, cut or replaced."""
+    rng, rows = random.Random(seed), []
+    for b in range(n):
+        base = [w + str(rng.randrange(50)) for w in prose(seed * 1000 + b, 120 + b).split()]
+        rows.append((len(rows), " ".join(base)))
+        for alike in (0.7, 0.75, 0.79, 0.8, 0.82, 0.85, 0.9, 0.95):
+            size = round(len(base) * (1 - alike) / (1 + alike))
+            scattered, replaced, at = list(base), list(base), rng.randrange(len(base) - size)
+            for k in range(max(1, size // 5)):
+                scattered[rng.randrange(len(base))] = f"new{b}x{k}"
+            replaced[at:at + size] = [f"other{b}y{k}" for k in range(size)]
+            grown = base + [f"more{b}z{k}" for k in range(round(len(base) * (1 / alike - 1)))]
+            rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((scattered, replaced, grown, base[:round(len(base) * alike)]))]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("frequent", [3, 10**9])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    shared = prose(5, 60)  # a passage in many texts that are not copies
+    rows = planted_near(3, 6) + [(1000 + i, f"{shared} {prose(9000 + i, 20 + i % 4)}") for i in range(40)]
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in simhash.without_near_duplicates(df).collect()}
+    assert got == {find(i) for i in sets} and 40 < len(got) < len(rows) - 50
+
+
 def test_language(spark, docs, empty):
     rows = [(i, "the quick thing was here and there " * 3 if i % 2 else "der schnelle und das ist wirklich gut " * 3,
              "en" if i % 2 else "de") for i in range(40)] + [(41, "xx", None), (42, None, "en")]
