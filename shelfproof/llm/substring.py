@@ -2,7 +2,7 @@
 
 A text is cut after line breaks and sentence ends (``.``, ``!``, ``?``) into units whose concatenation is the
 text.  A unit's digest is taken of its words, A-Z in lower case, one blank between.  Digests
-are grouped over all documents, and the occurrence that comes first by (document id, place)
+are grouped over all documents, and the occurrence that comes first by (document id, row, place)
 is kept.  Other occurrences are repeats; a run of them, units without words included, goes
 if it has ``min_words`` words or more in all, so short sentences that recur by chance stay
 where they stand alone.  Spans that go are reported in code points of the original text.
@@ -10,9 +10,9 @@ where they stand alone.  Spans that go are reported in code points of the origin
 Only digests that occur more than once are joined back, and a frequent one is counted on the map side
 first; a third of all rows may share a unit, since the join splits it.
 
-NULL text stays NULL and has no units.  NULL ids come last in rank.  Rows that repeat an id and text are
-one document for the ranking and are treated alike; rows that repeat only the id are too
-(their spans apply to each, as far as each text is long).  An empty table gives an empty table.
+NULL text stays NULL and has no units.  NULL ids come last in rank.  Each row is a document
+of its own: rows are numbered in a written table, and those with the same id or without one rank by their
+number.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfproof.llm.common import stored
+
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+")
 MIN_WORDS = 10
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document, place, span in code points, words and 128-bit digest of each unit."""
+    """Document, row, place, span in code points, words and 128-bit digest of each unit."""
     from xxhash import xxh3_128_digest
 
     for batch in batches:
@@ -56,26 +58,29 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _batch(batch, rows, place, start, end, words, digests) -> pa.RecordBatch:
     d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
     return pa.RecordBatch.from_arrays([
-        batch.column("id").take(pa.array(rows, pa.int64())), pa.array(place, pa.int32()), pa.array(start, pa.int32()),
-        pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])],
-        names=["id", "place", "start", "end", "words", "h1", "h2"])
+        batch.column("id").take(pa.array(rows, pa.int64())), batch.column("row").take(pa.array(rows, pa.int64())),
+        pa.array(place, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()),
+        pa.array(d[:, 0]), pa.array(d[:, 1])], names=["id", "row", "place", "start", "end", "words", "h1", "h2"])
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Units of ``docs``, whose rows are numbered in ``_unit_row``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _units, f"id {kind}, place int, start int, end int, words int, h1 long, h2 long")
+    return docs.select(F.col(id_col).alias("id"), F.col("_unit_row").alias("row"),
+                       F.col(text_col).cast("string").alias("text")).mapInArrow(
+        _units, f"id {kind}, row long, place int, start int, end int, words int, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Units that are not the first of their digest; those without words count as repeats of none."""
-    rank = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("place").alias("place"))
     seen = units(docs, id_col, text_col).where(F.col("words") > 0)
+    rank = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row"),
+                    F.col("place").alias("place"))
     firsts = seen.groupBy("h1", "h2").agg(F.count("place").alias("_n"), F.min(rank).alias("_first"))
-    firsts = firsts.where(F.col("_n") > 1).select("h1", "h2", "_first")
-    return (units(docs, id_col, text_col).where(F.col("words") > 0).join(firsts, ["h1", "h2"])
-            .where(~F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("place").alias("place"))
-                   .eqNullSafe(F.col("_first"))).select("id", "place", "words"))
+    firsts = firsts.where(F.col("_n") > 1).select(
+        "h1", "h2", F.col("_first.row").alias("_row"), F.col("_first.place").alias("_place"))
+    return (seen.select("row", "place", "h1", "h2").join(firsts, ["h1", "h2"])
+            .where((F.col("row") != F.col("_row")) | (F.col("place") != F.col("_place"))).select("row", "place"))
 
 
 def _cut(min_words: int):
@@ -134,10 +139,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``kept_text`` and what was removed: units, words, and spans ``start-end`` of the original."""
     docs = docs.drop(*NEW)
-    places = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("_unit_id")).agg(
+    rows = stored(docs.withColumn("_unit_row", F.monotonically_increasing_id()), "rows")
+    places = repeats(rows, id_col, text_col).groupBy(F.col("row").alias("_unit_of")).agg(
         F.collect_set("place").alias("_unit_places"))
-    full = docs.withColumn("_unit_text", F.col(text_col).cast("string")).join(
-        places, F.col(id_col).eqNullSafe(F.col("_unit_id")), "left").drop("_unit_id")
+    full = rows.withColumn("_unit_text", F.col(text_col).cast("string")).join(
+        places, F.col("_unit_row") == F.col("_unit_of"), "left").drop("_unit_row", "_unit_of")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),
                            T.StructField("n_units", T.IntegerType()), T.StructField("n_removed", T.IntegerType()),
                            T.StructField("removed_words", T.LongType()), T.StructField("removed", T.StringType())])

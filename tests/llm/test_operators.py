@@ -486,6 +486,18 @@ def test_substring(spark, docs, empty):
     assert substring.without_repeats(empty).collect() == []
 
 
+def test_substring_of_rows_without_or_with_one_id(spark):
+    passage, other = prose(41, 30).replace(",", "").replace(".", "") + ".", prose(42, 30).replace(".", "") + "."
+    alone = [prose(50 + i, 25).replace(".", "") + "." for i in range(9)]
+    rows = [(1, f"{passage} {alone[0]}"), (None, f"{alone[1]} {passage} {alone[2]}"), (None, f"{passage} {alone[3]}"),
+            (None, f"{alone[4]} {other}"), (None, f"{alone[5]} {other}"), (7, f"{alone[6]} {alone[7]}"),
+            (7, f"{alone[8]} {passage}"), (9, f"{alone[0]} x"), (9, f"{alone[0]} x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # numbered in this order
+    want = brute_repeats([((i is None, i or 0, n), t) for n, (i, t) in enumerate(rows)])
+    got = Counter((r["doc_id"], r["text"], r["kept_text"], r["removed"]) for r in substring.without_repeats(df).collect())
+    assert got == Counter((k[1] or None, rows[k[2]][1], *v) for k, v in want.items())
+
+
 def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(quality, "STEPS", 20)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
