@@ -6,7 +6,8 @@ there each distinct pre-token is split into pieces once, its count is joined to
 products go back to their block, where they are summed per document.  A word that is in
 every document has one posting list per block, not a row per document, and a bucket of the hash holds as many
 lists of frequent words as any other.  Pre-tokens are the runs between blanks, whose pieces
-do not depend on their neighbours (``Vocabulary.by_word``).
+do not depend on their neighbours (``Vocabulary.by_word``); with a tokenizer for which they do, whole texts are
+encoded where they are.
 
 NULL and empty texts count 0 bytes and 0 tokens.  Each row of the input gives a
 row, so repeated rows repeat; an empty table gives none.
@@ -165,17 +166,35 @@ def _summed(id_type: pa.DataType):
     return run
 
 
+def _whole(path: str):
+    """Counts of texts whose pieces depend on the blanks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocabulary(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
+                                                  pa.array(voc.counts(texts))], names=["id", "n_bytes", "n_tokens"])
+
+    return run
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  tokenizer: str | None = None) -> DataFrame:
     """``id_col``, ``n_bytes`` (UTF-8) and ``n_tokens`` of each row's whole text."""
     kind = docs.schema[id_col].dataType
     arrow, name = _arrow_type(kind), kind.simpleString()
+    path = tokenizer or default_path()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not vocabulary(path).by_word:
+        return own.mapInArrow(_whole(path), f"id {name}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
     buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     held = f"block long, data binary, ids array<{name}>, bytes array<long>"
-    postings = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _blocks(arrow, buckets), f"bucket int, {held}")
+    postings = own.mapInArrow(_blocks(arrow, buckets), f"bucket int, {held}")
     priced = postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _priced(tokenizer or default_path(), arrow), held)
+        _priced(path, arrow), held)
     counted = priced.repartition("block").sortWithinPartitions("block").mapInArrow(
         _summed(arrow), f"id {name}, n_bytes long, n_tokens long")
     return counted.withColumnRenamed("id", id_col)

@@ -65,7 +65,7 @@ class Vocabulary:
 
     def learn(self, words: set[bytes]) -> None:
         """Remembers the ids of words that hold no blank."""
-        if len(self.known) + len(words) > self.remembered:
+        if len(self.known) + 3 * len(words) > self.remembered:
             self.known.clear()
         split, other, letters = [], [], set()
         for w in words:
@@ -116,5 +116,10 @@ class Vocabulary:
         """Number of ids of each word, or of each text where ids do not go by words."""
         if not self.by_word:
             return np.asarray([len(b) // self.dtype.itemsize for b in self.encode(words)], dtype=np.int64)
-        self.learn(set(words) - self.known.keys())
-        return np.asarray([len(self.known[w]) // self.dtype.itemsize for w in words], dtype=np.int64)
+        sizes = {w: len(self.known[w]) for w in words if w in self.known}
+        new = [w for w in dict.fromkeys(words) if w not in sizes]
+        step = max(1, self.remembered // 4)  # a word, its letters and its marks are remembered
+        for at in range(0, len(new), step):
+            self.learn(set(new[at:at + step]))
+            sizes.update((w, len(self.known[w])) for w in new[at:at + step])
+        return np.asarray([sizes[w] // self.dtype.itemsize for w in words], dtype=np.int64)

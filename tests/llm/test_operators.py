@@ -77,6 +77,24 @@ def test_a_tokenizer_that_keeps_blanks_encodes_whole_texts():
     assert whole.encode([t.encode() for t in odd]) == [whole.raw(t) for t in odd]
 
 
+def test_counts_with_few_words_remembered(voc):
+    few, texts_ = Vocabulary(default_path()), [prose(i, 40) for i in range(30)]
+    few.remembered = 24
+    for t in texts_:
+        words = [w.encode() for w in dict.fromkeys(t.split())]
+        assert few.counts(words).tolist() == [len(ids_of(voc, w.decode())) for w in words]
+        assert len(few.known) <= 24
+    assert few.counts([]).tolist() == []
+
+
+def test_token_counts_of_a_tokenizer_that_keeps_blanks(spark, docs, empty):
+    path = default_path("byte_bpe_50k.json")
+    whole = Vocabulary(path)
+    got = Counter(tuple(r) for r in token_counts.token_counts(docs, tokenizer=path).collect())
+    assert got == Counter((i, len((t or "").encode()), len(ids_of(whole, t))) for i, t in texts())
+    assert token_counts.token_counts(empty, tokenizer=path).collect() == []
+
+
 @pytest.mark.parametrize("pivots,group,block", [(64, 1024, 8192), (5, 3, 7), (1, 1, 1000)])
 def test_top_k(spark, pivots, group, block):
     rng = np.random.default_rng(3)
