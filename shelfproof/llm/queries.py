@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import language, mixing, packing, quality, repair, simhash, sketch, substring, token_counts, topk_search
-from shelfproof.llm.common import size_of, stored
+from shelfproof.llm import (exact, language, merkle, mixing, packing, quality, repair, simhash, sketch, substring,
+                            token_counts, topk_search)
+from shelfproof.llm.common import ASCII_LOWER, ASCII_UPPER, size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,14 @@ def query(job: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return job
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text."""
+    return f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(range(length({text})), lambda i: CAST(ord({text}[i + 1]) AS BIGINT))), lambda c, b:
+      list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z:
+        CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)))"""
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -154,3 +163,80 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op5_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document, written to grammar-compressed files and read back."""
     return repair.read(repair.write(table(spark, sf, "documents")))
+
+
+@query
+def op12_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and the one that stays of those with its text."""
+    return exact.groups(table(spark, sf, "documents"))
+
+
+ORACLES["op12_exact"] = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+                  AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's proof in the manifest of the table, and whether the text shown belongs to it."""
+    docs = table(spark, sf, "documents")
+    kept = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    original = merkle.leaf([*kept, F.col("text")])
+    changed = merkle.leaf([*kept, F.translate("text", ASCII_UPPER, ASCII_LOWER)])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    made = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), original, F.when(tampered, changed).otherwise(original))
+    proof, again = merkle.siblings(F.col("proof")), merkle.folded(F.col("shown"), F.col("proof"))
+    return made.withColumn("again", again).select(
+        F.col("id").alias("doc_id"), *[merkle.text_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.text_of(merkle.joined(proof)).alias("proof_sha256"), merkle.text_of(F.col("again")).alias("folded_root"),
+        (F.col("again") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(text: str) -> str:
+    part = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format
+    return "sha256(" + " || ".join(map(part, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN
+        {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS low FROM documents),
+r AS (SELECT doc_id, lang, leaf, coalesce(low, leaf) AS shown, count(*) OVER (PARTITION BY lang) AS n,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+lv AS (
+  SELECT 0 AS l, lang, n, idx, leaf AS node FROM r
+  UNION ALL
+  SELECT l + 1, lang, n, idx // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM lv
+  WHERE n > CAST(power(8, l) AS BIGINT) GROUP BY l, lang, n, idx // 8),
+sub AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM lv
+        WHERE n <= CAST(power(8, l) AS BIGINT) AND (l = 0 OR n > CAST(power(8, l - 1) AS BIGINT))),
+tv AS (
+  SELECT 0 AS l, n, g AS idx, node FROM sub
+  UNION ALL
+  SELECT l + 1, n, idx // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM tv
+  WHERE n > CAST(power(8, l) AS BIGINT) GROUP BY l, n, idx // 8),
+root AS (SELECT node FROM tv WHERE n <= CAST(power(8, l) AS BIGINT) AND (l = 0 OR n > CAST(power(8, l - 1) AS BIGINT))),
+steps AS (
+  SELECT r.lang, r.idx, 0 AS part, lv.l,
+    coalesce(string_agg(node, '' ORDER BY lv.idx) FILTER (lv.idx < r.idx // CAST(power(8, l) AS BIGINT)), '') AS lo,
+    coalesce(string_agg(node, '' ORDER BY lv.idx) FILTER (lv.idx > r.idx // CAST(power(8, l) AS BIGINT)), '') AS hi
+  FROM r JOIN lv ON lv.lang IS NOT DISTINCT FROM r.lang AND r.idx // CAST(power(8, l + 1) AS BIGINT) = lv.idx // 8
+  WHERE r.n > CAST(power(8, l) AS BIGINT) GROUP BY r.lang, r.idx, lv.l
+  UNION ALL
+  SELECT r.lang, r.idx, 1, tv.l,
+    coalesce(string_agg(tv.node, '' ORDER BY tv.idx) FILTER (tv.idx < g // CAST(power(8, l) AS BIGINT)), ''),
+    coalesce(string_agg(tv.node, '' ORDER BY tv.idx) FILTER (tv.idx > g // CAST(power(8, l) AS BIGINT)), '')
+  FROM r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang JOIN tv ON g // CAST(power(8, l + 1) AS BIGINT) = tv.idx // 8
+  WHERE tv.n > CAST(power(8, l) AS BIGINT) GROUP BY r.lang, r.idx, tv.l),
+p AS (SELECT lang, idx, string_agg(lo || hi, '' ORDER BY part, l) AS others, list(lo || '/' || hi ORDER BY part, l) AS ways
+      FROM steps GROUP BY lang, idx)
+SELECT r.doc_id, r.leaf, sub.node AS subroot, root.node AS root, sha256(coalesce(others, '')) AS proof_sha256,
+       list_reduce(list_prepend(shown, coalesce(ways, [])), lambda x, s: sha256(split_part(s, '/', 1) || x || split_part(s, '/', 2)))
+         AS folded_root, folded_root = root.node AS verified
+FROM r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM r.lang AND p.idx = r.idx
+CROSS JOIN root
+"""
