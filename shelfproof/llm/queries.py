@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfproof.llm import (exact, language, merkle, mixing, packing, quality, repair, simhash, sketch, substring,
-                            token_counts, topk_search)
+from shelfproof.llm import (conversation, exact, language, merkle, mixing, packing, quality, repair, simhash, sketch,
+                            substring, token_counts, topk_search)
 from shelfproof.llm.common import ASCII_LOWER, ASCII_UPPER, size_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,3 +240,67 @@ SELECT r.doc_id, r.leaf, sub.node AS subroot, root.node AS root, sha256(coalesce
 FROM r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM r.lang AND p.idx = r.idx
 CROSS JOIN root
 """
+
+
+@query
+def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation's faults after damage, the cheapest edits that repair it, and what they leave."""
+    turns = table(spark, sf, "conversations")
+    return conversation.summary(turns, conversation.repair(conversation.damage(turns)))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row: for each state of the role pattern the least cost, letters and lines so far.
+
+    A state is a text: cost in six digits, letters, character 1, lines.  The least text is the cheapest, then the
+    ASCII-least.
+    """
+    def edit(state: str, cost: str, letter: str, line: str) -> str:
+        return (f"lpad(CAST(CAST(substr({state}, 1, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || "
+                f"substr({state}, 7, instr({state}, chr(1)) - 7) || '{letter}' || "
+                f"substr({state}, instr({state}, chr(1))) || {line}")
+
+    insert = lambda state, role: edit(state, "3", "I", f"chr(10) || '{role}:'")
+    delete = lambda state: edit(state, "4", "D", "''")
+    keep = lambda state, initial: f"CASE WHEN initial = '{initial}' AND NOT gone THEN {edit(state, 'late', 'K', 'chr(10) || line')} END"  # noqa: E731, E501
+    rerole = lambda state, role: f"CASE WHEN NOT gone THEN {edit(state, '3 + late', 'R', f'chr(10) || {role!r} || text')} END"  # noqa: E731, E501
+    relaxed = f"""(SELECT conv, pos, a, b, c, least(d, {insert('c', 'assistant')}) AS d FROM (
+      SELECT conv, pos, a, b, d, least(c, {insert('a', 'user')}, {insert('b', 'user')}, {insert('d', 'user')}) AS c FROM st))"""
+    key = crc32_sql("k")
+    return f"""
+WITH RECURSIVE
+k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k,
+        dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv FROM conversations),
+dm AS (SELECT conv, turn, CASE WHEN f = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+         unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END))
+       FROM (SELECT *, {key} % 20 AS f FROM k) WHERE f <> 0),
+o AS (SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos,
+        right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM dm),
+g AS (SELECT *, substr(role, 1, 1) AS initial, tail = '' AS blank,
+        tail <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY pos) AS before FROM o),
+r AS (SELECT *, blank OR again AS gone, role || ':' || text AS line,
+        CASE WHEN NOT blank AND NOT again AND tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS late FROM g),
+st AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT) AS pos, '000000' || chr(1) AS a, CAST(NULL AS VARCHAR) AS b,
+         CAST(NULL AS VARCHAR) AS c, CAST(NULL AS VARCHAR) AS d FROM r
+  UNION ALL
+  SELECT r.conv, r.pos, {delete('a')}, least({delete('b')}, {keep('a', 's')}),
+         least({delete('c')}, {keep('a', 'u')}, {keep('b', 'u')}, {keep('d', 'u')},
+               {rerole('a', 'user:')}, {rerole('b', 'user:')}, {rerole('d', 'user:')}),
+         least({delete('d')}, {keep('c', 'a')}, {rerole('c', 'assistant:')})
+  FROM {relaxed} s JOIN r ON r.conv = s.conv AND r.pos = s.pos + 1),
+ends AS (SELECT conv, least(a, d) AS x FROM {relaxed} WHERE (conv, pos) IN (SELECT (conv, max(pos)) FROM r GROUP BY conv)),
+n AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (again) AS duplicate, count(*) FILTER (late = 3) AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(substr(x, 1, 6) AS BIGINT), 0) AS cost, coalesce(substr(x, 7, instr(x, chr(1)) - 7), '') AS audit,
+       sha256(coalesce(substr(x, instr(x, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM k) LEFT JOIN n USING (conv) LEFT JOIN ends USING (conv)
+"""
+
+
+ORACLES["op13_conversations"] = _repair_sql()
