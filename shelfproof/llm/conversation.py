@@ -256,7 +256,7 @@ SEGMENT_COLUMNS = ("conv {kind}, pos long, symbols binary, first string, last st
 CHAIN_COLUMNS = SEGMENT_COLUMNS + ", behind int, final boolean"
 PLAN_COLUMNS = "conv {kind}, pos long, symbols binary, behind int, start int, final boolean, cost long, illegal long"
 EDIT_COLUMNS = "conv {kind}, pos long, start int, final boolean, edits array<string>"
-LINE_COLUMNS = "conv {kind}, pos long, edit string, role string, text string"
+LINE_COLUMNS = "conv {kind}, pos long, step int, edit string, role string, text string"
 DIGEST_COLUMNS = "conv {kind}, audit string, repaired_sha256 string"
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
          "array<string>": pa.list_(pa.string())}
@@ -319,20 +319,19 @@ def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines after the edits; a segment's edits come just before its turns."""
     edits: Iterator[str] = iter(())
-    left, state, last = 0, START, False
+    left, state, last, step = 0, START, False, 0
 
     def lines(conv, pos: int, letters: str, role: str | None, text: str | None) -> Iterator[tuple]:
-        nonlocal state
+        nonlocal state, step
         for letter in letters:
-            if letter == "D":
-                yield conv, pos, letter, None, None
-                continue
+            made: tuple[str | None, str | None] = (None, None)
             if letter == "K":
-                state = KEPT[role[:1], state]
-                yield conv, pos, letter, role, text
-            else:
+                state, made = KEPT[role[:1], state], (role, text)
+            elif letter != "D":
                 state = WRITTEN[state]
-                yield conv, pos, letter, ROLE_OF[state], text if letter == "R" else ""
+                made = ROLE_OF[state], text if letter == "R" else ""
+            yield conv, pos, step, letter, *made
+            step += 1
 
     for batch in batches:
         out: list[tuple] = []
@@ -340,6 +339,7 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 edits, left, state, last = iter(letters), len(letters), start, final
                 continue
+            step = 0
             out += lines(conv, pos, next(edits), role, text)
             left -= 1
             if last and left == 1:  # what is inserted behind the last turn
@@ -352,7 +352,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     conv, audit, sha, first, kind = _NEW, [], hashlib.sha256(), True, None
     for batch in batches:
         kind, out = batch.column("conv").type, []
-        for c, _, edit, role, text in _rows(batch):
+        for c, _, _, edit, role, text in _rows(batch):
             if conv is _NEW or c != conv:
                 if conv is not _NEW:
                     out.append((conv, "".join(audit), sha.hexdigest()))
@@ -379,8 +379,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
            text_col: str = "text", segment: int = SEGMENT) -> Repair:
     """Faults, plan and repaired lines of conversations.
 
-    ``lines`` has a row per edit, sorted by conversation (``conv``) and place (``pos``): D without role and text, K, R and I
-    with those of the repaired turn.
+    ``lines`` has a row per edit, sorted by conversation (``conv``), place (``pos``) and ``step`` there: D without role and
+    text, K, R and I with those of the repaired turn.
     """
     spark = turns.sparkSession
     kind = turns.schema[conv_col].dataType.simpleString()
