@@ -81,7 +81,7 @@ def dateline(c: Column, language="de", home_country=None) -> Column:
         month = lookup({m: i + 1 for i, m in enumerate(L.MONTHS[lang])},
                        F.rtrim(F.lower(part("month")), lit(".")))
         date = F.try_to_date(F.format_string(
-            "%04d-%02d-%02d", part("year").cast("int"), month, part("day").cast("int")))
+            "%04d-%02d-%02d", part("year").try_cast("int"), month, part("day").try_cast("int")))
         return F.struct(
             country.alias("country"),
             F.when(month.isNotNull(), date).alias("date"),

@@ -49,7 +49,18 @@ ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]{1,8}|#\d{1,5}|#[xX][0-9a-fA-F]{1,4});"
 
 
 def _code_point(hex_digits: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")
+    """The character of a numeric reference, as browsers read it.
+
+    Bytes 80 to 9F are those of Windows-1252, halves of a surrogate pair are replaced, other controls are dropped.
+    """
+    old = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
+    n = F.conv(hex_digits, 16, 10).cast("int")
+    dropped = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    return cases(
+        (n.between(0x80, 0x9F), F.coalesce(F.nullif(F.try_element_at(constant_map(old), n.cast("string")), lit("")),
+                                           F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32"))),
+        ((n == 0) | n.between(0xD800, 0xDFFF), lit("\ufffd")), (dropped, lit("")),
+        otherwise=F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32"))
 
 
 def decode_entities(c: Column) -> Column:

@@ -6,6 +6,7 @@ Every builder returns a column of the same struct type, so branches of a
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,8 +77,14 @@ def sql_literal(x) -> str:
 
 
 def constant_map(table: dict) -> Column:
-    """A small constant table as a map literal."""
-    return expr("map(" + ", ".join(sql_literal(x) for kv in table.items() for x in kv) + ")")
+    """A small constant table as a map.
+
+    It is one constant expression whatever the table's size, so that plans with many lookups stay small; the optimiser
+    turns it into a literal.
+    """
+    kinds = {type(v) for v in table.values()}
+    kind = "string" if str in kinds else "double" if float in kinds else "int"
+    return expr(f"from_json({sql_literal(json.dumps(table, ensure_ascii=False))}, 'map<string, {kind}>')")
 
 
 NO_STRINGS = "cast(array() as array<string>)"

@@ -24,6 +24,9 @@ APLUS = (("#aplus",), ("#aplus_feature_div",), ("#aplusBrandStory_feature_div",)
 PLACEHOLDER = r"grey-pixel|transparent-pixel|loading-|\.gif($|\?)"
 MODULE_PREFIX = r"^(?:premium-module-|aplus-module-|brand-story-|apm-)"
 
+#: A JSON value that is neither empty nor a list or an object.
+SCALAR = r'^(?:-?\d|true|"[^"])'
+
 PAIR = "array<struct<label: string, value: string>>"
 
 
@@ -32,58 +35,46 @@ def unlabelled(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r":+$", ""))
 
 
-def _cells(els: Column) -> Column:
-    return F.filter(els, lambda e: e["tag"].isin("td", "th"))
-
-
-def two_cell_rows(vis: Column, els: Column, tables: Column) -> Column:
+def two_cell_rows(page: P.Page, tables: Column) -> Column:
     """(label, value) of every row with exactly two cells; duplicates stay."""
-    rows = F.filter(els, lambda e: e["tag"] == "tr")
-
-    def read(cells: Column) -> Column:
-        def row(tr: Column) -> Column:
-            return let(F.filter(cells, lambda c: c["parent"] == tr["ord"]), lambda two: F.when(
-                F.size(two) == 2, F.struct(
-                    unlabelled(P.text_of(vis, F.get(two, lit(0)))).alias("label"),
-                    P.text_of(vis, F.get(two, lit(1))).alias("value"))))
+    rows = page.pick("tr")
 
-        return F.flatten(F.transform(tables, lambda t: F.array_compact(F.transform(
-            F.filter(rows, lambda tr: P.inside(tr, t)), row))))
+    def row(tr: Column) -> Column:
+        return let(page.cells(tr), lambda two: F.when(
+            F.size(two) == 2, F.struct(
+                unlabelled(page.text_of(F.get(two, lit(0)))).alias("label"),
+                page.text_of(F.get(two, lit(1))).alias("value"))))
 
-    return F.filter(let(_cells(els), read), lambda p: (p["label"] != "") & (p["value"] != ""))
+    read = let(rows, lambda rs: F.flatten(F.transform(tables, lambda t: F.array_compact(F.transform(
+        F.filter(rs, lambda tr: P.inside(tr, t)), row)))))
+    return F.filter(read, lambda p: (p["label"] != "") & (p["value"] != ""))
 
 
-def table_pairs(vis: Column, els: Column) -> Column:
+def table_pairs(page: P.Page) -> Column:
     """Rows of the attribute tables, each table once."""
-    return let(P.pick_any(els, *TABLES), lambda tables: two_cell_rows(vis, els, tables))
+    return let(page.pick_any(*TABLES), lambda tables: two_cell_rows(page, tables))
 
 
-def bullet_pairs(vis: Column, els: Column) -> Column:
+def bullet_pairs(page: P.Page) -> Column:
     """Label/value bullets: two spans side by side, or ``Label : Value`` in one text."""
     split = r"^(.{2,60}?)\s*:\s*(.+)$"
-    spans = F.filter(els, lambda e: e["tag"] == "span")
-
-    def read(all_spans: Column) -> Column:
-        def one(item: Column) -> Column:
-            mine = F.filter(all_spans, lambda s: P.inside(s, item))
-
-            def pair(own: Column) -> Column:
-                lists = F.filter(own, lambda s: P.carries(s, "span .a-list-item"))
-                inner = let(lists, lambda ls: F.filter(own, lambda s: F.exists(
-                    ls, lambda p: s["parent"] == p["ord"])))
-                return let(F.struct(inner.alias("inner"), P.text_of(vis, item).alias("text")), lambda x: F.when(
-                    F.size(x["inner"]) >= 2, F.struct(
-                        unlabelled(P.text_of(vis, F.get(x["inner"], lit(0)))).alias("label"),
-                        P.text_of(vis, F.get(x["inner"], lit(1))).alias("value")))
-                    .otherwise(F.struct(
-                        F.trim(F.regexp_extract(x["text"], split, 1)).alias("label"),
-                        F.trim(F.regexp_extract(x["text"], split, 2)).alias("value"))))
-
-            return let(mine, pair)
-
-        return F.transform(P.pick_any(els, *BULLETS), one)
 
-    return F.filter(let(spans, read), lambda p: (p["label"] != "") & (p["value"] != "")
+    def one(item: Column) -> Column:
+        def pair(own: Column) -> Column:
+            lists = F.filter(own, lambda s: P.carries(s, ".a-list-item"))
+            inner = let(lists, lambda ls: F.filter(own, lambda s: F.exists(
+                ls, lambda p: s["parent"] == p["ord"])))
+            return let(F.struct(inner.alias("inner"), page.text_of(item).alias("text")), lambda x: F.when(
+                F.size(x["inner"]) >= 2, F.struct(
+                    unlabelled(page.text_of(F.get(x["inner"], lit(0)))).alias("label"),
+                    page.text_of(F.get(x["inner"], lit(1))).alias("value")))
+                .otherwise(F.struct(
+                    F.trim(F.regexp_extract(x["text"], split, 1)).alias("label"),
+                    F.trim(F.regexp_extract(x["text"], split, 2)).alias("value"))))
+
+        return let(page.pick("span", within=item), pair)
+
+    return F.filter(F.transform(page.pick_any(*BULLETS), one), lambda p: (p["label"] != "") & (p["value"] != "")
                     & (F.length(p["label"]) <= 80))
 
 
@@ -105,65 +96,82 @@ def canonical(pairs: Column, language: str) -> Column:
         ks, lambda p, i: F.array_position(names, p["key"]) == i + 1))))
 
 
-def sections(vis: Column, els: Column, container: str, section: str = ".a-section") -> Column:
+def sections(page: P.Page, container: str, section: str = ".a-section") -> Column:
     """Heading and body of the innermost sections of a container."""
     heads = [("h1",), ("h2",), ("h3",), ("h4",), ("h5",), (".a-text-bold",)]
 
     def one(s: Column) -> Column:
-        first = F.array_min(F.concat(*[F.transform(P.pick(els, *h, within=s), P.bare) for h in heads]))
-        heading = F.coalesce(P.text_of(vis, first), lit(""))
-        return let(F.struct(heading.alias("heading"), P.lines_of(vis, s).alias("lines")), lambda x: F.struct(
+        first = F.array_min(page.places_any(*heads, within=s))
+        heading = F.coalesce(F.when(first.isNotNull(), page.text_of(page.at(first))), lit(""))
+        return let(F.struct(heading.alias("heading"), page.lines_of(s).alias("lines")), lambda x: F.struct(
             x["heading"].alias("heading"),
             clean(F.array_join(F.when(
                 (x["heading"] != "") & (F.get(x["lines"], lit(0)) == x["heading"]),
                 F.slice(x["lines"], lit(2), F.greatest(F.size(x["lines"]), lit(1)))).otherwise(x["lines"]), " "))
             .alias("text")))
 
-    found = P.pick(els, container, section)
-    leaves = let(found, lambda fs: F.filter(fs, lambda s: ~F.exists(fs, lambda o: P.inside(o, s))))
+    found = page.pick(container, section)
+    # Ranges are nested or apart, so a section is innermost if the next one does not start inside it.
+    leaves = let(found, lambda fs: F.filter(fs, lambda s, i: F.coalesce(
+        F.get(fs, i + 1)["ord"] > s["last"], lit(True))))
     return F.filter(F.transform(leaves, one), lambda s: s["text"] != "")
 
 
-def expanders(vis: Column, els: Column, container: str) -> Column:
+def expanders(page: P.Page, container: str) -> Column:
     """Heading and body of collapsible sections."""
+    def text(of: str, e: Column) -> Column:
+        return let(page.places(of, within=e), lambda p: F.when(
+            F.size(p) > 0, page.text_of(page.at(F.get(p, lit(0))))).otherwise(lit("")))
+
     def one(e: Column) -> Column:
-        return F.struct(
-            F.coalesce(P.text_of(vis, F.get(P.pick(els, ".a-expander-prompt", within=e), lit(0))), lit("")).alias("heading"),
-            F.coalesce(P.text_of(vis, F.get(P.pick(els, ".a-expander-content", within=e), lit(0))), lit("")).alias("text"))
+        return F.struct(text(".a-expander-prompt", e).alias("heading"), text(".a-expander-content", e).alias("text"))
 
-    return F.filter(F.transform(P.pick(els, container, ".a-expander-container"), one),
+    return F.filter(F.transform(page.pick(container, ".a-expander-container"), one),
                     lambda s: (s["heading"] != "") | (s["text"] != ""))
 
 
 # --- embedded JSON -------------------------------------------------------------
 
-IMAGES = ("array<struct<hiRes: string, large: string, thumb: string, variant: string,"
-          " altText: string, main: map<string, array<int>>>>")
+#: A block's value and, where its data cannot be read as the block, what is wrong with them.
+IMAGE = ("hiRes", "large", "thumb", "variant", "altText")
+
+
+def _shape(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _record(v: Column) -> Column:
+    """A gallery record; ``odd`` if its size map is needed and holds something other than sizes."""
+    texts = {k: F.try_variant_get(v, f"$.{k}", "string") for k in IMAGE}
+    sizes = F.try_variant_get(v, "$.main", "variant")
+    main = F.try_variant_get(v, "$.main", "map<string, array<int>>")
+    shown = F.coalesce(F.nullif(texts["hiRes"], lit("")), F.nullif(texts["large"], lit("")))
+    odd = shown.isNull() & F.coalesce(_shape(sizes).startswith("OBJECT<") & (_shape(sizes) != "OBJECT<>"), lit(False)) & main.isNull()
+    return F.struct(*[c.alias(k) for k, c in texts.items()], main.alias("main"), odd.alias("odd"))
 
 
 def image_records(html: Column) -> Column:
-    """The gallery's records, quoted as a script string or written as a literal."""
-    # Two shapes: a quoted string with script escapes, and a plain array.
-    start = r"""['"]colorImages['"]\s*:\s*\{\s*['"]initial['"]\s*:\s*"""
-    # A label may hold what looks like the end of the string, so every end within the script is tried, the
-    # first that leaves whole JSON is taken.
-    rest = F.regexp_replace(group(html, r"(?s)" + start + r"A\.\$\.parseJSON\(\s*'(.*?)(?:</script|\z)", 1), r"'\s+\)", "')")
-
-    def decoded(quoted: Column) -> Column:
-        return F.from_json(F.replace(F.replace(F.replace(quoted, lit("\\'"), lit("'")), lit('\\"'), lit('"')),
-                                     lit("\\\\"), lit("\\")), IMAGES)
-
-    def ends(text: Column) -> Column:
-        n = F.size(F.split(text, r"'\)")) - 1
-        tried = F.transform(F.when(n > 0, F.sequence(lit(1), n)).otherwise(F.array().cast("array<int>")),
-                            lambda i: decoded(F.call_function("substring_index", text, lit("')"), i)))
-        return F.get(F.filter(tried, lambda v: v.isNotNull()), lit(0))
-
-    literal = F.substr(html, F.regexp_instr(html, lit(start + r"\["))
-                       + F.length(F.regexp_extract(html, start + r"\[", 0)) - 1)
-    return F.coalesce(
-        let(rest, ends),
-        F.when(matches(html, start + r"\["), F.from_json(literal, IMAGES)))
+    """``STRUCT<records, error>``: the gallery, quoted as a script string or written as a literal.
+
+    The JSON reader stops at the end of the first value, so what follows the gallery in the script, and what looks like
+    the end of the string inside a label, do not matter; the text is read once.
+    """
+    start = r"""(?s)['"]colorImages['"]\s*:\s*\{\s*['"]initial['"]\s*:\s*"""
+    rest = group(html, start + r"(A\.\$\.parseJSON\(\s*'.*?(?:</script|\z)|\[.*)", 1)
+
+    def text(found: Column) -> Column:
+        unescaped = F.replace(F.replace(F.replace(
+            F.regexp_replace(found, r"^A[^']*'", ""), lit("\\'"), lit("'")), lit('\\"'), lit('"')), lit("\\\\"), lit("\\"))
+        return F.when(found.startswith("["), found).when(matches(found, r"(?s)^A[^']*'.*(?<!\\)'\s*\)"), unescaped)
+
+    def read(items: Column) -> Column:
+        return let(F.transform(items, lambda v: F.when(_shape(v).startswith("OBJECT<"), _record(v))), lambda rs: F.struct(
+            rs.alias("records"), cases(
+                (F.exists(rs, lambda r: r.isNull()), lit("a gallery record is not an object")),
+                (F.exists(rs, lambda r: r["odd"]), lit("a gallery record's sizes are not lists")),
+                otherwise=lit(None).cast("string")).alias("error")))
+
+    return let(rest, lambda found: let(F.from_json(text(found), "array<variant>"), read))
 
 
 def is_placeholder(url: Column) -> Column:
@@ -181,163 +189,183 @@ def best_image(record: Column) -> Column:
                       widest(record["main"]), F.coalesce(record["thumb"], lit("")))
 
 
-def dynamic_images(els: Column) -> Column:
-    """The main image's size maps, when there is no gallery."""
-    blobs = F.transform(F.filter(els, lambda e: (P.carries(e, "#landingImage") | P.carries(e, "#imgBlkFront")
-                                                  | (e["tag"] == "img")) & P.attr(e, "data-a-dynamic-image").isNotNull()),
-                        lambda e: widest(F.from_json(P.attr(e, "data-a-dynamic-image"), "map<string, array<int>>")))
-    return F.array_compact(blobs)
+def dynamic_images(page: P.Page) -> Column:
+    """``STRUCT<urls, error>``: the main image's size maps, for pages without a gallery."""
+    places = F.array_sort(page.places_any(("#landingImage",), ("#imgBlkFront",), ("img",)))
+    blobs = F.filter(F.transform(places, lambda i: P.attr(page.at(i), "data-a-dynamic-image")), lambda b: b.isNotNull())
+    read = F.transform(blobs, lambda b: F.struct(
+        widest(F.from_json(b, "map<string, array<int>>")).alias("url"),
+        (F.coalesce(F.size(F.from_json(b, "map<string, string>")) > 0, lit(False))
+         & F.from_json(b, "map<string, array<int>>").isNull()).alias("odd")))
+    return let(read, lambda rs: F.struct(
+        F.array_compact(F.transform(rs, lambda r: r["url"])).alias("urls"),
+        F.when(F.exists(rs, lambda r: r["odd"]), lit("an image's sizes are not lists")).alias("error")))
 
 
-def media(html_images: Column, els: Column) -> Column:
-    gallery = F.filter(F.transform(html_images, lambda r: F.struct(
+def media(gallery: Column, page: P.Page) -> Column:
+    """``STRUCT<value, error>``: the gallery's images, without any the main image's."""
+    shown = F.filter(F.transform(gallery["records"], lambda r: F.struct(
         best_image(r).alias("url"), F.coalesce(r["variant"], lit("")).alias("variant"),
         clean(r["altText"]).alias("alt"), F.coalesce(r["thumb"], lit("")).alias("thumb"))),
         lambda i: i["url"] != "")
-    fallback = F.transform(dynamic_images(els), lambda u: F.struct(
-        u.alias("url"), lit("").alias("variant"), lit("").alias("alt"), lit("").alias("thumb")))
-    has = F.coalesce(F.size(gallery) > 0, lit(False))
-    return let(F.when(has, gallery).otherwise(fallback), lambda images: F.when(F.size(images) > 0, F.struct(
-        images.alias("images"), F.get(images, lit(0))["url"].alias("primary_image"),
-        F.size(images).alias("image_count"),
-        F.when(has, lit("color_images")).otherwise(lit("dynamic_image")).alias("image_source"))))
+    failed = gallery["error"].isNotNull()
+
+    def block(images: Column, source: str) -> Column:
+        return F.when(F.size(images) > 0, F.struct(
+            images.alias("images"), F.get(images, lit(0))["url"].alias("primary_image"),
+            F.size(images).alias("image_count"), lit(source).alias("image_source")))
+
+    def result(value: Column, error: Column) -> Column:
+        return F.struct(value.alias("value"), error.alias("error"))
+
+    def fallback(dynamic: Column) -> Column:
+        images = F.transform(dynamic["urls"], lambda u: F.struct(
+            u.alias("url"), lit("").alias("variant"), lit("").alias("alt"), lit("").alias("thumb")))
+        return result(F.when(dynamic["error"].isNull(), block(images, "dynamic_image")), dynamic["error"])
+
+    nothing = lit(None).cast("string")
+    return let(F.when(~failed, shown), lambda images: cases(
+        (F.coalesce(F.size(images) > 0, lit(False)), result(block(images, "color_images"), nothing)),
+        (failed, result(F.when(F.size(images) > 0, block(images, "color_images")), gallery["error"])),
+        otherwise=let(dynamic_images(page), fallback)))
 
 
 def variation_matrix(html: Column) -> Column:
-    """The family matrix, decoded key by key from just before its display data on."""
+    """``STRUCT<value, error>``: the family matrix, decoded key by key from just before its display data on.
+
+    A key whose JSON is broken is left out; one that decodes to another shape than its own is an error of the block.
+    """
     anchor = F.locate("dimensionValuesDisplayData", html)
     chunk = F.substr(html, F.greatest(anchor - 4000, lit(1)))
+    keys = {"dimensions": ("dimensions", "array<string>"), "variation_values": ("variationValues", "map<string, array<string>>"),
+            "display_labels": ("variationDisplayLabels", "map<string, string>"),
+            "values_by_asin": ("dimensionValuesDisplayData", "map<string, array<string>>")}
 
     def read(c: Column) -> Column:
-        def rest(key: str) -> Column:
-            pattern = rf"""["']{key}["']\s*:\s*"""
-            return F.when(matches(c, pattern), F.substr(
-                c, F.regexp_instr(c, lit(pattern)) + F.length(F.regexp_extract(c, pattern, 0))))
-
-        def json(key: str, schema: str) -> Column:
-            return let(F.from_json(rest(key), schema), lambda v: F.when(F.size(v) > 0, v))
-
-        def string(key: str) -> Column:
-            return group(rest(key), r'^"([^"]*)"', 1)
-
-        return F.struct(
-            json("dimensions", "array<string>").alias("dimensions"),
-            json("variationValues", "map<string, array<string>>").alias("variation_values"),
-            json("variationDisplayLabels", "map<string, string>").alias("display_labels"),
-            json("dimensionValuesDisplayData", "map<string, array<string>>").alias("values_by_asin"),
-            string("currentAsin").alias("current_asin"), string("parentAsin").alias("parent_asin"),
-            group(rest("num_total_variations"), r'^"?(\d+)', 1).try_cast("int").alias("total_variations"))
+        def rest(key: str, value: str = "(?s)(.*)") -> Column:
+            return group(c, rf"""["']{key}["']\s*:\s*{value}""", 1)
+
+        def decoded(key: str, schema: str) -> Column:
+            """Value and whether the JSON is there, is not empty and has another shape."""
+            def other(text: Column) -> Column:
+                return F.coalesce(F.size(F.from_json(text, "map<string, variant>")) > 0,
+                                  F.size(F.from_json(text, "array<variant>")) > 0, matches(text, SCALAR))
+
+            return let(rest(key), lambda text: let(F.from_json(text, schema), lambda v: F.struct(
+                F.when(F.size(v) > 0, v).alias("value"),
+                F.when(text.isNotNull() & v.isNull(), other(text)).otherwise(lit(False)).alias("odd"))))
+
+        parts = F.struct(*[decoded(*spec).alias(name) for name, spec in keys.items()])
+        return let(parts, lambda d: F.struct(
+            F.struct(*[d[name]["value"].alias(name) for name in keys],
+                     rest("currentAsin", '"([^"]*)"').alias("current_asin"),
+                     rest("parentAsin", '"([^"]*)"').alias("parent_asin"),
+                     rest("num_total_variations", r'"?(\d+)').try_cast("int").alias("total_variations")).alias("value"),
+            cases(*[(d[name]["odd"], lit(f"{spec[0]} does not have its shape")) for name, spec in keys.items()],
+                  otherwise=lit(None).cast("string")).alias("error")))
 
     return F.when(anchor > 0, let(chunk, read))
 
 
 # --- enhanced content -------------------------------------------------------------
 
-def aplus(vis: Column, els: Column) -> Column:
-    modules = F.array_sort(P.pick_any(els, *APLUS))
-
-    def build(ms: Column) -> Column:
-        mine = F.filter(els, lambda e: F.exists(ms, lambda m: P.inside(e, m)))
-
-        def fields(own: Column) -> Column:
-            types = F.array_distinct(F.flatten(F.transform(
-                F.filter(own, lambda e: P.carries(e, ".aplus-module") | P.carries(e, ".apm-brand-story-card")),
-                lambda e: F.filter(F.split(P.attr(e, "class"), r"\s+"), lambda k: k.rlike(MODULE_PREFIX)))))
-            heads = F.filter(own, lambda e: e["tag"].isin("h1", "h2", "h3", "h4") | P.carries(e, ".aplus-h1")
-                             | P.carries(e, ".aplus-h2") | P.carries(e, ".aplus-h3"))
-            images = F.transform(F.filter(own, lambda e: e["tag"] == "img"), lambda e: F.struct(
-                F.coalesce(F.nullif(P.attr(e, "data-src"), lit("")), P.attr(e, "src"), lit("")).alias("url"),
-                clean(P.attr(e, "alt")).alias("alt")))
-            shown = F.filter(images, lambda i: ~is_placeholder(i["url"]))
-            rows = F.filter(own, lambda e: e["tag"] == "tr")
-            cells = _cells(own)
-            tables = F.transform(F.filter(own, lambda e: e["tag"] == "table"), lambda t: F.filter(F.transform(
-                F.filter(rows, lambda tr: P.inside(tr, t)), lambda tr: F.transform(
-                    F.filter(cells, lambda c: c["parent"] == tr["ord"]), lambda c: P.text_of(vis, c))),
-                lambda r: F.exists(r, lambda c: c != "")))
-            outer = F.filter(ms, lambda m: ~F.exists(ms, lambda o: P.inside(m, o)))
-            text = clean(F.array_join(F.array_distinct(F.flatten(F.transform(
-                outer, lambda m: P.lines_of(vis, m)))), " "))
-            return F.struct(
-                types.alias("module_types"),
-                F.array_distinct(F.filter(P.texts_of(vis, heads), lambda h: F.length(h) < 200)).alias("headings"),
-                text.alias("text"), F.length(text).alias("text_length"),
-                let(shown, lambda s: let(F.transform(s, lambda i: i["url"]), lambda urls: F.filter(
-                    s, lambda i, n: F.array_position(urls, i["url"]) == n + 1))).alias("images"),
-                F.filter(tables, lambda t: F.size(t) > 1).alias("tables"))
-
-        return F.when(F.size(ms) > 0, let(mine, fields))
+def aplus(page: P.Page) -> Column:
+    def build(outer: Column) -> Column:
+        def own(*steps: str) -> Column:
+            """Elements of the modules, in page order; the outermost modules are apart."""
+            return F.flatten(F.transform(outer, lambda m: page.elements(F.array_sort(page.places_any(
+                *[(s,) for s in steps], within=m)))))
+
+        types = F.array_distinct(F.flatten(F.transform(
+            own(".aplus-module", ".apm-brand-story-card"),
+            lambda e: F.filter(F.split(P.attr(e, "class"), r"\s+"), lambda k: k.rlike(MODULE_PREFIX)))))
+        heads = own("h1", "h2", "h3", "h4", ".aplus-h1", ".aplus-h2", ".aplus-h3")
+        images = F.transform(own("img"), lambda e: F.struct(
+            F.coalesce(F.nullif(P.attr(e, "data-src"), lit("")), P.attr(e, "src"), lit("")).alias("url"),
+            clean(P.attr(e, "alt")).alias("alt")))
+        shown = F.filter(images, lambda i: ~is_placeholder(i["url"]))
+        tables = F.transform(own("table"), lambda t: F.filter(F.transform(
+            page.pick("tr", within=t), lambda tr: F.transform(page.cells(tr), page.text_of)),
+            lambda r: F.exists(r, lambda c: c != "")))
+        text = clean(F.array_join(F.array_distinct(F.flatten(F.transform(outer, page.lines_of))), " "))
+        return F.struct(
+            types.alias("module_types"),
+            F.array_distinct(F.filter(page.texts_of(heads), lambda h: F.length(h) < 200)).alias("headings"),
+            text.alias("text"), F.length(text).alias("text_length"),
+            let(shown, lambda s: let(F.transform(s, lambda i: i["url"]), lambda urls: F.filter(
+                s, lambda i, n: F.array_position(urls, i["url"]) == n + 1))).alias("images"),
+            F.filter(tables, lambda t: F.size(t) > 1).alias("tables"))
 
-    return let(modules, build)
+    modules = page.elements(F.array_sort(page.places_any(*APLUS)))
+    outer = let(modules, lambda ms: F.filter(ms, lambda m: ~F.exists(ms, lambda o: P.inside(m, o))))
+    return let(outer, lambda ms: F.when(F.size(ms) > 0, build(ms)))
 
 
 # --- reviews ---------------------------------------------------------------------
 
-def histogram(els: Column, language: str) -> Column:
+def histogram(page: P.Page, language) -> Column:
     """Percent per star level; the first bar of a level wins."""
-    bars = P.pick_any(els, ("#histogramTable", "a"), (".cr-widget-TitleRatingsHistogram", "a"),
-                      ("#cm_cr_dp_d_rating_histogram", "a"))
+    bars = page.elements(F.array_sort(page.places_any(
+        ("#histogramTable", "a"), (".cr-widget-TitleRatingsHistogram", "a"), ("#cm_cr_dp_d_rating_histogram", "a"))))
+    shares = F.array_compact(F.transform(bars, lambda e: LB.histogram_share(P.attr(e, "aria-label"), language)))
 
     def read(found: Column) -> Column:
-        shares = F.array_compact(F.transform(
-            F.filter(els, lambda e: (e["tag"] == "a") & F.array_contains(
-                F.transform(found, lambda b: b["ord"]), e["ord"])),
-            lambda e: LB.histogram_share(P.attr(e, "aria-label"), language)))
-        stars = F.transform(shares, lambda s: s["stars"])
-        kept = F.filter(shares, lambda s, i: (F.array_position(stars, s["stars"]) == i + 1)
+        stars = F.transform(found, lambda s: s["stars"])
+        kept = F.filter(found, lambda s, i: (F.array_position(stars, s["stars"]) == i + 1)
                         & s["stars"].between(1, 5))
         return F.map_from_entries(F.transform(kept, lambda s: F.struct(cases(
             *[(s["stars"] == n, lit(k)) for n, k in L.STAR_KEYS.items()], otherwise=lit("")).alias("key"),
             s["percent"].alias("value"))))
 
-    return let(bars, read)
+    return let(shares, read)
 
 
-def review_cards(vis: Column, els: Column, language: str, decimal: str, home) -> Column:
+def review_cards(page: P.Page, language, decimal, home) -> Column:
     """Every review card that states a rating or a text."""
     def one(r: Column) -> Column:
-        mine = F.filter(els, lambda e: P.inside(e, r))
-
-        def read(own: Column) -> Column:
-            stars = P.first_text(vis, own, ("i [data-hook=review-star-rating]", "span"),
-                                 ("[data-hook=review-star-rating]", ".a-icon-alt"),
-                                 ("[data-hook=cmps-review-star-rating]", ".a-icon-alt"))
-            date_text = P.first_text(vis, own, ("span [data-hook=review-date]",))
-            line = LB.dateline(date_text, language, home)
-            titles = P.pick_any(own, ("h5 [data-hook=reviewTitle]",), ("a [data-hook=review-title]",),
-                                ("span [data-hook=review-title]",))
+        stars = page.first_text(("i [data-hook=review-star-rating]", "span"),
+                                ("[data-hook=review-star-rating]", ".a-icon-alt"),
+                                ("[data-hook=cmps-review-star-rating]", ".a-icon-alt"), within=r)
+        date_text = page.first_text(("span [data-hook=review-date]",), within=r)
+        titles = page.places_any(("h5 [data-hook=reviewTitle]",), ("a [data-hook=review-title]",),
+                                 ("span [data-hook=review-title]",), within=r)
+        strip = page.first_text(("a [data-hook=format-strip]",), ("[data-hook=format-strip-linkless]",), within=r)
+
+        def body_of(node: Column) -> Column:
+            hidden = page.pick(".a-teaser-describedby", within=node)
+            text = F.aggregate(hidden, page.raw_text(node), lambda acc, h: F.replace(acc, page.raw_text(h), lit("")))
+            return LB.without_noise(F.translate(text, P.SEPARATOR, " "), language)
+
+        def body(step: str) -> Column:
+            return let(page.places(step, within=r), lambda p: F.when(
+                F.size(p) > 0, F.nullif(let(page.at(F.get(p, lit(0))), body_of), lit(""))))
+
+        bodies = F.coalesce(*[body(s) for s in (
+            "span [data-hook=review-body]", "div [data-hook=reviewText]", "span [data-hook=review-collapsed]")], lit(""))
+        read = F.struct(stars.alias("stars"), date_text.alias("date_text"), titles.alias("titles"), strip.alias("strip"),
+                        bodies.alias("body"), LB.dateline(date_text, language, home).alias("line"))
+
+        def card(x: Column) -> Column:
             title = clean(F.array_join(F.filter(F.flatten(F.transform(
-                titles, lambda t: F.split(P.raw_text(vis, t), P.SEPARATOR))),
+                x["titles"], lambda t: page.own_nodes(page.at(t)))),
                 lambda t: ~t.contains("Sternen") & ~t.contains("out of 5")), " "))
-            strip = P.first_text(vis, own, ("a [data-hook=format-strip]",), ("[data-hook=format-strip-linkless]",))
-            variant = F.when(strip.contains(":"), F.trim(F.regexp_extract(strip, r"^[^:]*:(.*)$", 1))).otherwise(strip)
-
-            def body_of(node: Column) -> Column:
-                hidden = F.filter(own, lambda e: P.carries(e, ".a-teaser-describedby") & P.inside(e, node))
-                text = F.aggregate(hidden, P.raw_text(vis, node), lambda acc, h: F.replace(
-                    acc, P.raw_text(vis, h), lit("")))
-                return LB.without_noise(F.translate(text, P.SEPARATOR, " "), language)
-
-            body = F.coalesce(*[F.nullif(body_of(F.get(P.pick(own, s), lit(0))), lit("")) for s in (
-                "span [data-hook=review-body]", "div [data-hook=reviewText]", "span [data-hook=review-collapsed]")],
-                lit(""))
-            language_of = F.get(F.filter(own, lambda e: F.exists(titles, lambda t: t["ord"] == e["ord"])), lit(0))
+            strip, line = x["strip"], x["line"]
             return F.struct(
                 F.coalesce(P.attr(r, "id"), lit("")).alias("id"),
-                number(group(stars, r"(\d+(?:[.,]\d+)?)", 1), decimal).alias("rating"),
-                stars.alias("rating_text"), title.alias("title"),
-                F.coalesce(P.attr(language_of, "lang"), lit("")).alias("language"),
-                F.coalesce(line["date"].cast("string"), lit("")).alias("date"), date_text.alias("date_text"),
+                number(group(x["stars"], r"(\d+(?:[.,]\d+)?)", 1), decimal).alias("rating"),
+                x["stars"].alias("rating_text"), title.alias("title"),
+                F.coalesce(P.attr(page.at(F.array_min(x["titles"])), "lang"), lit("")).alias("language"),
+                F.coalesce(line["date"].cast("string"), lit("")).alias("date"), x["date_text"].alias("date_text"),
                 F.coalesce(line["country"], lit("")).alias("country"), line["home"].alias("home_marketplace"),
-                variant.alias("variant"),
-                LB.is_verified(P.first_text(vis, own, ("span [data-hook=avp-badge]",)), language).alias("verified"),
-                LB.helpful_votes(P.first_text(vis, own, ("span [data-hook=helpful-vote-statement]",)),
+                F.when(strip.contains(":"), F.trim(F.regexp_extract(strip, r"^[^:]*:(.*)$", 1))).otherwise(strip).alias("variant"),
+                LB.is_verified(page.first_text(("span [data-hook=avp-badge]",), within=r), language).alias("verified"),
+                LB.helpful_votes(page.first_text(("span [data-hook=helpful-vote-statement]",), within=r),
                                  language).alias("helpful_votes"),
-                body.alias("text"))
+                x["body"].alias("text"))
 
-        return let(mine, read)
+        return let(read, card)
 
-    found = F.filter(els, lambda e: P.carries(e, "div [data-hook=review]") | P.carries(e, "div [data-hook=cmps-review]"))
+    found = page.elements(F.array_sort(page.places_any(("div [data-hook=review]",), ("div [data-hook=cmps-review]",))))
     return F.filter(F.transform(found, one), lambda c: c["rating"].isNotNull() | (c["text"] != ""))
 
 

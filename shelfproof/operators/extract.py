@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfproof.functions import labels as LB
 from shelfproof.functions.text import IU, clean, decode_entities, group, lookup, matches, number, quantity
-from shelfproof.functions.values import cases, let, lit, unfold
+from shelfproof.functions.values import cases, col, let, lit, unfold
 from shelfproof.operators import blocks as K
 from shelfproof.operators import merge
 from shelfproof.operators import pages as P
@@ -34,10 +34,15 @@ def plain_host(host: str) -> str:
 
 
 class _Profile:
-    """The one marketplace a run belongs to."""
+    """The rules of one marketplace, or of each page's own from the column ``_shop`` (``labels.profile``)."""
 
-    def __init__(self, host: str) -> None:
-        self.language, self.currency, self.decimal, self.home = L.MARKETPLACES.get(plain_host(host), L.FALLBACK)
+    def __init__(self, host: str | None) -> None:
+        if host is None:
+            shop = F.col("_shop")
+            self.language, self.currency, self.decimal, self.home = (
+                shop[n] for n in ("language", "currency", "decimal", "home"))
+        else:
+            self.language, self.currency, self.decimal, self.home = L.MARKETPLACES.get(plain_host(host), L.FALLBACK)
 
 
 # --- price and rating -----------------------------------------------------------
@@ -48,35 +53,35 @@ def _priced(text: Column, low: Column | None = None, high: Column | None = None)
                     (none if high is None else high).alias("high"))
 
 
-def _container_price(vis: Column, els: Column, box: Column, p: _Profile) -> Column:
+def _container_price(page: P.Page, box: Column, p: _Profile) -> Column:
     """What one price container states: a range, a decimal label, rebuilt parts, any label."""
     def ends(node: Column) -> Column:
-        return F.filter(F.transform(P.texts_of(vis, P.pick(els, ".a-offscreen", within=node)), decode_entities),
+        return F.filter(F.transform(page.texts_of(page.pick(".a-offscreen", within=node)), decode_entities),
                         LB.has_decimal)
 
-    ranges = F.filter(F.transform(P.pick(els, ".a-price-range", within=box), ends), lambda e: F.size(e) >= 2)
+    ranges = F.filter(F.transform(page.pick(".a-price-range", within=box), ends), lambda e: F.size(e) >= 2)
     span = F.get(ranges, lit(0))
     parts = F.struct(
-        decode_entities(P.first_text(vis, els, (".a-offscreen",), within=box)).alias("label"),
-        P.first_text(vis, els, ("span .a-price-whole",), within=box).alias("whole"),
-        P.first_text(vis, els, ("span .a-price-fraction",), within=box).alias("fraction"),
-        P.first_text(vis, els, ("span .a-price-symbol",), within=box).alias("symbol"))
+        decode_entities(page.first_text((".a-offscreen",), within=box)).alias("label"),
+        page.first_text(("span .a-price-whole",), within=box).alias("whole"),
+        page.first_text(("span .a-price-fraction",), within=box).alias("fraction"),
+        page.first_text(("span .a-price-symbol",), within=box).alias("symbol"))
     return F.when(span.isNotNull(), _priced(
         F.concat(F.get(span, lit(0)), lit(" - "), F.element_at(span, -1)), F.get(span, lit(0)), F.element_at(span, -1))
     ).otherwise(let(parts, lambda x: cases(
         (LB.has_decimal(x["label"]), _priced(x["label"])),
         ((x["whole"] != "") & (x["fraction"] != ""), _priced(F.trim(F.concat(
-            x["whole"], F.when(x["whole"].rlike(r"[.,]$"), lit("")).otherwise(lit(p.decimal)), x["fraction"],
+            x["whole"], F.when(x["whole"].rlike(r"[.,]$"), lit("")).otherwise(col(p.decimal)), x["fraction"],
             lit(" "), x["symbol"])))),
         (x["label"] != "", _priced(x["label"])),
         otherwise=lit(None))))
 
 
-def price(vis: Column, els: Column, p: _Profile) -> Column:
+def price(page: P.Page, p: _Profile) -> Column:
     """The page's own price; a range has no amount, and no other place is read."""
-    label = decode_entities(P.first_text(vis, els, ("#apex-pricetopay-accessibility-label",)))
-    boxes = F.flatten(F.array(*[F.transform(P.pick(els, c), P.bare) for c in PRICE_CONTAINERS]))
-    stated = F.get(F.array_compact(F.transform(boxes, lambda b: _container_price(vis, els, b, p))), lit(0))
+    label = decode_entities(page.first_text(("#apex-pricetopay-accessibility-label",)))
+    boxes = page.elements(F.flatten(F.array(*[page.places(c) for c in PRICE_CONTAINERS])))
+    stated = F.get(F.array_compact(F.transform(boxes, lambda b: _container_price(page, b, p))), lit(0))
 
     def build(x: Column) -> Column:
         text = x["text"]
@@ -91,9 +96,9 @@ def price(vis: Column, els: Column, p: _Profile) -> Column:
         F.coalesce(stated, _priced(t))), build))
 
 
-def unit_price(vis: Column, els: Column, p: _Profile) -> Column:
-    text = decode_entities(P.first_text(
-        vis, els, (".apex-priceperunit-accessibility-label",), ("span .pricePerUnit",),
+def unit_price(page: P.Page, p: _Profile) -> Column:
+    text = decode_entities(page.first_text(
+        (".apex-priceperunit-accessibility-label",), ("span .pricePerUnit",),
         ("#corePriceDisplay_desktop_feature_div", ".a-size-mini .a-color-base")))
     return let(text, lambda t: F.when(t != "", F.struct(
         number(t, p.decimal).alias("amount"),
@@ -101,11 +106,11 @@ def unit_price(vis: Column, els: Column, p: _Profile) -> Column:
         t.alias("text"))))
 
 
-def rating(vis: Column, els: Column, p: _Profile) -> Column:
-    popover = P.attr(F.get(P.pick(els, "#acrPopover"), lit(0)), "title")
-    text = F.coalesce(F.nullif(clean(popover), lit("")), P.first_text(
-        vis, els, ("#averageCustomerReviews", ".a-icon-alt"), ("#acrPopover", ".a-size-small")))
-    counted = P.first_text(vis, els, ("#acrCustomerReviewText",), ("div [data-hook=total-review-count]",))
+def rating(page: P.Page, p: _Profile) -> Column:
+    popover = P.attr(page.first("#acrPopover"), "title")
+    text = F.coalesce(F.nullif(clean(popover), lit("")), page.first_text(
+        ("#averageCustomerReviews", ".a-icon-alt"), ("#acrPopover", ".a-size-small")))
+    counted = page.first_text(("#acrCustomerReviewText",), ("div [data-hook=total-review-count]",))
     return let(F.struct(text.alias("t"), counted.alias("c")), lambda x: F.when(
         (x["t"] != "") | (x["c"] != ""), F.struct(
             number(x["t"], p.decimal).alias("value"), number(x["c"], p.decimal).try_cast("bigint").alias("count"),
@@ -167,10 +172,9 @@ def package(attributes: Column, title: Column, p: _Profile) -> Column:
 
 # --- food -----------------------------------------------------------------------
 
-def ingredients(vis: Column, els: Column, important: Column, attributes: Column, pairs: Column,
-                p: _Profile) -> Column:
+def ingredients(page: P.Page, important: Column, attributes: Column, pairs: Column, p: _Profile) -> Column:
     """Declaration text with the block it came from, by the order of trust."""
-    card = P.first_text(vis, els, ("#nic-ingredients-content",))
+    card = page.first_text(("#nic-ingredients-content",))
     section = F.get(F.filter(important, lambda s: LB.is_ingredient_heading(s["heading"], p.language)), lit(0))
     filed = F.nullif(F.try_element_at(attributes, lit("ingredients")), lit(""))
     prefixed = F.get(F.filter(pairs, lambda e: matches(e["value"], INGREDIENT_PREFIX)), lit(0))
@@ -186,10 +190,11 @@ def ingredients(vis: Column, els: Column, important: Column, attributes: Column,
         otherwise=lit(None))
 
 
-def allergens(vis: Column, els: Column, attributes: Column) -> Column:
-    boxes = F.filter(els, lambda e: e["seg"].contains(" #nic-allergens"))
+def allergens(page: P.Page, attributes: Column) -> Column:
+    """Texts of the boxes whose id starts with the allergens' name, then the declared ones."""
+    boxes = page.pick("#nic-allergens*")
     declared = F.nullif(F.try_element_at(attributes, lit("allergen_info")), lit(""))
-    return F.array_distinct(F.concat(P.texts_of(vis, boxes), F.array_compact(F.array(declared))))
+    return F.array_distinct(F.concat(page.texts_of(boxes), F.array_compact(F.array(declared))))
 
 
 def _target(key: Column, unit: Column) -> Column:
@@ -225,14 +230,14 @@ def _finish(rows: Column, basis: Column, source: Column) -> Column:
     return let(stored, build)
 
 
-def card_nutrition(vis: Column, els: Column, p: _Profile) -> Column:
+def card_nutrition(page: P.Page, p: _Profile) -> Column:
     """The structured nutrition table, NULL without rows."""
-    tables = P.pick_any(els, ("#nic-eu-nutrition-facts-table",), ("#nic-nutrition-facts-table",),
-                        ("#nic-eu-nutrition-facts", "table"))
-    rows = F.transform(let(tables, lambda t: K.two_cell_rows(vis, els, t)), lambda r: _row(
+    tables = page.pick_any(("#nic-eu-nutrition-facts-table",), ("#nic-nutrition-facts-table",),
+                           ("#nic-eu-nutrition-facts", "table"))
+    rows = F.transform(let(tables, lambda t: K.two_cell_rows(page, t)), lambda r: _row(
         r["label"], r["value"], number(r["value"], p.decimal), LB.nutrient_unit(r["value"]),
         LB.nutrient_key(r["label"], p.language)))
-    basis = P.first_text(vis, els, ("#nic-nutrition-summary-serving",), ("#nic-eu-nutrition-facts-typical-values",))
+    basis = page.first_text(("#nic-nutrition-summary-serving",), ("#nic-eu-nutrition-facts-typical-values",))
     return let(rows, lambda r: F.when(F.size(r) > 0, _finish(r, basis, lit("nutrition_card"))))
 
 
@@ -252,21 +257,47 @@ def attribute_nutrition(pairs: Column, p: _Profile) -> Column:
 
 
 def prose_rows(text: Column, p: _Profile) -> Column:
-    """Nutrients of a prose text: alias, a number near it and a unit, longest alias first."""
-    options = sorted(L.aliases(L.NUTRIENT_ALIASES, p.language), key=lambda a: len(a[0]), reverse=True)
-
-    def one(alias: str, key: str) -> Column:
-        pattern = rf"(?iU){alias}\b[^0-9<>]{{0,24}}?(\d[\d.,]*)\s*(kcal|kj|mg|g)\b"
-        hit = F.regexp_extract(text, pattern, 0)
-        start = F.regexp_instr(text, lit(pattern))
-        window = F.substr(text, F.greatest(start - 140, lit(1)), F.least(start - 1, lit(140)) + F.length(hit) + 140)
-        return F.when(matches(text, pattern), _row(
-            lit(alias), hit, number(group(text, pattern, 1), p.decimal), F.lower(group(text, pattern, 2)), lit(key),
-            matches(window, BASIS)))
+    """Nutrients of a prose text: alias, a number near it and a unit, longest alias first.
 
-    found = F.filter(F.array(*[one(a, k) for a, k in options]), lambda r: r.isNotNull() & r["amount"].isNotNull())
-    return let(found, lambda rows: F.filter(rows, lambda r, i: ~F.exists(
-        F.slice(rows, lit(1), i), lambda q: _target(q["key"], q["unit"]) == r["key"])))
+    One pass over the text finds every place where an alias is followed by an amount; what follows is read at those
+    places only.  Aliases that are the beginning of longer ones are of the same nutrient, so the longest at a place counts.
+    """
+    return LB.per_language(p.language, lambda lang: _prose_rows(text, p, lang))
+
+
+def _prose_rows(text: Column, p: _Profile, language: str) -> Column:
+    options = sorted(L.aliases(L.NUTRIENT_ALIASES, language), key=lambda a: len(a[0]), reverse=True)
+    names = "|".join(a for a, _ in options)
+    amount = r"\b[^0-9<>]{0,24}?(\d[\d.,]*)\s*(kcal|kj|mg|g)\b"
+    here = rf"(?iU)({names}){amount}"
+    longest = max(len(a) for a, _ in options)
+    rank = {a: i for i, (a, _) in enumerate(options)}
+    pieces = F.split(text, rf"(?iU)(?=(?:{names}){amount})", -1)
+
+    def hit(at: Column) -> Column:
+        rest = F.substr(text, at, lit(longest + 400))
+        window = lambda found: F.substr(
+            text, F.greatest(at - 140, lit(1)), F.least(at - 1, lit(140)) + F.length(found) + 140)
+        return let(F.struct(F.regexp_extract(rest, "^" + here, 0).alias("all"),
+                            F.lower(F.regexp_extract(rest, "^" + here, 1)).alias("alias"),
+                            group(rest, "^" + here, 2).alias("amount"), F.lower(group(rest, "^" + here, 3)).alias("unit")),
+                   lambda h: F.struct(
+                       lookup(rank, h["alias"]).alias("rank"), at.alias("at"),
+                       _row(h["alias"], h["all"], number(h["amount"], p.decimal), h["unit"],
+                            lookup(dict(options), h["alias"]), matches(window(h["all"]), BASIS)).alias("row")))
+
+    def read(parts: Column) -> Column:
+        ends = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, lit(1), i), lit(1), lambda a, t: a + F.length(t)))
+        starts = F.when(matches(F.get(parts, lit(0)), "^" + here), ends).otherwise(F.slice(ends, lit(2), F.size(ends)))
+        found = F.array_sort(F.filter(F.transform(starts, hit), lambda h: h["rank"].isNotNull()))
+        # The first place of an alias counts, and of a nutrient the first alias that has an amount.
+        first = let(found, lambda hs: F.filter(hs, lambda h, i: ~F.coalesce(
+            F.get(hs, i - 1)["rank"] == h["rank"], lit(False)) | (i == 0)))
+        return F.filter(F.transform(first, lambda h: h["row"]), lambda r: r["amount"].isNotNull())
+
+    rows = F.when(matches(text, rf"(?iU)(?:{names})"), let(pieces, read))
+    return let(rows, lambda rs: F.filter(rs, lambda r, i: ~F.exists(
+        F.slice(rs, lit(1), i), lambda q: _target(q["key"], q["unit"]) == r["key"])))
 
 
 def prose_nutrition(candidates: Column, p: _Profile) -> Column:
@@ -299,15 +330,15 @@ BLOCKS = ("raw_tables", "important_information", "feature_bullets", "description
           "breadcrumbs", "allergens")
 
 
-def extract(pages: DataFrame, host: str) -> DataFrame:
-    """Pages (html plus any lineage columns) to listings.
+def extract(pages: DataFrame, host: str | None) -> DataFrame:
+    """Pages (html plus any lineage columns) to listings, by the rules of ``host``.
 
-    No step shuffles: a page is one row from its source to its listing.  Script
-    data is read from the source before the page is tokenised, then the source
+    Without a host each page brings its own rules (column ``_shop``).  No step shuffles: a page is one row from its
+    source to its listing.  Script data is read from the source before the page is tokenised, then the source
     is dropped.
     """
-    source, *passes = _passes(host)
-    out = P.tokenise(pages.withColumns(source))
+    page, source, *passes = _passes(host)
+    out = P.tokenise(pages.withColumns(source), page)
     for columns in passes:
         out = out.withColumns(columns)
     lineage = [f for f in CRAWL_FIELDS if f in pages.columns]
@@ -326,33 +357,31 @@ def extract(pages: DataFrame, host: str) -> DataFrame:
 
 
 @lru_cache(maxsize=None)
-def _passes(host: str) -> list[dict[str, Column]]:
-    """The projections from source to blocks, in order; built once per marketplace."""
-    p = _Profile(host)
-    vis, els, pairs = F.col("vis"), F.col("els"), F.col("_pairs")
-    source = {"_images": K.image_records(F.col("html")), "variation": K.variation_matrix(F.col("html"))}
-    canonical_link = P.attr(F.get(P.pick(els, "link [rel=canonical]"), lit(0)), "href")
+def _passes(host: str | None) -> list:
+    """The selectors' page and the projections from source to blocks, in order; built once per marketplace."""
+    p, page, pairs = _Profile(host), P.Page(), F.col("_pairs")
+    source = {"_gallery": K.image_records(F.col("html")), "_matrix": K.variation_matrix(F.col("html"))}
     blocks = {
-        "title": P.first_text(vis, els, ("#productTitle",), ("#title",)),
-        "_canonical": canonical_link,
-        "_pairs": K.merged_pairs(K.table_pairs(vis, els), K.bullet_pairs(vis, els)),
-        "_important": K.sections(vis, els, "#important-information"),
-        "_bullets": P.bullets(vis, els, "#feature-bullets", "ul", "li", "span .a-list-item"),
-        "_description": P.first_text(vis, els, ("#productDescription",)),
-        "_aplus": K.aplus(vis, els),
-        "byline_text": P.first_text(vis, els, ("#bylineInfo",)),
-        "brand_url": F.coalesce(clean(P.attr(F.get(P.pick(els, "#bylineInfo"), lit(0)), "href")), lit("")),
-        "price": price(vis, els, p), "unit_price": unit_price(vis, els, p), "rating": rating(vis, els, p),
-        "availability": P.first_text(vis, els, ("#availability", "span"), ("#availability",)),
-        "seller": P.first_text(vis, els, ("#sellerProfileTriggerId",), ("#merchant-info", "a"), ("#merchant-info",)),
-        "breadcrumbs": P.bullets(vis, els, "#wayfinding-breadcrumbs_feature_div", "ul", "li", "a"),
-        "_shares": K.histogram(els, p.language),
-        "_cards": K.review_cards(vis, els, p.language, p.decimal, p.home),
-        "_card_nutrition": card_nutrition(vis, els, p),
-        "media": K.media(F.col("_images"), els)}
+        "title": page.first_text(("#productTitle",), ("#title",)),
+        "_canonical": P.attr(page.first("link [rel=canonical]"), "href"),
+        "_pairs": K.merged_pairs(K.table_pairs(page), K.bullet_pairs(page)),
+        "_important": K.sections(page, "#important-information"),
+        "_bullets": page.bullets("#feature-bullets", "ul", "li", "span .a-list-item"),
+        "_description": page.first_text(("#productDescription",)),
+        "_aplus": K.aplus(page),
+        "byline_text": page.first_text(("#bylineInfo",)),
+        "brand_url": F.coalesce(clean(P.attr(page.first("#bylineInfo"), "href")), lit("")),
+        "price": price(page, p), "unit_price": unit_price(page, p), "rating": rating(page, p),
+        "availability": page.first_text(("#availability", "span"), ("#availability",)),
+        "seller": page.first_text(("#sellerProfileTriggerId",), ("#merchant-info", "a"), ("#merchant-info",)),
+        "breadcrumbs": page.bullets("#wayfinding-breadcrumbs_feature_div", "ul", "li", "a"),
+        "_shares": K.histogram(page, p.language),
+        "_cards": K.review_cards(page, p.language, p.decimal, p.home),
+        "_card_nutrition": card_nutrition(page, p),
+        "_media": K.media(F.col("_gallery"), page)}
     derived = {
-        "_ingredients": ingredients(vis, els, F.col("_important"), F.col("attributes"), pairs, p),
-        "_allergens": allergens(vis, els, F.col("attributes")),
+        "_ingredients": ingredients(page, F.col("_important"), F.col("attributes"), pairs, p),
+        "_allergens": allergens(page, F.col("attributes")),
         "_nutrition": F.coalesce(
             F.col("_card_nutrition"), attribute_nutrition(pairs, p),
             prose_nutrition(_candidates(F.col("_description"), F.col("_aplus"), F.col("_important"),
@@ -360,8 +389,9 @@ def _passes(host: str) -> list[dict[str, Column]]:
         "package": package(F.col("attributes"), F.col("title"), p),
         "brand": F.coalesce(F.nullif(F.try_element_at("attributes", lit("brand")), lit("")),
                             LB.byline(F.col("byline_text"), p.language)),
+        "media": F.col("_media.value"), "variation": F.when(F.col("_matrix.error").isNull(), F.col("_matrix.value")),
         "reviews": K.review_block(F.col("_shares"), F.col("_cards"), F.col("rating.count"))}
-    return [source, blocks, {"attributes": K.canonical(pairs, p.language)}, derived]
+    return [page, source, blocks, {"attributes": K.canonical(pairs, p.language)}, derived]
 
 
 @lru_cache(maxsize=None)
@@ -379,12 +409,15 @@ def _assembled() -> dict[str, Column]:
         "unit_price": F.col("unit_price").isNotNull(), "breadcrumbs": F.size("breadcrumbs") > 0,
         "allergens": F.size("_allergens") > 0}
     listed = {k: F.coalesce(c, lit(False)) for k, c in present.items()}
+    # A block that fails is neither present nor absent, and the page's other blocks stand.
+    failed = {"media": F.col("_media.error"), "variation": F.col("_matrix.error")}
+    state = {b: failed[b].isNull() if b in failed else lit(True) for b in BLOCKS}
+    errors = F.array(F.struct(lit("page").alias("block"), F.col("page_error").alias("error")), *[
+        F.struct(lit(b).alias("block"), c.alias("error")) for b, c in failed.items()])
     log = F.struct(
-        F.array_compact(F.array(*[F.when(listed[b], lit(b)) for b in BLOCKS])).alias("blocks_present"),
-        F.array_compact(F.array(*[F.when(~listed[b], lit(b)) for b in BLOCKS])).alias("blocks_absent"),
-        F.when(F.col("page_error").isNotNull(), F.array(F.struct(
-            lit("page").alias("block"), F.col("page_error").alias("error"))))
-        .otherwise(F.expr("cast(array() as array<struct<block: string, error: string>>)")).alias("errors"))
+        F.array_compact(F.array(*[F.when(state[b] & listed[b], lit(b)) for b in BLOCKS])).alias("blocks_present"),
+        F.array_compact(F.array(*[F.when(state[b] & ~listed[b], lit(b)) for b in BLOCKS])).alias("blocks_absent"),
+        F.filter(errors, lambda e: e["error"].isNotNull()).alias("errors"))
     return {
         "schema_version": lit(SCHEMA_VERSION),
         "raw_tables": F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["label"], e["value"]))),
@@ -397,46 +430,52 @@ def _assembled() -> dict[str, Column]:
 
 
 def accepted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Gated pages split into content and the rest (reason per page)."""
-    gated = P.gate(pages)
-    content = gated.where(F.col("challenge").isNull() & ~F.col("parse_failed") & F.col("page_error").isNull())
-    refused = gated.where(~(F.col("challenge").isNull() & ~F.col("parse_failed") & F.col("page_error").isNull()))
-    return content, refused
+    """Pages (with their source) that hold a product, and the rest with the reason, to be split before extraction."""
+    gated = pages.withColumn("_html", F.col("html"))
+    gated = P.gate(gated).withColumnRenamed("_html", "html").drop(*P.READ)
+    fine = F.col("challenge").isNull() & ~F.col("parse_failed") & F.col("page_error").isNull()
+    return gated.where(fine).select(*pages.columns), gated.where(~fine)
 
 
-#: Manifests that are sent to every task; each is a run id and three short texts.
-MANIFESTS = 20_000
+#: Manifests that are sent to every task; each is a run id and three short texts, so some 20 MB.
+MANIFESTS = 200_000
+#: Parts that the pages of a run are dealt over where there are more manifests.
+SALTS = 64
+
+
+def with_manifests(pages: DataFrame, run: DataFrame) -> DataFrame:
+    """Pages with ``_marketplace``, ``_locale`` and ``_accept`` of their run's manifest, NULL without one.
+
+    Up to ``MANIFESTS`` runs go to the pages, which are not moved.  Beyond, both sides are shuffled, a run's pages over
+    ``SALTS`` parts.
+    """
+    about = run.where(F.col("run_id").isNotNull()).groupBy("run_id").agg(F.max(F.struct(
+        F.col("marketplace").alias("_marketplace"), F.col("locale.language").alias("_locale"),
+        F.col("locale.accept_language").alias("_accept"))).alias("_m")).select("run_id", "_m.*")
+    if about.limit(MANIFESTS + 1).count() <= MANIFESTS:
+        return pages.join(F.broadcast(about), "run_id", "left")
+    salted = about.withColumn("_salt", F.explode(F.sequence(lit(0), lit(SALTS - 1))))
+    return pages.withColumn("_salt", F.pmod(F.xxhash64("asin", "fetched_at"), lit(SALTS)).cast("int")).join(
+        salted, ["run_id", "_salt"], "left").drop("_salt")
 
 
 def reextract(pages: DataFrame, run: DataFrame, host: str, feed: DataFrame | None = None) -> DataFrame:
     """Extract retained pages again and give them the lineage of the crawl that found them.
 
     ``pages`` is (asin, run_id, html, fetched_at); ``run`` the manifests.  A page is read by the
-    rules of its manifest's marketplace; ``host`` is for pages whose run has none.  Manifests are one
-    small row per run and go to the pages (checked against ``MANIFESTS``), so pages are not
-    moved for them.  The feed is joined to the listings.  Pages that could not be read keep their
-    row with ``page_error``.
+    rules of its manifest's marketplace, which it carries as a value, so pages of all shops are one scan and one
+    plan; ``host`` is for pages whose run names none.  Of a shop without rules of its own, those for any other host are used.
+    The feed is joined to the listings, by the keys its records have (``merge.lineage``).  Pages that could
+    not be read keep their row with ``page_error``.
     """
-    about = run.groupBy("run_id").agg(F.max(F.struct(
-        F.col("marketplace").alias("_marketplace"), F.col("locale.language").alias("_locale"),
-        F.col("locale.accept_language").alias("_accept"))).alias("_m")).select("run_id", "_m.*")
-    known = [h for h in L.MARKETPLACES]
-    place = LB.host_key(F.col("_marketplace"))
-    seen = {r[0] for r in about.select(F.when(place.isin(known), place)).distinct().collect()}  # at most every known one
-    about = F.broadcast(about) if run.count() <= MANIFESTS else about
-    base = pages.join(about, "run_id", "left")
-    link = F.concat(lit("https://"), F.col("_marketplace"), lit("/dp/"), F.col("asin"))
+    base = with_manifests(pages, run)
+    link = F.concat(lit("https://"), F.coalesce("_marketplace", lit("")), lit("/dp/"), F.col("asin"))
     base = base.select(
         "asin", "run_id", "html", "fetched_at", F.coalesce("_marketplace", lit("")).alias("marketplace"),
         link.alias("product_url"), link.alias("canonical_url"), F.coalesce("_locale", lit("")).alias("locale"),
         F.coalesce("_accept", lit("")).alias("accept_language"))
-    shop = F.coalesce(F.nullif(F.col("marketplace"), lit("")), lit(host))
-    key = LB.host_key(shop)
-    named = sorted(h for h in seen | {plain_host(host)} if h in known)
-    parts = [extract(base.where(key == h), h) for h in named]
-    if None in seen or not parts or plain_host(host) not in known:
-        parts.append(extract(base.where(~F.coalesce(key.isin(named), lit(False))), ""))
-    records = reduce(DataFrame.unionByName, parts)
+    shop = F.coalesce(F.nullif(F.trim("marketplace"), lit("")), lit(host))
+    records = extract(base.withColumn("_shop", LB.profile(shop)), None)
     return records if feed is None else merge.lineage(records, feed, [f for f in CRAWL_FIELDS if f in feed.columns
                                                                       and f != "asin"])
 

@@ -4,15 +4,20 @@ One Arrow function reads a page into a list of its elements; everything after
 it is column expressions over that list.  A page is one row, so no extraction
 step shuffles, and the same code runs on a stream of pages.
 
-``vis`` holds the visible text nodes of a page joined by a separator.  An
-element carries the range of ``vis`` it covers, so the text of any element is a
-substring and no text is stored twice.
+``nodes`` holds the visible text nodes of a page.  An element carries the range of ``nodes`` it
+covers, so the text of any element is a slice and no text is stored twice.
+
+``idx`` leads from a token (``#id``, ``.class``, ``[hook=x]``, a tag) to the elements that carry it, in
+page order, for the tokens that the selectors of a plan name.  An element is its place in
+``els`` and covers the places up to its ``last``, so a selector reads a few numbers and compares
+them with ranges, however many elements the page has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import re
+from collections.abc import Callable, Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfproof.functions.text import clean
-from shelfproof.functions.values import cases, let, lit
+from shelfproof.functions.values import cases, expr, let, lit
 from shelfproof.rules import locale as L
 
 SEPARATOR = "\x1f"
@@ -40,95 +45,152 @@ ENDS = {
 }
 
 ELEMENT = ("struct<ord: int, last: int, parent: int, tag: string, seg: string, start: int,"
-           " stop: int, attrs: map<string, string>>")
+           " stop: int, cells: int, cells_end: int, attrs: map<string, string>>")
+#: The token of table cells of both kinds; an element knows how many of them stand in front of it and of its end.
+CELL = "<cell>"
+NUMBERS = ("ord", "last", "parent", "start", "stop", "cells", "cells_end")
+READ = ("nodes", "els", "idx")
+
+
+# What a page is made of: comments and declarations, and tags with attributes.  A quote opens a value only behind "=".
+MARKUP = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+#: Elements whose content is text up to their own end.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
 
 
-class _Reader(HTMLParser):
+class _Reader:
     """Collects elements and visible text of pages; closes what a page leaves open.
 
     Elements are kept column by column, as Arrow wants them.
     """
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.ords, self.lasts, self.parents, self.starts, self.stops = [], [], [], [], []
+    def __init__(self, wanted: frozenset[str]) -> None:
+        self.wanted = frozenset(t for t in wanted if not t.endswith("*"))
+        # Tokens by a part of their name: "#x*" begins with x, ".*x*" contains it.
+        self.parts = [(t[0], t[1:-1].lstrip("*"), t[1] == "*", t) for t in wanted if t.endswith("*")]
+        self.numbers: dict[str, list[int]] = {name: [] for name in NUMBERS}
         self.tags, self.segs, self.keys, self.items = [], [], [], []
-        self.attr_ends, self.page_ends, self.vis, self.errors = [0], [0], [], []
+        self.attr_ends, self.page_ends, self.node_ends, self.errors = [0], [0], [0], []
+        self.nodes, self.token_ends, self.tokens, self.place_ends, self.places = [], [0], [], [0], []
 
     def read(self, html: str | None) -> None:
-        self.reset()
-        self.base, self.open, self.texts, self.size, self.hidden = len(self.ords), [], [], 0, 0
+        self.base, self.open, self.first_node, self.hidden, self.n_cells = len(self.tags), [], len(self.nodes), 0, 0
+        self.found: dict[str, list[int]] = {}
         error = None
         try:
-            self.feed(html or "")
-            self.close()
+            self._scan(html or "")
         except Exception as problem:  # noqa: BLE001  one unreadable page must not end the pass
             error = f"{type(problem).__name__}: {problem}"
         while self.open:
             self._close()
-        self.vis.append(SEPARATOR.join(self.texts))
+        for token, places in self.found.items():
+            self.tokens.append(token)
+            self.places += places
+            self.place_ends.append(len(self.places))
+        self.token_ends.append(len(self.tokens))
+        self.node_ends.append(len(self.nodes))
         self.errors.append(error)
-        self.page_ends.append(len(self.ords))
+        self.page_ends.append(len(self.tags))
+
+    def _scan(self, html: str) -> None:
+        at, size = 0, len(html)
+        while at < size:
+            found = MARKUP.search(html, at)
+            if not found:
+                self._text(html[at:])
+                return
+            if found.start() > at:
+                self._text(html[at:found.start()])
+            at = found.end()
+            end, tag, rest = found.groups()
+            if not tag:
+                continue
+            tag = tag.lower()
+            if end:
+                self._end(tag)
+                continue
+            self._start(tag, {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {})
+            if tag in RAW:
+                stop = RAW[tag].search(html, at)
+                here = stop.start() if stop else size
+                if tag not in HIDDEN:
+                    self._text(html[at:here])
+                at = here
+            elif rest.endswith("/") and tag not in VOID:
+                self._end(tag)
 
     def arrays(self) -> list[pa.Array]:
-        """``vis``, ``els`` and ``page_error`` of the pages read."""
-        attrs = pa.MapArray.from_arrays(pa.array(self.attr_ends, pa.int32()), pa.array(self.keys, pa.string()),
-                                        pa.array(self.items, pa.string()))
-        columns = {"ord": self.ords, "last": self.lasts, "parent": self.parents, "tag": self.tags, "seg": self.segs,
-                   "start": self.starts, "stop": self.stops}
-        arrays = [pa.array(v, pa.string() if k in ("tag", "seg") else pa.int32()) for k, v in columns.items()]
-        elements = pa.StructArray.from_arrays([*arrays, attrs], names=[*columns, "attrs"])
-        return [pa.array(self.vis, pa.string()),
-                pa.ListArray.from_arrays(pa.array(self.page_ends, pa.int32()), elements),
-                pa.array(self.errors, pa.string())]
-
-    def handle_starttag(self, tag, attrs):
+        """``nodes``, ``els``, ``idx`` and ``page_error`` of the pages read."""
+        ints, texts = (lambda v: pa.array(v, pa.int32())), (lambda v: pa.array(v, pa.string()))
+        attrs = pa.MapArray.from_arrays(ints(self.attr_ends), texts(self.keys), texts(self.items))
+        columns = {**{n: ints(v) for n, v in self.numbers.items()}, "tag": texts(self.tags), "seg": texts(self.segs),
+                   "attrs": attrs}
+        order = [f.split(":")[0].strip() for f in re.sub(r"map<.*?>", "map", ELEMENT[7:-1]).split(",")]
+        elements = pa.StructArray.from_arrays([columns[n] for n in order], names=order)
+        index = pa.MapArray.from_arrays(ints(self.token_ends), texts(self.tokens),
+                                        pa.ListArray.from_arrays(ints(self.place_ends), ints(self.places)))
+        return [pa.ListArray.from_arrays(ints(self.node_ends), texts(self.nodes)),
+                pa.ListArray.from_arrays(ints(self.page_ends), elements), index, texts(self.errors)]
+
+    def _note(self, token: str, at: int) -> None:
+        if token in self.wanted:
+            self._add(token, at)
+
+    def _add(self, token: str, at: int) -> None:
+        places = self.found.setdefault(token, [])
+        if not places or places[-1] != at:
+            places.append(at)
+
+    def _start(self, tag: str, extra: dict[str, str]) -> None:
         if tag in ENDS:
             self._end_open(*ENDS[tag])
         elif tag in BLOCKS:
             self._end_open(("p",), ("table",))
+        at = len(self.tags) - self.base
+        self._note(tag, at)
         seg = " " + tag + " "
-        extra = {k: v or "" for k, v in attrs} if attrs else {}
         if extra:
+            tokens = []
             if extra.get("id"):
-                seg += "#" + extra["id"].strip() + " "
-            for name in extra.get("class", "").split():
-                seg += "." + name + " "
+                tokens.append("#" + extra["id"].strip())
+            tokens += ["." + name for name in extra.get("class", "").split()]
             for k, v in extra.items():
                 if k in TOKENS:
-                    seg += f"[{k}={v}] "
+                    tokens.append(f"[{k}={v}]")
                 if k in KEPT:
                     self.keys.append(k)
                     self.items.append(v)
-        at = len(self.ords) - self.base
-        self.ords.append(at)
-        self.lasts.append(at)
-        self.parents.append(self.open[-1][0] if self.open else -1)
+            for token in tokens:
+                seg += token + " "
+                self._note(token, at)
+                for kind, part, anywhere, name in self.parts:
+                    if token[0] == kind and (part in token if anywhere else token.startswith(part, 1)):
+                        self._add(name, at)
+        here = len(self.nodes) - self.first_node
+        for name, value in zip(NUMBERS, (at, at, self.open[-1][0] if self.open else -1, here, here, self.n_cells,
+                                         self.n_cells), strict=True):
+            self.numbers[name].append(value)
         self.tags.append(tag)
         self.segs.append(seg)
-        self.starts.append(self.size)
-        self.stops.append(self.size)
         self.attr_ends.append(len(self.keys))
+        if tag in ("td", "th"):
+            self._note(CELL, at)
+            self.n_cells += 1
         if tag not in VOID:
             self.open.append((at, tag))
             self.hidden += tag in HIDDEN
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if any(t == tag for _, t in self.open):
             while self._close() != tag:
                 pass
 
-    def handle_data(self, data):
+    def _text(self, data: str) -> None:
         if not self.hidden and data:
-            if SEPARATOR in data:
-                data = data.replace(SEPARATOR, " ")
-            self.texts.append(data)
-            self.size += len(data) + 1
+            if "&" in data:
+                data = unescape(data)
+            self.nodes.append(data.replace(SEPARATOR, " ") if SEPARATOR in data else data)
 
     def _end_open(self, ends, stop_at):
         for depth in range(len(self.open) - 1, -1, -1):
@@ -143,21 +205,23 @@ class _Reader(HTMLParser):
 
     def _close(self) -> str:
         at, tag = self.open.pop()
-        self.lasts[self.base + at] = len(self.ords) - self.base - 1
-        # The separator behind the last text is not part of the element.
-        self.stops[self.base + at] = max(self.starts[self.base + at], self.size - 1)
+        self.numbers["last"][self.base + at] = len(self.tags) - self.base - 1
+        self.numbers["stop"][self.base + at] = len(self.nodes) - self.first_node
+        self.numbers["cells_end"][self.base + at] = self.n_cells
         self.hidden -= tag in HIDDEN
         return tag
 
 
-def tokenise(pages: DataFrame, html: str = "html", chunk_chars: int = 8 << 20) -> DataFrame:
-    """Replace the page source by ``vis``, ``els`` and ``page_error``.
+def tokenise(pages: DataFrame, page: Page, html: str = "html", chunk_chars: int = 8 << 20) -> DataFrame:
+    """Replace the page source by ``nodes``, ``els``, ``idx`` and ``page_error``.
 
-    Other columns pass through as Arrow arrays.  Output leaves whenever some
+    ``page`` knows the tokens to index, so it is asked for all its selectors first.  Other columns
+    pass through as Arrow arrays.  Output leaves whenever some
     megabytes of source are read, since the elements of a page outweigh it.
     """
     keep = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in keep]
+    wanted = frozenset(page.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,18 +229,17 @@ def tokenise(pages: DataFrame, html: str = "html", chunk_chars: int = 8 << 20) -
             passed = [batch.column(batch.schema.get_field_index(n)) for n in names]
             at = 0
             while at < batch.num_rows:
-                reader, start, read = _Reader(), at, 0
+                reader, start, read = _Reader(wanted), at, 0
                 while at < batch.num_rows and read < chunk_chars:
-                    page = source[at].as_py()
-                    reader.read(page)
-                    read += len(page or "")
+                    text = source[at].as_py()
+                    reader.read(text)
+                    read += len(text or "")
                     at += 1
                 yield pa.RecordBatch.from_arrays(
-                    [c.slice(start, at - start) for c in passed] + reader.arrays(),
-                    names=[*names, "vis", "els", "page_error"])
+                    [c.slice(start, at - start) for c in passed] + reader.arrays(), names=[*names, *READ, "page_error"])
 
-    schema = T.StructType([*keep, T.StructField("vis", T.StringType()),
-                           T.StructField("els", T._parse_datatype_string(f"array<{ELEMENT}>")),
+    types = ("array<string>", f"array<{ELEMENT}>", "map<string, array<int>>")
+    schema = T.StructType([*keep, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(READ, types, strict=True)],
                            T.StructField("page_error", T.StringType())])
     return pages.select(*names, html).mapInArrow(run, schema)
 
@@ -184,13 +247,18 @@ def tokenise(pages: DataFrame, html: str = "html", chunk_chars: int = 8 << 20) -
 # --- choosing elements ------------------------------------------------------
 #
 # A step is a string of tokens an element must carry: "span .a-list-item",
-# "#title", "[data-hook=review]".  A list of steps descends; a tuple of
-# step lists is an ordered choice.
+# "#title", "[data-hook=review]", or one token by its beginning or part: "#x*", ".*x*".  A list of steps
+# descends; a tuple of step lists is an ordered choice.
+
+NO_PLACES = "cast(array() as array<int>)"
+#: The kinds of tokens, from the rarest on a page to the most frequent; a step is looked up by its rarest token.
+KINDS = "#[."
+
 
 def carries(e: Column, step: str) -> Column:
     out = None
     for token in step.split():
-        test = e["seg"].contains(f" {token} ") if token[0] in "#.[" else e["tag"] == token
+        test = e["seg"].contains(f" {token} ") if token[0] in KINDS else e["tag"] == token
         out = test if out is None else out & test
     return out
 
@@ -199,64 +267,105 @@ def inside(e: Column, outer: Column) -> Column:
     return (e["ord"] > outer["ord"]) & (e["ord"] <= outer["last"])
 
 
-def pick(els: Column, *steps: str, within: Column | None = None) -> Column:
-    """Elements reached by the steps, in page order."""
-    def first(e: Column) -> Column:
-        ok = carries(e, steps[0])
-        return ok if within is None else ok & inside(e, within)
+def attr(e: Column, name: str) -> Column:
+    return F.try_element_at(e["attrs"], lit(name))
 
-    found = F.filter(els, first)
-    for step in steps[1:]:
-        found = _descend(els, found, step)
-    return found
 
+class Page:
+    """Selectors over a tokenised page, and the tokens they need indexed."""
 
-def _descend(els: Column, outer: Column, step: str) -> Column:
-    return let(outer, lambda found: F.filter(
-        els, lambda e: carries(e, step) & F.exists(found, lambda o: inside(e, o))))
+    def __init__(self) -> None:
+        self.tokens: set[str] = set()
 
+    # Elements by their places.
 
-def pick_any(els: Column, *choices: tuple[str, ...], within: Column | None = None) -> Column:
-    """Elements that any of the step lists reaches, each once, by choice then page order."""
-    return F.array_distinct(F.concat(*[F.transform(
-        pick(els, *c, within=within), bare) for c in choices]))
+    def _carrying(self, step: str) -> tuple[Column, Callable[[Column], Column] | None]:
+        """Places by the step's rarest token, and the test of the others."""
+        tokens = sorted(step.split(), key=lambda t: KINDS.find(t[0]) if t[0] in KINDS else len(KINDS))
+        self.tokens.add(tokens[0])
+        rest = " ".join(tokens[1:])
+        found = F.try_element_at(F.col("idx"), lit(tokens[0]))
+        return found, (lambda i: carries(self.at(i), rest)) if rest else None
 
+    def places(self, *steps: str, within: Column | None = None) -> Column:
+        """Places of the elements reached by the steps, in page order."""
+        found, test = self._carrying(steps[0])
+        if within is not None:
+            found = F.filter(found, lambda i: (i > within["ord"]) & (i <= within["last"]))
+        if test is not None:
+            found = F.filter(found, test)
+        for step in steps[1:]:
+            found = self._descend(found, step)
+        return F.coalesce(found, expr(NO_PLACES))
 
-def bare(e: Column) -> Column:
-    """An element without its attributes: maps cannot be compared."""
-    return F.struct(*[e[f].alias(f) for f in ("ord", "last", "parent", "tag", "seg", "start", "stop")])
+    def _descend(self, outer: Column, step: str) -> Column:
+        found, test = self._carrying(step)
+        ends = F.transform(outer, lambda i: F.struct(i.alias("ord"), self.at(i)["last"].alias("last")))
+        inner = let(ends, lambda os: F.filter(found, lambda i: F.exists(
+            os, lambda o: (i > o["ord"]) & (i <= o["last"]))))
+        return inner if test is None else F.filter(inner, test)
 
+    def at(self, place: Column) -> Column:
+        return F.get(F.col("els"), place)
 
-def raw_text(vis: Column, e: Column) -> Column:
-    return F.substr(vis, e["start"] + 1, e["stop"] - e["start"])
+    def elements(self, places: Column) -> Column:
+        return F.transform(places, self.at)
 
+    def pick(self, *steps: str, within: Column | None = None) -> Column:
+        """Elements reached by the steps, in page order."""
+        return self.elements(self.places(*steps, within=within))
 
-def text_of(vis: Column, e: Column) -> Column:
-    return clean(F.translate(raw_text(vis, e), SEPARATOR, " "))
+    def first(self, *steps: str, within: Column | None = None) -> Column:
+        return self.at(F.get(self.places(*steps, within=within), lit(0)))
 
+    def places_any(self, *choices: tuple[str, ...], within: Column | None = None) -> Column:
+        """Places that any of the step lists reaches, each once, by choice then page order."""
+        return F.array_distinct(F.concat(*[self.places(*c, within=within) for c in choices]))
 
-def lines_of(vis: Column, e: Column) -> Column:
-    """The element's text nodes, cleaned, each distinct one once."""
-    return F.array_distinct(F.filter(F.transform(F.split(raw_text(vis, e), SEPARATOR), clean),
-                                     lambda t: t != ""))
+    def pick_any(self, *choices: tuple[str, ...], within: Column | None = None) -> Column:
+        return self.elements(self.places_any(*choices, within=within))
 
+    def cells(self, row: Column) -> Column:
+        """The cells that are children of a table row."""
+        self.tokens.add(CELL)
+        mine = F.slice(F.try_element_at(F.col("idx"), lit(CELL)), row["cells"] + 1, row["cells_end"] - row["cells"])
+        return F.coalesce(F.filter(self.elements(mine), lambda c: c["parent"] == row["ord"]), expr(NO_ELEMENTS))
 
-def texts_of(vis: Column, found: Column) -> Column:
-    return F.filter(F.transform(found, lambda e: text_of(vis, e)), lambda t: t != "")
+    # Their texts.
 
+    def own_nodes(self, e: Column) -> Column:
+        return F.slice(F.col("nodes"), e["start"] + 1, e["stop"] - e["start"])
 
-def first_text(vis: Column, els: Column, *choices: tuple[str, ...], within: Column | None = None) -> Column:
-    """Text of the first non-empty element over an ordered list of choices, else ''."""
-    return F.coalesce(*[F.get(texts_of(vis, pick(els, *c, within=within)), lit(0)) for c in choices], lit(""))
+    def raw_text(self, e: Column) -> Column:
+        return F.array_join(self.own_nodes(e), SEPARATOR)
 
+    def text_of(self, e: Column) -> Column:
+        return clean(F.array_join(self.own_nodes(e), " "))
 
-def bullets(vis: Column, els: Column, *steps: str) -> Column:
-    """Distinct non-empty texts in page order."""
-    return F.array_distinct(texts_of(vis, pick(els, *steps)))
+    def lines_of(self, e: Column) -> Column:
+        """The element's text nodes, cleaned, each distinct one once."""
+        return F.array_distinct(F.filter(F.transform(self.own_nodes(e), clean), lambda t: t != ""))
 
+    def texts_of(self, found: Column) -> Column:
+        return F.filter(F.transform(found, self.text_of), lambda t: t != "")
 
-def attr(e: Column, name: str) -> Column:
-    return F.try_element_at(e["attrs"], lit(name))
+    def first_text(self, *choices: tuple[str, ...], within: Column | None = None) -> Column:
+        """Text of the first non-empty element over an ordered list of choices, else ''.
+
+        Most choices have a text in their first element, so that one is read before any other is.
+        """
+        def first(places: Column) -> Column:
+            some = F.nullif(self.text_of(self.at(F.get(places, lit(0)))), lit(""))
+            return F.coalesce(some, F.when(F.size(places) > 1, F.get(self.texts_of(self.elements(places)), lit(0))))
+
+        return F.coalesce(*[let(self.places(*c, within=within), first) for c in choices], lit(""))
+
+    def bullets(self, *steps: str) -> Column:
+        """Distinct non-empty texts in page order."""
+        return F.array_distinct(self.texts_of(self.pick(*steps)))
+
+
+NO_ELEMENTS = f"cast(array() as array<{ELEMENT}>)"
 
 
 # --- gates -------------------------------------------------------------------
@@ -275,23 +384,24 @@ def with_challenge_text(pages: DataFrame, html: str = "html") -> DataFrame:
         F.length(text) < L.CHALLENGE_TEXT_BELOW_CHARS, markers).otherwise(lit(False)))
 
 
-def challenge_reason(vis: Column, els: Column) -> Column:
+def challenge_reason(page: Page) -> Column:
     """Why a page is a bot check rather than content, NULL when it is content."""
-    captcha = F.exists(els, lambda e: carries(e, "#captchacharacters")
-                       | ((e["tag"] == "form") & F.coalesce(attr(e, "action").contains("validateCaptcha"), lit(False)))
-                       | ((e["tag"] == "img") & F.coalesce(attr(e, "src").contains("captcha"), lit(False))))
-    title = F.lower(F.trim(first_text(vis, els, ("title",))))
+    captcha = ((F.size(page.places("#captchacharacters")) > 0)
+               | F.exists(page.pick("form"), lambda e: F.coalesce(attr(e, "action").contains("validateCaptcha"), lit(False)))
+               | F.exists(page.pick("img"), lambda e: F.coalesce(attr(e, "src").contains("captcha"), lit(False))))
+    title = F.lower(F.trim(page.first_text(("title",))))
     return cases((captcha, lit("captcha_form")),
                  (title.contains("robot check") | (title == "amazon.com"), lit("robot_check_title")),
                  (F.col("_challenge_text"), lit("challenge_text")),
                  otherwise=lit(None).cast("string"))
 
 
-def gate(pages: DataFrame, html: str = "html") -> DataFrame:
+def gate(pages: DataFrame, html: str = "html", page: Page | None = None) -> DataFrame:
     """Tokenised pages with ``challenge`` and ``parse_failed``: no title node on a real page."""
-    out = tokenise(with_challenge_text(pages, html), html)
-    out = out.withColumn("challenge", challenge_reason(F.col("vis"), F.col("els")))
-    titled = F.exists("els", lambda e: carries(e, "#productTitle") | carries(e, "#title"))
+    page = page or Page()
+    reason = challenge_reason(page)
+    titled = (F.size(page.places("#productTitle")) > 0) | (F.size(page.places("#title")) > 0)
+    out = tokenise(with_challenge_text(pages, html), page, html).withColumn("challenge", reason)
     return out.withColumn("parse_failed", F.col("challenge").isNull() & ~titled).drop("_challenge_text")
 
 

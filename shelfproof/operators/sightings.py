@@ -12,21 +12,10 @@ from shelfproof.operators import pages as P
 from shelfproof.rules import locale as L
 
 
-def _is_tile(e: Column) -> Column:
-    return P.carries(e, "div .s-result-item") & P.attr(e, "data-asin").isNotNull()
-
-
-def _is_grid(e: Column) -> Column:
-    return P.carries(e, "div [data-component-type=s-search-result]")
-
-
-def _markers(els: Column, tile: Column) -> Column:
-    mine = F.filter(els, lambda e: P.inside(e, tile))
-    return let(mine, lambda own: LB.sponsored_markers(
-        P.attr(tile, "class"),
-        F.exists(own, lambda e: F.coalesce(P.attr(e, "class").contains("sponsored-label"), lit(False))),
-        F.exists(own, lambda e: (e["tag"] == "a")
-                 & F.coalesce(P.attr(e, "href").contains("/sspa/click"), lit(False)))))
+def _markers(page: P.Page, tile: Column) -> Column:
+    labelled = F.size(page.places(".*sponsored-label*", within=tile)) > 0
+    ads = F.exists(page.pick("a", within=tile), lambda e: F.coalesce(P.attr(e, "href").contains("/sspa/click"), lit(False)))
+    return LB.sponsored_markers(P.attr(tile, "class"), labelled, ads)
 
 
 def sightings(pages: DataFrame, host: str) -> DataFrame:
@@ -36,24 +25,23 @@ def sightings(pages: DataFrame, host: str) -> DataFrame:
     tiles of the result grid; both are array positions, so no sort is needed.
     A tile without an id of its own takes it from its headline's link.
     """
-    vis, els = F.col("vis"), F.col("els")
-    language, _, decimal, _ = L.MARKETPLACES.get(host, L.FALLBACK)
-    tokens = P.tokenise(pages)
-    grid = F.transform(F.filter(els, _is_grid), lambda e: e["ord"])
-    tiles = F.filter(els, _is_tile)
+    page = P.Page()
+    _, _, decimal, _ = L.MARKETPLACES.get(host, L.FALLBACK)
+    grid = page.places("div [data-component-type=s-search-result]")
+    tiles = F.filter(page.pick("div .s-result-item"), lambda e: P.attr(e, "data-asin").isNotNull())
 
     def one(tile: Column, i: Column, ranks: Column) -> Column:
         own_id = group(P.attr(tile, "data-asin"), "^(" + L.ASIN_BARE + ")$", 1)
-        heads = P.pick(els, "h2", within=tile)
-        links = F.filter(els, lambda e: (e["tag"] == "a") & P.inside(e, tile)
-                         & F.exists(heads, lambda h: P.inside(h, e)))
+        heads = page.places("h2", within=tile)
+        links = F.filter(page.pick("a", within=tile), lambda e: F.exists(
+            heads, lambda h: (h > e["ord"]) & (h <= e["last"])))
         href = P.attr(F.get(links, lit(0)), "href")
         asin = F.coalesce(own_id, group(F.try_url_decode(href), L.ASIN_LINK, 1))
-        title = P.first_text(vis, els, ("[data-cy=title-recipe]", "h2", "span"), ("h2", "span"),
+        title = page.first_text(("[data-cy=title-recipe]", "h2", "span"), ("h2", "span"),
                              ("h2", "a", "span"), within=tile)
-        price = decode_entities(P.first_text(vis, els, (".a-price", ".a-offscreen"), within=tile))
+        price = decode_entities(page.first_text((".a-price", ".a-offscreen"), within=tile))
         rank = F.array_position(ranks, tile["ord"])
-        markers = _markers(els, tile)
+        markers = _markers(page, tile)
         return F.struct(
             (i + 1).cast("int").alias("position"), F.when(rank > 0, rank.cast("int")).alias("grid_position"),
             (rank > 0).alias("in_result_grid"), asin.alias("asin"), (F.size(markers) > 0).alias("sponsored"),
@@ -62,18 +50,18 @@ def sightings(pages: DataFrame, host: str) -> DataFrame:
             F.concat(lit(f"https://{host}/dp/"), asin).alias("product_url"))
 
     found = let(grid, lambda ranks: F.transform(tiles, lambda t, i: one(t, i, ranks)))
-    keep = [c for c in tokens.columns if c not in ("vis", "els")]
+    tokens = P.tokenise(pages, page)
+    keep = [c for c in tokens.columns if c not in P.READ]
     return unfold(tokens, F.filter(found, lambda s: s["asin"].isNotNull()), "s", *keep).select(*keep, "s.*")
 
 
 def last_page(pages: DataFrame) -> DataFrame:
     """Highest numbered page the pagination offers, 1 when it offers none."""
-    vis, els = F.col("vis"), F.col("els")
-    tokens = P.tokenise(pages)
-    labels = F.flatten(F.transform(F.filter(els, lambda e: e["seg"].rlike(r" \.\S*s-pagination-item")),
-                                   lambda e: P.lines_of(vis, e)))
+    page = P.Page()
+    labels = F.flatten(F.transform(page.pick(".*s-pagination-item*"), page.lines_of))
     numbers = F.transform(F.filter(labels, lambda t: t.rlike(r"^\d+$")), lambda t: t.try_cast("int"))
-    keep = [c for c in tokens.columns if c not in ("vis", "els")]
+    tokens = P.tokenise(pages, page)
+    keep = [c for c in tokens.columns if c not in P.READ]
     return tokens.select(*keep, F.coalesce(F.array_max(numbers), lit(1)).alias("last_page"))
 
 

@@ -15,17 +15,17 @@ CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace({t}, '[\s\x{a0}]+'
 UNESCAPE = """replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
 
 
-def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return P.tokenise(views.spread(views.table(spark, sf, "pages")).select("page_id", "html"))
+def _tokens(spark: SparkSession, sf: str, page: P.Page) -> DataFrame:
+    return P.tokenise(views.spread(views.table(spark, sf, "pages")).select("page_id", "html"), page)
 
 
 @query("page_titles", "SELECT page_id, " + CLEAN.replace("{t}", UNESCAPE.replace(
     "{t}", "regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')")) + " AS heading, " + CLEAN.replace("{t}", UNESCAPE.replace(
         "{t}", "regexp_extract(html, '<title>(.*?)</title>', 1, 's')")) + " AS title FROM pages")
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
-    vis, els = F.col("vis"), F.col("els")
-    return _tokens(spark, sf).select("page_id", P.first_text(vis, els, ("h1",)).alias("heading"),
-                                     P.first_text(vis, els, ("title",)).alias("title"))
+    page = P.Page()
+    heading, title = page.first_text(("h1",)), page.first_text(("title",))
+    return _tokens(spark, sf, page).select("page_id", heading.alias("heading"), title.alias("title"))
 
 
 @query("page_bullets", """
@@ -36,7 +36,9 @@ d AS (SELECT page_id, text, min(i) AS i FROM c WHERE text <> '' GROUP BY page_id
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS position, text FROM d""")
 def page_bullets(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct list items in page order; positions are array positions."""
-    return _tokens(spark, sf).select("page_id", F.posexplode_outer(P.bullets(F.col("vis"), F.col("els"), "li")).alias("p", "text")) \
+    page = P.Page()
+    items = page.bullets("li")
+    return _tokens(spark, sf, page).select("page_id", F.posexplode_outer(items).alias("p", "text")) \
         .where(F.col("text").isNotNull()).select("page_id", (F.col("p") + 1).alias("position"), "text")
 
 
@@ -44,16 +46,17 @@ def page_bullets(spark: SparkSession, sf: str) -> DataFrame:
 SELECT page_id, len(regexp_extract_all(html, '<a\\s')) AS links, len(regexp_extract_all(html, '<a\\s[^>]*href="/')) AS internal
 FROM pages""")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    links = F.filter("els", lambda e: e["tag"] == "a")
-    return _tokens(spark, sf).select("page_id", F.size(links).alias("links"), F.size(F.filter(
+    page = P.Page()
+    links = page.pick("a")
+    return _tokens(spark, sf, page).select("page_id", F.size(links).alias("links"), F.size(F.filter(
         links, lambda e: F.coalesce(P.attr(e, "href").startswith("/"), lit(False)))).alias("internal"))
 
 
 @query("page_text")
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.get(P.pick(F.col("els"), "body"), lit(0))
-    return _tokens(spark, sf).select("page_id", P.text_of(F.col("vis"), body).alias("text"),
-                                     F.size("els").alias("elements"), "page_error")
+    page = P.Page()
+    text = page.first_text(("body",))
+    return _tokens(spark, sf, page).select("page_id", text.alias("text"), F.size("els").alias("elements"), "page_error")
 
 
 @query("page_gate", """
