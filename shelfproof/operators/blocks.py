@@ -143,10 +143,11 @@ def _shape(v: Column) -> Column:
 def _record(v: Column) -> Column:
     """A gallery record; ``odd`` if its size map is needed and holds something other than sizes."""
     texts = {k: F.try_variant_get(v, f"$.{k}", "string") for k in IMAGE}
-    sizes = F.try_variant_get(v, "$.main", "variant")
+    sizes = F.try_variant_get(v, "$.main", "map<string, variant>")
     main = F.try_variant_get(v, "$.main", "map<string, array<int>>")
     shown = F.coalesce(F.nullif(texts["hiRes"], lit("")), F.nullif(texts["large"], lit("")))
-    odd = shown.isNull() & F.coalesce(_shape(sizes).startswith("OBJECT<") & (_shape(sizes) != "OBJECT<>"), lit(False)) & main.isNull()
+    odd = shown.isNull() & F.coalesce(F.exists(F.map_values(sizes), lambda s: ~_shape(s).startswith("ARRAY<")
+                                               & (_shape(s) != "VOID")), lit(False))
     return F.struct(*[c.alias(k) for k, c in texts.items()], main.alias("main"), odd.alias("odd"))
 
 
@@ -230,6 +231,10 @@ def media(gallery: Column, page: P.Page) -> Column:
         otherwise=let(dynamic_images(page), fallback)))
 
 
+MATRIX = ("dimensions", "variation_values", "display_labels", "values_by_asin", "current_asin", "parent_asin",
+          "total_variations")
+
+
 def variation_matrix(html: Column) -> Column:
     """``STRUCT<value, error>``: the family matrix, decoded key by key from just before its display data on.
 
@@ -256,11 +261,15 @@ def variation_matrix(html: Column) -> Column:
                 F.when(text.isNotNull() & v.isNull(), other(text)).otherwise(lit(False)).alias("odd"))))
 
         parts = F.struct(*[decoded(*spec).alias(name) for name, spec in keys.items()])
+        def whole(d: Column) -> Column:
+            return F.struct(*[d[name]["value"].alias(name) for name in keys],
+                            rest("currentAsin", '"([^"]*)"').alias("current_asin"),
+                            rest("parentAsin", '"([^"]*)"').alias("parent_asin"),
+                            rest("num_total_variations", r'"?(\d+)').try_cast("int").alias("total_variations"))
+
+        # A matrix of which no key is filled is none.
         return let(parts, lambda d: F.struct(
-            F.struct(*[d[name]["value"].alias(name) for name in keys],
-                     rest("currentAsin", '"([^"]*)"').alias("current_asin"),
-                     rest("parentAsin", '"([^"]*)"').alias("parent_asin"),
-                     rest("num_total_variations", r'"?(\d+)').try_cast("int").alias("total_variations")).alias("value"),
+            let(whole(d), lambda v: F.when(F.coalesce(*[v[n].cast("string") for n in MATRIX]).isNotNull(), v)).alias("value"),
             cases(*[(d[name]["odd"], lit(f"{spec[0]} does not have its shape")) for name, spec in keys.items()],
                   otherwise=lit(None).cast("string")).alias("error")))
 

@@ -65,15 +65,16 @@ def provenance(captures: DataFrame, keys=("asin",), order: str = "ord",
 def lineage(pages: DataFrame, feed: DataFrame, fields: list[str], key: str = "asin") -> DataFrame:
     """Give pages the provenance of the crawl that found them.
 
-    Of several feed rows of a key the last by ``ord`` counts (any, where the feed has no order).  A
+    Of several feed rows of a key the last by ``ord`` counts, alone; rows without a key count for none.  A
     field that row has wins, also when it is NULL there; a field it lacks, by ``present_keys`` of
     ``feeds.read_feed``, and every field of a page without a feed row stay the page's own.  The feed is reduced
     on the map side before the join.
     """
+    if "ord" not in feed.columns:
+        raise ValueError("a feed needs ord to say which of a key's records is the last")
     present = F.col("present_keys") if "present_keys" in feed.columns else F.array(*map(lit, fields))
     row = F.struct(*[F.col(f) for f in fields], present.alias("_present"))
-    last = F.max_by(row, "ord") if "ord" in feed.columns else F.last(row)
-    crawl = feed.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_crawl"))
+    crawl = feed.where(F.col(key).cast("string") != "").groupBy(key).agg(F.max_by(row, "ord").alias("_crawl"))
     joined = pages.join(crawl, key, "left")
     own = {f: F.col(f) if f in pages.columns else lit(None) for f in fields}
     return joined.withColumns({f: F.when(F.array_contains("_crawl._present", lit(f)), F.col("_crawl")[f])

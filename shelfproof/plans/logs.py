@@ -80,7 +80,7 @@ def lineage_join(spark: SparkSession, sf: str) -> DataFrame:
     """A field the feed has wins, also when it is NULL there."""
     pages = views.table(spark, sf, "documents").select("doc_id", "source", lit(-1).alias("quality"))
     feed = views.table(spark, sf, "labels").select(
-        "doc_id", F.when(F.col("toxic") != 1, lit("feed")).alias("source"), "quality")
+        "doc_id", F.when(F.col("toxic") != 1, lit("feed")).alias("source"), "quality", F.col("doc_id").alias("ord"))
     return merge.lineage(pages, feed, ["source", "quality"], "doc_id")
 
 

@@ -180,15 +180,6 @@ def page_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.coverage(_listings(spark, sf))
 
 
-@query("page_block_status", PRODUCT_SQL + """
-SELECT p.asin, b.block, CASE WHEN b.block IN ('aplus', 'allergens') OR (b.block IN ('important_information', 'ingredients') AND p_type <> 'ECONOMY')
-         OR (b.block = 'price' AND p_type = 'LARGE') THEN 'absent' ELSE 'present' END AS state
-FROM p, (VALUES ('raw_tables'), ('important_information'), ('feature_bullets'), ('description'), ('aplus'), ('ingredients'), ('nutrition'),
-  ('media'), ('variation'), ('rating'), ('reviews'), ('package'), ('brand'), ('price'), ('unit_price'), ('breadcrumbs'), ('allergens')) b(block)""")
-def page_block_status(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.block_status(_listings(spark, sf)).drop("error")
-
-
 @query("page_source_counts", """
 SELECT 'nutrition' AS kind, 'text:description' AS name, count(*) AS n FROM part
 UNION ALL SELECT 'ingredients', 'important_information', count(*) FROM part WHERE p_type = 'ECONOMY'""")
@@ -196,20 +187,6 @@ def page_source_counts(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.source_counts(_listings(spark, sf))
 
 
-@query("page_reextract", PRODUCT_SQL + """
-SELECT asin, CASE WHEN p_size <= 25 THEN 'query ' || p_type END AS search_query,
-       CASE WHEN p_size <= 25 THEN 'feed' ELSE 'run' END AS run_id, 'de' AS locale FROM p""")
-def page_reextract(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages read again: the feed's lineage wins where it has a row, else the run's manifest."""
-    run = spark.createDataFrame(
-        [("run", "amazon.de", ("de-DE", "de"))],
-        "run_id string, marketplace string, locale struct<accept_language: string, language: string>")
-    feed = views.table(spark, sf, "part").where("p_size <= 25").select(
-        F.concat(lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("asin"),
-        views.text("query ", F.col("p_type")).alias("search_query"), lit("feed").alias("run_id"))
-    return extract.reextract(product_pages(spark, sf), run, "amazon.de", feed).select("asin", "search_query", "run_id", "locale")
-
-
 @query("page_run_report", """
 SELECT count(*) AS pages, count(*) AS records, 0 AS block_errors, 0 AS failed, count(*) FILTER (p_size > 25) AS unseen FROM part""")
 def page_run_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,9 +33,9 @@ def read_feed(spark: SparkSession, path: str, schema=LISTING, present: bool = Fa
                 F.monotonically_increasing_id().alias("row"))))
 
 
-def read_feeds(spark: SparkSession, paths: list[str], schema=LISTING) -> DataFrame:
+def read_feeds(spark: SparkSession, paths: list[str], schema=LISTING, present: bool = False) -> DataFrame:
     """Feeds in argument order; ``ord.feed`` is the position of the feed."""
-    return merge.union_feeds([read_feed(spark, p, schema) for p in paths])
+    return merge.union_feeds([read_feed(spark, p, schema, present) for p in paths])
 
 
 def to_table(feed: DataFrame, path: str) -> None:

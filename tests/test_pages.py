@@ -98,7 +98,8 @@ def test_run_folder_round_trip(spark, tmp_path):
     runs.write_pages(pages, str(tmp_path / "table"))
     stored = spark.read.parquet(str(tmp_path / "table"))
     assert stored.where(F.col("html").contains("123-1234567")).count() == 0 and stored.count() == 2
-    crawl = spark.createDataFrame([("B000000001", "query", None)], "asin string, search_query string, locale string")
+    crawl = spark.createDataFrame([("B000000001", "query", None, 1)],
+                                  "asin string, search_query string, locale string, ord int")
     again = {r.asin: r for r in extract.reextract(stored, manifests, "amazon.de", crawl).collect()}
     assert again["B000000001"].search_query == "query" and again["B000000001"].locale is None
     assert again["B000000002"].search_query is None and again["B000000002"].locale == "de"
