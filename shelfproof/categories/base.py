@@ -28,15 +28,15 @@ class Axis:
     better: str = ""
     tolerance: float = 0.0
     caveat: str = ""
-    #: Column expression that words the value; by default the number and its unit.
+    #: Words the value struct; by default its number and unit, or its text.
     render: Callable[[Column], Column] | None = None
 
     def shown(self, value: Column) -> Column:
         """A value struct as text, NULL where there is no value."""
         if self.render is not None:
-            return F.when(value["value"].isNotNull(), self.render(value["value"]))
+            return F.when(V.present(value), self.render(value))
         unit = F.coalesce(F.concat(lit(" "), F.nullif(value["unit"], lit(""))), lit(""))
-        return F.when(value["value"].isNotNull(), F.concat(V.number_text(value["value"]), unit))
+        return F.coalesce(F.concat(V.number_text(value["value"]), unit), value["text"])
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,8 @@ from shelfproof.rules import pasta as R
 AXES = (
     B.Axis("price_per_base", "Price per kg", better="lower", tolerance=0.01),
     B.Axis("quantity", "Pack size"),
-    B.Axis("raw_materials", "Made of"),
+    B.Axis("raw_materials", "Made of", render=lambda v: F.array_join(F.transform(
+        F.split(v["text"], ","), lambda k: F.translate(k, "_", " ")), ", ")),
     B.Axis("protein_g", "Protein", better="higher", tolerance=1.0),
     B.Axis("energy_kcal", "Energy"),
     B.Axis("fiber_g", "Fibre"),

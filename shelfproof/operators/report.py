@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfproof.functions import values as V
@@ -121,11 +121,12 @@ def compare(cards: DataFrame, pairs: DataFrame, axes, claims=(), default_axis: s
 
 
 def summary(cards: DataFrame, axes, claims=(), order: str = "ord") -> DataFrame:
-    """The corpus as (metric, key, n).
+    """The corpus as (metric, key, n), each listing evaluated once.
 
-    Everything countable per listing is emitted as (metric, key) pairs and
-    counted in one map-side combined aggregate; only offers need a grouping of
-    their own.
+    Everything that counts is emitted by a listing as narrow rows: (metric, key) pairs, its own offer under its id, and its
+    matrix under the matrix's digest.  They are counted in one aggregate combined on the map side; then each
+    matrix shown gives its members' offers once, a listing whose id is a member takes the offer of the first that claims it,
+    and offers are counted like any other key.
     """
     match = F.coalesce(F.col("category.text") == F.col("category_key"), lit(False))
 
@@ -151,16 +152,48 @@ def summary(cards: DataFrame, axes, claims=(), order: str = "ord") -> DataFrame:
         pair("listings", "with a trusted axis", match & usable_any),
         pair("listings", "with a disputed axis", match & disputed_any),
     ]
-    counted = (unfold(cards, F.array_compact(F.array(*items)), "i")
-               .groupBy("i.metric", "i.key").agg(F.count(lit(1)).alias("n")))
-    per_offer = variation.with_offers(matching(cards), order).groupBy("offer_id").agg(
-        F.count(lit(1)).alias("n"))
-    offers = per_offer.agg(F.count(lit(1)).alias("offers"), F.coalesce(
-        F.sum(F.col("n") - 1), lit(0)).alias("folded variants"))
-    return counted.unionByName(offers.select(F.explode(F.array(
-        F.struct(lit("offers").alias("metric"), lit("offers").alias("key"), F.col("offers").alias("n")),
-        F.struct(lit("offers").alias("metric"), lit("folded variants").alias("key"),
-                 F.col("folded variants").alias("n")))).alias("o")).select("o.*"))
+    own = variation.own_offer(order)
+    shown = match & variation.poolable()
+
+    def emitted(kind: str, a: Column, b: Column, when: Column) -> Column:
+        return F.when(when, F.struct(lit(kind).alias("kind"), a.alias("a"), b.alias("b")))
+
+    rows = F.array(*[F.when(i.isNotNull(), F.struct(lit("count").alias("kind"), i["metric"].alias("a"), i["key"].alias("b")))
+                     for i in items],
+                   emitted("listing", own["member"], own["offer"], match),
+                   emitted("matrix", variation.matrix_digest(), lit(None).cast("string"), shown))
+    claim = F.col(order)
+    first = F.when(F.col("i.kind") == "matrix", F.col("variation"))
+    counted = unfold(cards, F.array_compact(rows), "i", claim.alias("claim"), "variation").select(
+        "i.*", "claim", first.alias("variation")).groupBy("kind", "a", "b").agg(
+        F.count(lit(1)).alias("n"), F.min("claim").alias("claim"), F.first("variation").alias("variation"))
+    # A matrix becomes a row per member; other rows stay.
+    parts = F.when(F.col("kind") == "matrix", F.transform(variation.member_offers(F.col("variation")), lambda m: F.struct(
+        lit("member").alias("kind"), m["member"].alias("a"), m["offer"].alias("b")))).otherwise(
+        F.array(F.struct("kind", "a", "b")))
+    placed = unfold(counted, parts, "p", "n", "claim").select("p.*", "n", "claim")
+    taken = F.when(F.col("kind") == "member", F.struct("claim", "b"))
+    pooled = F.min(taken).over(Window.partitionBy("a"))["b"]
+    placed = placed.withColumn("pooled", pooled).where("kind <> 'member'")
+    listing = F.col("kind") == "listing"
+    totals = placed.select(F.when(listing, lit("offers")).otherwise(F.col("a")).alias("metric"), F.when(listing, F.coalesce(
+        "pooled", "b")).otherwise(F.col("b")).alias("key"), "n", "kind").groupBy("kind", "metric", "key").agg(F.sum("n").alias("n"))
+
+    def count(key: str, n: Column) -> Column:
+        return F.struct(lit("offers").alias("metric"), lit(key).alias("key"), n.cast("bigint").alias("n"))
+
+    result = F.when(F.col("kind") == "listing", F.array(count("offers", lit(1)), count("folded variants", F.col("n") - 1))) \
+        .otherwise(F.array(F.struct("metric", "key", "n")))
+    none = cards.sparkSession.range(1).select(F.explode(F.array(count("offers", lit(0)), count("folded variants", lit(0)))).alias("o"))
+    return unfold(totals, result, "o").unionByName(none).groupBy("o.metric", "o.key").agg(F.sum("o.n").alias("n"))
+
+
+def shown_axes(cards: DataFrame, category) -> DataFrame:
+    """One row per matching card and axis: the value in words, as the axis words it, with its status."""
+    rows = F.array(*[F.struct(
+        lit(x.key).alias("key"), lit(x.label).alias("label"), x.shown(F.try_element_at("axes", lit(x.key))).alias("shown"),
+        F.coalesce(F.try_element_at("axes", lit(x.key))["status"], lit("absent")).alias("status")) for x in category.axes])
+    return unfold(matching(cards), rows, "x", "asin").select("asin", "x.*")
 
 
 def sections(cards: DataFrame, category) -> DataFrame:

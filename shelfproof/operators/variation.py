@@ -67,23 +67,43 @@ def offer_key(variation: Column, asin: Column) -> Column:
         family(variation).alias("family"), signature(variation, asin).alias("signature")))
 
 
+def poolable() -> Column:
+    """Whether a record shows a matrix that says which offer its members belong to."""
+    return F.coalesce(has_matrix(F.col("variation")) & family(F.col("variation")).isNotNull(), lit(False))
+
+
+def matrix_digest() -> Column:
+    return F.sha2(F.to_json("variation"), 256)
+
+
+def member_offers(matrix: Column) -> Column:
+    """``member`` and ``offer`` of every entry of a matrix, whose family is worked out once."""
+    entries = F.map_entries(matrix["values_by_asin"])
+    return let(F.struct(family(matrix).alias("family"), matrix["dimensions"].alias("dimensions")),
+               lambda m: F.transform(entries, lambda e: F.struct(e["key"].alias("member"), F.to_json(F.struct(
+                   m["family"].alias("family"), _signature(m["dimensions"], e["value"]).alias("signature"))).alias("offer"))))
+
+
+def own_offer(order: str = "ord") -> Column:
+    """``STRUCT<member, offer>`` of a record by itself; one without an id is a member of its own."""
+    asin = F.nullif("asin", lit(""))
+    alone = F.concat(lit("~"), F.coalesce(asin, lit("")), lit("#"), F.col(order).cast("string"))
+    return F.struct(F.coalesce(asin, alone).alias("member"), F.coalesce(
+        F.to_json(offer_key(F.col("variation"), F.col("asin"))), alone).alias("offer"))
+
+
 def offer_index(records: DataFrame, order: str = "ord") -> DataFrame:
     """``asin -> offer`` pooled from every matrix; the first record to claim an id wins.
 
-    Records that show the same matrix count once, by its digest.  A matrix's family is worked out once, and each of
-    its entries gives a row of member and offer, so the matrix itself is not repeated and the work is linear in
+    Records that show the same matrix count once, by its digest.  Each of a matrix's entries gives a row of member and
+    offer, so the matrix itself is not repeated and the work is linear in
     its members.  A map-side combined ``min_by`` per id follows.
     """
-    shown = (records.where(has_matrix(F.col("variation")) & family(F.col("variation")).isNotNull())
-             .select("variation", F.col(order).alias("_claim"))
-             .groupBy(F.sha2(F.to_json("variation"), 256).alias("_digest"))
+    shown = (records.where(poolable()).select("variation", F.col(order).alias("_claim"))
+             .groupBy(matrix_digest().alias("_digest"))
              .agg(F.min("_claim").alias("_claim"), F.first("variation").alias("variation")))
-    entries = F.map_entries("variation.values_by_asin")
-    offers = let(F.struct(family(F.col("variation")).alias("family"), F.col("variation.dimensions").alias("dimensions")),
-                 lambda m: F.transform(entries, lambda e: F.struct(e["key"].alias("member"), F.to_json(F.struct(
-                     m["family"].alias("family"), _signature(m["dimensions"], e["value"]).alias("signature"))).alias("offer"))))
-    claims = shown.select("_claim", F.explode(offers).alias("_o")).select("_claim", "_o.member", "_o.offer")
-    return claims.groupBy("member").agg(F.min_by("offer", "_claim").alias("offer"))
+    claims = shown.select("_claim", F.explode(member_offers(F.col("variation"))).alias("_o")).select("_claim", "_o.member", "_o.offer")
+    return claims.groupBy("member").agg(F.min_by("offer", F.struct("_claim", "offer")).alias("offer"))
 
 
 def with_offers(records: DataFrame, order: str = "ord") -> DataFrame:
@@ -92,15 +112,11 @@ def with_offers(records: DataFrame, order: str = "ord") -> DataFrame:
     Records without an id get a key of their own before the join, so they do
     not all hash to one task.
     """
-    alone = F.concat(lit("~"), F.coalesce(F.nullif("asin", lit("")), lit("")),
-                     lit("#"), F.col(order).cast("string"))
-    key = F.coalesce(F.nullif(F.col("asin"), lit("")), alone)
     index = offer_index(records, order).withColumnRenamed("offer", "_pooled")
-    return (records.withColumn("_member", key)
-            .join(index, F.col("_member") == F.col("member"), "left")
-            .withColumn("offer_id", F.coalesce(
-                "_pooled", F.to_json(offer_key(F.col("variation"), F.col("asin"))), alone))
-            .drop("_member", "member", "_pooled"))
+    return (records.withColumn("_own", own_offer(order))
+            .join(index, F.col("_own.member") == F.col("member"), "left")
+            .withColumn("offer_id", F.coalesce("_pooled", "_own.offer"))
+            .drop("_own", "member", "_pooled"))
 
 
 def offer_sizes(placed: DataFrame) -> DataFrame:

@@ -66,6 +66,18 @@ def pasta_cards(spark: SparkSession, sf: str) -> DataFrame:
         at("claims", "pure_durum")["status"].alias("pure_durum"), at("axes", "price_per_base")["value"].alias("price"))
 
 
+@query("pasta_axes", """
+WITH m AS (SELECT *, CAST(p_partkey AS VARCHAR) AS asin FROM part WHERE p_type IN ('ECONOMY', 'LARGE'))
+SELECT asin, 'raw_materials' AS key, CASE WHEN p_type = 'LARGE' THEN 'durum wheat, egg' END AS shown,
+       CASE WHEN p_type = 'LARGE' THEN 'trusted' ELSE 'unknown' END AS status FROM m
+UNION ALL SELECT asin, 'quantity', '1000 g', 'trusted' FROM m
+UNION ALL SELECT asin, a, NULL, 'absent' FROM m, (VALUES ('protein_g'), ('energy_kcal'), ('fiber_g')) t(a)""")
+def pasta_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """What a card shows of each axis: a list of materials in words, a number with its unit, nothing."""
+    category = B.get("dry_pasta")
+    return report.shown_axes(B.evaluate(pasta(spark, sf), category), category).drop("label").where("key <> 'price_per_base'")
+
+
 @query("pasta_summary", """
 WITH p AS (SELECT *, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS bn, p_type IN ('ECONOMY', 'LARGE') AS m FROM part),
 m AS (SELECT * FROM p WHERE m)
