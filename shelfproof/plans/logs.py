@@ -122,27 +122,45 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streams -----------------------------------------------------------------------------------
 
+#: Files that the event log arrives in, one a batch.
+PIECES = 4
+
+
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _events_stream(spark, sf).select(
-        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("event_type").alias("query"),
-        F.col("user_id").alias("asin"), "event_id", "ts", "value")
+def _arriving(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log in pieces that arrive one after the other; every seventh event arrives a piece late."""
+    events = views.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = views.scratch(spark, "event-log")
+    size = (events.agg(F.max("event_id")).first()[0] or 0) // PIECES + 1
+    piece = F.least(F.floor(F.col("event_id") / size) + (F.col("event_id") % 7 == 3).cast("int"), lit(PIECES - 1))
+    for n in range(PIECES):
+        events.where(piece == n).write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, files // PIECES)).parquet(folder)
+
+
+def _log_stream(stream: DataFrame) -> DataFrame:
+    return stream.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.date_trunc("day", "ts").alias("run_started"),
+        F.col("event_type").alias("query"), F.col("user_id").alias("asin"), "event_id", "ts", "value")
 
 
 @query("stream_distinct_sightings", LOG_SQL + """
 SELECT run_id, asin, query, event_id FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, asin ORDER BY ts, event_id) AS r FROM log) WHERE r = 1""")
 def stream_distinct_sightings(spark: SparkSession, sf: str) -> DataFrame:
+    """First sightings over several batches, late ones among them; runs that began a year ago are closed."""
     out = views.scratch(spark, "distinct-sightings")
-    once = jobs.distinct_sightings(_log_stream(spark, sf), ["query", "event_id"], seen_at="ts", order="event_id")
-    jobs.run_batches(once, f"{out}/checkpoint", jobs.upsert_to(f"{out}/updates"), "update").awaitTermination()
-    return jobs.latest(spark.read.parquet(f"{out}/updates"), "run_id", "asin").select(
-        "run_id", "asin", "first.query", "first.event_id")
+    once = jobs.distinct_sightings(_log_stream(_arriving(spark, sf)), ["query", "event_id"], seen_at="ts", order="event_id",
+                                   late="366 days")
+    table = jobs.Merged(f"{out}/table", jobs.newest_of("run_id", "asin"), every=3)
+    jobs.run_batches(once, f"{out}/checkpoint", table.write, "update").awaitTermination()
+    return table.read(spark).select("run_id", "asin", "first.query", "first.event_id")
 
 
 @query("stream_query_budget", """
@@ -152,18 +170,32 @@ SELECT query, count(*) AS accepted FROM owner WHERE place <= 20 GROUP BY query""
 def stream_query_budget(spark: SparkSession, sf: str) -> DataFrame:
     """At most 20 new products per query; here every query keeps its own run, so products are not shared."""
     out = views.scratch(spark, "query-budget")
-    log = _log_stream(spark, sf).withColumn("run_id", F.col("query"))
-    jobs.run_batches(log, f"{out}/checkpoint", jobs.budget(f"{out}/accepted", 20, order="event_id")).awaitTermination()
-    return spark.read.parquet(f"{out}/accepted").groupBy("query").agg(F.count(lit(1)).alias("accepted"))
-
-
-@query("stream_shared_budget")
+    log = _log_stream(_events_stream(spark, sf)).withColumn("run_id", F.col("query"))
+    accepted = jobs.Merged(f"{out}/accepted", lambda rows: rows)
+    jobs.run_batches(log, f"{out}/checkpoint", jobs.budget(accepted, 20, order="event_id")).awaitTermination()
+    return accepted.read(spark).groupBy("query").agg(F.count(lit(1)).alias("accepted"))
+
+
+@query("stream_shared_budget", LOG_SQL.replace("WITH", "WITH RECURSIVE", 1) + """,
+first AS (SELECT run_id, query, asin, min(event_id) AS event_id FROM log GROUP BY ALL),
+turn AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS n FROM first),
+read AS (
+  SELECT run_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS products, CAST([] AS VARCHAR[]) AS queries,
+         CAST(NULL AS BIGINT) AS event_id, false AS taken FROM (SELECT DISTINCT run_id FROM log)
+  UNION ALL
+  SELECT run_id, n, CASE WHEN fits THEN list_append(products, asin) ELSE products END,
+         CASE WHEN fits THEN list_append(queries, query) ELSE queries END, event_id, fits FROM (
+    SELECT t.run_id, t.n, r.products, r.queries, t.asin, t.query, t.event_id,
+           NOT list_contains(r.products, t.asin) AND len(list_filter(r.queries, lambda q: q = t.query)) < 3 AS fits
+    FROM read r JOIN turn t ON t.run_id = r.run_id AND t.n = r.n + 1))
+SELECT t.run_id, t.query, t.asin, t.event_id FROM read r JOIN turn t ON t.run_id = r.run_id AND t.n = r.n WHERE r.taken""")
 def stream_shared_budget(spark: SparkSession, sf: str) -> DataFrame:
     """The same budget within one run, where a product counts for one query only."""
     out = views.scratch(spark, "shared-budget")
-    jobs.run_batches(_log_stream(spark, sf), f"{out}/checkpoint",
-                     jobs.budget(f"{out}/accepted", 3, order="event_id")).awaitTermination()
-    return spark.read.parquet(f"{out}/accepted").select("run_id", "query", "asin", "event_id")
+    accepted = jobs.Merged(f"{out}/accepted", lambda rows: rows)
+    jobs.run_batches(_log_stream(_events_stream(spark, sf)), f"{out}/checkpoint",
+                     jobs.budget(accepted, 3, order="event_id")).awaitTermination()
+    return accepted.read(spark).select("run_id", "query", "asin", "event_id")
 
 
 @query("stream_freshest", """
@@ -171,12 +203,16 @@ SELECT user_id, event_id, event_type, captures FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type <> 'error' THEN ts END DESC NULLS LAST, event_id) AS r,
          count(*) OVER (PARTITION BY user_id) AS captures FROM events) WHERE r = 1""")
 def stream_freshest(spark: SparkSession, sf: str) -> DataFrame:
+    """Freshest captures over several batches, late ones among them, without state in the stream."""
     out = views.scratch(spark, "freshest")
-    feed = _events_stream(spark, sf).withColumn("stamp", F.when(F.col("event_type") != "error", F.col("ts")))
-    state = jobs.freshest(feed, "user_id", "stamp", "event_id", ["event_id", "event_type"])
-    jobs.run_batches(state, f"{out}/checkpoint", jobs.upsert_to(f"{out}/updates"), "update").awaitTermination()
-    return jobs.latest(spark.read.parquet(f"{out}/updates"), "user_id").select(
-        "user_id", "capture.event_id", "capture.event_type", "captures")
+    feed = _arriving(spark, sf).withColumn("stamp", F.when(F.col("event_type") != "error", F.col("ts")))
+    table = jobs.Merged(f"{out}/table", jobs.freshest_of("user_id"), every=3)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        table.write(jobs.freshest(batch, "user_id", "stamp", "event_id", ["event_id", "event_type"]), batch_id)
+
+    jobs.run_batches(feed, f"{out}/checkpoint", each).awaitTermination()
+    return table.read(spark).select("user_id", "capture.event_id", "capture.event_type", "captures")
 
 
 @query("stream_windows", """

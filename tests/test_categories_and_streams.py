@@ -94,24 +94,50 @@ def test_budget_reads_like_one_pass(spark, tmp_path):
         seen.add((run, p))
         used[(run, q)] = used.get((run, q), 0) + 1
         want.add((run, q, p, i))
-    accept = jobs.budget(str(tmp_path / "accepted"), 4)
-    for b in range(3):
-        batch = spark.createDataFrame(log[b * 80:(b + 1) * 80], "run_id string, query string, asin string, seen_at int")
+    table = jobs.Merged(str(tmp_path / "accepted"), lambda rows: rows, every=2)
+    accept = jobs.budget(table, 4)
+    for b in range(6):
+        batch = spark.createDataFrame(log[b * 40:(b + 1) * 40], "run_id string, query string, asin string, seen_at int")
         accept(batch, b)
         accept(batch, b)  # a repeated batch replaces its own output
-    got = {(r.run_id, r.query, r.asin, r.seen_at) for r in spark.read.parquet(str(tmp_path / "accepted")).collect()}
-    assert got == want
+    assert {(r.run_id, r.query, r.asin, r.seen_at) for r in table.read(spark).collect()} == want
+    kept = {f.name for f in (tmp_path / "accepted" / "batches").iterdir()}
+    assert kept == {"at=4", "at=5"} and len(list((tmp_path / "accepted" / "tables").iterdir())) == 2
 
 
 def test_late_older_copies_lose(spark, tmp_path):
-    source = tmp_path / "in"
-    for n, rows in enumerate([[("A", "2026-01-02", 0, "first"), ("B", "2026-01-01", 1, "b")],
-                              [("A", "2026-01-01", 2, "older"), ("A", "2026-01-02", 3, "equal"), ("B", None, 4, "undated")]]):
+    source, table = tmp_path / "in", jobs.Merged(str(tmp_path / "out"), jobs.freshest_of("asin"), every=2)
+
+    def each(batch, batch_id):
+        state = batch.withColumn("stamp", F.try_to_timestamp("s"))
+        for _ in range(2):  # a repeated batch replaces its own output
+            table.write(jobs.freshest(state, "asin", "stamp", "ord", ["title"]), batch_id)
+
+    for rows in ([("A", "2026-01-02", 0, "first"), ("B", "2026-01-01", 1, "b")],
+                 [("A", "2026-01-01", 2, "older"), ("A", "2026-01-02", 3, "equal"), ("B", None, 4, "undated")],
+                 [("C", None, 5, "c"), (None, "2026-01-01", 6, "no id")], [("C", "2020-01-01", 7, "dated")], [("A", None, 8, "x")]):
         spark.createDataFrame(rows, "asin string, s string, ord long, title string").coalesce(1) \
             .write.mode("append").json(str(source))
-        stream = spark.readStream.schema("asin string, s string, ord long, title string").json(str(source)) \
-            .withColumn("stamp", F.try_to_timestamp("s"))
-        state = jobs.freshest(stream, "asin", "stamp", "ord", ["title"])
-        jobs.run_batches(state, str(tmp_path / "ck"), jobs.upsert_to(str(tmp_path / "out")), "update").awaitTermination()
-    got = {r.asin: (r.capture.title, r.captures) for r in jobs.latest(spark.read.parquet(str(tmp_path / "out")), "asin").collect()}
-    assert got == {"A": ("first", 3), "B": ("b", 2)}
+        stream = spark.readStream.schema("asin string, s string, ord long, title string").json(str(source))
+        jobs.run_batches(stream, str(tmp_path / "ck"), each).awaitTermination()
+    got = {r.asin: (r.capture.title, r.captures) for r in table.read(spark).collect()}
+    assert got == {"A": ("first", 4), "B": ("b", 2), "C": ("dated", 2), None: ("no id", 1)}
+
+
+def test_state_of_closed_runs_is_dropped(spark, tmp_path):
+    source, table = tmp_path / "in", jobs.Merged(str(tmp_path / "out"), jobs.newest_of("run_id", "asin"), every=2)
+    schema = "run_id string, run_started timestamp, asin string, seen_at_ts timestamp, position int"
+    state = []
+    for day in range(1, 9):
+        rows = [(f"r{day}", f"2026-01-0{day} 00:00:00", f"p{i % 5}", f"2026-01-0{day} 00:{59 - i}:00", i) for i in range(20)]
+        rows += [("r1", "2026-01-01 00:00:00", "late", "2026-01-01 00:00:00", day)]
+        spark.createDataFrame(rows, "run_id string, a string, asin string, b string, position int").selectExpr(
+            "run_id", "CAST(a AS timestamp) run_started", "asin", "CAST(b AS timestamp) seen_at_ts", "position").coalesce(1) \
+            .write.mode("append").parquet(str(source))
+        once = jobs.distinct_sightings(spark.readStream.schema(schema).parquet(str(source)), ["position"])
+        query = jobs.run_batches(once, str(tmp_path / "ck"), table.write, "update")
+        query.awaitTermination()
+        state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {(r.run_id, r.asin): r.first.position for r in table.read(spark).collect()}
+    assert got == {**{(f"r{d}", f"p{i}"): 15 + i for d in range(1, 9) for i in range(5)}, ("r1", "late"): 1}
+    assert max(state) <= 5 * 4 + 1 and state[-1] <= 5 * 4  # as many rows as the open runs have, not as all runs
