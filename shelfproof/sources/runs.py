@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfproof.functions import labels as LB
 from shelfproof.functions.values import lit
@@ -12,8 +13,15 @@ from shelfproof.schema import RUN, SIGHTING
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """One row per manifest; ``stats`` stays an open map."""
-    return spark.read.schema(RUN).option("multiLine", True).json(path)
+    """One row per manifest; ``stats`` stays an open map.
+
+    A file holds one manifest over many lines, as a crawl leaves it, or one a line, as ``write_manifests`` does.  Only
+    between manifests does a closing brace end a line without a comma.
+    """
+    text = F.regexp_replace(F.trim("value"), r"\}\s*\n\s*\{", "},{")
+    found = F.from_json(F.concat(lit("["), text, lit("]")), T.ArrayType(RUN), {"mode": "FAILFAST"})
+    return spark.read.option("wholetext", True).text(path).where(F.trim("value") != "").select(
+        F.explode(found).alias("run")).select("run.*")
 
 
 def run_stats(runs: DataFrame) -> DataFrame:
