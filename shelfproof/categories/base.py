@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from shelfproof.functions.values import lit
 from shelfproof.functions import values as V
-from shelfproof.functions.text import IU
+from shelfproof.functions.text import IU, matches
 from shelfproof.operators import search as S
 from shelfproof.operators.validate import Profile, validate
 
@@ -115,7 +115,7 @@ def evaluate(listings: DataFrame, category: Category) -> DataFrame:
     out = validate(listings.withColumn("_fields", S.text_fields()), category.profile)
     for columns in _passes(category.key):
         out = out.withColumns(columns)
-    return out.drop("_fields", "_claims", "_parts", "_gaps")
+    return out.drop("_fields", "_said", "_told", "_claims", "_parts", "_gaps")
 
 
 @lru_cache(maxsize=None)
@@ -123,7 +123,10 @@ def _passes(key: str) -> list[dict[str, Column]]:
     """A category's projections, built once: columns are immutable."""
     category = get(key)
     empty = F.create_map().cast(VALUE_MAP)
-    return [{"category": category.classify(), "category_key": lit(key)}, *category.fill(),
+    # Fields in which any claim may be stated: one pass over the texts, the single claims read only these.
+    either = IU + "|".join(f"(?:{c.pattern})" for c in category.claims)
+    said = F.filter("_fields", lambda f: matches(f["text"], either))
+    return [{"category": category.classify(), "category_key": lit(key), "_said": said}, *category.fill(),
             {name: F.when(is_match(category), F.col(name)).otherwise(empty) for name in ("axes", "claims")}]
 
 

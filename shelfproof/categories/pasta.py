@@ -96,7 +96,7 @@ def fill() -> list[dict[str, Column]]:
             "raw_materials": F.col("raw_materials"),
             **{k: nutrition.of(F.col("nutrition"), k) for k in ("protein_g", "energy_kcal", "fiber_g")}}),
          "claims": B.value_map({
-             **{c.key: B.stated(fields, c) for c in CLAIMS},
+             **{c.key: B.stated("_said", c) for c in CLAIMS},
              "pure_durum": pure_durum(F.col("raw_materials"), fields)}),
          "drying": drying(fields)}]
 

@@ -227,12 +227,13 @@ def fill() -> list[dict[str, Column]]:
     fields = "_fields"
     checked = consistent({c.key: F.col(f"_claims.{c.key}") for c in CLAIMS}, F.col("grain_type"))
     return [
+        {"_told": reviews.told("reviews.sample", [p for _, _, p, _ in SIGNALS])},
         {"grain_type": grain_type(fields), "cultivar": cultivar(fields),
          "external_test": external_test(_text("brand"), _text("title"), F.coalesce(F.try_element_at(
              "attributes", lit("manufacturer")), lit(""))),
-         "review_signals": B.value_map({k: reviews.signal("reviews.sample", IU + p, label, limit=3, **stars)
+         "review_signals": B.value_map({k: reviews.signal("_told", IU + p, label, limit=3, **stars)
                                         for k, label, p, stars in SIGNALS}),
-         "_claims": V.named(**{c.key: B.stated(fields, c) for c in CLAIMS})},
+         "_claims": V.named(**{c.key: B.stated("_said", c) for c in CLAIMS})},
         {"declaration_conflict": declaration_conflict(fields, F.col("grain_type")),
          "axes": B.value_map({k: F.col(k) for k in ("price_per_base", "review_negative_share",
                                                     "review_rating", "quantity")}),

@@ -128,11 +128,19 @@ def caveats(reviews: Column) -> Column:
         F.size(F.filter(_cards(reviews), lambda c: ~F.coalesce(c["verified"], lit(False)))).alias("unverified"))
 
 
-def search(sample: str, pattern: str, limit: int = 3, home_only: bool = False,
+def told(sample: str, patterns: list[str]) -> Column:
+    """Cards in which any of the patterns occurs, with their place and text: one pass, whatever the number of patterns."""
+    either = "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
+    cards = (f"transform({sample}, (q_one, q_at) -> named_struct('i', q_at, 'card', q_one, 'text',"
+             " trim(concat(coalesce(q_one.title, ''), '. ', coalesce(q_one.text, '')))))")
+    return expr(f"filter({cards}, q_card -> {spans.matches('q_card.text', either)})")
+
+
+def search(cards: str, pattern: str, limit: int = 3, home_only: bool = False,
            max_stars: float | None = None, min_stars: float | None = None) -> Column:
     """Quotes from the cards that match, in card order, at most ``limit``.
 
-    ``sample`` names the array of cards.
+    ``cards`` names a ``told`` column.
     """
     tests = ["true"]
     if home_only:
@@ -141,8 +149,6 @@ def search(sample: str, pattern: str, limit: int = 3, home_only: bool = False,
         tests.append(f"coalesce(q_card.card.rating <= {max_stars}, false)")
     if min_stars is not None:
         tests.append(f"coalesce(q_card.card.rating >= {min_stars}, false)")
-    cards = (f"transform({sample}, (q_one, q_at) -> named_struct('i', q_at, 'card', q_one, 'text',"
-             " trim(concat(coalesce(q_one.title, ''), '. ', coalesce(q_one.text, '')))))")
     stars = "if(q_card.card.rating is null, '', concat(' (', regexp_replace(cast(q_card.card.rating as string), '[.]0$', ''), '★)'))"
     hits = (f"transform(filter({cards}, q_card -> {' and '.join(tests)} and {spans.matches('q_card.text', pattern)}), q_card ->"
             f" named_struct('field', concat('reviews.sample[', q_card.i, ']', {stars}),"
@@ -150,9 +156,9 @@ def search(sample: str, pattern: str, limit: int = 3, home_only: bool = False,
     return expr(f"coalesce(slice({hits}, 1, {limit}), {V.NO_EVIDENCE})")
 
 
-def signal(sample: str, pattern: str, label: str, **kw) -> Column:
+def signal(cards: str, pattern: str, label: str, **kw) -> Column:
     """Found in the sample: unverified.  Not found: unknown, never "not claimed"."""
-    return let(search(sample, pattern, **kw), lambda hits: F.when(F.size(hits) > 0, V.value(
+    return let(search(cards, pattern, **kw), lambda hits: F.when(F.size(hits) > 0, V.value(
         1.0, status=V.UNVERIFIED, source=V.TEXT, evidence=hits,
         notes=[F.concat(lit(f"{label}: reported by at least "), F.size(hits).cast("string"),
                         lit(" of the reviews shown"))]))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfproof import categories  # noqa: F401  registers the categories
 from shelfproof.categories import base as B
-from shelfproof.functions.values import lit
+from shelfproof.functions.values import lit, unfold
 from shelfproof.operators import report
 from shelfproof.plans import views
 from shelfproof.plans.registry import query
@@ -186,3 +186,36 @@ def rice_cards(spark: SparkSession, sf: str) -> DataFrame:
         F.when(mine, F.col("cultivar.text").isNotNull()).alias("has_variety"), at("claims", "aged")["status"].alias("aged"),
         F.when(mine, B.found(at("review_signals", "aroma"))).alias("aroma"), F.when(mine, F.size("score.unknown")).alias("gaps"),
         F.round(raw, 4).alias("raw_score"), F.col("score.total").alias("total_score"))
+
+
+#: A phrase for each signal of the reviews, in their order.
+PHRASES = ("herrlicher Duft", "sehr lecker", "wird schön lang", "locker", "seit Jahren", "geruchlos", "Bruchreis", "klebrig",
+           "muffig", "ranzig", "Motten", "Steinchen", "letzte Lieferung", "nicht wie beschrieben")
+
+
+@query("rice_signals", """
+WITH s(i, signal) AS (VALUES (0, 'aroma'), (1, 'taste_praise'), (2, 'elongates'), (3, 'fluffy'), (4, 'consistent'), (5, 'no_aroma'),
+  (6, 'broken_grain'), (7, 'sticky'), (8, 'odd_smell'), (9, 'rancid'), (10, 'insects'), (11, 'foreign_matter'), (12, 'batch_change'),
+  (13, 'not_as_described')),
+h AS (SELECT CAST(p_partkey AS VARCHAR) AS asin, signal, p_partkey % 14 = i AND p_partkey % 3 = CASE WHEN i < 5 THEN 0 ELSE 1 END AS told,
+        CASE WHEN p_size > 20 AND i < 5 AND (p_partkey + 1) % 14 = i THEN 1 ELSE 0 END AS also FROM part, s)
+SELECT asin, signal, CASE WHEN told OR also = 1 THEN 'unverified' ELSE 'unknown' END AS status,
+       CASE WHEN told THEN 1 ELSE 0 END + also AS hits FROM h""")
+def rice_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each signal in reviews of many stars, few and none; a large pack has a second, good review with the next phrase."""
+    k, part = F.col("p_partkey"), views.spread(views.table(spark, sf, "part"))
+    phrases = F.array(*map(lit, PHRASES))
+    card = views.listing(part.limit(0)).select("reviews").schema["reviews"].dataType["sample"].dataType.elementType
+
+    def review(text: Column, stars: Column) -> Column:
+        values = {"text": text, "rating": stars, "title": lit("Zum Reis")}
+        return F.struct(*[values.get(f.name, lit(None)).cast(f.dataType).alias(f.name) for f in card.fields])
+
+    first = review(F.get(phrases, (k % 14).cast("int")), F.when(k % 3 == 0, 5.0).when(k % 3 == 1, 1.0))
+    second = review(F.get(phrases, ((k + 1) % 14).cast("int")), lit(4.0))
+    listings = _common(part, title=lit("Basmati Reis 1 kg"), reviews=views.shape(
+        "reviews", sample=F.when(F.col("p_size") > 20, F.array(first, second)).otherwise(F.array(first))))
+    cards = B.evaluate(listings, B.get("basmati_rice"))
+    found = F.transform(F.map_entries("review_signals"), lambda e: F.struct(
+        e["key"].alias("signal"), e["value"]["status"].alias("status"), F.size(e["value"]["evidence"]).alias("hits")))
+    return unfold(cards, found, "s", "asin").select("asin", "s.*")
