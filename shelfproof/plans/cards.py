@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shelfproof import categories  # noqa: F401  registers the categories
 from shelfproof.categories import base as B
 from shelfproof.functions.values import lit, unfold
-from shelfproof.operators import report
+from shelfproof.operators import quantity, report
+from shelfproof.operators.validate import validate
 from shelfproof.plans import views
 from shelfproof.plans.registry import query
 
@@ -219,3 +220,34 @@ def rice_signals(spark: SparkSession, sf: str) -> DataFrame:
     found = F.transform(F.map_entries("review_signals"), lambda e: F.struct(
         e["key"].alias("signal"), e["value"]["status"].alias("status"), F.size(e["value"]["evidence"]).alias("hits")))
     return unfold(cards, found, "s", "asin").select("asin", "s.*")
+
+
+@query("pasta_drying", """
+SELECT CAST(p_partkey AS VARCHAR) AS asin, CASE WHEN p_partkey % 3 < 2 THEN 'unverified' END AS temperature,
+       CASE WHEN p_partkey % 3 = 0 THEN 'unverified' END AS hours FROM part""")
+def pasta_drying(spark: SparkSession, sf: str) -> DataFrame:
+    """How a pasta says it was dried."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    listings = _common(
+        views.spread(views.table(spark, sf, "part")), title=lit("Spaghetti 1 kg"), breadcrumbs=F.array(lit("Nudeln & Pasta")),
+        content=views.shape("content", description=F.when(k % 3 == 0, views.text("Bei ", size + 30, " °C ", size, " Stunden getrocknet"))
+                            .when(k % 3 == 1, views.text("getrocknet bei ", size + 30, "°C")).otherwise(lit("an der Luft"))))
+    at = lambda key: F.try_element_at("drying", lit(key))["status"]
+    return B.evaluate(listings, B.get("dry_pasta")).select(
+        "asin", at("drying_temperature").alias("temperature"), at("drying_hours").alias("hours"))
+
+
+@query("size_labels", """
+SELECT CAST(p_partkey AS VARCHAR) AS asin, CASE p_partkey % 4 WHEN 0 THEN p_size || ' g' WHEN 1 THEN '2 x ' || p_size || ' g' WHEN 2 THEN '1,5 kg'
+         ELSE '' END AS size_label, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 2 THEN 1500 END::DOUBLE AS grams FROM part""")
+def size_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The size a family's matrix gives a listing, and its grams unless it counts packs."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    label = F.when(k % 4 == 0, views.text(size, " g")).when(k % 4 == 1, views.text("2 x ", size, " g")).when(k % 4 == 2, lit("1,5 kg"))
+    listings = _common(
+        views.spread(views.table(spark, sf, "part")), title=lit("Reis"), variation=F.when(label.isNotNull(), views.shape(
+            "variation", dimensions=F.array(lit("flavor_name"), lit("size_name")), parent_asin=F.col("p_brand"),
+            values_by_asin=F.create_map(k.cast("string"), F.array(lit("pur"), label)))))
+    checked = validate(listings, B.get("basmati_rice").profile)
+    return checked.select("asin", F.coalesce("size_label", lit("")).alias("size_label"),
+                          quantity.size_label_grams(F.col("size_label")).alias("grams"))

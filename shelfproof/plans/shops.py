@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfproof.functions.values import lit
-from shelfproof.operators import extract
+from shelfproof.operators import blocks, extract
 from shelfproof.operators import pages as P
 from shelfproof.plans import views
 from shelfproof.plans.registry import query
@@ -257,3 +257,64 @@ def page_reextract(spark: SparkSession, sf: str) -> DataFrame:
         F.try_element_at("attributes", lit("country_of_origin")).alias("origin"), F.col("package.item_weight_base").alias("weight"),
         F.try_element_at("food.nutrition.per_100g", lit("fat_g")).alias("fat"), card["text"].alias("review"),
         card["date"].alias("review_date"), card["home_marketplace"].alias("review_home"))
+
+
+# --- prices and other short blocks, collapsible sections -----------------------------------------------------
+
+@query("page_prices", PART_SQL + """
+SELECT asin, CASE k % 6 WHEN 0 THEN 3 + (k % 90 + 10) / 100::DOUBLE WHEN 2 THEN p_size + 0.5 WHEN 4 THEN 4.2 WHEN 5 THEN 1000 + p_size + 0.5 END::DOUBLE AS amount,
+       CASE WHEN k % 6 = 3 THEN NULL WHEN k % 6 = 4 THEN 'GBP' ELSE 'EUR' END AS currency,
+       CASE k % 6 WHEN 0 THEN '3,' || (k % 90 + 10) || ' €' WHEN 1 THEN '5,63€ - 26,15€' WHEN 2 THEN p_size || ',50 €' WHEN 4 THEN '£4.20'
+         WHEN 5 THEN '1.0' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ',50 €' END AS text,
+       CASE WHEN k % 6 = 1 THEN 5.63::DOUBLE END AS low, CASE WHEN k % 6 = 1 THEN 26.15::DOUBLE END AS high,
+       CASE WHEN k % 2 = 0 THEN 'Auf Lager.' ELSE 'Nicht verfügbar' END AS availability,
+       CASE k % 3 WHEN 0 THEN 'Shop ' || k WHEN 1 THEN 'Laden ' || k ELSE 'Selbst' END AS seller,
+       CASE k % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'Filed' ELSE '' END AS brand, '12,3' || p_size % 10 || ' € / kg' AS unit_text,
+       12.3::DOUBLE + (p_size % 10) / 100::DOUBLE AS unit_amount FROM p""")
+def page_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices with a savings clause, as a range, in parts, in another place, in another currency, escaped twice."""
+    k, size = F.col("p_partkey"), F.col(SIZE)
+    box = lambda name, inner: views.text("<div id='", name, "'>", inner, "</div>")
+    label = "<span class='a-offscreen'>"
+    price = by(
+        6, _0=views.text("<span id='apex-pricetopay-accessibility-label'>3,", k % 90 + 10, " € mit 5 Prozent Einsparungen</span>"),
+        _1=box("corePrice_desktop", lit(f"<span class='a-price-range'>{label}5,63€</span> - {label}26,15€</span></span>")),
+        _2=box("apex_desktop", views.text(label, "EUR</span><span class='a-price-whole'>", size, "</span><span class='a-price-fraction'>50"
+                                          "</span><span class='a-price-symbol'>€</span>")),
+        _3=lit(f"<div class='carousel'>{label}1,00 €</span></div>"),
+        _4=F.concat(box("corePrice_feature_div", lit("<b>no price</b>")), box("newBuyBoxPrice", lit(f"{label}£4.20</span>"))),
+        _5=box("corePriceDisplay_desktop_feature_div", views.text(
+            label, "1.0", F.lpad(size.cast("string"), 2, "0"), ",50&amp;nbsp;&amp;euro;</span>")))
+    html = views.text(
+        "<html><body><span id='title'>t</span>", price, "<span class='pricePerUnit'>12,3", size % 10, " &#8364; / kg</span>",
+        by(2, _0=box("availability", lit("<span> Auf Lager. </span>")), _1=box("availability", lit("Nicht verfügbar"))),
+        by(3, _0=views.text("<a id='sellerProfileTriggerId'>Shop ", k, "</a>"), _1=box("merchant-info", views.text("von <a>Laden ", k, "</a>")),
+           _2=box("merchant-info", lit("Selbst"))),
+        by(3, _0=views.text("<a id='bylineInfo'>Marke: ", F.col("p_brand"), "</a>"),
+           _1=views.text("<a id='bylineInfo'>Besuche den X-Store</a><table id='productDetails_techSpec_section_1'>",
+                         rows_of(("Marke", "Filed")), "</table>")), "</body></html>")
+    pages = views.spread(views.table(spark, sf, "part")).select(asin().alias("asin"), html.alias("html"))
+    return extract.extract(pages, "amazon.de").select(
+        "asin", F.round("price.amount", 2).alias("amount"), F.col("price.currency").alias("currency"), F.col("price.text").alias("text"),
+        F.get("price.range", lit(0)).alias("low"), F.get("price.range", lit(1)).alias("high"), "availability", "seller", "brand",
+        F.col("unit_price.text").alias("unit_text"), F.col("unit_price.amount").alias("unit_amount"))
+
+
+@query("page_expanders", """
+SELECT s_suppkey, i AS place, CASE i WHEN 1 THEN 'Kopf ' || s_suppkey WHEN 2 THEN '' ELSE 'Nur Kopf' END AS heading,
+       CASE i WHEN 1 THEN 'Text ' || s_name || ' und mehr' WHEN 2 THEN 'Ohne Kopf' ELSE '' END AS text
+FROM supplier, (VALUES (1), (2), (3)) t(i)""")
+def page_expanders(spark: SparkSession, sf: str) -> DataFrame:
+    """Collapsible sections: with a heading, without one, with nothing else, and an empty one that is left out."""
+    part = lambda head, body: views.text(
+        "<div class='a-expander-container'>", head, "<div>", body, "</div></div>")
+    head = lambda text: views.text("<a class='a-expander-prompt'> ", text, " </a>")
+    body = lambda text: views.text("<p class='a-expander-content'>", text, "</p>")
+    html = views.text("<div class='a-expander-container'><a class='a-expander-prompt'>elsewhere</a></div><div id='details'>", part(
+        head(views.text("Kopf ", F.col("s_suppkey"))), body(views.text("Text ", F.col("s_name"), "<style>x</style> und <b>mehr</b>"))),
+        part("", body("Ohne Kopf")), part("", ""), part(head("Nur Kopf"), ""), "</div>")
+    pages = views.spread(views.table(spark, sf, "supplier")).select("s_suppkey", html.alias("html"))
+    page = P.Page()
+    found = blocks.expanders(page, "#details")
+    return P.tokenise(pages, page).select("s_suppkey", F.posexplode(found).alias("at", "s")).select(
+        "s_suppkey", (F.col("at") + 1).alias("place"), "s.heading", "s.text")
