@@ -122,3 +122,66 @@ def test_search_page(spark):
     assert [(r.position, r.grid_position, r.asin, r.sponsored_markers, r.result_title, r.result_price_amount) for r in got] == [
         (2, 1, "B000000001", [], "One", 1.99), (3, 2, "B000000002", ["ad_holder", "sspa_link"], "Two", None)]
     assert sightings.last_page(df).first().last_page == 7
+
+
+def test_blocks_that_fail_leave_the_others(spark):
+    gallery = "<script>x = {'colorImages': {'initial': %s}}</script>"
+    matrix = "<script>d = {\"dimensionValuesDisplayData\": %s, \"z\": 1}</script>"
+    got = records(spark, {
+        "odd": TITLE + gallery % "[\"x\"]" + matrix % "[1]", "sizes": TITLE + gallery % "[{\"main\": {\"a\": 5}}]",
+        "hires": TITLE + gallery % "[{\"hiRes\": \"h\", \"main\": {\"a\": 5}}]", "thumb": TITLE + gallery % "[{\"main\": {}, \"thumb\": \"t\"}]",
+        "broken": TITLE + gallery % "[{\"hiRes\": " + matrix % "{\"A\": [", "null": TITLE + gallery % "null" + matrix % "null",
+        "digits": TITLE + "<div data-hook=review><span data-hook=review-body>Gut</span><span data-hook=review-date>"
+                          "Bewertet in Italien am ６. März ２０２６</span></div>",
+        "references": "<span id=title>a&amp;#xD800;b&amp;#150;c&amp;#0;d&amp;#1;e</span>"})
+    errors = {k: {e["block"]: e["error"] for e in r["extraction"]["errors"]} for k, r in got.items()}
+    assert set(errors["odd"]) == {"media", "variation"} and set(errors["sizes"]) == {"media"}
+    assert not any(errors[k] for k in ("hires", "thumb", "broken", "null", "digits", "references"))
+    assert got["hires"]["media"]["primary_image"] == "h" and got["thumb"]["media"]["primary_image"] == "t"
+    assert got["odd"]["title"] == got["sizes"]["title"] == "Spaghetti 6 x 500 g" and got["odd"]["media"] is None
+    for r in got.values():
+        log = r["extraction"]
+        assert len(log["blocks_present"]) + len(log["blocks_absent"]) + len({e["block"] for e in log["errors"]}) == len(extract.BLOCKS)
+    assert got["digits"]["reviews"]["sample"][0]["text"] == "Gut"
+
+
+def test_selectors_equal_a_scan_of_all_elements(spark):
+    """Places by the index are those that a walk over all elements finds."""
+    import random
+    rng, htmls = random.Random(5), {}
+    for n in range(30):
+        out, depth = "", []
+        for _ in range(120):
+            if depth and rng.random() < 0.45:
+                out += f"</{depth.pop()}>"
+            else:
+                tag = rng.choice(["div", "span", "b", "section"])
+                out += f"<{tag} class='{' '.join(rng.sample(['a', 'b', 'ab', 'c'], 2))}' id={rng.choice(['x', 'y', 'xz'])} data-hook=h{rng.randint(0, 2)}>"
+                depth.append(tag)
+        htmls[str(n)] = out
+    page = P.Page()
+    asked = [("div .a", "span"), ("#x", ".b", "b"), ("[data-hook=h1]", "div .c"), ("#x*",), (".*b*", "section"), ("section",)]
+    columns = {f"s{i}": page.places(*steps) for i, steps in enumerate(asked)}
+    df = P.tokenise(spark.createDataFrame(list(htmls.items()), "k string, html string"), page).withColumns(columns)
+
+    def carries(e, step):
+        seg = e.seg.split()
+        return all(any(t[0] == k[0] and (k[2:-1] in t if k[1] == "*" else t[1:].startswith(k[1:-1])) for t in seg[1:]) if k.endswith("*")
+                   else k in seg[1:] if k[0] in "#.[" else e.tag == k for k in step.split())
+
+    for r in df.collect():
+        for i, steps in enumerate(asked):
+            found = [e for e in r.els if carries(e, steps[0])]
+            for step in steps[1:]:
+                found = [e for e in r.els if carries(e, step) and any(o.ord < e.ord <= o.last for o in found)]
+            assert r[f"s{i}"] == [e.ord for e in found], steps
+
+
+def test_lineage_needs_an_order(spark):
+    pages = spark.createDataFrame([("A", "x")], "asin string, run_id string")
+    try:
+        merge.lineage(pages, pages, ["run_id"])
+    except ValueError as problem:
+        assert "ord" in str(problem)
+    else:
+        raise AssertionError("a feed without an order was taken")
