@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +46,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker, which outlives its task, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches whose worker gives its memory back at the end of each task."""
+    @functools.wraps(run)
+    def task(*parts: Iterator) -> Iterator:
+        try:
+            yield from run(*parts)
+        finally:
+            give_back()
+
+    return task
+
+
+def apart(docs: DataFrame, job: Callable[[DataFrame, Callable[[str], str]], DataFrame]) -> DataFrame:
+    """``job`` over ``docs`` with columns named by their places, so that none of them meets one of the job's own.
+
+    The job is given the frame and the names that columns have in it, and returns at least these columns.
+    """
+    names = {c: f"column_{i}_" for i, c in enumerate(docs.columns)}
+    out = job(docs.toDF(*names.values()), names.__getitem__)
+    return out.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def size_of(text: Column) -> Column:
     """Number of words, NULL text 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_SQL)), F.lit(0)).cast("long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfproof.llm.common import stored
+from shelfproof.llm.common import give_back, stored
 from shelfproof.llm.vocabulary import REMEMBERED, default_path, vocabulary
 
 LENGTH = 2048
@@ -194,7 +194,7 @@ def _pieces(path: str, room: int, end_id: int, remembered: int):
                     names=["id", "piece", "start", "length", "ids_crc32"])
         if remembered < REMEMBERED:  # where memory is short, later tasks of this worker get it back
             voc.known.clear()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 

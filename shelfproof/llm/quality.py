@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfproof.llm.common import lean
+
 EMBED, FILTERS, WIDTH, STRIDE = 6, 24, 12, 4
 CHUNK = 1 << 15
 MATCH, LAGS = 4, 24
@@ -175,6 +177,7 @@ def score(net: Network | None, text: Column) -> Column:
     """Probability of label 1 of each whole text."""
 
     @F.pandas_udf("double")
+    @lean
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             if net is None:

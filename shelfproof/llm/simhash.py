@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfproof.llm import jaccard
-from shelfproof.llm.common import stored
+from shelfproof.llm.common import apart, lean, stored
 from shelfproof.llm.graph import components
 
 CHUNK, LIMIT = 2048, 16384
@@ -83,6 +83,7 @@ def fingerprint(text: Column, width: int = 3, seed: int = 42, lanes: int = 1) ->
     """The fingerprint of each text as an array of ``lanes`` longs."""
 
     @F.pandas_udf("array<bigint>")
+    @lean
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             out = []
@@ -320,12 +321,16 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     one shingle.  Texts without words are copies of each other.  Rows that repeat are copies.  A row without an id is
     kept only if no row of its group has one.
     """
+    return apart(docs, lambda d, at: _one_of_each(d, at(id_col), at(text_col), similarity))
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     text = F.col(text_col).cast("string")
     mark = F.xxhash64(F.coalesce(text, F.lit("")))
     narrow = stored(jaccard.prefixes(docs, id_col, mark, text, similarity), "narrow")
     rank = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark")))
     firsts = stored(narrow.groupBy("v").agg(rank.alias("first_row"), F.first("n").alias("n"),
-                                            F.first("first").alias("first")), "sets")
+                                            F.first("counts").alias("counts"), F.first("first").alias("first")), "sets")
     rows = stored(jaccard.meeting(firsts), "meeting")
     marked = docs.withColumn("_mark", mark)
     need = firsts.join(rows.select("v").distinct(), "v").select(
@@ -333,7 +338,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     texts = marked.select(F.col(id_col).alias("_own"), "_mark", text.alias("text")).join(
         need, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_kept")))
     texts = stored(texts.select("v", "text").dropDuplicates(["v"]), "texts")
-    roots = components(jaccard.links(rows, texts, similarity))
+    roots = components(jaccard.links(rows, firsts, texts, similarity))
     named = firsts.join(roots, F.col("v") == F.col("node"), "left").select(
         "first_row", F.coalesce("root", "v").alias("_root"))
     kept = named.groupBy("_root").agg(F.min("first_row").alias("k")).select(

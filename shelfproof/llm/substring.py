@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfproof.llm.common import stored
+from shelfproof.llm.common import lean, stored
 
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+[ \t]*|[^.!?\n]+")
 MIN_WORDS = 10
@@ -68,7 +68,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col("_unit_row").alias("row"),
                        F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _units, f"id {kind}, row long, place int, start int, end int, words int, h1 long, h2 long")
+        lean(_units), f"id {kind}, row long, place int, start int, end int, words int, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,4 +147,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),
                            T.StructField("n_units", T.IntegerType()), T.StructField("n_removed", T.IntegerType()),
                            T.StructField("removed_words", T.LongType()), T.StructField("removed", T.StringType())])
-    return full.mapInArrow(_cut(min_words), schema)
+    return full.mapInArrow(lean(_cut(min_words)), schema)
