@@ -1,14 +1,14 @@
 """Threshold-scaled sketches of documents in built-in functions only.
 
 A text's fingerprint keeps the hash of every shingle of ``WIDTH`` words that lies below a fixed
-fraction of the hash range.  A fingerprint of two texts together is the union of
+fraction of the hash range; where none does, as in a text of a few words, the smallest one.  A fingerprint of two texts together is the union of
 theirs, and the share of one fingerprint's hashes that another has estimates how much of the one text the
 other contains, however unequal they are.
 
 The fingerprint is a string: the kept hashes, ten hexadecimal digits each, in order.  A text
 of fewer than ``WIDTH`` words is one shingle, a text without words none; NULL is empty.
 ``likeness`` is the share that the smaller fingerprint has in common with the larger one, 1 if
-both are equal (also if both are empty) and 0 if only one is empty.
+both are equal and 0 if only one is empty.  Only texts without words have an empty fingerprint, and these are alike.
 
 ``with_next`` finds each document's successor in descending order of ids (whole numbers): ids are cut into buckets
 at approximate quantiles, each bucket's first row is also given to the bucket before it, and a
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 #: One hash in FRACTION is kept.
-FRACTION = 8
+FRACTION = 4
 #: Bits of a kept hash that the fingerprint shows.
 SHOWN = 40
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -42,7 +42,10 @@ def kept(hashes: Column, width: int = WIDTH, fraction: int = FRACTION) -> Column
     shingle = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
     top = F.transform(F.when(n > 0, shingle).otherwise(F.array().cast("array<bigint>")),
                       lambda h: F.shiftrightunsigned(h, 64 - SHOWN))
-    return F.array_sort(F.array_distinct(F.filter(top, lambda h: h < F.lit((1 << SHOWN) // fraction))))
+    low = lambda hs: F.filter(hs, lambda h: h < F.lit((1 << SHOWN) // fraction))
+    some = once(top, lambda hs: once(low(hs), lambda found: F.when(F.size(found) > 0, found).otherwise(
+        F.array_compact(F.array(F.array_min(hs))))))
+    return F.array_sort(F.array_distinct(some))
 
 
 def once(value: Column, of) -> Column:
