@@ -1,14 +1,15 @@
 """Language of a text: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased and read as code points; n-grams of 1 to ``MOST`` characters are hashed
-to ``FEATURES`` columns.  Counts per language are added up over all rows to learn from (not a
-sample).  Their log-probability matrix, languages by features, goes to the tasks as
+to ``FEATURES`` columns.  Counts per language, of n-grams and of texts for the priors, are added up over all rows to
+learn from (not a sample).  Their log-probability matrix, languages by features, goes to the tasks as
 a broadcast; at most ``LANGUAGES`` languages are taken, so it has a fixed largest size.  Texts are scored in
-numpy by summing the matrix's columns at each text's n-grams.
+numpy by summing the matrix's columns at each text's n-grams to the log prior.
 
 The score is the posterior of the predicted language.  NULL texts and texts without a letter get
 ``und`` and score 0; so does every text if nothing was learned.  Ties go to the language
-that sorts first.  Repeated rows count as often as they occur.
+that sorts first.  Repeated rows count as often as they occur.  Texts of any length are read whole, in slices.  Columns
+of the input named ``lang_pred`` or ``score`` are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -49,10 +50,12 @@ def code_points(text: str) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each n-gram column by language within a task."""
-    total: dict[str, np.ndarray] = {}
+    total: dict[str, np.ndarray] = {}  # behind the n-grams' columns, one for texts
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            count = total.setdefault(lang, np.zeros(FEATURES, dtype=np.int64))
+            whole = total.setdefault(lang, np.zeros(FEATURES + 1, dtype=np.int64))
+            whole[FEATURES] += 1
+            count = whole[:FEATURES]
             for h in ngrams(code_points(text)):
                 count += np.bincount(h, minlength=FEATURES)
     for lang, count in total.items():
@@ -62,7 +65,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Languages in order and log-probabilities: a row for each n-gram column, a column for each language."""
+    """Languages in order and log-probabilities: a row for each n-gram column and a last one of priors, a column for each
+    language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = (rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
               .mapInArrow(_counted, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
@@ -70,11 +74,13 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     if len(packed) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages to learn")
     langs = sorted(r["lang"] for r in packed)
-    table = np.ones((FEATURES, len(langs)), dtype=np.float64)
+    table = np.ones((FEATURES + 1, len(langs)), dtype=np.float64)
     for r in packed:
         for feature, n in r["c"]:
             table[feature, langs.index(r["lang"])] += n
-    return langs, np.log(table / table.sum(0)).astype(np.float32)
+    table[:FEATURES] /= table[:FEATURES].sum(0)
+    table[FEATURES] /= max(table[FEATURES].sum(), 1)
+    return langs, np.log(table).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -85,9 +91,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     def one(text: str | None) -> tuple[str, float]:
         if text is None or not langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        points, log = code_points(text), np.zeros(len(langs))
+        points, log = code_points(text), shared.value[FEATURES].astype(np.float64)
         for h in ngrams(points):
-            log += np.bincount(h, minlength=FEATURES) @ shared.value if len(h) > FEATURES else shared.value[h].sum(
+            log += np.bincount(h, minlength=FEATURES) @ shared.value[:FEATURES] if len(h) > FEATURES else shared.value[h].sum(
                 0, dtype=np.float64)
         best = int(log.argmax())
         return langs[best], float(1 / np.exp(log - log[best]).sum())

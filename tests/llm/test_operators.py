@@ -21,7 +21,8 @@ from shelfproof.llm.vocabulary import Vocabulary, default_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside, as further columns of the input.
-CLASH = ["id", "v", "size", "score", "block", "words", "length", "bucket", "start", "target", "_text", "kept_text"]
+CLASH = ["id", "v", "size", "score", "block", "words", "length", "bucket", "start", "target", "_text", "kept_text",
+         "source_size", "draws", "shard", "n_units", "removed", "_mark", "_id", "_kept", "_size", "_n"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASH)
 
 
@@ -240,7 +241,7 @@ def kept_hashes(text: str | None) -> list[int]:
         for w in word[i:i + 5]:
             h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed=h)
         out.add(h >> 24)
-    return sorted(h for h in out if h < (1 << 40) // 8)
+    return sorted(h for h in out if h < 2**40 // sketch.FRACTION) or [min(out)]
 
 
 def test_sketch(spark, docs, empty):
@@ -427,6 +428,18 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, frequent):
     assert got == {find(i) for i in sets} and 40 < len(got) < len(rows) - 50
 
 
+def test_counts_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(0, 0, 0), (1, 900, 1), (300, 310, 280), (40, 5000, 40), (700, 650, 0), (64, 64, 64)]:
+        pool = rng.integers(0, 2**63, size=n + m, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate([pool[:both], pool[n:n + m - both]])
+        most, sizes = jaccard.shared_at_most(jaccard.counts_of(a), jaccard.counts_of(b))
+        assert most >= both and sizes == n + m
+        assert both or most < 0.75 * n or n < 100
+    heavy = np.arange(300, dtype=np.uint64) << np.uint64(32)  # all in one bucket
+    assert jaccard.counts_of(heavy) == b"" and jaccard.shared_at_most(b"", b"\1\0") == (0, 0)
+
+
 def test_language(spark, docs, empty):
     rows = [(i, "the quick thing was here and there " * 3 if i % 2 else "der schnelle und das ist wirklich gut " * 3,
              "en" if i % 2 else "de") for i in range(40)] + [(41, "xx", None), (42, None, "en")]
@@ -446,7 +459,25 @@ def test_language(spark, docs, empty):
     for (lang, h), n in counts.items():
         if lang == "en":
             assert model[1][h, 1] == pytest.approx(np.log((n + 1) / total), rel=1e-5)
+    assert model[1][language.FEATURES] == pytest.approx(np.log([21 / 42, 21 / 42]), rel=1e-5)
     assert language.predict(docs, language.learn(docs)).count() == len(texts())
+    # Predictions equal those of plain Python, on languages of unequal size and texts that are close calls.
+    some = [(i, prose(i % 7, 30) if i % 5 else prose(i, 4), "ab"[i % 3 == 0]) for i in range(90)]
+    few = spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(4)
+    seen, grams = Counter(lang for *_, lang in some), {lang: Counter() for lang in "ab"}
+    for _, t, lang in some:
+        for h in language.ngrams(language.code_points(t)):
+            grams[lang].update(h.tolist())
+    asked = [(i, prose(1000 + i, 1 + i % 6)) for i in range(60)]
+    got = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(asked, "doc_id long, text string"),
+                                                    language.learn(few)).collect()}
+    for i, t in asked:
+        points = [int(x) for h in language.ngrams(language.code_points(t)) for x in h]
+        log = {lang: np.log((seen[lang] + 1) / (len(some) + 2)) + sum(
+            np.log((grams[lang][h] + 1) / (grams[lang].total() + language.FEATURES)) for h in points) for lang in "ab"}
+        best = max(log, key=log.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 / sum(np.exp(v - log[best]) for v in log.values()), rel=1e-3)
     nothing = language.learn(empty)
     assert {r["lang_pred"] for r in language.predict(odd, nothing).collect()} == {"und"}
 
@@ -526,6 +557,7 @@ def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path, monkeypatch):
         before, now = now, stage(spark, now, str(tmp_path))
         if name != "packing":
             assert now.columns == before.columns
+            assert [tuple(r) for r in now.select(*CLASH).distinct().collect()] == [tuple(range(len(CLASH)))]
             now = spark.createDataFrame(now.collect(), now.schema)
     assert now.count() > 0
     nothing = empty
