@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfproof.llm.common import give_back, stored
-from shelfproof.llm.vocabulary import REMEMBERED, default_path, vocabulary
+from shelfproof.llm.vocabulary import REMEMBERED, default_path, forget, vocabulary
 
 LENGTH = 2048
 GROUP = 16384
@@ -192,8 +192,9 @@ def _pieces(path: str, room: int, end_id: int, remembered: int):
                     batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["id", "piece", "start", "length", "ids_crc32"])
-        if remembered < REMEMBERED:  # where memory is short, later tasks of this worker get it back
-            voc.known.clear()
+        if remembered < REMEMBERED:  # where memory is short, other tasks of this worker get it back
+            del voc
+            forget()
             give_back()
 
     return run

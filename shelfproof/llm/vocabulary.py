@@ -31,6 +31,11 @@ def vocabulary(path: str, remembered: int = REMEMBERED) -> Vocabulary:
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Drops the worker's copies with all they remember."""
+    _LOADED.clear()
+
+
 class Vocabulary:
     """Ids as little-endian bytes of ``dtype`` per text.
 
