@@ -8,7 +8,8 @@ if it has ``min_words`` words or more in all, so short sentences that recur by c
 where they stand alone.  Spans that go are reported in code points of the original text.
 
 Only digests that occur more than once are joined back, and a frequent one is counted on the map side
-first; a third of all rows may share a unit, since the join splits it.
+first.  A unit that very many rows share is one key of the join that finds its repeats, which adaptive execution may
+split; it is not split before.
 
 NULL text stays NULL and has no units.  NULL ids come last in rank.  Each row is a document
 of its own: rows are numbered in a written table, and those with the same id or without one rank by their
