@@ -318,3 +318,16 @@ def page_expanders(spark: SparkSession, sf: str) -> DataFrame:
     found = blocks.expanders(page, "#details")
     return P.tokenise(pages, page).select("s_suppkey", F.posexplode(found).alias("at", "s")).select(
         "s_suppkey", (F.col("at") + 1).alias("place"), "s.heading", "s.text")
+
+
+@query("page_accepted", PART_SQL + """
+SELECT asin, CASE WHEN k % 4 > 1 THEN p_name END AS title, CASE k % 4 WHEN 0 THEN 'challenge_text' WHEN 1 THEN 'parse_failed' END AS refused FROM p""")
+def page_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    """Only pages that hold a product are extracted; bot checks and pages without a title are named."""
+    k = F.col("p_partkey")
+    html = F.when(k % 4 == 0, lit("<p>Enter the characters you see below</p>")).when(k % 4 == 1, lit("<p>no title node</p>")).otherwise(
+        views.text("<span id='productTitle'>", F.col("p_name"), "</span>"))
+    pages = views.spread(views.table(spark, sf, "part")).select(asin().alias("asin"), html.alias("html"))
+    content, rest = extract.accepted(pages)
+    named = rest.select("asin", F.coalesce("challenge", F.when(F.col("parse_failed"), lit("parse_failed")), "page_error").alias("refused"))
+    return extract.extract(content, "amazon.de").select("asin", "title").unionByName(named, allowMissingColumns=True)
