@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -330,14 +331,16 @@ BLOCKS = ("raw_tables", "important_information", "feature_bullets", "description
           "breadcrumbs", "allergens")
 
 
-def extract(pages: DataFrame, host: str | None) -> DataFrame:
+def extract(pages: DataFrame, host: str | None, more: Callable[[P.Page], dict[str, Column]] | None = None) -> DataFrame:
     """Pages (html plus any lineage columns) to listings, by the rules of ``host``.
 
     Without a host each page brings its own rules (column ``_shop``).  No step shuffles: a page is one row from its
     source to its listing.  Script data is read from the source before the page is tokenised, then the source
-    is dropped.
+    is dropped.  ``more`` gives further columns read off the same elements, which follow the listing's.
     """
     page, source, *passes = _passes(host)
+    page = page.copy()
+    extra = more(page) if more else {}
     out = P.tokenise(pages.withColumns(source), page)
     for columns in passes:
         out = out.withColumns(columns)
@@ -353,7 +356,7 @@ def extract(pages: DataFrame, host: str | None) -> DataFrame:
         else:
             c = F.col(field.name)
         select.append(c.cast(field.dataType).alias(field.name))
-    return out.select(*select, "page_error")
+    return out.select(*select, "page_error", *[c.alias(name) for name, c in extra.items()])
 
 
 @lru_cache(maxsize=None)

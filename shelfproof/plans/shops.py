@@ -176,13 +176,12 @@ def page_padded(spark: SparkSession, sf: str) -> DataFrame:
         "<div id='feature-bullets'><ul><li><span class='a-list-item'>eins</span></li><li><span class='a-list-item'>zwei</span></li>"
         "</ul></div></body></html>")
     pages = views.spread(views.table(spark, sf, "supplier")).select("s_suppkey", html.alias("html"))
-    whole = extract.extract(pages.select(F.col("s_suppkey").cast("string").alias("asin"), "html"), "amazon.de")
-    page = P.Page()
-    rows = F.size(page.places("tr")) - 1
-    counted = P.tokenise(pages, page).select("s_suppkey", rows.alias("rows"), F.size("els").alias("elements"))
+    whole = extract.extract(
+        pages.select(F.col("s_suppkey").cast("string").alias("asin"), "html"), "amazon.de",
+        lambda page: {"rows": F.size(page.places("tr")) - 1, "elements": F.size("els")})
     return whole.select(F.col("asin").cast("bigint").alias("s_suppkey"), "title", F.col("price.amount").alias("price"),
                         F.try_element_at("attributes", lit("country_of_origin")).alias("origin"),
-                        F.size("content.feature_bullets").alias("bullets")).join(counted, "s_suppkey")
+                        F.size("content.feature_bullets").alias("bullets"), "rows", "elements")
 
 
 # --- several shops, and what the crawl knew ---------------------------------------------------------------
