@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
 from shelfproof import plans
 from shelfproof.operators import pages as P
 
@@ -25,3 +30,27 @@ def test_reader_remembers_tags_and_keeps_counts_by_page():
     assert [dict(i) for i in idx] == [{"tr": [1, 4], ".x": [2], P.CELL: [2, 3, 5], "#q*": [5]}, {},
                                       {"tr": [0], ".x": [1, 2], P.CELL: [1]}]
     assert len(reader.tags) == len(reader.known) == 6
+
+
+def test_elements_leave_by_the_megabyte():
+    """Not more than a little over a megabyte of source has its elements in a worker's memory at once."""
+    pages = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["<i>" * 40_000] * 40)], names=["id", "html"])
+    out = list(P._tokenised(iter([pages]), frozenset(), ["id"], "html", P.CHUNK_CHARS))
+    assert [i for b in out for i in b.column("id").to_pylist()] == list(range(40))
+    assert max(b.num_rows for b in out) <= 9
+
+
+@pytest.mark.parametrize("name", ["page_titles", "page_bullets"])
+def test_references_without_semicolon(spark, tmp_path, name):
+    html = ["<title>a &amp</title><h1>b &lt c&amp;amp d</h1><li>it&#39s &quot</li>", "<title>&gt;&amp;lt</title><h1>&#39</h1><li>x</li>"]
+    pq.write_table(pa.table({"page_id": [1, 2], "html": html}), tmp_path / "pages.parquet")
+    job = plans.QUERIES[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = db.sql(f"SELECT {', '.join(job.columns)} FROM ({plans.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, job.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["decoded_entities", "quantity_parse", "locale_number", "attribute_labels"])
+def test_rules_run_on_all_cores(spark, name):
+    assert plans.QUERIES[name](spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
