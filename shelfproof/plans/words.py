@@ -96,7 +96,7 @@ SELECT p_partkey, p_name || ' ' || p_size || ' € & "' || p_brand || '" ' || ch
 def decoded_entities(spark: SparkSession, sf: str) -> DataFrame:
     escaped = views.text(F.col("p_name"), "&nbsp;", F.col("p_size"), "&#160;&euro; &amp; &quot;", F.col("p_brand"),
                          "&#34; &#xE4;")
-    return views.table(spark, sf, "part").select("p_partkey", TX.decode_entities(escaped).alias("decoded"))
+    return views.spread(views.table(spark, sf, "part")).select("p_partkey", TX.decode_entities(escaped).alias("decoded"))
 
 
 @query("locale_number", """
@@ -109,7 +109,7 @@ def locale_number(spark: SparkSession, sf: str) -> DataFrame:
     german = F.translate(english, ",.", ".,")
     grouped = F.concat(F.floor(F.col("c_custkey") / 1000).cast("string"), lit(","),
                        F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))
-    return views.table(spark, sf, "customer").select(
+    return views.spread(views.table(spark, sf, "customer")).select(
         "c_custkey", TX.number(F.concat(german, lit(" €")), ",").alias("german"),
         TX.number(F.concat(lit("$"), english), ".").alias("english"),
         TX.whole_number(german, ",").alias("whole"),
@@ -120,7 +120,7 @@ def locale_number(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey, p_size * 1.5::DOUBLE AS kg_amount, p_size * 1500::DOUBLE AS kg_base, p_size * 250::DOUBLE AS ml_base,
        p_size * 28.3495::DOUBLE AS oz_base, 'kg' AS kg_unit, 'ml' AS ml_unit FROM part""")
 def quantity_parse(spark: SparkSession, sf: str) -> DataFrame:
-    part = views.table(spark, sf, "part")
+    part = views.spread(views.table(spark, sf, "part"))
     kg = TX.quantity(views.text(F.col("p_size"), " x 1,5 kg"))
     ml = TX.quantity(views.text(F.col("p_size"), "× 250 Milliliter"))
     oz = TX.quantity(views.text(F.col("p_size"), " ounces"), ".")
@@ -144,7 +144,7 @@ SELECT p_partkey AS asin, CASE p_type WHEN 'ECONOMY' THEN 'item_weight' WHEN 'PR
          WHEN 'STANDARD' THEN 'package_size' WHEN 'SMALL' THEN 'ingredients' WHEN 'MEDIUM' THEN 'unit_count' END AS canonical_key,
        p_size::DOUBLE AS amount, 'g' AS unit, p_size::DOUBLE AS base, p_type = 'SMALL' AS ingredient_heading FROM part""")
 def attribute_labels(spark: SparkSession, sf: str) -> DataFrame:
-    raw = views.table(spark, sf, "part").select(
+    raw = views.spread(views.table(spark, sf, "part")).select(
         F.col("p_partkey").alias("asin"), _by_type(LABELS).alias("label"), views.text(F.col("p_size"), " Gramm").alias("value"))
     return normalise.attributes(raw).select("asin", "canonical_key", "amount", "unit", "base", "ingredient_heading")
 
@@ -171,7 +171,7 @@ SELECT p_partkey AS asin, CASE p_type WHEN 'ECONOMY' THEN 'saturated_fat_g' WHEN
        CASE p_type WHEN 'ECONOMY' THEN 'saturated_fat_g' WHEN 'PROMO' THEN 'energy_kcal'
          WHEN 'STANDARD' THEN 'protein_g' WHEN 'SMALL' THEN 'fat_g' WHEN 'MEDIUM' THEN 'sugars_g' END AS stored_as FROM part""")
 def nutrient_labels(spark: SparkSession, sf: str) -> DataFrame:
-    raw = views.table(spark, sf, "part").select(
+    raw = views.spread(views.table(spark, sf, "part")).select(
         F.col("p_partkey").alias("asin"), _by_type(NUTRIENT_LABELS).alias("label"),
         views.text(F.col("p_size"), ",5 ", F.when(F.col("p_type") == "PROMO", lit("kcal")).otherwise(lit("g"))).alias("value_text"))
     return normalise.nutrients(raw).drop("label", "value_text")
@@ -228,7 +228,7 @@ def run_locales(spark: SparkSession, sf: str) -> DataFrame:
         .when(segment == "FURNITURE", lit("de")).when(segment == "HOUSEHOLD", lit("fr;q=1")).otherwise(lit(" "))
     host = F.when(segment.isin("MACHINERY", "FURNITURE"), lit("https://www.amazon.com/s?k=x")).otherwise(lit("WWW.Amazon.de/"))
     check = LB.locale_status(header, LB.profile(host)["language"])
-    return views.table(spark, sf, "customer").select(
+    return views.spread(views.table(spark, sf, "customer")).select(
         "c_custkey", check["language"].alias("language"), check["status"].alias("status"), LB.host_key(host).alias("host"))
 
 
@@ -238,7 +238,7 @@ def product_ids(spark: SparkSession, sf: str) -> DataFrame:
     one = F.concat(lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     listed = views.text("https://www.amazon.de/dp/", one, "?x=1; ", one, " , B0", F.lpad(F.col("p_size").cast("string"), 8, "X"))
     ids = LB.product_ids(listed)
-    return views.table(spark, sf, "part").select("p_partkey", F.get(ids, lit(0)).alias("first_id"), F.size(ids).alias("ids"))
+    return views.spread(views.table(spark, sf, "part")).select("p_partkey", F.get(ids, lit(0)).alias("first_id"), F.size(ids).alias("ids"))
 
 
 @query("brand_bylines", "SELECT p_partkey, p_brand AS brand FROM part")
@@ -246,4 +246,4 @@ def brand_bylines(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("p_size") <= 15, views.text("Besuche den ", F.col("p_brand"), "-Store")) \
         .when(F.col("p_size") <= 30, views.text("Marke: ", F.col("p_brand"))) \
         .otherwise(views.text("Besuchen Sie den ", F.col("p_brand"), " Store"))
-    return views.table(spark, sf, "part").select("p_partkey", LB.byline(line, "de").alias("brand"))
+    return views.spread(views.table(spark, sf, "part")).select("p_partkey", LB.byline(line, "de").alias("brand"))
