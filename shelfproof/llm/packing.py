@@ -159,7 +159,7 @@ def _group(room: int, names: list[str]):
 
 def pack(pieces: DataFrame, room: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``pieces`` (with a ``length`` of 1 to ``room``) with ``sequence_id`` and ``offset``."""
-    pieces = stored(pieces.drop("sequence_id", "offset", "_g", "_u"), "pieces")
+    pieces = stored(pieces.drop("sequence_id", "offset", "_g", "_u"), "pieces", texts=True)
     rest = pieces.where(F.col("length") < room)
     full = pieces.where(F.col("length") >= room).withColumn(
         "sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
@@ -176,10 +176,10 @@ def _pieces(path: str, room: int, end_id: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path, remembered)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 1024):
+            for at in range(0, batch.num_rows, 1024):
+                texts = batch.column(1).slice(at, 1024).cast(pa.binary()).to_pylist()
                 rows, piece, start, length, crc = [], [], [], [], []
-                for r, data in enumerate(voc.encode(texts[at:at + 1024])):
+                for r, data in enumerate(voc.encode(texts)):
                     ids = np.append(np.frombuffer(data, dtype=voc.dtype), end_id).astype("<u4")
                     for p, a in enumerate(range(0, len(ids), room)):
                         part = ids[a:a + room]
