@@ -39,7 +39,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the SimHash index proposes, whole sets of shingles decide."""
     return simhash.without_near_duplicates(docs)
 
 

@@ -11,9 +11,9 @@ Before texts are fetched, a pair must pass a bound on how much it can share: eac
 bucket of the hash (``counts_of``), and two sets share at most the smaller count of every bucket.  That is a fraction of
 a text's size and leaves few pairs that are not links.
 
-Links are verified on the whole sets of both texts, in passes: first each text against one text of
-those it meets, so that a large group becomes one component without its pairs; then
-every pair that meets and is not yet in one component.
+Links are verified on the whole sets of both texts, in passes: first the pairs that an index of fingerprints
+proposes (``simhash``) and each text against one text of those it meets, so that a large group becomes one component
+without its pairs; then every pair that meets and is not yet in one component.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from shelfproof.llm.common import lean, stored
 from shelfproof.llm.graph import components
 
 WIDTH, SEED = 5, 42
+#: Words of a fingerprint's shingles.
+PRINT_WIDTH = 3
 #: Texts of the sample, in how many of them a shingle is frequent, frequent shingles kept: only the work depends on them.
 SAMPLE, FREQUENT, REMEMBERED = 4000, 3, 200_000
 #: Passes against one text before all pairs.
@@ -96,16 +98,19 @@ def frequent(docs: DataFrame, mark: Column, text: Column) -> tuple[np.ndarray, n
 
 
 def _prefixes(hot: np.ndarray, times: np.ndarray, share: Fraction):
-    """Hash and size of each text's set, and its first shingles."""
+    """Fingerprint of each text, hash and size of its set, and its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        from shelfproof.llm.simhash import majority, shingle_hashes
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                v, n, counts, first = [], [], [], []
+                fp, v, n, counts, first = [], [], [], [], []
                 for text in part.column("text").cast(pa.binary()).to_pylist():
+                    fp.append(majority(shingle_hashes(text or b"", PRINT_WIDTH, SEED)))
                     s = shingle_set(text)
                     v.append(xxh64_intdigest(s.tobytes()))
                     n.append(len(s))
@@ -116,20 +121,21 @@ def _prefixes(hot: np.ndarray, times: np.ndarray, share: Fraction):
                     first.append(s[:len(s) + (len(s) * -share.numerator // share.denominator) + 1] if len(s) else s)
                 ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"), part.column("mark"), pa.array(np.array(v, dtype=np.uint64).view(np.int64)),
+                    part.column("id"), part.column("mark"), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)),
+                    pa.array(np.array(v, dtype=np.uint64).view(np.int64)),
                     pa.array(n, pa.int32()), pa.array(counts, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))],
-                    names=["id", "mark", "v", "n", "counts", "first"])
+                    names=["id", "mark", "fp", "v", "n", "counts", "first"])
 
     return run
 
 
 def prefixes(docs: DataFrame, id_col: str, mark: Column, text: Column, similarity: float) -> DataFrame:
-    """``id``, ``mark``, ``v`` (hash of the set), ``n`` (its size), its ``counts`` and ``first`` shingles of each row."""
+    """``id``, ``mark``, ``fp`` (SimHash), ``v`` (hash of the set), ``n`` (its size), its ``counts`` and ``first`` shingles of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     hot, times = frequent(docs, mark, text)
     return docs.select(F.col(id_col).alias("id"), mark.alias("mark"), text.alias("text")).mapInArrow(
-        lean(_prefixes(hot, times, _share(similarity))), f"id {kind}, mark long, v long, n int, counts binary, first array<long>")
+        lean(_prefixes(hot, times, _share(similarity))), f"id {kind}, mark long, fp long, v long, n int, counts binary, first array<long>")
 
 
 def _share(similarity: float) -> Fraction:
@@ -231,10 +237,11 @@ def _verified(share: Fraction):
     return run
 
 
-def links(rows: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def links(rows: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, proposed: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` that connect what pairs at the similarity or more connect.
 
     ``rows`` as ``meeting`` gives them, ``sets`` (``v``, ``counts``) and ``texts`` (``v``, ``text``), once each, all written.
+    ``proposed`` are pairs (``a`` < ``b``) to look at first; those that don't reach the similarity are no links.
     """
     share, found = _share(similarity), None
     for turn in range(STARS + 1):
@@ -246,6 +253,7 @@ def links(rows: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float)
             now = now.withColumn("root", F.coalesce("root", "v"))
         if turn < STARS:
             pairs = _stars(now, share, turn)
+            pairs = pairs.unionByName(proposed) if turn == 0 else pairs
         else:
             pairs = now.repartition("h").sortWithinPartitions("h", "root").mapInArrow(lean(_across(share)), "a long, b long")
         counted = pairs.distinct().join(sets.select(F.col("v").alias("a"), F.col("counts").alias("ca")), "a").join(
@@ -253,6 +261,6 @@ def links(rows: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float)
         pairs = stored(counted.select("a", "b", "ca", "cb").mapInArrow(lean(_promising(share)), "a long, b long"), "pairs")
         sides = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a").join(
             texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
-        new = stored(sides.select("a", "b", "ta", "tb").mapInArrow(lean(_verified(share)), "a long, b long"), "links")
+        new = stored(sides.select("a", "b", "ta", "tb").mapInArrow(lean(_verified(share)), "a long, b long"), "links", texts=True)
         found = new if found is None else found.unionByName(new)
     return found

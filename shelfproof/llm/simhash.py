@@ -13,7 +13,8 @@ whose shared patterns differ in more than ``radius`` bits are left out with all
 them.  What remains is compared bit by bit, and only a forest of links per chunk is passed
 on, so copies are never expanded into pairs.  Components of the forest are the groups.
 
-``without_near_duplicates`` goes by the sets of shingles themselves, see ``jaccard``.
+``without_near_duplicates`` proposes by this index; the pairs it links are checked on the sets of shingles
+themselves, and pairs beyond the radius are found there, too, see ``jaccard``.
 
 NULL and empty texts have fingerprint 0, linked like any other.  Repeated rows and equal texts
 share a fingerprint.  NULL ids take part; a group's id is the smallest that is not NULL.
@@ -316,20 +317,34 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
                             similarity: float = ALIKE) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id.
 
-    Two texts are linked when their sets of five-word shingles have this Jaccard similarity or
-    more, which is checked on the sets (``jaccard``); a group is what links connect.  A text of fewer words is
+    The Gray-order index of fingerprints proposes pairs.  Two texts are linked when their sets of five-word shingles
+    have this Jaccard similarity or more, which is checked on the sets (``jaccard``), of proposed pairs and of those that
+    no fingerprint tells; a group is what links connect.  A text of fewer words is
     one shingle.  Texts without words are copies of each other.  Rows that repeat are copies.  A row without an id is
     kept only if no row of its group has one.
     """
     return apart(docs, lambda d, at: _one_of_each(d, at(id_col), at(text_col), similarity))
 
 
+def proposed(sets: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs ``a`` < ``b`` of sets ``v`` whose fingerprints ``fp`` are the same or linked by the index.
+
+    The first set stands for all of its fingerprint, so copies are never expanded into pairs.
+    """
+    heads = stored(sets.groupBy("fp").agg(F.min("v").alias("head")), "heads")
+    near = stored(links(heads.select(F.col("fp").alias("v")), radius), "near")
+    across = near.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    same = sets.join(heads, "fp").where(F.col("v") != F.col("head"))
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(
+        same.select(F.col("head").alias("a"), F.col("v").alias("b")))
+
+
 def _one_of_each(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     text = F.col(text_col).cast("string")
     mark = F.xxhash64(F.coalesce(text, F.lit("")))
-    narrow = stored(jaccard.prefixes(docs, id_col, mark, text, similarity), "narrow")
+    narrow = stored(jaccard.prefixes(docs, id_col, mark, text, similarity), "narrow", texts=True)
     rank = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark")))
-    firsts = stored(narrow.groupBy("v").agg(rank.alias("first_row"), F.first("n").alias("n"),
+    firsts = stored(narrow.groupBy("v").agg(rank.alias("first_row"), F.min("fp").alias("fp"), F.first("n").alias("n"),
                                             F.first("counts").alias("counts"), F.first("first").alias("first")), "sets")
     rows = stored(jaccard.meeting(firsts), "meeting")
     marked = docs.withColumn("_mark", mark)
@@ -338,7 +353,7 @@ def _one_of_each(docs: DataFrame, id_col: str, text_col: str, similarity: float)
     texts = marked.select(F.col(id_col).alias("_own"), "_mark", text.alias("text")).join(
         need, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_kept")))
     texts = stored(texts.select("v", "text").dropDuplicates(["v"]), "texts")
-    roots = components(jaccard.links(rows, firsts, texts, similarity))
+    roots = components(jaccard.links(rows, firsts, texts, similarity, proposed(firsts)))
     named = firsts.join(roots, F.col("v") == F.col("node"), "left").select(
         "first_row", F.coalesce("root", "v").alias("_root"))
     kept = named.groupBy("_root").agg(F.min("first_row").alias("k")).select(

@@ -9,12 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfproof.llm import (jaccard, language, mixing, packing, quality, repair, simhash, sketch, substring,
+from shelfproof.llm import (common, jaccard, language, mixing, packing, quality, repair, simhash, sketch, substring,
                             token_counts, topk_search)
 from shelfproof.llm.graph import components
 from shelfproof.llm.vocabulary import Vocabulary, default_path
@@ -428,6 +429,28 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, frequent):
     assert got == {find(i) for i in sets} and 40 < len(got) < len(rows) - 50
 
 
+def test_near_duplicates_are_proposed_by_the_index(spark, monkeypatch):
+    prints = [0, 0b111, 0b1111111, (1 << 63) - 1, 0]  # sets 10 and 14 have one fingerprint, 11 is near, 12 is near 11 only to four bits
+    sets = spark.createDataFrame([(10 + i, p) for i, p in enumerate(prints)], "v long, fp long")
+    assert {tuple(r) for r in simhash.proposed(sets).collect()} == {(10, 11), (10, 14)}
+    seen = []
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda p, radius: seen.append(p.count()) or real(p, radius))
+    rows = [(i, prose(i, 40)) for i in range(6)] + [(9, prose(3, 40) + " more")]
+    got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(6)) and seen and seen[0] >= 6
+
+
+def test_batches_of_texts_are_small(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    before = spark.conf.get(common.BATCH_CONF)
+    got = [r["n"] for r in common.stored(spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long"), "sizes", texts=True).collect()]
+    assert sum(got) == 3000 and max(got) <= common.BATCH_ROWS and spark.conf.get(common.BATCH_CONF) == before
+
+
 def test_counts_bound_what_sets_share():
     rng = np.random.default_rng(5)
     for n, m, both in [(0, 0, 0), (1, 900, 1), (300, 310, 280), (40, 5000, 40), (700, 650, 0), (64, 64, 64)]:
