@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfproof.functions.values import lit
+from shelfproof.functions.values import filled, lit
 from shelfproof.functions import values as V
 from shelfproof.functions.text import IU, matches
 from shelfproof.operators import search as S
@@ -35,7 +35,7 @@ class Axis:
         """A value struct as text, NULL where there is no value."""
         if self.render is not None:
             return F.when(V.present(value), self.render(value))
-        unit = F.coalesce(F.concat(lit(" "), F.nullif(value["unit"], lit(""))), lit(""))
+        unit = F.coalesce(F.concat(lit(" "), filled(value["unit"])), lit(""))
         return F.coalesce(F.concat(V.number_text(value["value"]), unit), value["text"])
 
 

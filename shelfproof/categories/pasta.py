@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfproof.categories import base as B
 from shelfproof.functions import values as V
 from shelfproof.functions.text import IU
-from shelfproof.functions.values import cases, lit
+from shelfproof.functions.values import cases, lit, nth
 from shelfproof.operators import nutrition, search as S
 from shelfproof.operators.validate import Profile
 from shelfproof.rules import pasta as R
@@ -53,8 +53,8 @@ def classify() -> Column:
 def raw_materials(fields: str, declared: Column) -> Column:
     """Materials of the declaration, else of any text and then unverified."""
     def hits(only) -> Column:
-        rows = F.array(*[F.struct(lit(key).alias("key"), F.get(S.search(
-            fields, IU + pattern, limit=1, only=only), lit(0)).alias("e"))
+        rows = F.array(*[F.struct(lit(key).alias("key"), nth(S.search(
+            fields, IU + pattern, limit=1, only=only), 0).alias("e"))
             for key, pattern in R.RAW_MATERIALS])
         return F.filter(rows, lambda r: r["e"].isNotNull())
 

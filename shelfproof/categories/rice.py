@@ -12,7 +12,7 @@ from shelfproof.categories.pasta import any_word
 from shelfproof.functions import values as V
 from shelfproof.functions.labels import profile as marketplace_profile
 from shelfproof.functions.text import IU, matches
-from shelfproof.functions.values import cases, lit
+from shelfproof.functions.values import cases, filled, lit
 from shelfproof.operators import reviews, search as S
 from shelfproof.operators.validate import Profile
 from shelfproof.rules import rice as R
@@ -40,8 +40,8 @@ def says_basmati(text: Column, language: Column) -> Column:
 
 def classify() -> Column:
     title, declared = _text("title"), _text("food.ingredients.text")
-    host = F.coalesce(F.nullif("marketplace", lit("")), F.nullif("product_url", lit("")),
-                      F.nullif("canonical_url", lit("")))
+    host = F.coalesce(filled(F.col("marketplace")), filled(F.col("product_url")),
+                      filled(F.col("canonical_url")))
     language = marketplace_profile(host)["language"]
     by_title = V.evidence("title", B.head(title))
     by_declaration = V.evidence("food.ingredients", B.head(declared))
@@ -150,7 +150,7 @@ def score_passes() -> list[dict[str, Column]]:
     claim = lambda k: B.found(F.try_element_at("claims", lit(k)))
     signal = lambda k: B.found(F.try_element_at("review_signals", lit(k)))
     grain, variety, external = F.col("grain_type"), F.col("cultivar"), F.col("external_test")
-    origin = F.nullif(F.try_element_at("attributes", lit("country_of_origin")), lit(""))
+    origin = filled(F.try_element_at("attributes", lit("country_of_origin")))
     grown = matches(origin, IU + R.GROWING_COUNTRIES)
     tested = V.has_status(external, V.TRUSTED)
     negative, per_kg = F.col("review_negative_share"), F.col("price_per_base")

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfproof.functions.text import IU, clean, group, lookup, matches, number, squeeze
-from shelfproof.functions.values import cases, col, let, lit
+from shelfproof.functions.values import cases, col, filled, let, lit
 from shelfproof.rules import locale as L
 
 LANGUAGES = ("de", "en")
@@ -77,16 +77,21 @@ def dateline(c: Column, language="de", home_country=None) -> Column:
         def part(name: str) -> Column:
             return F.coalesce(*[group(c, pattern, i) for i in L.DATELINE_GROUPS[lang][name]])
 
-        country = F.trim(group(c, pattern, 1))
         month = lookup({m: i + 1 for i, m in enumerate(L.MONTHS[lang])},
                        F.rtrim(F.lower(part("month")), lit(".")))
-        date = F.try_to_date(F.format_string(
-            "%04d-%02d-%02d", part("year").try_cast("int"), month, part("day").try_cast("int")))
-        return F.struct(
-            country.alias("country"),
-            F.when(month.isNotNull(), date).alias("date"),
-            F.when(country.isNotNull() & col(home_country).isNotNull(),
-                   F.lower(country) == col(home_country)).alias("home"))
+        read = F.struct(F.trim(group(c, pattern, 1)).alias("country"), month.alias("month"))
+
+        def line(x: Column) -> Column:
+            country, month = x["country"], x["month"]
+            date = F.try_to_date(F.format_string(
+                "%04d-%02d-%02d", part("year").try_cast("int"), month, part("day").try_cast("int")))
+            return F.struct(
+                country.alias("country"),
+                F.when(month.isNotNull(), date).alias("date"),
+                F.when(country.isNotNull() & col(home_country).isNotNull(),
+                       F.lower(country) == col(home_country)).alias("home"))
+
+        return let(read, line)
 
     return per_language(language, build)
 
@@ -177,7 +182,7 @@ def product_ids(c: Column) -> Column:
 def locale_status(accept_language: Column, expected: Column) -> Column:
     """``STRUCT<language, status>``: does the asked locale fit the marketplace?"""
     header = F.trim(F.coalesce(accept_language, lit("")))
-    primary = F.nullif(F.regexp_extract(F.lower(header), r"^\s*([^;,\-]*)", 1), lit(""))
+    primary = filled(F.regexp_extract(F.lower(header), r"^\s*([^;,\-]*)", 1))
     return F.struct(
         F.when(header != "", F.trim(primary)).alias("language"),
         cases((header == "", lit("unset")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import labels as LB
 from shelfproof.functions.text import clean, group, matches, number
-from shelfproof.functions.values import cases, col, let, lit
+from shelfproof.functions.values import cases, col, filled, let, lit, nth
 from shelfproof.operators import pages as P
 from shelfproof.rules import locale as L
 
@@ -42,8 +42,8 @@ def two_cell_rows(page: P.Page, tables: Column) -> Column:
     def row(tr: Column) -> Column:
         return let(page.cells(tr), lambda two: F.when(
             F.size(two) == 2, F.struct(
-                unlabelled(page.text_of(F.get(two, lit(0)))).alias("label"),
-                page.text_of(F.get(two, lit(1))).alias("value"))))
+                unlabelled(page.text_of(nth(two, 0))).alias("label"),
+                page.text_of(nth(two, 1)).alias("value"))))
 
     read = let(rows, lambda rs: F.flatten(F.transform(tables, lambda t: F.array_compact(F.transform(
         F.filter(rs, lambda tr: P.inside(tr, t)), row)))))
@@ -66,8 +66,8 @@ def bullet_pairs(page: P.Page) -> Column:
                 ls, lambda p: s["parent"] == p["ord"])))
             return let(F.struct(inner.alias("inner"), page.text_of(item).alias("text")), lambda x: F.when(
                 F.size(x["inner"]) >= 2, F.struct(
-                    unlabelled(page.text_of(F.get(x["inner"], lit(0)))).alias("label"),
-                    page.text_of(F.get(x["inner"], lit(1))).alias("value")))
+                    unlabelled(page.text_of(nth(x["inner"], 0))).alias("label"),
+                    page.text_of(nth(x["inner"], 1)).alias("value")))
                 .otherwise(F.struct(
                     F.trim(F.regexp_extract(x["text"], split, 1)).alias("label"),
                     F.trim(F.regexp_extract(x["text"], split, 2)).alias("value"))))
@@ -106,7 +106,7 @@ def sections(page: P.Page, container: str, section: str = ".a-section") -> Colum
         return let(F.struct(heading.alias("heading"), page.lines_of(s).alias("lines")), lambda x: F.struct(
             x["heading"].alias("heading"),
             clean(F.array_join(F.when(
-                (x["heading"] != "") & (F.get(x["lines"], lit(0)) == x["heading"]),
+                (x["heading"] != "") & (nth(x["lines"], 0) == x["heading"]),
                 F.slice(x["lines"], lit(2), F.greatest(F.size(x["lines"]), lit(1)))).otherwise(x["lines"]), " "))
             .alias("text")))
 
@@ -121,7 +121,7 @@ def expanders(page: P.Page, container: str) -> Column:
     """Heading and body of collapsible sections."""
     def text(of: str, e: Column) -> Column:
         return let(page.places(of, within=e), lambda p: F.when(
-            F.size(p) > 0, page.text_of(page.at(F.get(p, lit(0))))).otherwise(lit("")))
+            F.size(p) > 0, page.text_of(page.at(nth(p, 0)))).otherwise(lit("")))
 
     def one(e: Column) -> Column:
         return F.struct(text(".a-expander-prompt", e).alias("heading"), text(".a-expander-content", e).alias("text"))
@@ -145,7 +145,7 @@ def _record(v: Column) -> Column:
     texts = {k: F.try_variant_get(v, f"$.{k}", "string") for k in IMAGE}
     sizes = F.try_variant_get(v, "$.main", "map<string, variant>")
     main = F.try_variant_get(v, "$.main", "map<string, array<int>>")
-    shown = F.coalesce(F.nullif(texts["hiRes"], lit("")), F.nullif(texts["large"], lit("")))
+    shown = F.coalesce(filled(texts["hiRes"]), filled(texts["large"]))
     odd = shown.isNull() & F.coalesce(F.exists(F.map_values(sizes), lambda s: ~_shape(s).startswith("ARRAY<")
                                                & (_shape(s) != "VOID")), lit(False))
     return F.struct(*[c.alias(k) for k, c in texts.items()], main.alias("main"), odd.alias("odd"))
@@ -182,11 +182,11 @@ def is_placeholder(url: Column) -> Column:
 def widest(sizes: Column) -> Column:
     """The key with the largest first number."""
     return F.array_max(F.transform(F.map_entries(sizes), lambda e: F.struct(
-        F.coalesce(F.get(e["value"], lit(0)), lit(0)).alias("width"), e["key"].alias("url"))))["url"]
+        F.coalesce(nth(e["value"], 0), lit(0)).alias("width"), e["key"].alias("url"))))["url"]
 
 
 def best_image(record: Column) -> Column:
-    return F.coalesce(F.nullif(record["hiRes"], lit("")), F.nullif(record["large"], lit("")),
+    return F.coalesce(filled(record["hiRes"]), filled(record["large"]),
                       widest(record["main"]), F.coalesce(record["thumb"], lit("")))
 
 
@@ -213,7 +213,7 @@ def media(gallery: Column, page: P.Page) -> Column:
 
     def block(images: Column, source: str) -> Column:
         return F.when(F.size(images) > 0, F.struct(
-            images.alias("images"), F.get(images, lit(0))["url"].alias("primary_image"),
+            images.alias("images"), nth(images, 0)["url"].alias("primary_image"),
             F.size(images).alias("image_count"), lit(source).alias("image_source")))
 
     def result(value: Column, error: Column) -> Column:
@@ -290,7 +290,7 @@ def aplus(page: P.Page) -> Column:
             lambda e: F.filter(F.split(P.attr(e, "class"), r"\s+"), lambda k: k.rlike(MODULE_PREFIX)))))
         heads = own("h1", "h2", "h3", "h4", ".aplus-h1", ".aplus-h2", ".aplus-h3")
         images = F.transform(own("img"), lambda e: F.struct(
-            F.coalesce(F.nullif(P.attr(e, "data-src"), lit("")), P.attr(e, "src"), lit("")).alias("url"),
+            F.coalesce(filled(P.attr(e, "data-src")), P.attr(e, "src"), lit("")).alias("url"),
             clean(P.attr(e, "alt")).alias("alt")))
         shown = F.filter(images, lambda i: ~is_placeholder(i["url"]))
         tables = F.transform(own("table"), lambda t: F.filter(F.transform(
@@ -347,7 +347,7 @@ def review_cards(page: P.Page, language, decimal, home) -> Column:
 
         def body(step: str) -> Column:
             return let(page.places(step, within=r), lambda p: F.when(
-                F.size(p) > 0, F.nullif(let(page.at(F.get(p, lit(0))), body_of), lit(""))))
+                F.size(p) > 0, filled(let(page.at(nth(p, 0)), body_of))))
 
         bodies = F.coalesce(*[body(s) for s in (
             "span [data-hook=review-body]", "div [data-hook=reviewText]", "span [data-hook=review-collapsed]")], lit(""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import labels as LB
 from shelfproof.functions.text import IU, clean, decode_entities, group, lookup, matches, number, quantity
-from shelfproof.functions.values import cases, col, let, lit, unfold
+from shelfproof.functions.values import cases, col, filled, let, lit, nth, unfold
 from shelfproof.operators import blocks as K
 from shelfproof.operators import merge
 from shelfproof.operators import pages as P
@@ -61,14 +61,14 @@ def _container_price(page: P.Page, box: Column, p: _Profile) -> Column:
                         LB.has_decimal)
 
     ranges = F.filter(F.transform(page.pick(".a-price-range", within=box), ends), lambda e: F.size(e) >= 2)
-    span = F.get(ranges, lit(0))
+    span = nth(ranges, 0)
     parts = F.struct(
         decode_entities(page.first_text((".a-offscreen",), within=box)).alias("label"),
         page.first_text(("span .a-price-whole",), within=box).alias("whole"),
         page.first_text(("span .a-price-fraction",), within=box).alias("fraction"),
         page.first_text(("span .a-price-symbol",), within=box).alias("symbol"))
     return F.when(span.isNotNull(), _priced(
-        F.concat(F.get(span, lit(0)), lit(" - "), F.element_at(span, -1)), F.get(span, lit(0)), F.element_at(span, -1))
+        F.concat(nth(span, 0), lit(" - "), F.element_at(span, -1)), nth(span, 0), F.element_at(span, -1))
     ).otherwise(let(parts, lambda x: cases(
         (LB.has_decimal(x["label"]), _priced(x["label"])),
         ((x["whole"] != "") & (x["fraction"] != ""), _priced(F.trim(F.concat(
@@ -82,7 +82,7 @@ def price(page: P.Page, p: _Profile) -> Column:
     """The page's own price; a range has no amount, and no other place is read."""
     label = decode_entities(page.first_text(("#apex-pricetopay-accessibility-label",)))
     boxes = page.elements(F.flatten(F.array(*[page.places(c) for c in PRICE_CONTAINERS])))
-    stated = F.get(F.array_compact(F.transform(boxes, lambda b: _container_price(page, b, p))), lit(0))
+    stated = nth(F.array_compact(F.transform(boxes, lambda b: _container_price(page, b, p))), 0)
 
     def build(x: Column) -> Column:
         text = x["text"]
@@ -109,7 +109,7 @@ def unit_price(page: P.Page, p: _Profile) -> Column:
 
 def rating(page: P.Page, p: _Profile) -> Column:
     popover = P.attr(page.first("#acrPopover"), "title")
-    text = F.coalesce(F.nullif(clean(popover), lit("")), page.first_text(
+    text = F.coalesce(filled(clean(popover)), page.first_text(
         ("#averageCustomerReviews", ".a-icon-alt"), ("#acrPopover", ".a-size-small")))
     counted = page.first_text(("#acrCustomerReviewText",), ("div [data-hook=total-review-count]",))
     return let(F.struct(text.alias("t"), counted.alias("c")), lambda x: F.when(
@@ -126,7 +126,7 @@ def package(attributes: Column, title: Column, p: _Profile) -> Column:
     A weight filed under a count label is a weight: the value's shape decides.
     """
     def raw(key: str) -> Column:
-        return F.nullif(F.try_element_at(attributes, lit(key)), lit(""))
+        return filled(F.try_element_at(attributes, lit(key)))
 
     read = F.struct(*[quantity(raw(k), p.decimal).alias(k) for k in
                       ("item_weight", "package_weight", "unit_count", "volume", "item_count")],
@@ -176,9 +176,9 @@ def package(attributes: Column, title: Column, p: _Profile) -> Column:
 def ingredients(page: P.Page, important: Column, attributes: Column, pairs: Column, p: _Profile) -> Column:
     """Declaration text with the block it came from, by the order of trust."""
     card = page.first_text(("#nic-ingredients-content",))
-    section = F.get(F.filter(important, lambda s: LB.is_ingredient_heading(s["heading"], p.language)), lit(0))
-    filed = F.nullif(F.try_element_at(attributes, lit("ingredients")), lit(""))
-    prefixed = F.get(F.filter(pairs, lambda e: matches(e["value"], INGREDIENT_PREFIX)), lit(0))
+    section = nth(F.filter(important, lambda s: LB.is_ingredient_heading(s["heading"], p.language)), 0)
+    filed = filled(F.try_element_at(attributes, lit("ingredients")))
+    prefixed = nth(F.filter(pairs, lambda e: matches(e["value"], INGREDIENT_PREFIX)), 0)
 
     def found(text: Column, source: Column) -> Column:
         return F.struct(F.trim(F.regexp_replace(text, INGREDIENT_STRIP, "")).alias("text"), source.alias("source"))
@@ -194,7 +194,7 @@ def ingredients(page: P.Page, important: Column, attributes: Column, pairs: Colu
 def allergens(page: P.Page, attributes: Column) -> Column:
     """Texts of the boxes whose id starts with the allergens' name, then the declared ones."""
     boxes = page.pick("#nic-allergens*")
-    declared = F.nullif(F.try_element_at(attributes, lit("allergen_info")), lit(""))
+    declared = filled(F.try_element_at(attributes, lit("allergen_info")))
     return F.array_distinct(F.concat(page.texts_of(boxes), F.array_compact(F.array(declared))))
 
 
@@ -218,7 +218,7 @@ def _finish(rows: Column, basis: Column, source: Column) -> Column:
     def build(s: Column) -> Column:
         names = F.transform(s, lambda e: e["key"])
         first = F.filter(s, lambda e, i: F.array_position(names, e["key"]) == i + 1)
-        kj = F.get(F.filter(s, lambda e: e["key"] == "energy_kj"), lit(0))["value"]
+        kj = nth(F.filter(s, lambda e: e["key"] == "energy_kj"), 0)["value"]
         derive = kj.isNotNull() & ~F.array_contains(names, "energy_kcal")
         extra = F.when(derive, F.array(F.struct(lit("energy_kcal").alias("key"),
                                                 F.round(kj / KJ_PER_KCAL, 1).alias("value"))))
@@ -245,15 +245,15 @@ def card_nutrition(page: P.Page, p: _Profile) -> Column:
 def attribute_nutrition(pairs: Column, p: _Profile) -> Column:
     """Nutrients filed as attribute rows; one alone is no nutrition table."""
     def one(e: Column) -> Column:
-        unit = F.coalesce(F.nullif(LB.nutrient_unit(e["value"]), lit("")),
+        unit = F.coalesce(filled(LB.nutrient_unit(e["value"])),
                           F.when(F.lower(e["label"]).contains("kcal"), lit("kcal")).otherwise(lit("")))
         return _row(e["label"], e["value"], number(e["value"], p.decimal), unit,
                     LB.nutrient_key(e["label"], p.language))
 
     rows = F.filter(F.transform(F.filter(pairs, lambda e: matches(e["value"], NUTRIENT_VALUE)), one),
                     lambda r: r["key"].isNotNull() & r["amount"].isNotNull())
-    serving = F.get(F.filter(pairs, lambda e: F.coalesce(
-        LB.attribute_key(e["label"], p.language) == "serving_size", lit(False))), lit(0))["value"]
+    serving = nth(F.filter(pairs, lambda e: F.coalesce(
+        LB.attribute_key(e["label"], p.language) == "serving_size", lit(False))), 0)["value"]
     return let(rows, lambda r: F.when(F.size(r) >= 2, _finish(r, F.coalesce(serving, lit("")), lit("attributes"))))
 
 
@@ -289,7 +289,7 @@ def _prose_rows(text: Column, p: _Profile, language: str) -> Column:
 
     def read(parts: Column) -> Column:
         ends = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, lit(1), i), lit(1), lambda a, t: a + F.length(t)))
-        starts = F.when(matches(F.get(parts, lit(0)), "^" + here), ends).otherwise(F.slice(ends, lit(2), F.size(ends)))
+        starts = F.when(matches(nth(parts, 0), "^" + here), ends).otherwise(F.slice(ends, lit(2), F.size(ends)))
         found = F.array_sort(F.filter(F.transform(starts, hit), lambda h: h["rank"].isNotNull()))
         # The first place of an alias counts, and of a nutrient the first alias that has an amount.
         first = let(found, lambda hs: F.filter(hs, lambda h, i: ~F.coalesce(
@@ -309,7 +309,7 @@ def prose_nutrition(candidates: Column, p: _Profile) -> Column:
             F.concat(lit("text:"), c["source"]))))
 
     texts = F.filter(candidates, lambda c: F.coalesce(F.length(c["text"]) >= 10, lit(False)) & matches(c["text"], r"\d"))
-    return F.get(F.array_compact(F.transform(texts, one)), lit(0))
+    return nth(F.array_compact(F.transform(texts, one)), 0)
 
 
 def _candidates(description: Column, aplus: Column, important: Column, listed: Column, pairs: Column) -> Column:
@@ -390,7 +390,7 @@ def _passes(host: str | None) -> list:
             prose_nutrition(_candidates(F.col("_description"), F.col("_aplus"), F.col("_important"),
                                         F.col("_bullets"), pairs), p)),
         "package": package(F.col("attributes"), F.col("title"), p),
-        "brand": F.coalesce(F.nullif(F.try_element_at("attributes", lit("brand")), lit("")),
+        "brand": F.coalesce(filled(F.try_element_at("attributes", lit("brand"))),
                             LB.byline(F.col("byline_text"), p.language)),
         "media": F.col("_media.value"), "variation": F.when(F.col("_matrix.error").isNull(), F.col("_matrix.value")),
         "reviews": K.review_block(F.col("_shares"), F.col("_cards"), F.col("rating.count"))}
@@ -477,7 +477,7 @@ def reextract(pages: DataFrame, run: DataFrame, host: str, feed: DataFrame | Non
         "asin", "run_id", "html", "fetched_at", F.coalesce("_marketplace", lit("")).alias("marketplace"),
         link.alias("product_url"), link.alias("canonical_url"), F.coalesce("_locale", lit("")).alias("locale"),
         F.coalesce("_accept", lit("")).alias("accept_language"))
-    shop = F.coalesce(F.nullif(F.trim("marketplace"), lit("")), lit(host))
+    shop = F.coalesce(filled(F.trim("marketplace")), lit(host))
     records = extract(base.withColumn("_shop", LB.profile(shop)), None)
     return records if feed is None else merge.lineage(records, feed, [f for f in CRAWL_FIELDS if f in feed.columns
                                                                       and f != "asin"])

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import cases, let, lit, number_text
+from shelfproof.functions.values import cases, let, lit, nth, number_text
 from shelfproof.operators.pricing import within_band
 from shelfproof.operators.quantity import gap
 
@@ -73,7 +73,7 @@ def _values(nutrition: Column) -> Column:
 
     def one(e: Column) -> Column:
         key = e["key"]
-        row = F.get(F.filter(nutrition["rows"], lambda r: r["key"] == key), lit(0))
+        row = nth(F.filter(nutrition["rows"], lambda r: r["key"] == key), 0)
         words = F.coalesce(row["value_text"], lit(""))
         proof = [V.evidence(F.concat(lit("food.nutrition["), key, lit("]")), F.when(
             words != "", F.concat(F.coalesce(row["label"], key), lit(": "), words))
@@ -220,7 +220,7 @@ def _passes(limits: tuple, label: str, block: str, name: str) -> list[Column]:
 
 def of(values: Column, key: str) -> Column:
     """One nutrient's value struct, NULL when the block does not state it."""
-    return F.get(F.filter(values, lambda e: e["key"] == key), lit(0))["v"]
+    return nth(F.filter(values, lambda e: e["key"] == key), 0)["v"]
 
 
 def validate_long(nutrients: DataFrame, keys=("asin",), limits: dict | None = None) -> DataFrame:

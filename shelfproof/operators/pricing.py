@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import values as V
 from shelfproof.functions.text import lookup, squeeze
-from shelfproof.functions.values import cases, let, lit, number_text
+from shelfproof.functions.values import cases, filled, let, lit, nth, number_text
 from shelfproof.operators.quantity import gap
 
 # Tolerance, and how a published per-unit price converts.
@@ -54,9 +54,9 @@ def published(unit_price: Column, base_unit: Column) -> Column:
 def price(p: Column) -> Column:
     """The price as a value: trusted when stated, unknown for a range or none."""
     amount, currency = p["amount"], F.coalesce(p["currency"], lit(""))
-    low, high = F.get(p["range"], lit(0)), F.element_at(p["range"], -1)
-    shown = F.coalesce(F.nullif(p["text"], lit("")), F.concat(number_text(amount), lit(" "), currency))
-    span = F.coalesce(F.nullif(p["text"], lit("")), F.concat(
+    low, high = nth(p["range"], 0), F.element_at(p["range"], -1)
+    shown = F.coalesce(filled(p["text"]), F.concat(number_text(amount), lit(" "), currency))
+    span = F.coalesce(filled(p["text"]), F.concat(
         number_text(low), lit(" - "), number_text(high), lit(" "), currency))
     return cases(
         (amount.isNotNull(), V.value(amount, status=V.TRUSTED, unit=currency, source=V.PUBLISHED,
@@ -87,7 +87,7 @@ def per_base(p: Column, unit_price: Column, package: Column, quantity: Column) -
         unit = F.concat(currency, lit("/"), F.coalesce(base_unit, lit("")))
         proof = F.array_compact(F.array(
             F.when(stated.isNotNull(), V.evidence("unit_price", F.coalesce(
-                F.nullif(unit_price["text"], lit("")), F.concat(number_text(stated), lit(" "), unit)))),
+                filled(unit_price["text"]), F.concat(number_text(stated), lit(" "), unit)))),
             F.when(derived.isNotNull(), V.evidence("price ÷ package.total_quantity_base", F.concat(
                 number_text(amount), lit(" "), currency, lit(" ÷ "),
                 number_text(quantity["value"]), lit(" "), pack_unit)))))

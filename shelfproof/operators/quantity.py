@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import values as V
 from shelfproof.functions.text import group, lookup, matches, number
-from shelfproof.functions.values import cases, let, lit, number_text
+from shelfproof.functions.values import cases, filled, let, lit, nth, number_text
 from shelfproof.operators import variation
 
 # Tolerance, units and phrases of pack statements.
@@ -175,14 +175,14 @@ def reconcile(package: Column, hints: Column, bare: Column) -> Column:
     disagree dispute it; bare weights are asked last and can only confirm.
     """
     total = package["total_quantity_base"]
-    unit = F.coalesce(F.nullif(package["total_quantity_unit"], lit("")), lit("g"))
-    origin = F.coalesce(F.nullif(package["total_quantity_source"], lit("")), lit("unknown"))
+    unit = F.coalesce(filled(package["total_quantity_unit"]), lit("g"))
+    origin = F.coalesce(filled(package["total_quantity_source"]), lit("unknown"))
     base = V.value(total, status=V.UNVERIFIED, unit=unit, source=V.ATTRIBUTES, evidence=[
         V.evidence(F.concat(lit("package.total_quantity_base ("), origin, lit(")")),
                    F.concat(number_text(total), lit(" "), unit))])
     close = lambda h: gap(h["grams"], total) <= TOLERANCE
-    agreeing = F.get(F.filter(hints, close), lit(0))
-    confirming = F.get(F.filter(bare, close), lit(0))
+    agreeing = nth(F.filter(hints, close), 0)
+    confirming = nth(F.filter(bare, close), 0)
     from_item = origin.isin("item_weight_x_count", "item_weight")
     against = F.transform(F.slice(hints, 1, 3), lambda h: V.evidence(
         h["field"], F.concat(h["quote"], lit(" -> "), number_text(h["grams"]), lit(" "), unit)))

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfproof.functions import values as V
-from shelfproof.functions.values import lit, number_text
+from shelfproof.functions.values import filled, lit, nth, number_text
 from shelfproof.operators import variation
 from shelfproof.session import cut_lineage
 
 
 def pack_size(size_label: Column, quantity: Column) -> Column:
     """The shop's own label, else the checked content in the larger unit when it fits."""
-    unit = F.coalesce(F.nullif(quantity["unit"], lit("")), lit("g"))
+    unit = F.coalesce(filled(quantity["unit"]), lit("g"))
     big = F.when(unit == "g", lit("kg")).when(unit == "ml", lit("l"))
     amount = quantity["value"]
-    return F.coalesce(F.nullif(size_label, lit("")), F.when(V.known(quantity), F.when(
+    return F.coalesce(filled(size_label), F.when(V.known(quantity), F.when(
         big.isNotNull() & (amount >= 1000), F.concat(number_text(amount / 1000), lit(" "), big))
         .otherwise(F.concat(number_text(amount), lit(" "), unit))), lit("?"))
 
@@ -108,7 +108,7 @@ def excluded(placed: DataFrame) -> DataFrame:
     """Every listing of an offer without a rankable value, with the reason."""
     out = placed.join(offers(placed).where("rankable = 0").select("offer_id", "listings"), "offer_id")
     reason = F.when(F.col("v").isNull(), lit("no value for this axis")).otherwise(
-        F.coalesce(F.get("v.notes", lit(0)), F.col("v.status")))
+        F.coalesce(nth("v.notes", 0), F.col("v.status")))
     return out.select("asin", "offer_id", "listings", F.coalesce(
         F.col("v.status"), lit("absent")).alias("status"), reason.alias("reason"), "ord")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfproof.functions import values as V
-from shelfproof.functions.values import cases, lit, unfold
+from shelfproof.functions.values import cases, lit, nth, unfold
 from shelfproof.operators import variation
 from shelfproof.operators.ranking import matching, pack_size
 from shelfproof.session import cut_lineage
@@ -106,7 +106,7 @@ def compare(cards: DataFrame, pairs: DataFrame, axes, claims=(), default_axis: s
         said = F.when(made_a, a["evidence"]).otherwise(b["evidence"])
         rows.append(F.when((F.col("state") == "rivals") & a.isNotNull() & b.isNotNull() & (made_a != made_b), row(
             "claim", claim.key, lit("declared by one" if claim.adverse else "stated by one"),
-            F.when(made_a, lit("A")).otherwise(lit("B")), nothing, F.get(said, lit(0))["quote"])))
+            F.when(made_a, lit("A")).otherwise(lit("B")), nothing, nth(said, 0)["quote"])))
     if default_axis:
         a, b = [F.try_element_at(F.col(f"{s}.axes"), lit(default_axis)) for s in "ab"]
         ok_a, ok_b = [V.usable(F.coalesce(v, V.unknown())) for v in (a, b)]
@@ -204,7 +204,7 @@ def sections(cards: DataFrame, category) -> DataFrame:
         rows.append(F.struct(
             F.when(V.usable(F.coalesce(v, V.unknown())), lit("axis")).otherwise(lit("not known")).alias("section"),
             lit(x.key).alias("key"), F.coalesce(v["status"], lit("absent")).alias("status"),
-            F.get(v["evidence"], lit(0))["quote"].alias("quote")))
+            nth(v["evidence"], 0)["quote"].alias("quote")))
     listed = F.array(*rows)
     known = [c.key for c in category.claims]
     adverse = [c.key for c in category.claims if c.adverse] or [""]
@@ -214,7 +214,7 @@ def sections(cards: DataFrame, category) -> DataFrame:
               (e["key"].isin(*adverse) | V.has_status(e["value"], V.DISPUTED), lit("against it")),
               otherwise=lit("claims")).alias("section"),
         e["key"].alias("key"), e["value"]["status"].alias("status"),
-        F.get(e["value"]["evidence"], lit(0))["quote"].alias("quote")))
+        nth(e["value"]["evidence"], 0)["quote"].alias("quote")))
     return unfold(matching(cards), F.concat(listed, F.coalesce(claimed, F.array())), "s", "asin").select("asin", "s.*")
 
 

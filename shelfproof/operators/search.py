@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfproof.functions.values import expr, lit, sql_literal, unfold
+from shelfproof.functions.values import expr, filled, lit, sql_literal, unfold
 from shelfproof.functions import spans
 from shelfproof.functions import values as V
 from shelfproof.functions.text import matches
@@ -40,7 +40,7 @@ def text_fields() -> Column:
              lambda e: F.concat(e["key"], lit(": "), e["value"]),
              lambda e, i: F.concat(lit("raw_tables."), e["key"])),
         each("content.important_information", content["important_information"],
-             lambda s: F.concat_ws(": ", F.nullif(s["heading"], lit("")), s["text"]),
+             lambda s: F.concat_ws(": ", filled(s["heading"]), s["text"]),
              indexed("content.important_information")),
         F.array(one("content.aplus", content["aplus"]["text"])).cast(TEXT_FIELDS))
     return F.filter(fields, lambda f: F.coalesce(f["text"] != "", lit(False)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfproof.functions import labels as LB
 from shelfproof.functions.text import clean, decode_entities, group, number
-from shelfproof.functions.values import let, lit, unfold
+from shelfproof.functions.values import let, lit, nth, unfold
 from shelfproof.operators import pages as P
 from shelfproof.rules import locale as L
 
@@ -35,7 +35,7 @@ def sightings(pages: DataFrame, host: str) -> DataFrame:
         heads = page.places("h2", within=tile)
         links = F.filter(page.pick("a", within=tile), lambda e: F.exists(
             heads, lambda h: (h > e["ord"]) & (h <= e["last"])))
-        href = P.attr(F.get(links, lit(0)), "href")
+        href = P.attr(nth(links, 0), "href")
         asin = F.coalesce(own_id, group(F.try_url_decode(href), L.ASIN_LINK, 1))
         title = page.first_text(("[data-cy=title-recipe]", "h2", "span"), ("h2", "span"),
                              ("h2", "a", "span"), within=tile)

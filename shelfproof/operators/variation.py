@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfproof.functions.text import matches
-from shelfproof.functions.values import let, lit
+from shelfproof.functions.values import filled, let, lit, nth
 
 # Dimensions that state a pack size, and a pack size leaking
 # into the end of another dimension.
@@ -30,7 +30,7 @@ def size_label(variation: Column, asin: Column) -> Column:
     sizes = F.filter(F.arrays_zip(variation["dimensions"].alias("dimension"),
                                   _values(variation, asin).alias("value")),
                      lambda d: d["dimension"].isin(*SIZE_DIMENSIONS))
-    return F.coalesce(F.get(sizes, lit(0))["value"], lit(""))
+    return F.coalesce(nth(sizes, 0)["value"], lit(""))
 
 
 def siblings(variation: Column) -> Column:
@@ -43,7 +43,7 @@ def family(variation: Column) -> Column:
     """The family's parent id, else its member set; NULL for a lone member."""
     members = siblings(variation)
     return F.when(has_matrix(variation), F.coalesce(
-        F.nullif(variation["parent_asin"], lit("")),
+        filled(variation["parent_asin"]),
         F.when(F.size(members) > 1, F.concat(lit("set:"), F.array_join(members, ",")))))
 
 
@@ -86,7 +86,7 @@ def member_offers(matrix: Column) -> Column:
 
 def own_offer(order: str = "ord") -> Column:
     """``STRUCT<member, offer>`` of a record by itself; one without an id is a member of its own."""
-    asin = F.nullif("asin", lit(""))
+    asin = filled(F.col("asin"))
     alone = F.concat(lit("~"), F.coalesce(asin, lit("")), lit("#"), F.col(order).cast("string"))
     return F.struct(F.coalesce(asin, alone).alias("member"), F.coalesce(
         F.to_json(offer_key(F.col("variation"), F.col("asin"))), alone).alias("offer"))
