@@ -141,8 +141,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with ``kept_text`` and what was removed: units, words, and spans ``start-end`` of the original."""
     docs = docs.drop(*NEW)
     rows = stored(docs.withColumn("_unit_row", F.monotonically_increasing_id()), "rows")
-    places = repeats(rows, id_col, text_col).groupBy(F.col("row").alias("_unit_of")).agg(
-        F.collect_set("place").alias("_unit_places"))
+    # Written by themselves, so that shuffled units are gone before texts are shuffled.
+    places = stored(repeats(rows, id_col, text_col).groupBy(F.col("row").alias("_unit_of")).agg(
+        F.collect_set("place").alias("_unit_places")), "places")
     full = rows.withColumn("_unit_text", F.col(text_col).cast("string")).join(
         places, F.col("_unit_row") == F.col("_unit_of"), "left").drop("_unit_row", "_unit_of")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfproof import plans
 from shelfproof.functions import text, values
+from shelfproof.llm import common
 from shelfproof.operators import pages as P
 
 SMALL = "/root/testdata/sf0.001"
@@ -79,3 +82,18 @@ def test_large_tables_are_looked_up_whole(spark):
     df = spark.createDataFrame([(k,) for k in [*table, "none", "", None]], "k string")
     rows = df.select("k", values.lookup(table, F.col("k")).alias("v")).collect()
     assert [r["v"] for r in rows] == [table.get(r["k"]) for r in rows]
+
+
+def test_stored_steps_leave_no_shuffle_behind(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        return {n for n in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles()))
+                if n.startswith("shuffle_")}
+
+    before, own = shuffled(), spark.conf.get(common.CLEANUP_CONF)
+    df = common.stored(spark.range(1000).groupBy(F.col("id") % 7).count(), "step")
+    end = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before and df.count() == 7 and spark.conf.get(common.CLEANUP_CONF) == own
