@@ -35,6 +35,8 @@ SEGMENT = 1 << 20
 RULES, ROUNDS = 12_000, 4
 #: A pair gets a rule from so many occurrences on.
 OFTEN = 16
+#: Documents encoded together.
+TOGETHER = 4096
 _SLOTS = 18
 
 
@@ -185,9 +187,9 @@ def _encode(path: str, end_id: int, segment: int, id_type: pa.DataType):
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 512):
-                ids = batch.column(0).slice(at, 512).to_pylist()
-                for name, data in zip(ids, voc.encode(texts[at:at + 512]), strict=True):
+            for at in range(0, len(texts), TOGETHER):
+                ids = batch.column(0).slice(at, TOGETHER).to_pylist()
+                for name, data in zip(ids, voc.encode(texts[at:at + TOGETHER]), strict=True):
                     names.append(name)
                     held.append(data + end)
                     size += len(data) // voc.dtype.itemsize + 1

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
+from collections.abc import Collection
+from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words a worker remembers; beyond, it forgets all of them and starts again.
 REMEMBERED = 1_000_000
 #: Letters that stand for themselves under normalisation, then marks that form their own
 #: pre-token: such a word is its letters in lower case followed by its marks.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Pre-tokens in one call of the library.
-TOGETHER = 64
+MARKS = ".,;:!?"
+PLAIN = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]*$"
+#: Words in one text given to the library, and what stands between those whose ends their ids do not tell.
+TOGETHER, MARK = 512, "\x01"
+#: Bytes of texts whose words are looked up together.
+PART = 1 << 24
 _LOADED: dict[str, Vocabulary] = {}
 
 
@@ -36,6 +43,10 @@ def forget() -> None:
     _LOADED.clear()
 
 
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class Vocabulary:
     """Ids as little-endian bytes of ``dtype`` per text.
 
@@ -58,6 +69,8 @@ class Vocabulary:
             self.ends[i] = piece.endswith("</w>")
         one = [self.raw(w) for w in ("Été,", "ab", "9", "'s")]
         self.by_word = self.raw(" \t\nÉté,\r ab\x0b\x0c9  's ") == b"".join(one)
+        mark = np.frombuffer(self.raw(MARK), dtype=self.dtype)
+        self.mark = int(mark[0]) if len(mark) == 1 and self.raw(f"Été, {MARK} 9") == one[0] + mark.tobytes() + one[2] else None
         self.known: dict[bytes, bytes] = {}
         self.remembered = REMEMBERED
 
@@ -68,55 +81,82 @@ class Vocabulary:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
+    def _together(self, words: list[str], size: int, mark: str) -> None:
+        """Encodes words in few calls; ``size`` in one, ``mark`` between them where the end of a word cannot be told from its ids."""
+        groups = [words[i:i + size] for i in range(0, len(words), size)]
+        got = self.tok.encode_batch_fast([f" {mark} ".join(g) for g in groups], add_special_tokens=False)
+        for group, one in zip(groups, got, strict=True):
+            ids = np.asarray(one.ids, dtype=self.dtype)
+            if mark:
+                end = np.flatnonzero(ids == self.mark)
+                start, end = [0, *(end + 1).tolist()], [*end.tolist(), len(ids)]
+            else:
+                end = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                start = [0, *end[:-1]]
+            if len(end) == len(group):
+                data, width = ids.tobytes(), self.dtype.itemsize
+                self.known.update((w.encode(), data[i * width:j * width]) for w, i, j in zip(group, start, end, strict=True))
+            else:  # a word holds the mark
+                self.known.update((w.encode(), ids) for w, ids in zip(group, self.many(group), strict=True))
+
+    def learn(self, words: Collection[bytes]) -> None:
         """Remembers the ids of words that hold no blank."""
         if len(self.known) + 3 * len(words) > self.remembered:
             self.known.clear()
-        split, other, letters = [], [], set()
-        for w in words:
-            if w in self.known:
-                continue
-            m = PLAIN.fullmatch(w.decode("utf-8", "replace"))
-            if m:
-                base = m[1].lower().encode()
-                split.append((w, base, m[2].encode()))
-                letters.add(base)
-            else:
-                other.append(w)
-        marks = {m for _, _, m in split if m}
-        letters = [w for w in letters if w not in self.known]
-        other += [m for m in marks if m not in self.known]
-        groups = [letters[i:i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
-        joined = self.tok.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
-        for group, got in zip(groups, joined, strict=True):
-            ids = np.asarray(got.ids, dtype=self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(group):
-                data, width = ids.tobytes(), self.dtype.itemsize
-                at = [0, *(cut * width).tolist()]
-                self.known.update((w, data[at[i]:at[i + 1]]) for i, w in enumerate(group))
-            else:
-                self.known.update((w, self.raw(w.decode())) for w in group)
-        self.known.update(zip(other, self.many([w.decode("utf-8", "replace") for w in other]), strict=True))
-        for w, base, mark in split:
-            self.known[w] = self.known[base] + (self.known[mark] if mark else b"")
+        known = self.known
+        new = pa.array(words, pa.binary())
+        plain = pc.match_substring_regex(new.view(pa.string()), PLAIN)
+        split = new.filter(plain).view(pa.string())
+        letters = _bytes(pc.utf8_lower(pc.utf8_rtrim(split, MARKS)))
+        split = _bytes(split)
+        marks = [w[len(b):] for w, b in zip(split, letters, strict=True)]
+        self._together([w.decode() for w in set(letters) if w not in known], TOGETHER, "")
+        other = _bytes(new.filter(pc.invert(plain)))
+        readable = {w: w.decode("utf-8", "replace") for w in [*other, *(m for m in set(marks) if m not in known)]}
+        same = [w for w, t in readable.items() if w and "\ufffd" not in t]
+        if self.mark is None:
+            known.update(zip(same, self.many([readable[w] for w in same]), strict=True))
+        else:
+            self._together([readable[w] for w in same], TOGETHER, MARK)
+        same = [w for w in readable if w not in known]  # no word at all, or bytes that are not text
+        known.update(zip(same, self.many([readable[w] for w in same]), strict=True))
+        known.update(zip(split, map(add, map(known.__getitem__, letters), map(known.__getitem__, marks)), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text; NULL is empty."""
         if not self.by_word:
             return self.many([(t or b"").decode("utf-8", "replace") for t in texts])
         out: list[bytes] = []
-        for start in range(0, len(texts), 512):
-            words = [(t or b"").split() for t in texts[start:start + 512]]
-            found = [list(map(self.known.get, w)) for w in words]
-            gaps = [i for i, f in enumerate(found) if None in f]
-            if gaps:
-                self.learn({w for i in gaps for w, f in zip(words[i], found[i], strict=True) if f is None})
-                for i in gaps:
-                    found[i] = [self.known[w] if f is None else f for w, f in zip(words[i], found[i], strict=True)]
-            out += map(b"".join, found)
+        start = size = 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or b"")
+            if size >= PART or end == len(texts):
+                out += self._encode(texts[start:end])
+                start, size = end, 0
         return out
 
+    def _encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Each distinct word of the texts is looked up once, and Arrow puts the words' ids in their places."""
+        words = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string()))
+        code = words.values.view(pa.binary()).dictionary_encode()
+        distinct = _bytes(code.dictionary)
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            new = [w for w, f in zip(distinct, found, strict=True) if f is None]
+            step = max(1, self.remembered // 16)  # a word, its letters and its marks are remembered
+            learnt: dict[bytes, bytes] = {}
+            for at in range(0, len(new), step):
+                self.learn(new[at:at + step])
+                learnt.update((w, self.known[w]) for w in new[at:at + step])
+            found = [learnt[w] if f is None else f for w, f in zip(distinct, found, strict=True)]
+        placed = pa.array(found, pa.binary()).take(code.indices)
+        _, places, data = placed.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        at = np.frombuffer(places, dtype=np.int32)[words.offsets.to_numpy()].tolist()
+        data = memoryview(data)
+        return [bytes(data[i:j]) for i, j in itertools.pairwise(at)]
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Number of ids of each word, or of each text where ids do not go by words."""
         if not self.by_word:

@@ -79,6 +79,35 @@ def test_a_tokenizer_that_keeps_blanks_encodes_whole_texts():
     assert whole.encode([t.encode() for t in odd]) == [whole.raw(t) for t in odd]
 
 
+def test_words_are_looked_up_once_and_encoded_together(voc):
+    """Repeats of a word cost no lookup, words with marks or of other scripts no call each; ids are the library's."""
+    class Lookups(dict):
+        asked = 0
+
+        def get(self, *key):
+            Lookups.asked += 1
+            return super().get(*key)
+
+    class Calls:
+        texts = 0
+
+        def __getattr__(self, name):
+            return getattr(voc.tok, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            Calls.texts += len(texts)
+            return voc.tok.encode_batch_fast(texts, **kw)
+
+    v = Vocabulary(default_path())
+    v.known, v.tok = Lookups(), Calls()
+    odd = ["a\x01b \x01 c", "\u0301a b\u0301 e\u0301", "\ufffd z", " x\u00a0y\u2003 z\x1cq ", "\u0130st \u00df \u017f \u212b", "it's 's 12,3 ...",
+           "a.b ,a !!", "<unk> </w>", "\u65e5\u672c \ud55c\uad6d \U0001f600!", "a\x00b word\n", ""]
+    many = [" ".join(f"w{i}-{j}" for j in range(40)) for i in range(50)]
+    got = v.encode([t.encode() for t in [*many, *many, *odd]] + [None])
+    assert got == [np.asarray(ids_of(voc, t), dtype=v.dtype).tobytes() for t in [*many, *many, *odd, None]]
+    assert Lookups.asked < 2200 and Calls.texts < 100
+
+
 def test_counts_with_few_words_remembered(voc):
     few, texts_ = Vocabulary(default_path()), [prose(i, 40) for i in range(30)]
     few.remembered = 24
