@@ -96,7 +96,7 @@ class Vocabulary:
             if len(end) == len(group):
                 data, width = ids.tobytes(), self.dtype.itemsize
                 self.known.update((w.encode(), data[i * width:j * width]) for w, i, j in zip(group, start, end, strict=True))
-            else:  # a word holds the mark
+            else:
                 self.known.update((w.encode(), ids) for w, ids in zip(group, self.many(group), strict=True))
 
     def learn(self, words: Collection[bytes]) -> None:
@@ -113,12 +113,12 @@ class Vocabulary:
         self._together([w.decode() for w in set(letters) if w not in known], TOGETHER, "")
         other = _bytes(new.filter(pc.invert(plain)))
         readable = {w: w.decode("utf-8", "replace") for w in [*other, *(m for m in set(marks) if m not in known)]}
-        same = [w for w, t in readable.items() if w and "\ufffd" not in t]
+        same = [w for w, t in readable.items() if w and "\ufffd" not in t and MARK not in t]
         if self.mark is None:
             known.update(zip(same, self.many([readable[w] for w in same]), strict=True))
         else:
             self._together([readable[w] for w in same], TOGETHER, MARK)
-        same = [w for w in readable if w not in known]  # no word at all, or bytes that are not text
+        same = [w for w in readable if w not in known]  # no word at all, bytes that are not text, or one with the mark
         known.update(zip(same, self.many([readable[w] for w in same]), strict=True))
         known.update(zip(split, map(add, map(known.__getitem__, letters), map(known.__getitem__, marks)), strict=True))
 
