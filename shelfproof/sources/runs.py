@@ -20,7 +20,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """
     text = F.regexp_replace(F.trim("value"), r"\}\s*\n\s*\{", "},{")
     found = F.from_json(F.concat(lit("["), text, lit("]")), T.ArrayType(RUN), {"mode": "FAILFAST"})
-    return spark.read.option("wholetext", True).text(path).where(F.trim("value") != "").select(
+    return spark.read.text(path, wholetext=True).where(F.trim("value") != "").select(
         F.explode(found).alias("run")).select("run.*")
 
 
@@ -53,7 +53,7 @@ def tag_locale(runs: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, folder: str, run_id: str | None = None) -> DataFrame:
     """A page store of ``<id>.html.gz`` files; the id is the file name, the time its last write."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.html\.gz$", 1)
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", "*.html.gz").text(folder)
+    return (spark.read.text(folder, wholetext=True, pathGlobFilter="*.html.gz")
             .select(name.alias("asin"), lit(run_id).cast("string").alias("run_id"), F.col("value").alias("html"),
                     F.date_format(F.date_trunc("second", F.col("_metadata.file_modification_time")),
                                   "yyyy-MM-dd'T'HH:mm:ssXXX").alias("fetched_at")))

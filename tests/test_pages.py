@@ -80,6 +80,13 @@ def test_gates(spark):
                    "words": ("challenge_text", False), "empty": (None, True), "big": (None, False)}
 
 
+def test_a_stored_page_of_many_lines_is_one_row(spark, tmp_path):
+    with gzip.open(tmp_path / "B000000001.html.gz", "wt", encoding="utf-8") as fh:
+        fh.write(TITLE + "\n<p>one</p>\n\n<p>two</p>\n")
+    got = [(r.asin, r.html) for r in runs.read_pages(spark, str(tmp_path), "r1").collect()]
+    assert got == [("B000000001", TITLE + "\n<p>one</p>\n\n<p>two</p>\n")]
+
+
 def test_run_folder_round_trip(spark, tmp_path):
     store = tmp_path / "pages"
     store.mkdir()
