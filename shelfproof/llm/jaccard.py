@@ -12,8 +12,8 @@ bucket of the hash (``counts_of``), and two sets share at most the smaller count
 a text's size and leaves few pairs that are not links.
 
 Links are verified on the whole sets of both texts, in passes: first the pairs that an index of fingerprints
-proposes (``simhash``) and each text against one text of those it meets, so that a large group becomes one component
-without its pairs; then every pair that meets and is not yet in one component.
+proposes (``simhash``) and each text against one text of those it meets, where their shingle comes first, so that a
+large group becomes one component without its pairs; then every pair that meets and is not yet in one component.
 """
 
 from __future__ import annotations
@@ -157,8 +157,11 @@ def _possible(share: Fraction, n, p, m, q):
 
 
 def _stars(rows: DataFrame, share: Fraction, seed: int) -> DataFrame:
-    """Each row against one of its shingle's, in another component."""
-    one = F.min(F.struct(F.xxhash64(F.lit(seed), "v").alias("k"), "v", "n", "p", "root")).over(Window.partitionBy("h"))
+    """Each row against one of its shingle's, in another component: a set where the shingle comes first.
+
+    That set has the fewest rare shingles, so of a large group it is one that the others were edited from, or is near it.
+    """
+    one = F.min(F.struct("p", F.xxhash64(F.lit(seed), "v").alias("k"), "v", "n", "root")).over(Window.partitionBy("h"))
     c = F.col("_one")
     long = lambda x: x.cast("long")
     return rows.withColumn("_one", one).where(

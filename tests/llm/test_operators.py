@@ -458,6 +458,34 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, frequent):
     assert got == {find(i) for i in sets} and 40 < len(got) < len(rows) - 50
 
 
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies with one to six edits of one text: those with few meet and are alike, those with more meet and are not."""
+    rng = random.Random(8)
+    base = [w + str(rng.randrange(50)) for w in prose(77, 150).split()]
+    rows = [(0, " ".join(base))]
+    for edits, copies in ((1, 60), (2, 60), (3, 30), (4, 30), (6, 30)):
+        for _ in range(copies):
+            copy = list(base)
+            for k in range(edits):
+                copy[rng.randrange(5, 145)] = f"new{len(rows)}x{k}"
+            rows.append((len(rows), " ".join(copy)))
+    met, real = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda d, name, **kw: met.append((name, (out := real(d, name, **kw)).count())) or out)
+    got = {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(146)} for i, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a != b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    root, todo = dict.fromkeys(sets), set(sets)
+    while todo:
+        group = front = {min(todo)}
+        while front:
+            front = {b for a in front for b in todo - group if (a, b) in alike}
+            group = group | front
+        root.update(dict.fromkeys(group, min(group)))
+        todo -= group
+    assert got == set(root.values()) and 1 < len(got) < 100
+    assert sum(n for name, n in met if name == "pairs") < 5 * len(rows) < len(alike) / 4
+
+
 def test_near_duplicates_are_proposed_by_the_index(spark, monkeypatch):
     prints = [0, 0b111, 0b1111111, (1 << 63) - 1, 0]  # sets 10 and 14 have one fingerprint, 11 is near, 12 is near 11 only to four bits
     sets = spark.createDataFrame([(10 + i, p) for i, p in enumerate(prints)], "v long, fp long")
