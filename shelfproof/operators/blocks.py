@@ -151,14 +151,23 @@ def _record(v: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in texts.items()], main.alias("main"), odd.alias("odd"))
 
 
+def _from(text: Column, word: str) -> Column:
+    """The text from the character in front of the first ``word`` on, NULL without one.
+
+    A pattern that is one character and then the word matches here what it matches in the whole text, and has not to try
+    every place in front of it.
+    """
+    return F.when(text.contains(word), F.substr(text, F.greatest(F.locate(word, text) - 1, lit(1))))
+
+
 def image_records(html: Column) -> Column:
     """``STRUCT<records, error>``: the gallery, quoted as a script string or written as a literal.
 
     The JSON reader stops at the end of the first value, so what follows the gallery in the script, and what looks like
-    the end of the string inside a label, do not matter; the text is read once.
+    the end of the string inside a label, do not matter; the text is read once, from the gallery's name on.
     """
     start = r"""(?s)['"]colorImages['"]\s*:\s*\{\s*['"]initial['"]\s*:\s*"""
-    rest = group(html, start + r"(A\.\$\.parseJSON\(\s*'.*?(?:</script|\z)|\[.*)", 1)
+    rest = group(_from(html, "colorImages"), start + r"(A\.\$\.parseJSON\(\s*'.*?(?:</script|\z)|\[.*)", 1)
 
     def text(found: Column) -> Column:
         unescaped = F.replace(F.replace(F.replace(
@@ -247,8 +256,13 @@ def variation_matrix(html: Column) -> Column:
             "values_by_asin": ("dimensionValuesDisplayData", "map<string, array<string>>")}
 
     def read(c: Column) -> Column:
-        def rest(key: str, value: str = "(?s)(.*)") -> Column:
-            return group(c, rf"""["']{key}["']\s*:\s*{value}""", 1)
+        def named(key: str, value: str) -> Column:
+            return group(_from(c, key), rf"""["']{key}["']\s*:\s*{value}""", 1)
+
+        def rest(key: str) -> Column:
+            """All that follows a key; the pattern reads the key only, which stands where its match is first found."""
+            return let(_from(c, key), lambda t: let(F.regexp_extract(t, rf"""["']{key}["']\s*:\s*""", 0), lambda m: F.when(
+                m != "", filled(F.substr(t, F.position(m, t) + F.length(m))))))
 
         def decoded(key: str, schema: str) -> Column:
             """Value and whether the JSON is there, is not empty and has another shape."""
@@ -263,9 +277,9 @@ def variation_matrix(html: Column) -> Column:
         parts = F.struct(*[decoded(*spec).alias(name) for name, spec in keys.items()])
         def whole(d: Column) -> Column:
             return F.struct(*[d[name]["value"].alias(name) for name in keys],
-                            rest("currentAsin", '"([^"]*)"').alias("current_asin"),
-                            rest("parentAsin", '"([^"]*)"').alias("parent_asin"),
-                            rest("num_total_variations", r'"?(\d+)').try_cast("int").alias("total_variations"))
+                            named("currentAsin", '"([^"]*)"').alias("current_asin"),
+                            named("parentAsin", '"([^"]*)"').alias("parent_asin"),
+                            named("num_total_variations", r'"?(\d+)').try_cast("int").alias("total_variations"))
 
         # A matrix of which no key is filled is none.
         return let(parts, lambda d: F.struct(
@@ -273,7 +287,7 @@ def variation_matrix(html: Column) -> Column:
             cases(*[(d[name]["odd"], lit(f"{spec[0]} does not have its shape")) for name, spec in keys.items()],
                   otherwise=lit(None).cast("string")).alias("error")))
 
-    return F.when(anchor > 0, let(chunk, read))
+    return F.when(html.contains("dimensionValuesDisplayData"), let(chunk, read))
 
 
 # --- enhanced content -------------------------------------------------------------

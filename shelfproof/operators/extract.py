@@ -335,13 +335,13 @@ def extract(pages: DataFrame, host: str | None, more: Callable[[P.Page], dict[st
     """Pages (html plus any lineage columns) to listings, by the rules of ``host``.
 
     Without a host each page brings its own rules (column ``_shop``).  No step shuffles: a page is one row from its
-    source to its listing.  Script data is read from the source before the page is tokenised, then the source
-    is dropped.  ``more`` gives further columns read off the same elements, which follow the listing's.
+    source to its listing.  The source passes the reader beside its elements, so script data are read after it, only where
+    they are asked for and never sent through it; then the source is dropped.  ``more`` gives further columns read off the same elements, which follow the listing's.
     """
-    page, source, *passes = _passes(host)
+    page, *passes = _passes(host)
     page = page.copy()
     extra = more(page) if more else {}
-    out = P.tokenise(pages.withColumns(source), page)
+    out = P.tokenise(pages, page, keep=True)
     for columns in passes:
         out = out.withColumns(columns)
     lineage = [f for f in CRAWL_FIELDS if f in pages.columns]
@@ -351,6 +351,10 @@ def extract(pages: DataFrame, host: str | None, more: Callable[[P.Page], dict[st
     for field in LISTING.fields:
         if field.name in columns:
             c = columns[field.name]
+            if isinstance(c, dict):  # cast by member: a cast of the whole group would need all its blocks for one of them
+                c = F.struct(*[c[f.name].cast(f.dataType).alias(f.name) for f in field.dataType.fields])
+                select.append(c.alias(field.name))
+                continue
         elif field.name in CRAWL_FIELDS and field.name not in lineage:
             c = lit(None)
         else:
@@ -398,8 +402,8 @@ def _passes(host: str | None) -> list:
 
 
 @lru_cache(maxsize=None)
-def _assembled() -> dict[str, Column]:
-    """The nested groups of a listing and its block log."""
+def _assembled() -> dict[str, Column | dict[str, Column]]:
+    """The nested groups of a listing and its block log, by member."""
     pairs = F.col("_pairs")
     present = {
         "raw_tables": F.size(pairs) > 0, "important_information": F.size("_important") > 0,
@@ -417,18 +421,17 @@ def _assembled() -> dict[str, Column]:
     state = {b: failed[b].isNull() if b in failed else lit(True) for b in BLOCKS}
     errors = F.array(F.struct(lit("page").alias("block"), F.col("page_error").alias("error")), *[
         F.struct(lit(b).alias("block"), c.alias("error")) for b, c in failed.items()])
-    log = F.struct(
-        F.array_compact(F.array(*[F.when(state[b] & listed[b], lit(b)) for b in BLOCKS])).alias("blocks_present"),
-        F.array_compact(F.array(*[F.when(state[b] & ~listed[b], lit(b)) for b in BLOCKS])).alias("blocks_absent"),
-        F.filter(errors, lambda e: e["error"].isNotNull()).alias("errors"))
+    log = {
+        "blocks_present": F.array_compact(F.array(*[F.when(state[b] & listed[b], lit(b)) for b in BLOCKS])),
+        "blocks_absent": F.array_compact(F.array(*[F.when(state[b] & ~listed[b], lit(b)) for b in BLOCKS])),
+        "errors": F.filter(errors, lambda e: e["error"].isNotNull())}
     return {
         "schema_version": lit(SCHEMA_VERSION),
         "raw_tables": F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["label"], e["value"]))),
         "attribute_sources": F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["label"], e["source"]))),
-        "content": F.struct(F.col("_bullets").alias("feature_bullets"), F.col("_description").alias("description"),
-                            F.col("_important").alias("important_information"), F.col("_aplus").alias("aplus")),
-        "food": F.struct(F.col("_ingredients").alias("ingredients"), F.col("_allergens").alias("allergens"),
-                         F.col("_nutrition").alias("nutrition")),
+        "content": {"feature_bullets": F.col("_bullets"), "description": F.col("_description"),
+                    "important_information": F.col("_important"), "aplus": F.col("_aplus")},
+        "food": {"ingredients": F.col("_ingredients"), "allergens": F.col("_allergens"), "nutrition": F.col("_nutrition")},
         "extraction": log}
 
 
