@@ -27,6 +27,16 @@ def test_run_report_reads_only_what_it_counts(spark):
         assert token not in after
 
 
+def test_source_counts_reads_only_food_and_errors(spark):
+    plan = _plan(plans.QUERIES["page_source_counts"](spark, SMALL))
+    assert plan.count("MapInArrow") == 1
+    after = plan[:plan.index("MapInArrow")]
+    for token in ("#productDescription", "#important-information", "#feature-bullets", "#aplus", "#nic-ingredients-content"):
+        assert token in after
+    for token in ("#productTitle", "#corePrice_desktop", "#histogramTable", "[data-hook=review]", "#nic-allergens", "#bylineInfo"):
+        assert token not in after
+
+
 def test_scripts_do_not_pass_the_reader_as_nested_columns(spark):
     """Rows with nested columns are weighed by a walk through all of a batch; only flat ones go to Python."""
     pages = spark.createDataFrame([("a", "<p>")], "asin string, html string")
